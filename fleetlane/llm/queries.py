@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokens
+from . import bpe, chat, tokens, warc
 from .common import table
 
 
@@ -18,13 +18,32 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.written_and_read(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.written_and_read(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_and_read(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_planes, op5_bpe_forced_boundaries)}
+    return {f.__name__: f for f in (op2_token_planes, op4_warc_shards, op5_bpe_forced_boundaries, op7_prefix_targets)}
+
+
+SQL = {
+    "op4_warc_shards": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS digest FROM p),
+        m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS kept FROM d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+            CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN kept <> page_id THEN kept END AS refers_to FROM m""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
