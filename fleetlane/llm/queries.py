@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, tokens, warc
+from . import bpe, chat, decontaminate, jaccard, substrings, tokens, warc
 from .common import table
 
 
@@ -26,14 +26,28 @@ def op5_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_and_read(spark, sf_dir)
 
 
+def op8_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_planes, op4_warc_shards, op5_bpe_forced_boundaries, op7_prefix_targets)}
+    named = (op2_token_planes, op4_warc_shards, op5_bpe_forced_boundaries, op6_suffix_array_decontamination, op7_prefix_targets, op8_size_aware_jaccard, op9_suffix_tree_dedup)
+    return {f.__name__: f for f in named}
 
 
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL = {
     "op4_warc_shards": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
@@ -42,6 +56,38 @@ SQL = {
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
             CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN kept <> page_id THEN kept END AS refers_to FROM m""",
+    "op6_suffix_array_decontamination": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        s AS (SELECT item_id, w, least(13, len(w)) AS k, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0),
+        v AS (SELECT DISTINCT item_id, k, list_slice(w, i, i + k - 1) AS win FROM s),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+        q AS (SELECT doc_id, i, k, list_slice(w, i, i + k - 1) AS win FROM p, (SELECT DISTINCT k FROM v) WHERE i + k - 1 <= len(w)),
+        h AS (SELECT doc_id, i, q.k, item_id FROM q JOIN v ON q.win = v.win),
+        c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS j FROM h) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op8_size_aware_jaccard": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 2) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+        r(doc_id, c) AS (SELECT a, a FROM e UNION SELECT b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < b),
+        m AS (SELECT doc_id, min(c) AS c FROM (SELECT doc_id, c FROM r) GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(m.c, doc_id) AS BIGINT) AS component_id
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op9_suffix_tree_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, i, list_slice(w, i, i + 19) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+        l AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM l),
+        a AS (SELECT doc_id, list(j) AS j FROM g GROUP BY doc_id),
+        k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) x LEFT JOIN g ON g.doc_id = x.doc_id AND g.j = x.i WHERE g.j IS NULL GROUP BY x.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(a.j), 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+        FROM d LEFT JOIN a USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }
 
 
