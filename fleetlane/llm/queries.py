@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, substrings, tokens, warc
+from . import bpe, chat, decontaminate, embeddings, jaccard, substrings, tokens, warc
 from .common import table
 
 
@@ -42,8 +42,12 @@ def op9_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    named = (op2_token_planes, op4_warc_shards, op5_bpe_forced_boundaries, op6_suffix_array_decontamination, op7_prefix_targets, op8_size_aware_jaccard, op9_suffix_tree_dedup)
+    named = (op2_token_planes, op4_warc_shards, op5_bpe_forced_boundaries, op6_suffix_array_decontamination, op7_prefix_targets, op8_size_aware_jaccard, op9_suffix_tree_dedup, op10_subspace_pigeonhole)
     return {f.__name__: f for f in named}
 
 
@@ -88,6 +92,15 @@ SQL = {
         k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) x LEFT JOIN g ON g.doc_id = x.doc_id AND g.j = x.i WHERE g.j IS NULL GROUP BY x.doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(a.j), 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
         FROM d LEFT JOIN a USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op10_subspace_pigeonhole": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+        e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+        r(vec_id, c) AS (SELECT a, a FROM e UNION SELECT b, r.c FROM r JOIN e ON e.a = r.vec_id WHERE r.c < b),
+        m AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id),
+        k AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(coalesce(c, vec_id) AS BIGINT) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN k USING (vec_id) LEFT JOIN m USING (vec_id)""",
 }
 
 
