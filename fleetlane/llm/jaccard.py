@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, slices, stored
@@ -53,18 +53,23 @@ def spare(n: int, percent: int) -> int:
     return n - -(-n * percent // 100)
 
 
+def _mark() -> Column:
+    """Tells the texts of rows with equal doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of documents (doc_id, n, digest), and rows of shingles (token, times) that recur in a task."""
+    """Rows of documents (doc_id, mark, n, digest), and rows of shingles (token, times) that recur in a task."""
     import xxhash
 
-    names = ["doc_id", "n", "digest", "token", "times"]
+    names = ["doc_id", "mark", "n", "digest", "token", "times"]
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         values, times = np.unique(np.concatenate(held), return_counts=True)
         often = times >= 3
         k = int(often.sum()) + 1  # the last row counts all shingles, under no token
         token = pa.array(values[often].view(np.int64).tolist() + [None], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), token, pa.array(times[often].tolist() + [int(times.sum())], pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), token, pa.array(times[often].tolist() + [int(times.sum())], pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
@@ -79,12 +84,12 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 if waiting >= COUNTED:
                     yield counted(held)
                     held, waiting = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(digests, pa.binary()), pa.nulls(len(ns), pa.int64()), pa.nulls(len(ns), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int32()), pa.array(digests, pa.binary()), pa.nulls(len(ns), pa.int64()), pa.nulls(len(ns), pa.int64())], names=names)
         if held:
             yield counted(held)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n int, digest binary, token long, times long")
+    rows = docs.select(F.col("doc_id").cast("long"), _mark().alias("mark"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, n int, digest binary, token long, times long")
 
 
 def boundary_of(recurring: float, total: float, percent: int) -> int:
@@ -157,10 +162,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def classes_and_links(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: doc_id, n, digest), (classes: digest, rep, copies) and verified links (a, b) between the
+    """(documents: doc_id, mark, n, digest), (classes: digest, rep, copies) and verified links (a, b) between the
     classes' representatives: enough of them to connect all that is connected."""
     sets = stored(_sets(docs, size), "sets")
-    documents = sets.filter("digest is not null").select("doc_id", "n", "digest")
+    documents = sets.filter("digest is not null").select("doc_id", "mark", "n", "digest")
     classes = documents.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     tokens = sets.filter("digest is null").groupBy("token").agg(F.sum("times").alias("times"))
     total, recurring = (x or 0 for x in tokens.agg(F.sum(F.when(F.col("token").isNull(), F.col("times"))), F.sum(F.when(F.col("token").isNotNull(), F.col("times")))).first())
@@ -198,14 +203,22 @@ def classes_and_links(docs: DataFrame, size: int = 3, percent: int = 90) -> tupl
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document."""
+    return _components(docs, size, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     documents, classes, links = classes_and_links(docs, size, percent)
     found = components(links).select(F.col("node").alias("rep"), "component")
     named = classes.join(found, "rep", "left").filter("copies > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
-    return documents.join(named, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    return documents.join(named, "digest", "left").select("doc_id", "mark", "n", component.alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """docs without the documents that aren't the smallest doc_id of their component; of rows with equal doc_id
-    and text all stay. Rows with a null doc_id stay."""
-    out = near_duplicates(docs, size, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    """docs of which the smallest doc_id of each component stays; of rows with equal doc_id and text one stays.
+    Rows with a null doc_id stay."""
+    gone = _components(docs, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("__id"), _mark().alias("__mark"))
+    left = packed.join(gone, ["__id", "__mark"], "left_anti")
+    first = F.row_number().over(Window.partitionBy("__id", "__mark").orderBy("__id"))
+    return left.withColumn("__n", first).filter("__n = 1 or __id is null").select("row.*")

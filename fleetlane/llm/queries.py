@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, embeddings, jaccard, substrings, tokens, warc
+from . import bpe, chat, decontaminate, embeddings, jaccard, language, substrings, tokens, toxicity, warc
 from .common import table
 
 
@@ -14,10 +14,18 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.written_and_read(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.written_and_read(table(spark, sf_dir, "pages"))
 
@@ -47,7 +55,7 @@ def op10_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op2_token_planes, op4_warc_shards, op5_bpe_forced_boundaries, op6_suffix_array_decontamination, op7_prefix_targets, op8_size_aware_jaccard, op9_suffix_tree_dedup, op10_subspace_pigeonhole)
+    named = (op1_toxicity_lexicon, op2_token_planes, op3_kneser_ney_language, op4_warc_shards, op5_bpe_forced_boundaries, op6_suffix_array_decontamination, op7_prefix_targets, op8_size_aware_jaccard, op9_suffix_tree_dedup, op10_subspace_pigeonhole)
     return {f.__name__: f for f in named}
 
 
