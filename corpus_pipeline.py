@@ -1,8 +1,54 @@
 """A corpus pipeline of five stages; each takes its predecessor's documents."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fleetlane.llm import bpe, decontaminate, jaccard, substrings, toxicity
+from fleetlane.llm.common import stored, table
+from fleetlane.llm.queries import vocabulary
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.3 or more go."""
+    return toxicity.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by a Jaccard similarity of 0.8 or more of their five-word shingles, the one with the smallest doc_id stays."""
+    return jaccard.deduplicated(docs, size=5, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words covered by a window of 20 words that also starts earlier go."""
+    return substrings.deduplicated(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words a twentieth or more lies in windows of test items go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with ids, n_tokens and the text decoded from these ids."""
+    return bpe.transcode(docs, vocabulary())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
+#: Models and a tokenizer can't be said in SQL; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n + 1 < len(STAGES):
+            docs = stored(docs, "stage")
+    return docs
