@@ -39,6 +39,8 @@ from .words import LOWER, gram_hashes, mixed, word_hashes
 KEPT_SHINGLES, COUNTED = 1 << 17, 1 << 20
 #: A candidate's verification costs as much as so many keys; light sets differ in at most so many shingles.
 VERIFY_COST, MOST_SPARE = 4, 8
+#: Sets of a block, of which a task holds two while it verifies candidates.
+BLOCK_SETS = 256
 PAIR = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -138,27 +140,45 @@ def _keys(docs: DataFrame, size: int, percent: int, boundary: int, often: np.nda
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts' sets are similar enough."""
+    """The pairs (a, b) whose texts' sets are similar enough.
+
+    Candidates that hang together are cut into blocks of about BLOCK_SETS sets; a text goes once to each
+    pair of blocks that has candidates, not once to each candidate.
+    """
+    near = components(pairs)
+    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
+    block = F.struct("component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part"))
+    blocks = stored(near.join(sizes, "component").select("node", block.alias("block")), "blocks")
+    a, b = (blocks.select(F.col("node").alias(x), F.col("block").alias(f"block_{x}")) for x in ("a", "b"))
+    task = F.struct(F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y"))
+    placed = stored(pairs.join(a, "a").join(b, "b").select(task.alias("task"), "a", "b"), "placed")
+    wanted = placed.select("task").distinct()
+    tasks = wanted.select("task", F.explode(F.array_distinct(F.array("task.x", "task.y"))).alias("block"))
+    sets = tasks.join(blocks, "block").join(texts, F.col("node") == F.col("doc_id"))
+    sets = sets.select(F.xxhash64("task").alias("task"), F.lit(0).alias("role"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    asked = placed.select(F.xxhash64("task").alias("task"), F.lit(1).alias("role"), "a", "b", F.lit(None).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        held: dict[int, np.ndarray] = {}
+        task, done = None, False
+        for batch in slices(batches, "text"):
             keep = []
-            for i in range(batch.num_rows):
-                for x, col in ((a[i], 2), (b[i], 3)):
-                    if x not in sets:
-                        if len(sets) > 256:
-                            sets.clear()
-                        sets[x] = shingles(batch.column(col)[i].as_py().encode(), size)
-                x, y = (sets[k] if k in sets else shingles(batch.column(c)[i].as_py().encode(), size) for k, c in ((a[i], 2), (b[i], 3)))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * 100 >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+            for key, role, x, y, text in zip(*(batch.column(k).to_pylist() for k in range(4)), bytes_of(batch, "text"), strict=True):
+                if key != task or (done and not role):
+                    held, task, done = {}, key, False
+                if not role:
+                    held[x] = shingles(text, size)
+                    continue
+                done = True
+                p, q = held[x], held[y]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if both * 100 >= percent * (len(p) + len(q) - both):
+                    keep.append((x, y))
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*keep, strict=True)], names=["a", "b"])
+
+    rows = sets.unionByName(asked).repartition("task").sortWithinPartitions("task", "role", "a")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def classes_and_links(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
