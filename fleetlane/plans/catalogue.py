@@ -1,13 +1,549 @@
-"""Named queries over the test tables and the SQL that checks them."""
+"""Named queries over the test tables and the SQL that checks them.
 
+Times are given in milliseconds and distances rounded to 6 places, so that engines compare alike.
+"""
 
-def entry(spark, sf_dir):
-    return queries()["daily_mileage"](spark, sf_dir)
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fleetlane.functions import clock, geo, text
+from fleetlane.operators import events, live, lookups, reports, sequence
+from fleetlane.sources import derived, ingest
 
-def oracle_sql():
-    return {}
+from . import oracle as sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["daily_mileage"](spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def km(c: str | Column, name: str | None = None) -> Column:
+    return F.round(c, 6).alias(name or c)
+
+
+def ms(c: str, name: str) -> Column:
+    return F.unix_millis(c).alias(name)
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages derived from the points: they arrive in the order of event_id, some of them late or from the future."""
+    e = derived.points(spark, sf_dir)
+    t, n = F.unix_millis("packet_date"), F.col("position_id")
+    late = F.when(n % 6 == 0, 400_000).when(n % 9 == 0, -130_000).otherwise((n % 5) * 50_000)
+    return e.select("imei", t.alias("arrived"), n.alias("seq"), F.when(n % 23 != 0, t - late).alias("fix"))
+
+
+ARRIVALS = f"""{sql.points()}, arrivals AS (SELECT imei, t AS arrived, id AS seq,
+    CASE WHEN id % 23 <> 0 THEN t - CASE WHEN id % 6 = 0 THEN 400000 WHEN id % 9 = 0 THEN -130000 ELSE (id % 5) * 50000 END END AS fix FROM points)"""
+SINGLE = """alone AS (SELECT *, CASE WHEN fix IS NULL THEN 'missing_time' WHEN fix > arrived + 120000 THEN 'future_invalid' WHEN arrived - fix <= 300000 THEN 'fresh' ELSE 'historical' END AS d FROM arrivals),
+    m AS (SELECT *, max(CASE WHEN d = 'fresh' THEN fix END) OVER (PARTITION BY imei ORDER BY arrived, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM alone),
+    decided AS (SELECT *, CASE WHEN d = 'fresh' AND fix < newest THEN 'out_of_order' ELSE d END AS decision FROM m)"""
+
+
+# --- filters, projections, functions
+
+
+@query(f"WITH {sql.points()} SELECT id AS position_id, lat <> 0 OR lon <> 0 AS stored, lat <> 0 AND lon <> 0 AS live FROM (SELECT id, CASE WHEN id % 4 = 0 THEN 0 ELSE lat END AS lat, CASE WHEN id % 6 = 0 THEN 0 ELSE lon END AS lon FROM points)")
+def coord_filter(spark, sf_dir):
+    n = F.col("position_id")
+    rows = derived.points(spark, sf_dir).select(n, F.when(n % 4 == 0, 0.0).otherwise(F.col("latitude")).alias("lat"), F.when(n % 6 == 0, 0.0).otherwise(F.col("longitude")).alias("lon"))
+    return rows.select(n, geo.stored_coordinates(F.col("lat"), F.col("lon")).alias("stored"), geo.live_coordinates(F.col("lat"), F.col("lon")).alias("live"))
+
+
+@query(f"WITH {sql.points()} SELECT imei, t AS at, speed, direction, ignition, id AS position_id FROM points WHERE event_type IN ('click', 'error', 'signup') AND id % 19 <> 0")
+def point_projection(spark, sf_dir):
+    kind = F.when(F.col("event_type").isin("click", "signup"), "gps").when(F.col("event_type") == "error", "Alarm").otherwise("command")
+    rows = derived.points(spark, sf_dir).withColumns({"type": kind, "imei": F.concat(F.lit(" "), "imei"), "attr_type": F.when(F.col("position_id") % 19 == 0, "19")})
+    return ingest.track_points(rows).select("imei", ms("packet_date", "at"), "speed", "direction", "ignition", "position_id")
+
+
+@query(f"WITH {sql.points()} SELECT imei, count(*) AS n, sum(speed) AS speeds FROM points WHERE t >= 1704153600000 AND t < 1704240000000 GROUP BY imei")
+def time_range_filter(spark, sf_dir):
+    rows = sequence.in_range(derived.points(spark, sf_dir, 60), F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-03").cast("timestamp"))
+    return rows.groupBy("imei").agg(F.count("*").alias("n"), F.sum("speed").alias("speeds"))
+
+
+@query(f"WITH {sql.paired()} SELECT imei, id AS position_id, round(raw, 6) AS raw_km FROM pairs WHERE pt IS NOT NULL")
+def haversine_pairs(spark, sf_dir):
+    pairs = sequence.paired(sequence.timed(derived.points(spark, sf_dir)))
+    return pairs.filter("pt is not null").select("imei", "position_id", km("jump.raw_km", "raw_km"))
+
+
+@query(f"WITH {sql.paired(k=1)} SELECT reason, count(*) AS n, round(sum(km), 4) AS km FROM pairs GROUP BY reason")
+def jump_guard_reasons(spark, sf_dir):
+    pairs = sequence.paired(sequence.timed(derived.points(spark, sf_dir, 1)))
+    return pairs.groupBy("jump.reason").agg(F.count("*").alias("n"), F.round(F.sum("jump.distance_km"), 4).alias("km"))
+
+
+@query(f"WITH {sql.points()}, {sql.FENCES} SELECT imei, id AS position_id FROM points JOIN u USING (imei) WHERE {sql.inside_square()}")
+def point_in_polygon(spark, sf_dir):
+    fences = derived.fences(spark, sf_dir).filter("type = 'polygon'").select("imei", "coordinates")
+    rows = derived.points(spark, sf_dir).join(fences, "imei")
+    return rows.filter(geo.in_polygon(F.col("latitude"), F.col("longitude"), F.col("coordinates"))).select("imei", "position_id")
+
+
+@query(f"WITH {sql.points()}, {sql.FENCES} SELECT imei, id AS position_id FROM points JOIN u USING (imei) WHERE {sql.inside_circle()}")
+def circle_fence(spark, sf_dir):
+    fences = derived.fences(spark, sf_dir).filter("type = 'circle'").select("imei", F.col("latitude").alias("a"), F.col("longitude").alias("b"), "radius")
+    rows = derived.points(spark, sf_dir).join(fences, "imei")
+    return rows.filter(geo.in_circle(F.col("latitude"), F.col("longitude"), F.col("a"), F.col("b"), F.col("radius"))).select("imei", "position_id")
+
+
+@query(f"""WITH d AS (SELECT DISTINCT CAST(timezone('{sql.CAIRO}', timezone('UTC', ts)) AS DATE) AS d FROM (SELECT ts FROM events UNION ALL SELECT ts + INTERVAL 115 DAY FROM events UNION ALL SELECT ts + INTERVAL 300 DAY FROM events))
+    SELECT CAST(d AS VARCHAR) AS day, epoch_ms(timezone('{sql.CAIRO}', d::TIMESTAMP)) AS start_at, epoch_ms(timezone('{sql.CAIRO}', (d + 1)::TIMESTAMP)) AS end_at FROM d""")
+def business_day_bounds(spark, sf_dir):
+    ts = derived.events(spark, sf_dir).select(F.explode(F.array("ts", F.expr("ts + interval 115 days"), F.expr("ts + interval 300 days"))).alias("ts"))
+    days = ts.select(clock.local_date(F.col("ts")).alias("d")).distinct()
+    return days.select(F.col("d").cast("string").alias("day"), F.unix_millis(clock.day_start(F.col("d"))).alias("start_at"), F.unix_millis(clock.day_start(F.date_add("d", 1))).alias("end_at"))
+
+
+def _codes(spark, sf_dir) -> DataFrame:
+    n = F.col("event_id")
+    some = [(2, "Over Speed"), (3, "low_bat"), (5, "SOS"), (7, "tampering"), (11, "unheard-of"), (13, "sos")]
+    codes = F.concat_ws(",", *[F.when(n % k == 0, c) for k, c in some])
+    return derived.events(spark, sf_dir).select("event_id", text.alarm_tokens(codes).alias("tokens"))
+
+
+@query(f"WITH {sql.TOKENS} SELECT event_id, array_to_string(tokens, ',') AS tokens FROM tokens")
+def alarm_token_normalize(spark, sf_dir):
+    return _codes(spark, sf_dir).select("event_id", F.array_join("tokens", ",").alias("tokens"))
+
+
+@query(f"""WITH {sql.TOKENS} SELECT event_id, array_to_string(list_transform(tokens, lambda x: {sql.looked_up({k: v[0] for k, v in sql.MESSAGES.items()}, 'x')}), ' | ') AS en,
+    array_to_string(list_transform(tokens, lambda x: {sql.looked_up({k: v[1] for k, v in sql.MESSAGES.items()}, 'x')}), ' | ') AS ar FROM tokens""")
+def alarm_messages(spark, sf_dir):
+    return _codes(spark, sf_dir).select("event_id", text.alarm_messages(F.col("tokens")).alias("en"), text.alarm_messages(F.col("tokens"), "ar").alias("ar"))
+
+
+@query(f"WITH {sql.TOKENS} SELECT event_id, CAST(coalesce(list_filter(list_transform(tokens, lambda x: {sql.looked_up(sql.LEGACY, 'NULL')}), lambda y: y IS NOT NULL)[1], 0) AS INTEGER) AS code FROM tokens")
+def legacy_alarm_code(spark, sf_dir):
+    return _codes(spark, sf_dir).select("event_id", text.legacy_alarm_code(F.col("tokens")).alias("code"))
+
+
+@query(f"""WITH {sql.TOKENS} SELECT event_id, array_to_string(list_filter(tokens, lambda x: x NOT IN {sql.MUTED}), ',') AS left_tokens,
+    len(tokens) > 0 AND len(list_filter(tokens, lambda x: x NOT IN {sql.MUTED})) = 0 AS only_muted FROM tokens""")
+def muted_alarms(spark, sf_dir):
+    return _codes(spark, sf_dir).select("event_id", F.array_join(text.without_muted(F.col("tokens")), ",").alias("left_tokens"), text.only_muted(F.col("tokens")).alias("only_muted"))
+
+
+@query("SELECT event_id, CAST(192 + event_id % 16 AS INTEGER) AS satellite FROM events")
+def satellite_byte(spark, sf_dir):
+    return derived.events(spark, sf_dir).select("event_id", text.satellite_byte(F.col("event_id")).alias("satellite"))
+
+
+@query(f"""WITH r AS (SELECT event_id, {sql.REPLY} AS reply FROM events)
+    SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 90 + 0.5 AS DOUBLE) * CASE WHEN event_id % 8 = 0 THEN -1 ELSE 1 END END AS lat, CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 120 AS INTEGER) END AS speed,
+    CASE WHEN event_id % 4 = 1 THEN concat('12.', CAST(event_id % 10 AS VARCHAR)) END AS voltage, CASE WHEN event_id % 4 = 1 THEN 'strong' END AS gsm, CASE WHEN event_id % 4 = 1 THEN 'off' END AS relay,
+    CASE WHEN event_id % 4 = 2 THEN concat('OK ', CAST(event_id AS VARCHAR), '!') END AS result FROM r""")
+def command_reply_parse(spark, sf_dir):
+    n = F.col("event_id")
+    s = lambda c: c.cast("string")
+    reply = (
+        F.when(n % 4 == 0, F.concat(F.lit("Lat:"), F.when(n % 8 == 0, "S").otherwise("N"), s(n % 90), F.lit(".5,Lon:E46.25,Course:"), s(n % 360), F.lit(",Speed:"), s(n % 120), F.lit(",DateTime:2024-01-01")))
+        .when(n % 4 == 1, F.concat(F.lit("External power: 12."), s(n % 10), F.lit("V; GSM: strong, ACC: ON; Relay: off")))
+        .when(n % 4 == 2, F.concat(F.lit("RELAY=OK "), s(n), F.lit("!")))
+        .otherwise("no reply")
+    )
+    out = derived.events(spark, sf_dir).select("event_id", text.command_reply(reply).alias("r"))
+    return out.select("event_id", "r.position.lat", "r.position.speed", "r.status.voltage", "r.status.gsm", "r.status.relay", "r.command_result.result")
+
+
+@query(f"WITH {sql.points()} SELECT id AS position_id, concat(imei, '|gt06|', CAST(t AS VARCHAR), '|||', printf('%.6f', lat), '|', printf('%.6f', lon), '||', coalesce(alarm, ''), '|') AS fingerprint FROM points")
+def fingerprint(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    print_ = text.fingerprint(F.col("imei"), F.lit("gt06"), F.unix_millis("packet_date"), none, none, F.col("latitude"), F.col("longitude"), none, F.col("alarm"), none)
+    return derived.points(spark, sf_dir).select("position_id", print_.alias("fingerprint"))
+
+
+@query("""SELECT event_id, coalesce(event_type IN ('click', 'view'), false) AS by_motion, event_type <> 'signup' AND NOT event_type = 'error' AND value > 50 AS on_, event_type = 'error' OR value <= 1 AS parked
+    FROM (SELECT event_id, event_type, coalesce(value, 0) AS value FROM events)""")
+def state_flags(spark, sf_dir):
+    e = derived.events(spark, sf_dir).withColumn("value", F.coalesce("value", F.lit(0.0)))
+    kind, v = F.col("event_type"), F.col("value")
+    ignition = text.ignition_on(F.when(kind == "signup", False), F.when(kind == "error", False), v > 50)
+    return e.select("event_id", kind.isin("click", "view").alias("by_motion"), ignition.alias("on_"), text.is_parked(F.when(kind == "error", False), F.lit(None).cast("boolean"), v).alias("parked"))
+
+
+# --- ingest
+
+
+def _messages(spark, sf_dir) -> DataFrame:
+    """JSON messages of three shapes, some of them not acceptable."""
+    p = derived.points(spark, sf_dir)
+    n = F.col("position_id")
+    position = F.struct(n.alias("id"), F.when(n % 10 != 0, F.col("imei")).alias("uniqueId"), F.when(n % 20 == 0, F.lit(7)).alias("deviceId"), F.col("latitude").cast("string").alias("lat"), F.when(n % 15 != 0, F.col("longitude")).alias("longitude"), (F.col("speed") / 1.852).alias("speed"), F.unix_millis("packet_date").alias("fixTime"), F.struct(F.col("alarm"), F.when(n % 30 == 0, "OK!").alias("result")).alias("attributes"))
+    bare = F.to_json(position)
+    body = F.when(n % 3 == 0, bare).when(n % 3 == 1, F.concat(F.lit('{"positions":['), bare, F.lit("]}"))).otherwise(F.concat(F.lit('{"data":{"position":'), bare, F.lit("}}")))
+    return p.select(n, body.alias("body"))
+
+
+@query(f"""WITH {sql.points()} SELECT id AS position_id, CASE WHEN id % 10 <> 0 THEN imei END AS imei, round(lat, 6) AS latitude, CASE WHEN id % 15 <> 0 THEN round(lon, 6) END AS longitude, round(speed, 6) AS speed, t AS fix_time, alarm, true AS valid,
+    CASE WHEN id % 10 = 0 AND id % 20 <> 0 THEN 'missing_uniqueId_or_deviceId' WHEN id % 30 <> 0 AND id % 15 = 0 THEN 'missing_position_coordinates' END AS reject_reason FROM points""")
+def ingest_normalize(spark, sf_dir):
+    rows = ingest.checked(ingest.normalized(ingest.positions(_messages(spark, sf_dir).select("body"))))
+    return rows.select("position_id", "imei", km("latitude"), km("longitude"), km("speed"), "fix_time", "alarm", "valid", "reject_reason")
+
+
+@query(f"WITH {sql.points()} SELECT id AS position_id, t AS fix_time, id % 30 = 0 AS has_command_response FROM points")
+def raw_archive(spark, sf_dir):
+    out = ingest.raw_archive(_messages(spark, sf_dir).select("body"), F.lit("2024-02-01").cast("timestamp"))
+    return out.select("position_id", "fix_time", "has_command_response")
+
+
+@query("SELECT count(*) AS n, min(event_id) AS first_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY")
+def retention_filter(spark, sf_dir):
+    rows = derived.events(spark, sf_dir).withColumnRenamed("ts", "received_at")
+    return ingest.retained(rows, F.lit("2024-01-20").cast("timestamp"), 7).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query(f"""WITH {sql.points()}, d AS (SELECT imei, t + 60000 * CASE WHEN id % 2 = 0 THEN 1 ELSE 4 END * g AS arrived, id * 3 + g AS seq, id FROM points, (SELECT unnest([0, 1, 2]) AS g) WHERE id % 3 = 0)
+    SELECT seq, coalesce(arrived - lag(arrived) OVER (PARTITION BY imei, id ORDER BY arrived, seq) <= 120000, false) AS suppressed FROM d""")
+def retry_dedupe(spark, sf_dir):
+    n, g = F.col("position_id"), F.col("g")
+    p = derived.points(spark, sf_dir).filter(n % 3 == 0).withColumn("g", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+    rows = p.select(F.concat_ws("|", "imei", n).alias("fingerprint"), (F.unix_millis("packet_date") + F.when(n % 2 == 0, 60000).otherwise(240000) * g).alias("arrived"), (n * 3 + g).alias("seq"))
+    return live.retry_dedupe(rows).select("seq", "suppressed")
+
+
+def _twice(spark, sf_dir) -> DataFrame:
+    p = derived.points(spark, sf_dir)
+    n = F.col("position_id")
+    again = p.filter(n % 5 == 0).withColumn("packet_date", F.timestamp_millis(F.unix_millis("packet_date") + 1000))
+    return p.unionByName(again).withColumn("position_id", F.when(n % 4 != 0, n))
+
+
+TWICE = f"{sql.points()}, two AS (SELECT imei, t, CASE WHEN id % 4 <> 0 THEN id END AS id FROM points UNION ALL SELECT imei, t + 1000, CASE WHEN id % 4 <> 0 THEN id END FROM points WHERE id % 5 = 0)"
+
+
+@query(f"WITH {TWICE} SELECT imei, id AS position_id, min(t) AS at FROM two WHERE id IS NOT NULL GROUP BY imei, id UNION ALL SELECT imei, id, t FROM two WHERE id IS NULL")
+def position_id_dedupe(spark, sf_dir):
+    return live.position_id_dedupe(_twice(spark, sf_dir)).select("imei", "position_id", ms("packet_date", "at"))
+
+
+@query(f"""WITH {TWICE}, g AS (SELECT imei, id, count(*) AS n FROM two GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) FILTER (WHERE id IS NOT NULL) AS BIGINT) AS with_id, CAST(sum(n) FILTER (WHERE id IS NULL) AS BIGINT) AS without_id,
+    count(*) FILTER (WHERE id IS NOT NULL AND n > 1) AS duplicate_groups, CAST(sum(n) FILTER (WHERE id IS NOT NULL AND n > 1) AS BIGINT) AS duplicate_rows, CAST(sum(n - 1) FILTER (WHERE id IS NOT NULL AND n > 1) AS BIGINT) AS extra_rows,
+    count(*) FILTER (WHERE id IS NOT NULL AND n > 1) = 0 AS can_create FROM g""")
+def duplicate_diagnostic(spark, sf_dir):
+    return live.duplicate_diagnostic(_twice(spark, sf_dir))
+
+
+# --- reports
+
+
+@query(f"WITH {sql.points()} SELECT DISTINCT imei FROM points WHERE t >= 1704153600000 AND t < 1704240000000")
+def distinct_devices(spark, sf_dir):
+    return sequence.in_range(derived.points(spark, sf_dir), F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-03").cast("timestamp")).select("imei").distinct()
+
+
+@query(f"WITH {sql.paired()} SELECT imei, round(sum(driven), 6) AS km FROM pairs GROUP BY imei")
+def mileage(spark, sf_dir):
+    return reports.mileage(derived.points(spark, sf_dir)).select("imei", km("km"))
+
+
+@query(f"WITH {sql.points()}, c AS (SELECT DISTINCT imei, 1704067200000 + (user_id % 24) * 3600000 AS last_at FROM points) SELECT imei, t, id AS position_id, speed FROM points JOIN c USING (imei) WHERE t <= last_at QUALIFY row_number() OVER (PARTITION BY imei ORDER BY t DESC, id DESC) = 1")
+def prior_point_asof(spark, sf_dir):
+    return reports.prior_points(derived.points(spark, sf_dir), _cursors(spark, sf_dir)).select("imei", "t", "position_id", "speed")
+
+
+def _cursors(spark, sf_dir) -> DataFrame:
+    u = derived.events(spark, sf_dir).select("user_id").distinct()
+    at = F.timestamp_millis(F.lit(1704067200000) + (F.col("user_id") % 24) * 3600000)
+    return u.select(F.lpad(F.col("user_id").cast("string"), 15, "0").alias("imei"), at.alias("last_at"))
+
+
+@query(f"""WITH {sql.paired()}, c AS (SELECT DISTINCT imei, CASE WHEN user_id % 5 <> 0 THEN 1704067200000 + (user_id % 24) * 3600000 END AS last_at FROM points),
+    s AS (SELECT imei, any_value(last_at) AS last_at, sum(CASE WHEN t > coalesce(last_at, 0) THEN driven ELSE 0 END) AS added, max(CASE WHEN t > coalesce(last_at, 0) THEN t END) AS seen FROM pairs JOIN c USING (imei) GROUP BY imei)
+    SELECT imei, CASE WHEN added > 0 THEN seen ELSE last_at END AS last_at, round(CASE WHEN last_at IS NULL THEN 0 ELSE 100 END + CASE WHEN added > 0 THEN added ELSE 0 END, 6) AS km_total FROM s""")
+def incremental_mileage(spark, sf_dir):
+    status = _cursors(spark, sf_dir).filter(F.col("imei").cast("long") % 5 != 0).select("imei", F.col("last_at").alias("last_mileage_at"), F.lit(100.0).alias("km_total"), F.lit(62.1371).alias("miles_total"))
+    return reports.incremental_mileage(derived.points(spark, sf_dir), status).select("imei", ms("last_mileage_at", "last_at"), km("km_total"))
+
+
+def _acc(spark, sf_dir) -> DataFrame:
+    p = derived.points(spark, sf_dir, 20)
+    return p.filter("event_type in ('click', 'error')").select("imei", F.when(F.col("event_type") == "click", "on").otherwise("off").alias("acc_status"), F.col("packet_date").alias("start_time"))
+
+
+def _alerts(spark, sf_dir) -> DataFrame:
+    return derived.points(spark, sf_dir, 20).filter("alarm = 'overspeed'").select("imei", F.col("packet_date").alias("start_time"))
+
+
+@query(f"""WITH {sql.DAILY.replace(sql.points(), sql.points(20))}, a AS (SELECT imei, day, count(*) FILTER (WHERE event_type = 'click') AS on_, count(*) FILTER (WHERE event_type = 'error') AS off_, count(*) FILTER (WHERE alarm = 'overspeed') AS al FROM dayed GROUP BY ALL)
+    SELECT imei, CAST(day AS VARCHAR) AS day, round(km, 6) AS km, al AS overspeed_count, round(stop_minutes, 6) AS stop_minutes, stop_count, on_ AS acc_on_count, off_ AS acc_off_count FROM daily JOIN a USING (imei, day)""")
+def daily_mileage(spark, sf_dir):
+    out = reports.daily_mileage(derived.points(spark, sf_dir, 20), _acc(spark, sf_dir), _alerts(spark, sf_dir))
+    return out.select("imei", F.col("day").cast("string").alias("day"), km("km"), "overspeed_count", km("stop_minutes"), "stop_count", "acc_on_count", "acc_off_count")
+
+
+@query(f"WITH {sql.DAILY} SELECT imei, CAST(day AS VARCHAR) AS day, round(stop_minutes, 6) AS stop_minutes, stop_count FROM daily")
+def daily_stops(spark, sf_dir):
+    return reports.daily_points(derived.points(spark, sf_dir)).select("imei", F.col("day").cast("string").alias("day"), km("stop_minutes"), "stop_count")
+
+
+@query(f"WITH {sql.points(20)} SELECT imei, count(*) FILTER (WHERE event_type = 'click') AS acc_on_count, count(*) FILTER (WHERE event_type = 'error') AS acc_off_count FROM points WHERE event_type IN ('click', 'error') GROUP BY imei")
+def acc_on_off_counts(spark, sf_dir):
+    return _acc(spark, sf_dir).groupBy("imei").agg(F.count_if(F.col("acc_status") == "on").alias("acc_on_count"), F.count_if(F.col("acc_status") == "off").alias("acc_off_count"))
+
+
+@query(f"WITH {sql.points(20)} SELECT imei, count(*) AS alerts FROM points WHERE alarm = 'overspeed' GROUP BY imei")
+def alert_counts(spark, sf_dir):
+    return _alerts(spark, sf_dir).groupBy("imei").agg(F.count("*").alias("alerts"))
+
+
+@query(f"""WITH {sql.DAILY.replace(sql.points(), sql.points(20))}, a AS (SELECT imei, day, count(*) FILTER (WHERE alarm = 'overspeed') AS al FROM dayed GROUP BY ALL)
+    SELECT imei, CAST(day AS VARCHAR) AS day, greatest(fast, al) AS overspeed_count FROM daily JOIN a USING (imei, day)""")
+def legacy_overspeed_max(spark, sf_dir):
+    out = reports.daily_mileage(derived.points(spark, sf_dir, 20), None, _alerts(spark, sf_dir), "legacy_max")
+    return out.select("imei", F.col("day").cast("string").alias("day"), "overspeed_count")
+
+
+@query(f"WITH {sql.TRAVEL} SELECT imei, CAST(day AS VARCHAR) AS day, theta AS threshold, b AS start_at, e AS end_at, round(km, 6) AS distance_km, round(mins, 6) AS driving_minutes FROM segs")
+def travel_segments(spark, sf_dir):
+    out = reports.travel_segments(derived.points(spark, sf_dir))
+    return out.select("imei", F.col("day").cast("string").alias("day"), "threshold", ms("start_at", "start_at"), ms("end_at", "end_at"), km("distance_km"), km("driving_minutes"))
+
+
+@query(f"""WITH {sql.TRAVEL}, r AS (SELECT imei, day, run, min(t) AS b, max(coalesce(nt, t)) AS e FROM zr WHERE z GROUP BY ALL), tc AS (SELECT imei, day, count(*) FILTER (WHERE e - b >= 180000) AS n FROM r GROUP BY ALL),
+    ks AS (SELECT DISTINCT imei, day, theta FROM cs), sg AS (SELECT imei, day, theta, sum(km) AS km, sum(mins) AS mins, count(*) AS n FROM segs GROUP BY ALL)
+    SELECT imei, CAST(day AS VARCHAR) AS day, theta AS stop_threshold_min, round(coalesce(sg.km, 0), 6) AS total_distance_km, round(coalesce(mins, 0), 6) AS total_driving_minutes, coalesce(sg.n, 0) AS total_segments, coalesce(tc.n, 0) AS total_stop_count
+    FROM ks LEFT JOIN sg USING (imei, day, theta) LEFT JOIN tc USING (imei, day)""")
+def travel_stats_by_threshold(spark, sf_dir):
+    out = reports.travel_stats(derived.points(spark, sf_dir))
+    return out.select("imei", F.col("day").cast("string").alias("day"), "stop_threshold_min", km("total_distance_km"), km("total_driving_minutes"), "total_segments", "total_stop_count")
+
+
+@query(f"WITH {sql.IDLE} SELECT imei, CAST(day AS VARCHAR) AS day, b AS start_at, e AS end_at, (e - b) / 1000.0::DOUBLE AS seconds FROM i")
+def idle_intervals(spark, sf_dir):
+    out = reports.idle_intervals(derived.points(spark, sf_dir))
+    return out.select("imei", F.col("day").cast("string").alias("day"), ms("start_at", "start_at"), ms("end_at", "end_at"), "seconds")
+
+
+@query(f"WITH {sql.IDLE} SELECT imei, CAST(day AS VARCHAR) AS day, round(sum(e - b) / 1000.0::DOUBLE, 6) AS idle_duration_seconds, count(*) AS idle_count, min(b) AS first_idle_start, max(e) AS last_idle_end, round(sum(e - b) / 3600000.0::DOUBLE, 6) AS fuel_waste_liters FROM i GROUP BY imei, day")
+def idle_stats(spark, sf_dir):
+    out = reports.idle_stats(derived.points(spark, sf_dir))
+    return out.select("imei", F.col("day").cast("string").alias("day"), km("idle_duration_seconds"), "idle_count", ms("first_idle_start", "first_idle_start"), ms("last_idle_end", "last_idle_end"), km("fuel_waste_liters"))
+
+
+@query(f"WITH {sql.DAILY} SELECT imei, CAST(day AS VARCHAR) AS day, round(CASE WHEN CAST(imei AS BIGINT) % 4 = 0 THEN 0 ELSE km END, 6) AS daily_mileage_km, CASE WHEN CAST(imei AS BIGINT) % 4 = 0 THEN 0 ELSE km END <= 0.5 AS is_static FROM daily")
+def static_flag(spark, sf_dir):
+    p = derived.points(spark, sf_dir)
+    n = F.col("imei").cast("long")
+    daily = reports.daily_points(p).filter(n % 3 != 0).select("imei", "day", F.when(n % 4 != 0, F.col("km")).alias("km"))
+    rest = reports.daily_points(p.filter((n % 3 == 0) & (n % 4 == 0))).select("imei", "day", F.lit(None).cast("double").alias("km"))
+    out = reports.static_stats(p, daily.unionByName(rest))
+    return out.select("imei", F.col("day").cast("string").alias("day"), km("daily_mileage_km"), "is_static")
+
+
+# --- events
+
+
+@query(f"""WITH {sql.points()}, e AS (SELECT *, count(*) FILTER (WHERE speed >= 5) OVER (PARTITION BY imei ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ep FROM points),
+    o AS (SELECT *, max(CASE WHEN speed <= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY imei, ep ORDER BY t, id) AS inside FROM e),
+    g AS (SELECT imei, ep, min(t) AS b, max(t) AS x, min(speed) AS min_speed, max(speed) AS max_speed FROM o WHERE inside = 1 GROUP BY ALL)
+    SELECT imei, b AS start_at, x AS end_at, min_speed, max_speed, CAST(floor((x - b) / 1000.0 + 0.5) AS BIGINT) AS duration_seconds FROM g WHERE floor((x - b) / 1000.0 + 0.5) > 0""")
+def parking_events(spark, sf_dir):
+    return events.parking_events(derived.points(spark, sf_dir)).select("imei", ms("start_at", "start_at"), ms("end_at", "end_at"), "min_speed", "max_speed", "duration_seconds")
+
+
+TRIPS = f"""{sql.paired()}, m AS (SELECT *, max(CASE WHEN speed > 0 THEN t END) OVER (PARTITION BY imei ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lm FROM pairs),
+    n AS (SELECT *, CASE WHEN speed > 0 AND (lm IS NULL OR (ps = 0 AND abs(t - lm) >= 60000)) THEN 1 ELSE 0 END AS nw FROM m),
+    s AS (SELECT *, sum(nw) OVER (PARTITION BY imei ORDER BY t, id) AS trip FROM n), trips AS (SELECT imei, trip, min(t) AS b, max(t) AS e, sum(km) AS km FROM s WHERE speed > 0 GROUP BY ALL),
+    gaps AS (SELECT *, lead(b) OVER (PARTITION BY imei ORDER BY trip) AS nx FROM trips)"""
+
+
+@query(f"WITH {TRIPS} SELECT imei, b AS start_at, e AS end_at, round(km, 6) AS distance_km, round((e - b) / 60000.0::DOUBLE, 6) AS duration_min, nx IS NULL AS is_open FROM gaps")
+def trips(spark, sf_dir):
+    return events.trips(derived.points(spark, sf_dir)).select("imei", ms("start_at", "start_at"), ms("end_at", "end_at"), km("distance_km"), km("duration_min"), "is_open")
+
+
+@query(f"WITH {TRIPS} SELECT imei, b AS start_at, round((nx - e) / 60000.0::DOUBLE, 6) AS gap_after_min FROM gaps")
+def trip_gaps(spark, sf_dir):
+    return events.trips(derived.points(spark, sf_dir)).select("imei", ms("start_at", "start_at"), km("gap_after_min"))
+
+
+@query(f"""WITH {sql.points()}, q AS (SELECT *, CASE WHEN user_id % 7 <> 0 THEN 40 + (user_id % 5) * 20 END AS lim FROM points),
+    o AS (SELECT *, CASE WHEN alarm = 'lowspeed' THEN false WHEN alarm = 'overspeed' THEN true WHEN lim IS NOT NULL THEN speed > lim END AS ov FROM q),
+    s AS (SELECT *, count(*) FILTER (WHERE NOT ov) OVER w AS ses, count(*) FILTER (WHERE NOT ov) OVER (PARTITION BY imei ORDER BY t, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM o WHERE ov IS NOT NULL WINDOW w AS (PARTITION BY imei ORDER BY t, id))
+    SELECT imei, min(t) AS start_time, max(t) AS end_time, max(speed) AS speed_kmh, CAST(coalesce(any_value(lim), 0) AS DOUBLE) AS speed_limit_kmh, CAST(floor((max(t) - min(t)) / 1000.0 + 0.5) AS BIGINT) AS duration_sec FROM s WHERE ov AND later > 0 GROUP BY imei, ses""")
+def overspeed_sessions(spark, sf_dir):
+    out = events.overspeed_sessions(derived.points(spark, sf_dir), derived.speed_limits(spark, sf_dir))
+    return out.select("imei", ms("start_time", "start_time"), ms("end_time", "end_time"), "speed_kmh", "speed_limit_kmh", "duration_sec")
+
+
+@query()
+def acc_segments(spark, sf_dir):
+    return events.acc_segments(events.acc_samples(derived.points(spark, sf_dir)))
+
+
+def _fence_sql(fence: str, inside: str, limit: int, enter: str, exit_: str, over: str) -> str:
+    return f"""SELECT imei, '{fence}' AS fence_id, t, id, speed, unnest(list_filter([CASE WHEN NOT was AND ins AND {enter} THEN 1000 END, CASE WHEN was AND NOT ins AND {exit_} THEN 1001 END, CASE WHEN ov AND NOT wov AND {over} THEN 1002 END], lambda x: x IS NOT NULL)) AS alarm_type
+        FROM (SELECT *, lag(ins) OVER w AS was, lag(ov) OVER w AS wov FROM (SELECT *, rn > 1 AND ins AND speed > {limit} AS ov FROM (SELECT points.*, {inside} AS ins, row_number() OVER (PARTITION BY imei ORDER BY t, id) AS rn FROM points JOIN u USING (imei))) WINDOW w AS (PARTITION BY imei ORDER BY t, id))"""
+
+
+@query(f"""WITH {sql.points()}, {sql.FENCES} SELECT imei, fence_id, t AS at, id AS position_id, CAST(alarm_type AS INTEGER) AS alarm_type FROM ({_fence_sql('c', sql.inside_circle(), 50, 'true', 'user_id % 2 = 0', 'true')}
+    UNION ALL {_fence_sql('p', sql.inside_square(), 100, 'user_id % 3 = 0', 'true', 'user_id % 4 <> 0')})""")
+def geofence_events(spark, sf_dir):
+    out = events.geofence_events(derived.points(spark, sf_dir), derived.fences(spark, sf_dir))
+    return out.select("imei", "fence_id", ms("at", "at"), "position_id", "alarm_type")
+
+
+@query(f"""WITH {sql.points()}, i AS (SELECT *, coalesce(ignition, false) AND speed <= 0 AS idle FROM points), e AS (SELECT *, count(*) FILTER (WHERE NOT idle) OVER (PARTITION BY imei ORDER BY t, id) AS ep FROM i),
+    b AS (SELECT *, min(t) OVER (PARTITION BY imei, ep) AS begin FROM e WHERE idle)
+    SELECT imei, begin AS idle_since, t AS notified_at, id AS position_id FROM b WHERE t - begin >= 300000 QUALIFY row_number() OVER (PARTITION BY imei, ep ORDER BY t, id) = 1""")
+def live_idle_notify(spark, sf_dir):
+    return events.live_idle(derived.points(spark, sf_dir)).select("imei", ms("idle_since", "idle_since"), ms("notified_at", "notified_at"), "position_id")
+
+
+@query(f"""WITH {sql.points()}, r AS (SELECT imei, t, id, event_type <> 'error' AS online FROM points WHERE event_type <> 'signup'), c AS (SELECT *, lag(online) OVER (PARTITION BY imei ORDER BY t, id) AS was FROM r),
+    f AS (SELECT *, lead(t) OVER (PARTITION BY imei ORDER BY t, id) AS e FROM c WHERE was IS NOT NULL AND was <> online)
+    SELECT imei, t AS start_at, e AS end_at, CAST(floor((e - t) / 1000.0) AS BIGINT) AS duration_sec, e IS NULL AS is_open FROM f WHERE NOT online""")
+def connectivity_intervals(spark, sf_dir):
+    rows = derived.points(spark, sf_dir).select("imei", "packet_date", "position_id", F.when(F.col("event_type") != "signup", F.col("event_type") != "error").alias("online"))
+    return events.connectivity_intervals(rows).select("imei", ms("start_at", "start_at"), ms("end_at", "end_at"), "duration_sec", "is_open")
+
+
+# --- live
+
+
+@query(f"WITH {sql.points()} SELECT imei, id AS position_id, last_value(CASE WHEN id % 3 = 0 THEN speed END IGNORE NULLS) OVER (PARTITION BY imei ORDER BY t, id) AS power FROM points")
+def sticky_telemetry(spark, sf_dir):
+    rows = derived.points(spark, sf_dir).withColumn("power", F.when(F.col("position_id") % 3 == 0, F.col("speed")))
+    return live.sticky(rows, ["power"]).select("imei", "position_id", "power")
+
+
+@query(f"WITH {sql.points()} SELECT imei, max(t) AS last_fix_at, arg_max(speed, t) AS speed, max(CASE WHEN speed > 1 THEN t END) AS last_position_at, count(*) AS points FROM points GROUP BY imei")
+def status_latest(spark, sf_dir):
+    return live.status_latest(derived.points(spark, sf_dir)).select("imei", ms("last_fix_at", "last_fix_at"), "speed", ms("last_position_at", "last_position_at"), "points")
+
+
+@query(f"WITH {ARRIVALS}, {SINGLE} SELECT seq, decision FROM decided")
+def live_classification(spark, sf_dir):
+    return live.live_classification(arrivals(spark, sf_dir)).select("seq", "decision")
+
+
+@query(f"""WITH {ARRIVALS}, f AS (SELECT *, coalesce(arrived - fix <= 300000, false) AS fresh, arrived // 3600000 AS burst FROM arrivals)
+    SELECT seq, fresh AND row_number() OVER (PARTITION BY imei, burst ORDER BY fresh DESC, fix DESC NULLS LAST, seq DESC) = 1 AS is_live FROM f""")
+def burst_live_pick(spark, sf_dir):
+    return live.burst_live_pick(arrivals(spark, sf_dir).withColumn("burst", F.expr("arrived div 3600000"))).select("seq", "is_live")
+
+
+@query(f"WITH {ARRIVALS} SELECT seq, coalesce(fix >= max(fix) OVER (PARTITION BY imei ORDER BY arrived, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS sent FROM arrivals")
+def broadcast_order_guard(spark, sf_dir):
+    return live.broadcast_guard(arrivals(spark, sf_dir)).select("seq", "sent")
+
+
+@query(f"WITH {ARRIVALS}, {SINGLE} SELECT count(*) AS received, count(*) FILTER (WHERE decision = 'fresh') AS eligible, round(count(*) FILTER (WHERE decision = 'fresh') / count(*), 4) AS ratio FROM decided")
+def eligibility_ratio(spark, sf_dir):
+    return live.eligibility_ratio(live.live_classification(arrivals(spark, sf_dir)))
+
+
+@query(f"WITH {ARRIVALS}, {SINGLE} SELECT decision, count(*) AS n FROM decided GROUP BY decision")
+def decision_counts(spark, sf_dir):
+    return live.decision_counts(live.live_classification(arrivals(spark, sf_dir)))
+
+
+@query(f"""WITH {sql.points()}, l AS (SELECT imei, direction FROM points QUALIFY row_number() OVER (PARTITION BY imei ORDER BY t DESC, id DESC) <= 128), v AS (SELECT imei, list_sort(list(direction)) AS v FROM l GROUP BY imei)
+    SELECT imei, {', '.join(f"v[CAST(floor((len(v) - 1) * {p}::DOUBLE) AS INTEGER) + 1] AS floor_p{k}, v[greatest(CAST(ceil(len(v) * {p}::DOUBLE) AS INTEGER) - 1, 0) + 1] AS ceil_p{k}" for k, p in ((50, 0.5), (95, 0.95), (99, 0.99)))} FROM v""")
+def ring_percentiles(spark, sf_dir):
+    return live.ring_percentiles(derived.points(spark, sf_dir), "direction")
+
+
+@query(f"WITH {sql.points()} SELECT t // 60000 * 60000 AS window_start, count(*) AS n FROM points GROUP BY ALL")
+def minute_rates(spark, sf_dir):
+    return live.second_rates(derived.points(spark, sf_dir)).select(ms("window_start", "window_start"), "n")
+
+
+@query(f"""WITH {sql.points()} SELECT imei, id AS position_id, coalesce(k <> lag(k) OVER w OR t - lag(t) OVER w >= 10000, true) AS persist FROM (SELECT *, concat(coalesce(CAST(ignition AS VARCHAR), '?'), CAST(speed > 0 AS VARCHAR)) AS k FROM points)
+    WINDOW w AS (PARTITION BY imei ORDER BY t, id)""")
+def status_coalesce(spark, sf_dir):
+    rows = derived.points(spark, sf_dir).withColumn("moving", F.col("speed") > 0)
+    return live.status_coalesce(rows, ["ignition", "moving"]).select("imei", "position_id", "persist")
+
+
+@query()
+def status_poison_heal(spark, sf_dir):
+    return live.status_with_healing(arrivals(spark, sf_dir))
+
+
+# --- lookups
+
+
+@query("SELECT o_orderkey, c_custkey AS resolved, c_mktsegment AS segment FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 <> 0")
+def device_resolution(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 3 <> 0")
+    details = c.select(F.col("c_custkey").cast("string").alias("imei"), F.concat(F.lit("S"), "c_custkey").alias("serial_number"), F.col("c_mktsegment").alias("segment"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string")).otherwise(F.concat(F.lit("S"), "o_custkey")).alias("key"))
+    return lookups.resolve_devices(rows, details).select("o_orderkey", F.col("resolved_imei").cast("long").alias("resolved"), "segment")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS imei, nullif(coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_custkey END, CASE WHEN c_custkey % 3 = 0 THEN 0 END, n_nationkey + 1), 0) AS room FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def tenant_room_resolution(spark, sf_dir):
+    k = F.col("c_custkey")
+    devices = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.cast("string").alias("imei"), F.when(k % 2 == 0, k).alias("tenant_id"), F.when(k % 3 == 0, F.lit(0)).cast("long").alias("device_owner_id"), F.col("c_nationkey").cast("string").alias("tenant_db_name"))
+    tenants = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("tenant_db_name"), (F.col("n_nationkey") + 1).cast("long").alias("tenant_id"))
+    return lookups.tenant_rooms(devices, tenants)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS imei, CASE WHEN s_suppkey IS NULL THEN 'missing' WHEN s_suppkey % 3 = 0 THEN 'offline' ELSE 'unknown' END AS reason FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey WHERE s_suppkey IS NULL OR s_suppkey % 3 < 2")
+def registry_reconcile(spark, sf_dir):
+    s = F.col("s_suppkey")
+    snapshot = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(s.cast("string").alias("imei"), F.when(s % 3 == 0, "offline").when(s % 3 == 1, "Unknown").when(s % 2 == 0, "").alias("status"))
+    return lookups.reconcile(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("imei")), snapshot)
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS imei, CASE WHEN s_suppkey % 2 = 0 THEN concat('m', CAST(s_nationkey AS VARCHAR)) WHEN s_suppkey % 3 = 0 THEN 'own' ELSE 'default' END AS model FROM supplier")
+def model_resolution(spark, sf_dir):
+    s = F.col("s_suppkey")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    devices = rows.select(s.cast("string").alias("imei"), F.when(s % 3 == 0, " own ").otherwise(" ").alias("model"))
+    details = rows.filter(s % 2 == 0).select(s.cast("string").alias("imei"), F.concat(F.lit("m"), F.col("s_nationkey").cast("string")).alias("tr_model"))
+    return lookups.models(devices, details, "default")
+
+
+@query(f"""WITH {sql.points()}, c AS (SELECT imei, id % 3 AS cid, t AS sent, id AS cseq FROM points WHERE event_type = 'view'), r AS (SELECT imei, CASE WHEN id % 5 <> 0 THEN id % 3 END AS cid, t AS got, id AS seq FROM points WHERE event_type = 'purchase'),
+    x AS (SELECT r.seq, arg_max(cseq, (sent - 1704000000000) * 100000000 + cseq) AS m FROM r JOIN c ON c.imei = r.imei AND c.cid = r.cid AND sent <= got GROUP BY r.seq), y AS (SELECT r.seq, arg_max(cseq, (sent - 1704000000000) * 100000000 + cseq) AS m FROM r JOIN c ON c.imei = r.imei AND sent <= got GROUP BY r.seq)
+    SELECT r.imei, r.seq, coalesce(x.m, y.m) AS cmd_seq FROM r LEFT JOIN x USING (seq) LEFT JOIN y USING (seq)""")
+def command_match(spark, sf_dir):
+    p = derived.points(spark, sf_dir)
+    n, t = F.col("position_id"), F.unix_millis("packet_date")
+    commands = p.filter("event_type = 'view'").select("imei", (n % 3).alias("command_id"), t.alias("sent"), n.alias("cmd_seq"))
+    responses = p.filter("event_type = 'purchase'").select("imei", F.when(n % 5 != 0, n % 3).alias("command_id"), t.alias("responded"), n.alias("seq"))
+    return lookups.match_commands(commands, responses)
+
+
+@query("SELECT count(*) AS memberships, count(DISTINCT o_custkey) AS sockets, count(*) FILTER (WHERE o_orderstatus = 'O') AS device_memberships FROM orders")
+def subscriber_counts(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return lookups.subscriber_counts(o.select(F.col("o_custkey").alias("socket"), F.when(F.col("o_orderstatus") == "O", "device").otherwise("room").alias("kind")))
+
+
+@query("SELECT c_custkey AS imei, CASE WHEN c_custkey % 4 = 0 THEN 1.0 ELSE c_acctbal END AS km FROM customer UNION ALL SELECT 1000000 + s_suppkey, 1.0 FROM supplier WHERE s_suppkey % 2 = 0")
+def upsert_merge(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("imei"), F.col("c_acctbal").alias("km"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey % 2 = 0").select((F.lit(1000000) + F.col("s_suppkey")).alias("imei"), F.lit(1.0).alias("km"))
+    return ingest.upsert(c, s.unionByName(c.filter("imei % 4 = 0").withColumn("km", F.lit(1.0))), ["imei"])
