@@ -36,7 +36,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote for these tables; nothing that is still to run may read them."""
+    for df in tables:
+        fs, root = open_fs(df.stored_at)
+        fs.delete_dir(root)
 
 
 def open_fs(address: str) -> tuple[pafs.FileSystem, str]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, slices, stored
+from .common import bytes_of, discard, slices, stored
 from .words import gram_hashes, word_hashes
 
 PREFIX_WORDS = 5
@@ -161,7 +161,9 @@ def repeats(docs: DataFrame, window: int = 20, prefix: int = PREFIX_WORDS, group
     flat = anchored.select("doc_id", F.explode(F.arrays_zip("anchor", "start", "suffixes")).alias("at")).select("doc_id", "at.*")
     places = flat.join(counts.select("anchor", (F.col("places") > group).alias("large")), "anchor")
     suffixes = stored(_suffixes(docs, places, window), "suffixes")
-    found = _subtrees(suffixes).unionByName(_long_prefixes(suffixes))
+    discard(anchored)
+    found = stored(_subtrees(suffixes).unionByName(_long_prefixes(suffixes)), "repeats")
+    discard(suffixes)
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "suffixes")).alias("repeats"))
 
 
