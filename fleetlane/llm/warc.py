@@ -80,31 +80,40 @@ def read_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def resolve_revisits(pages: DataFrame, revisit_from: int = 1000) -> DataFrame:
-    """page_id, url, html, digest, refers_to and is_revisit. Only digests that occur more than once are joined back."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumns({"digest": F.sha1(payload), "size": F.octet_length(payload)})
-    order = F.struct("page_id", F.negative(F.xxhash64("url")).alias("tie"))
-    groups = rows.filter(F.col("size") >= revisit_from).groupBy("digest").agg(F.count("*").alias("copies"), F.max(order).alias("kept")).filter("copies > 1").select("digest", "kept")
-    out = rows.join(groups, "digest", "left")
-    is_revisit = F.col("kept").isNotNull() & (F.col("size") >= revisit_from) & ~order.eqNullSafe(F.col("kept"))
-    return out.select("page_id", "url", "html", "digest", F.when(is_revisit, F.col("kept.page_id")).alias("refers_to"), F.coalesce(is_revisit, F.lit(False)).alias("is_revisit"))
+def revisits(pages: DataFrame, revisit_from: int = 1000) -> DataFrame:
+    """(page_id, digest, kept) of the pages whose payload others have too; kept: the largest page_id of them."""
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")).filter(F.col("size") >= revisit_from)
+    groups = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("kept")).filter("copies > 1").select("digest", "kept")
+    return rows.join(groups, "digest").select("page_id", "digest", "kept").distinct()
 
 
 def write_warc(pages: DataFrame, out: str, roll_bytes: int = 64 << 20, date: str = "2024-01-01T00:00:00Z", revisit_from: int = 1000) -> list[dict]:
-    """Writes the pages to WARC files in the folder `out`; returns the manifest's entries."""
+    """Writes the pages to WARC files in the folder `out`; returns the manifest's entries.
+
+    What is known of copies is range-sorted together with the pages, so that payloads are shuffled once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(out)
         sink, done = None, []
+        at, copies, seen = object(), {}, set()
         for batch in slices(batches, "html"):
-            rows = zip(*(strings_of(batch, x) for x in ("page_id", "url", "digest", "refers_to", "is_revisit")), bytes_of(batch, "html"), strict=True)
-            for page_id, url, digest, refers_to, is_revisit, html in rows:
+            for page_id, role, url, digest, kept, html in zip(*(batch.column(k).to_pylist() for k in range(5)), bytes_of(batch, "html"), strict=True):
+                if page_id != at:
+                    at, copies, seen = page_id, {}, set()
+                if not role:
+                    copies[digest] = kept
+                    continue
+                html = html or b""
+                digest = hashlib.sha1(html).hexdigest()
+                is_revisit = digest in copies and (copies[digest] != page_id or digest in seen)
+                seen.add(digest)
                 if sink is None:
                     fs.create_dir(f"{root}/_temporary", recursive=True)
                     done.append({"file": temporary(out), "low": page_id, "part": len(done), "records": 0, "bytes": 0})
                     sink = fs.open_output_stream(f"{root}/{done[-1]['file']}", compression=None)
-                member = gzip.compress(record(page_id, url, html or b"", digest, refers_to, is_revisit, date), 6, mtime=0)
+                member = gzip.compress(record(page_id, url, html, digest, copies.get(digest), is_revisit, date), 6, mtime=0)
                 sink.write(member)
                 done[-1]["records"] += 1
                 done[-1]["bytes"] += len(member)
@@ -116,7 +125,10 @@ def write_warc(pages: DataFrame, out: str, roll_bytes: int = 64 << 20, date: str
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("low", pa.int64()), ("part", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    rows = resolve_revisits(pages, revisit_from).repartitionByRange("page_id").sortWithinPartitions("page_id", "url", "html")
+    text = F.lit(None).cast("string")
+    copied = revisits(pages, revisit_from).select("page_id", F.lit(0).alias("role"), text.alias("url"), "digest", "kept", text.alias("html"))
+    own = pages.select(F.col("page_id").cast("long"), F.lit(1).alias("role"), F.col("url").cast("string"), text.alias("digest"), F.lit(None).cast("long").alias("kept"), F.col("html").cast("string"))
+    rows = copied.unionByName(own).repartitionByRange("page_id").sortWithinPartitions("page_id", "role", "url", "html")
     files = [r.asDict() for r in rows.mapInArrow(run, "file string, low long, part int, records long, bytes long").collect()]  # one row for each file
     files.sort(key=lambda f: (f["low"] is not None, f["low"] or 0, f["part"]))
     return commit(out, files, "pages-{:05d}.warc.gz")
