@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,9 +95,7 @@ class ForcedBoundaryCodec:
         joined = inner_pairs(self.tokens)[:, 0x20]
         self.blocked_bytes = frozenset(b for b in range(256) if joined[b] and not bytes([b]).isspace())
         self.blocked: dict[str, bool] = {"": True}
-        self.uneven: set[str] = set()
-        self.after_space: dict[str, bytes] = {}
-        self.alone: dict[str, bytes] = {}
+        self._forget()
 
     def _blocks(self, left: str) -> bool:
         """Whether a space after this text's last character is no certain cut."""
@@ -116,8 +115,20 @@ class ForcedBoundaryCodec:
                 left = part
         return [*merged, left]
 
-    def _each(self, fragments: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(fragments, add_special_tokens=False)]
+    def _each(self, fragments: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(fragments, add_special_tokens=False)]
+
+    def _store(self, ids: list[np.ndarray], sizes: np.ndarray) -> range:
+        """Appends fragments' ids (sizes: how many each has) to the kept ones; returns the fragments' numbers."""
+        n, at, more = self.n_kept, int(self.ends[self.n_kept]), int(sizes.sum())
+        while len(self.kept) < at + more:
+            self.kept = np.concatenate([self.kept, np.zeros_like(self.kept)])
+        while len(self.ends) <= n + len(sizes):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.kept[at : at + more] = np.concatenate(ids) if ids else 0
+        self.ends[n + 1 : n + 1 + len(sizes)] = at + np.cumsum(sizes)
+        self.n_kept += len(sizes)
+        return range(n, self.n_kept)
 
     def _learn(self, words: set[str], uneven: set[str]) -> None:
         """Encodes the fragments ' ' + word. Those that end solidly go as one text, cut at the certain places."""
@@ -127,35 +138,51 @@ class ForcedBoundaryCodec:
             if special in text:
                 odd |= {w for w in words if special in w}
         joint = list(words - odd)
-        self.after_space.update(zip(odd, self._each([" " + w for w in odd]), strict=True))
+        if odd:
+            each = self._each([" " + w for w in odd])
+            self.after_space.update(zip(odd, self._store(each, np.array([len(x) for x in each])), strict=True))
         if joint:
             text = " " + " ".join(joint)
             ids = np.array(self.ranked.encode_ordinary(text) if self.ranked else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum(self.lengths[ids])
             upto = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in joint]), side="left") + 1
-            raw, to = ids.tobytes(), (upto * 4).tolist()
-            self.after_space.update(zip(joint, map(raw.__getitem__, map(slice, [0, *to], to)), strict=True))
+            self.after_space.update(zip(joint, self._store([ids], np.diff(np.append(0, upto))), strict=True))
+
+    def _forget(self) -> None:
+        self.after_space: dict[str, int] = {}
+        self.alone: dict[str, int] = {}
+        self.uneven: set[str] = set()
+        self.kept, self.ends, self.n_kept = np.zeros(1 << 16, "<u4"), np.zeros(1 << 12, np.int64), 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as the tokenizers library gives them without added special tokens."""
-        if len(self.after_space) > CACHE_FRAGMENTS:
-            self.after_space.clear()
-            self.uneven.clear()
-        if len(self.alone) > CACHE_FRAGMENTS:
-            self.alone.clear()
+        if self.n_kept > CACHE_FRAGMENTS:
+            self._forget()
         split = [(text or "").split(" ") for text in texts]
-        words = set().union(*split)
-        new = words - self.after_space.keys()
+        flat = list(chain.from_iterable(split))
+        numbers = list(map(self.after_space.get, flat))
+        new = {w for w, n in zip(flat, numbers, strict=True) if n is None}
         self.uneven.update(filter(self._blocks, new))
-        uneven = words & self.uneven
-        if uneven:
-            split = [parts if uneven.isdisjoint(parts[:-1]) else self._merged(parts) for parts in split]
-            new = set().union(*(parts[1:] for parts in split)) - self.after_space.keys()
-            self.uneven.update(filter(self._blocks, new))
+        if self.uneven:
+            merged = [parts if self.uneven.isdisjoint(parts[:-1]) else self._merged(parts) for parts in split]
+            if any(a is not b for a, b in zip(merged, split, strict=True)):
+                split, flat = merged, list(chain.from_iterable(merged))
+                numbers = list(map(self.after_space.get, flat))
+                new = {w for w, n in zip(flat, numbers, strict=True) if n is None}
+                self.uneven.update(filter(self._blocks, new))
         self._learn(new, self.uneven)
         todo = list({parts[0] for parts in split} - self.alone.keys())
-        self.alone.update(zip(todo, self._each(todo), strict=True))
-        return [self.alone[parts[0]] + b"".join(map(self.after_space.__getitem__, parts[1:])) for parts in split]
+        each = self._each(todo)
+        self.alone.update(zip(todo, self._store(each, np.array([len(x) for x in each], np.int64)), strict=True))
+        get = self.after_space.__getitem__
+        of = np.fromiter((get(w) if n is None else n for w, n in zip(flat, numbers, strict=True)), np.int64, len(flat))
+        lengths = np.cumsum([len(parts) for parts in split])
+        of[np.append(0, lengths[:-1])[: len(split)]] = [self.alone[parts[0]] for parts in split]
+        begin, size = self.ends[of], self.ends[of + 1] - self.ends[of]
+        to = np.cumsum(size)
+        ids = self.kept[np.repeat(begin - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)]
+        edges = np.append(0, to)[np.append(0, lengths)].tolist()
+        return [ids[s:e].tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)]
 
     def decode(self, ids: bytes | None) -> str:
         """The text of ids, special tokens kept; broken UTF-8 becomes U+FFFD, unknown ids nothing."""

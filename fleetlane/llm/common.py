@@ -79,9 +79,15 @@ def strings_of(batch: pa.RecordBatch, name: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+#: What per_worker() keeps at a time: a worker's next tasks are mostly of the same operator.
+KEPT_OF_WORKER = 2
+
+
 def per_worker(key, make):
-    """make()'s result, kept for all tasks of a Python worker."""
-    kept = sys.modules.setdefault("fleetlane_worker_cache", types.ModuleType("fleetlane_worker_cache")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    """make()'s result, kept for all tasks of a Python worker until others have taken its place."""
+    kept = sys.modules.setdefault("fleetlane_worker_cache", types.ModuleType("fleetlane_worker_cache")).__dict__.setdefault("kept", {})
+    value = kept.pop(key) if key in kept else make()
+    kept[key] = value
+    while len(kept) > KEPT_OF_WORKER:
+        del kept[next(iter(kept))]
+    return value

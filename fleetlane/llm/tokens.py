@@ -114,8 +114,8 @@ def read_documents(source, size: int) -> Iterator[tuple[int | None, int, np.ndar
         have, at = have[count:], at + count
 
 
-def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 2, block: int = 1 << 16, bits: bool = False, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
-    """Encodes text_col, appends end_id to each document and writes the ids in ascending id_col to files in
+def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 2, block: int = 1 << 16, bits: bool = False, level: int = 3, id_col: str = "doc_id", text_col: str = "text", engine: str = "tokenizers") -> list[dict]:
+    """Encodes text_col (engine: as for bpe.ForcedBoundaryCodec, with equal results), appends end_id to each document and writes the ids in ascending id_col to files in
     the folder `out`. Returns the manifest's entries: file, n_docs, n_ids and start (ids in the files before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 2, blo
         first = next(batches, None)
         if first is None:
             return
-        codec, end = codec_of(path), np.array([end_id], "<u4").tobytes()
+        codec, end = codec_of(path, engine), np.array([end_id], "<u4").tobytes()
         fs, root = open_fs(out)
         name, low = temporary(out), strings_of(first, "d")[0]
         fs.create_dir(f"{root}/_temporary", recursive=True)
