@@ -90,10 +90,14 @@ def daily_mileage(points: DataFrame, acc_events: DataFrame | None = None, alerts
 
 
 def _travel_rows(points: DataFrame, thresholds: tuple[float, ...], zone: str) -> DataFrame:
-    """Points by day and threshold, with `segment` and `counted` (whether the pair before belongs to it)."""
+    """Points by day and threshold, with `segment`, `counted` (whether the pair before belongs to it) and `stop`
+    (whether a stop of 3 minutes or more ends here)."""
     rows = runs(paired(by_day(points, zone), DAY), ~(F.col("speed") > 0), DAY)
     start = F.min(F.when(F.col("x"), F.col("t"))).over(so_far((*DAY, "run")))
-    rows = rows.withColumn("stood", F.when(F.col("x"), F.col("t") - start))
+    w = window(DAY)
+    rows = rows.withColumns({"start": start, "stood": F.when(F.col("x"), F.col("t") - start)})
+    ends = F.col("x") & ~F.coalesce(F.lead("x").over(w), F.lit(False))
+    rows = rows.withColumn("stop", ends & (F.coalesce(F.lead("t").over(w), F.col("t")) - F.col("start") >= STOP_MS))
     moved = F.max(F.when(F.col("speed") > 0, F.lit(1))).over(before(DAY)).isNotNull()
     rows = rows.withColumns({"stood_before": F.lag("stood").over(window(DAY)), "moved_before": moved})
     rows = rows.withColumn("threshold", F.explode(F.array(*[F.lit(float(m)) for m in thresholds])))
@@ -104,35 +108,42 @@ def _travel_rows(points: DataFrame, thresholds: tuple[float, ...], zone: str) ->
     return rows.withColumn("segment", F.sum(F.col("new").cast("int")).over(so_far((*DAY, "threshold"))))
 
 
-def travel_segments(points: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS_MIN, zone: str = ZONE) -> DataFrame:
-    """One row for each segment: it opens at a moving point and closes at the first standing point that is
-    `threshold` minutes or more after the stop began; its end is its last moving point."""
-    rows = _travel_rows(points, thresholds, zone).filter("segment > 0")
+def _by_segment(points: DataFrame, thresholds: tuple[float, ...], zone: str) -> DataFrame:
+    """One row for each segment, and one with number 0 for the points before the first; stops counts the standing
+    runs of 3 minutes or more that end in it, up to the next moving point or the day's last one."""
     moving = F.when(F.col("speed") > 0, F.struct("t", "position_id", F.struct("latitude", "longitude").alias("at")))
-    out = rows.groupBy("imei", "day", "threshold", "segment").agg(
+    return _travel_rows(points, thresholds, zone).groupBy("imei", "day", "threshold", "segment").agg(
         F.min(moving).alias("first"),
         F.max(moving).alias("last"),
         F.sum(F.when(F.col("counted") & ~F.col("jump.is_jump"), F.col("jump.distance_km")).otherwise(0.0)).alias("distance_km"),
         F.sum(F.when(F.col("counted"), F.greatest(F.col("t") - F.col("pt"), F.lit(0)) / 60000.0).otherwise(0.0)).alias("driving_minutes"),
+        F.count_if("stop").alias("stops"),
     )
-    return out.select("imei", "day", "threshold", "segment", F.timestamp_millis("first.t").alias("start_at"), F.timestamp_millis("last.t").alias("end_at"), "distance_km", "driving_minutes", F.col("first.at").alias("start_loc"), F.col("last.at").alias("end_loc"))
 
 
-def travel_stops(points: DataFrame, zone: str = ZONE) -> DataFrame:
-    """imei, day and total_stop_count: standing runs of 3 minutes or more, up to the next moving point or the last one."""
-    rows = runs(by_day(points, zone), ~(F.col("speed") > 0), DAY).withColumn("nt", F.lead("t").over(window(DAY)))
-    by_run = rows.filter("x").groupBy("imei", "day", "run").agg(F.min("t").alias("begin"), F.max(F.coalesce("nt", "t")).alias("end"))
-    return by_run.groupBy("imei", "day").agg(F.count_if(F.col("end") - F.col("begin") >= STOP_MS).alias("total_stop_count"))
+def travel_segments(points: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS_MIN, zone: str = ZONE) -> DataFrame:
+    """One row for each segment: it opens at a moving point and closes at the first standing point that is
+    `threshold` minutes or more after the stop began; its end is its last moving point."""
+    out = _by_segment(points, thresholds, zone).filter("segment > 0")
+    return out.select("imei", "day", "threshold", "segment", F.timestamp_millis("first.t").alias("start_at"), F.timestamp_millis("last.t").alias("end_at"), "distance_km", "driving_minutes", F.col("first.at").alias("start_loc"), F.col("last.at").alias("end_loc"))
 
 
 def travel_stats(points: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS_MIN, zone: str = ZONE) -> DataFrame:
     """One row for each device, day and threshold, also without segments: totals and the segments themselves."""
-    keys = by_day(points, zone).select("imei", "day").distinct().withColumn("threshold", F.explode(F.array(*[F.lit(float(m)) for m in thresholds])))
-    each = F.struct("start_at", "end_at", "distance_km", "driving_minutes", "start_loc", "end_loc")
-    sums = travel_segments(points, thresholds, zone).groupBy("imei", "day", "threshold").agg(F.sum("distance_km").alias("km"), F.sum("driving_minutes").alias("minutes"), F.count("*").alias("n"), F.sort_array(F.collect_list(each)).alias("segments"))
-    out = keys.join(sums, ["imei", "day", "threshold"], "left").join(travel_stops(points, zone), ["imei", "day"], "left")
+    own = F.col("segment") > 0
+    each = F.struct(F.timestamp_millis("first.t").alias("start_at"), F.timestamp_millis("last.t").alias("end_at"), "distance_km", "driving_minutes", F.col("first.at").alias("start_loc"), F.col("last.at").alias("end_loc"))
     zero = F.lit(0.0)
-    return out.select("imei", "day", F.col("threshold").alias("stop_threshold_min"), F.coalesce("km", zero).alias("total_distance_km"), F.coalesce("minutes", zero).alias("total_driving_minutes"), F.coalesce("n", F.lit(0)).alias("total_segments"), F.coalesce("total_stop_count", F.lit(0)).alias("total_stop_count"), "segments")
+    return (
+        _by_segment(points, thresholds, zone)
+        .groupBy("imei", "day", F.col("threshold").alias("stop_threshold_min"))
+        .agg(
+            F.coalesce(F.sum(F.when(own, F.col("distance_km"))), zero).alias("total_distance_km"),
+            F.coalesce(F.sum(F.when(own, F.col("driving_minutes"))), zero).alias("total_driving_minutes"),
+            F.count_if(own).alias("total_segments"),
+            F.sum("stops").alias("total_stop_count"),
+            F.sort_array(F.collect_list(F.when(own, each))).alias("segments"),  # a device's day
+        )
+    )
 
 
 def idle_intervals(points: DataFrame, speed_kmh: float = 0.0, minutes: float = 5.0, require_acc: bool = True, gap_seconds: float = 600.0, zone: str = ZONE) -> DataFrame:

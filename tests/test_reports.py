@@ -89,7 +89,7 @@ def test_reports_of_no_points(spark):
 
 def test_one_exchange_for_a_report(spark, capsys):
     t = spark.createDataFrame(random_tracks(3), SCHEMA)
-    for df in (reports.daily_points(t), reports.idle_stats(t), reports.travel_segments(t)):
+    for df in (reports.daily_points(t), reports.idle_stats(t), reports.travel_segments(t), reports.travel_stats(t)):
         df.explain()
         assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
 
