@@ -10,8 +10,12 @@ only shingle. Two documents link when their sets' Jaccard similarity is at least
    and the light sets that can link with a heavy one, stand in the inverted lists of each of their first
    n - o + 1 shingles. The boundary is where enumerating costs more than scanning, by the counted lists.
 4. Lists are scanned in two rounds, so that copies aren't expanded into all pairs. In the first, every set
-   in a list is compared with the list's smallest one. In the second, sets of a list that aren't connected
-   yet are compared with each other. Every candidate is verified on the whole texts.
+   in a list is compared with the most central one, which stands in the longest lists. In the second, sets
+   of a list that aren't connected yet are compared with each other. Two sets are compared at a key only if
+   what both have from there on is enough, as it must be at the first key that they share.
+5. A sketch per set (how many of its shingles fall into each of CELLS cells) bounds from below how many
+   shingles two sets don't share; candidates beyond what the similarity allows go. The others are verified
+   on the whole texts.
 
 The order of shingles only decides how long lists get, never what is found; so it is fine that it stems
 from counts inside tasks, of which the most frequent KEPT_SHINGLES are used.
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, slices, stored
+from .common import bytes_of, discard, slices, stored
 from .graph import components
 from .words import LOWER, gram_hashes, mixed, word_hashes
 
@@ -41,6 +45,8 @@ KEPT_SHINGLES, COUNTED = 1 << 17, 1 << 20
 VERIFY_COST, MOST_SPARE = 4, 8
 #: Sets of a block, of which a task holds two while it verifies candidates.
 BLOCK_SETS = 256
+#: Cells of a set's sketch.
+CELLS = 128
 PAIR = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -94,6 +100,11 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, mark long, n int, digest binary, token long, times long")
 
 
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both * 100 >= percent * (len(p) + len(q) - both)
+
+
 def boundary_of(recurring: float, total: float, percent: int) -> int:
     """The largest size at which enumerating 2-subsets costs no more than scanning the lists of single shingles."""
     others = recurring / max(total, 1)  # sets that a shingle's list holds besides, on average
@@ -103,12 +114,32 @@ def boundary_of(recurring: float, total: float, percent: int) -> int:
     return n
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each cell, at most 65,535."""
+    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CELLS), 0xFFFF).astype("<u2").tobytes()
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches (sets: doc_id, n, sketch) don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32) for k in (4, 5))
+            unlike = np.abs(x - y).sum(1)
+            yield batch.select([0, 1]).filter(pa.array(unlike * (100 + percent) <= n * (100 - percent)))
+
+    a, b = (sets.select(F.col("doc_id").alias(x), F.col("n").cast("long").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+
+
 def _keys(docs: DataFrame, size: int, percent: int, boundary: int, often: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(doc_id, n, keys) of each document whose set can link with a different one."""
+    """(doc_id, n, keys, at, sketch) of each document whose set can link with a different one. at: how many of the
+    set's first shingles a key leaves out."""
     shared = docs.sparkSession.sparkContext.broadcast((often, rank))
     single_from = -(-(boundary + 1) * percent // 100)
 
-    def keys(s: np.ndarray) -> np.ndarray:
+    def keys(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, (often, rank) = len(s), shared.value
         d = spare(n, percent)
         s = np.sort(mixed(s))
@@ -116,15 +147,17 @@ def _keys(docs: DataFrame, size: int, percent: int, boundary: int, often: np.nda
             at = np.minimum(np.searchsorted(often, s), len(often) - 1)
             order = np.where(often[at] == s, rank[at], 0)
             s = s[np.argsort(order, kind="stable")]
-        out = []
+        out, at = [], []
         if n <= boundary:
             pairs = np.array(list(combinations(range(d + 2), 2)))
             first = np.minimum(s[pairs[:, 0]], s[pairs[:, 1]])
             second = np.maximum(s[pairs[:, 0]], s[pairs[:, 1]])
             out.append(mixed(first * PAIR + second))
+            at.append(pairs[:, 1] - 1)
         if n > boundary or n >= single_from:
             out.append(s[: d + 1])
-        return np.concatenate(out).view(np.int64)
+            at.append(np.arange(d + 1))
+        return np.concatenate(out).view(np.int64), np.concatenate(at).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -132,14 +165,15 @@ def _keys(docs: DataFrame, size: int, percent: int, boundary: int, often: np.nda
             for doc_id, text in zip(batch.column(0).to_pylist(), bytes_of(batch, "text"), strict=True):
                 s = shingles(text, size)
                 if doc_id is not None and (spare(len(s), percent) or spare(len(s) + 1, percent)):
-                    rows.append((doc_id, len(s), keys(s)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "n", "keys"])
+                    rows.append((doc_id, len(s), *keys(s), sketch(s)))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "n", "keys", "at", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n int, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, n int, keys array<long>, at array<int>, sketch binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts' sets are similar enough.
 
     Candidates that hang together are cut into blocks of about BLOCK_SETS sets; a text goes once to each
@@ -154,12 +188,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     placed = stored(pairs.join(a, "a").join(b, "b").select(task.alias("task"), "a", "b"), "placed")
     wanted = placed.select("task").distinct()
     tasks = wanted.select("task", F.explode(F.array_distinct(F.array("task.x", "task.y"))).alias("block"))
-    sets = tasks.join(blocks, "block").join(texts, F.col("node") == F.col("doc_id"))
+    sets = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(tasks.join(blocks, "block"), "node")
     sets = sets.select(F.xxhash64("task").alias("task"), F.lit(0).alias("role"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     asked = placed.select(F.xxhash64("task").alias("task"), F.lit(1).alias("role"), "a", "b", F.lit(None).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, list[np.ndarray]] = {}  # rows with equal doc_id: each of their sets
         task, done = None, False
         for batch in slices(batches, "text"):
             keep = []
@@ -167,12 +201,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 if key != task or (done and not role):
                     held, task, done = {}, key, False
                 if not role:
-                    held[x] = shingles(text, size)
+                    held.setdefault(x, []).append(shingles(text, size))
                     continue
                 done = True
-                p, q = held[x], held[y]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if both * 100 >= percent * (len(p) + len(q) - both):
+                if any(similar(p, q, percent) for p in held[x] for q in held[y]):
                     keep.append((x, y))
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*keep, strict=True)], names=["a", "b"])
@@ -197,27 +229,36 @@ def classes_and_links(docs: DataFrame, size: int = 3, percent: int = 90) -> tupl
     keys = _keys(docs, size, percent, boundary_of(recurring, total, percent), often[order], rank)
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     keys = stored(keys.join(reps, "doc_id", "left_semi"), "keys")
-    rows = keys.select("doc_id", "n", F.explode("keys").alias("key")).repartition("key")
-    lists = rows.groupBy("key").agg(F.count("*").alias("sets"), F.min(F.struct("n", "doc_id")).alias("first"), F.max("n").alias("most"))
-    lists = lists.filter("sets > 1").select("key", "first")
-    fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    shared = stored(keys.select("doc_id", "n", F.explode("keys").alias("key")).join(lists, "key"), "lists")
-
-    star = shared.filter((F.col("doc_id") != F.col("first.doc_id")) & fits(F.col("n"), F.col("first.n")))
-    star = stored(star.select(F.least("doc_id", "first.doc_id").alias("a"), F.greatest("doc_id", "first.doc_id").alias("b")).distinct(), "star")
-    needed = shared.select("doc_id").distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null").join(needed, "doc_id", "left_semi"), "texts")
-    links = stored(_verified(star, texts, size, percent), "links")
+    lists = keys.select("doc_id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("sets"))
+    lists = lists.filter("low < high").select("key", "sets")
+    places = keys.select("doc_id", "n", F.explode(F.arrays_zip("keys", "at")).alias("k")).select("doc_id", "n", F.col("k.keys").alias("key"), "k.at")
+    shared = stored(places.join(lists, "key"), "lists")
+    # of a group of copies, the one with the fewest changes stands in the longest lists
+    central = shared.groupBy("doc_id").agg(F.sum("sets").alias("central"))
+    heads = shared.join(central, "doc_id").groupBy("key").agg(F.max_by(F.struct("doc_id", "n", "at"), F.struct("central", F.negative("doc_id"))).alias("head"))
+
+    def fits(x: str, y: str) -> Column:
+        """Whether two sets that share a key, and none before it, can be similar enough."""
+        need = (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent  # over 100 + percent: the shingles they must share
+        return F.least(*[(F.col(f"{s}.n") - F.col(f"{s}.at")) * (100 + percent) for s in (x, y)]) >= need
+
+    x, y = shared.alias("x"), heads.select("key", "head.*").alias("y")
+    star = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") != F.col("y.doc_id")) & fits("x", "y"))
+    star = stored(star.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "star")
+    all_star, star = star, stored(_possible(star, keys, percent), "star")
+    links = stored(_verified(star, docs, size, percent), "links")
 
     near = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
-    parts = shared.select("key", "doc_id", "n").join(near, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    parts = shared.select("key", "doc_id", "n", "at").join(near, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
     parts = stored(parts, "parts")
     split = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
     parts = parts.join(split, "key", "left_semi")
     x, y = parts.alias("x"), parts.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")) & fits(F.col("x.n"), F.col("y.n")))
-    rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(_verified(stored(rest, "rest"), texts, size, percent), "links")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")) & fits("x", "y"))
+    rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(all_star, ["a", "b"], "left_anti")
+    rest = stored(_possible(rest, keys, percent), "rest")
+    discard(keys, shared, star, all_star)
+    more = stored(_verified(rest, docs, size, percent), "links")
     return documents, classes, links.unionByName(more)
 
 

@@ -11,7 +11,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A-Z lowered; bytes that are no ASCII letter or digit and no part of a longer character become a space.
 ALNUM = bytes(LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: Distinct words whose hashes a Python worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
