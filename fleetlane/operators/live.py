@@ -158,3 +158,31 @@ def decision_counts(decisions: DataFrame) -> DataFrame:
 def second_rates(points: DataFrame, seconds: int = 60) -> DataFrame:
     """Points by tumbling window of so many seconds."""
     return points.groupBy(F.window("packet_date", f"{seconds} seconds").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "n")
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """The newest row of each device, whole."""
+    names = rows.columns
+    last = F.max_by(F.struct(*names), F.struct("packet_date", "position_id")).alias("row")
+    return rows.groupBy("imei").agg(last).select(*[F.col(f"row.{c}") for c in names])
+
+
+def priority(kind: Column) -> Column:
+    """Order of handling: commands, then alarms, then the rest."""
+    return F.when(kind == "command", 0).when(kind == "alarm", 1).otherwise(2)
+
+
+def batch_sizes(batches: DataFrame) -> DataFrame:
+    """How many batches (rows with n) there were, the largest and their mean."""
+    return batches.agg(F.count("*").alias("batches"), F.max("n").alias("most"), F.avg("n").alias("mean"))
+
+
+def insert_outcomes(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """new with outcome: invalid (no device, time or coordinates), duplicate (its (imei, position_id) is stored, or an
+    earlier new row has it) or acked. Rows without an id are never duplicates."""
+    known = stored.filter("position_id > 0").select("imei", "position_id").distinct().withColumn("there", F.lit(True))
+    w = Window.partitionBy("imei", "position_id").orderBy("packet_date")
+    rows = new.join(known, ["imei", "position_id"], "left").withColumn("again", (F.col("position_id") > 0) & (F.row_number().over(w) > 1))
+    bad = F.col("imei").isNull() | F.col("packet_date").isNull() | F.col("latitude").isNull() | F.col("longitude").isNull()
+    outcome = F.when(bad, "invalid").when(F.col("there") | F.col("again"), "duplicate").otherwise("acked")
+    return rows.withColumn("outcome", outcome).select(*new.columns, "outcome")

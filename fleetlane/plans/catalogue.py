@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlane.functions import clock, geo, text
+from fleetlane.functions import clock, geo, notices, text
 from fleetlane.operators import events, live, lookups, reports, sequence
 from fleetlane.sources import derived, ingest
 
@@ -189,6 +189,56 @@ def state_flags(spark, sf_dir):
     return e.select("event_id", kind.isin("click", "view").alias("by_motion"), ignition.alias("on_"), text.is_parked(F.when(kind == "error", False), F.lit(None).cast("boolean"), v).alias("parked"))
 
 
+@query(f"""WITH {sql.TOKENS} SELECT event_id, CAST(192 + event_id % 16 AS INTEGER) AS satellite, CAST(coalesce(list_filter(list_transform(tokens, lambda x: {sql.looked_up(sql.LEGACY, 'NULL')}), lambda y: y IS NOT NULL)[1], 0) AS INTEGER) AS alarm_type,
+    event_type = 'click' AS acc_on, event_id % 2 = 0 AS gps_positioned, value >= 50 AS north_latitude FROM tokens JOIN events USING (event_id)""")
+def legacy_alarm_struct(spark, sf_dir):
+    e = _codes(spark, sf_dir).join(derived.events(spark, sf_dir).select("event_id", "event_type", "value"), "event_id")
+    n, unknown = F.col("event_id"), F.lit(None).cast("boolean")
+    made = notices.legacy_alarm(F.col("tokens"), n % 16, F.col("value") - 50, F.lit(1.0), n % 2 == 0, F.when(F.col("event_type") == "click", True), unknown, unknown)
+    return e.select("event_id", made.alias("a")).select("event_id", "a.satellite", "a.alarm_type", "a.status_decoded.acc_on", "a.status_decoded.gps_positioned", "a.north_latitude")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN concat(s_name, CASE WHEN s_suppkey % 3 = 0 THEN concat(' - ', CAST(s_nationkey AS VARCHAR)) ELSE '' END) WHEN s_suppkey % 3 = 0 THEN concat('- ', CAST(s_nationkey AS VARCHAR)) WHEN s_suppkey % 5 = 0 THEN 'Alert' WHEN s_suppkey % 7 = 0 THEN 'text' ELSE 'تنبيه' END AS title,
+    concat('Command: ', s_name, chr(10), 'Response: ', CASE WHEN s_suppkey % 5 = 0 THEN 'ok' ELSE '—' END) AS en FROM supplier""")
+def notification_texts(spark, sf_dir):
+    k = F.col("s_suppkey")
+    title = notices.device_title(F.when(k % 2 == 0, F.col("s_name")), F.when(k % 3 == 0, F.col("s_nationkey").cast("string")), F.when(k % 5 == 0, "Alert").otherwise("title"), F.when(k % 7 == 0, "text"))
+    texts = notices.command_texts(F.concat(F.lit(" "), "s_name"), F.when(k % 5 == 0, " ok "), F.lit(""))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", title.alias("title"), texts["en"].alias("en"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name ELSE c_mktsegment END AS name, floor(c_acctbal * 10 + 0.5) / 10 AS speed, CASE WHEN c_custkey % 2 = 0 THEN 'alarm' ELSE 'gps' END AS type FROM customer")
+def merged_payload(spark, sf_dir):
+    k = F.col("c_custkey")
+    legacy = {"name": F.when(k % 3 != 0, F.col("c_name")), "type": F.when(k % 2 == 0, "alarm")}
+    both = notices.merged({"name": F.col("c_mktsegment"), "speed": notices.round1(F.col("c_acctbal")), "type": F.lit("gps")}, legacy)
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", both.alias("p")).select("c_custkey", "p.name", "p.speed", "p.type")
+
+
+@query(f"WITH {sql.points()} SELECT imei, max(t) AS at, arg_max(id, t) AS position_id FROM points GROUP BY imei")
+def latest_per_device(spark, sf_dir):
+    return live.latest(derived.points(spark, sf_dir)).select("imei", ms("packet_date", "at"), "position_id")
+
+
+@query(f"WITH {sql.points()} SELECT CAST(sum(CASE WHEN event_type = 'view' THEN 0 WHEN alarm IS NOT NULL THEN 1 ELSE 2 END) AS BIGINT) AS priorities, count(*) FILTER (WHERE event_type = 'view') AS commands, count(*) FILTER (WHERE event_type <> 'view' AND alarm IS NOT NULL) AS alarms FROM points")
+def ingress_priority(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "view", "command").when(F.col("alarm").isNotNull(), "alarm").otherwise("gps")
+    p = derived.points(spark, sf_dir).select(kind.alias("type")).withColumn("priority", live.priority(F.col("type")))
+    return p.agg(F.sum("priority").alias("priorities"), F.count_if(F.col("type") == "command").alias("commands"), F.count_if(F.col("type") == "alarm").alias("alarms"))
+
+
+@query(f"WITH {sql.points()}, b AS (SELECT t // 60000 AS m, count(*) AS n FROM points GROUP BY ALL) SELECT count(*) AS batches, max(n) AS most, round(avg(n), 6) AS mean FROM b")
+def batch_sizes(spark, sf_dir):
+    return live.batch_sizes(live.second_rates(derived.points(spark, sf_dir)).select("n")).select("batches", "most", km("mean"))
+
+
+@query(f"""WITH {sql.points()}, x AS (SELECT imei, id, t, id % 3 = 0 AS seen, speed < 0 OR id % 11 = 0 AS bad FROM points) SELECT id AS position_id, CASE WHEN bad THEN 'invalid' WHEN seen THEN 'duplicate' ELSE 'acked' END AS outcome FROM x""")
+def insert_outcomes(spark, sf_dir):
+    p = derived.points(spark, sf_dir)
+    n = F.col("position_id")
+    return live.insert_outcomes(p.withColumn("latitude", F.when(n % 11 != 0, F.col("latitude"))), p.filter(n % 3 == 0)).select("position_id", "outcome")
+
+
 # --- ingest
 
 

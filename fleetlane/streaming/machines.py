@@ -77,7 +77,9 @@ class Parking(Machine):
 
 
 class Trips(Machine):
-    """Closed trips: a trip closes, at its last moving point, when a device moves again after gap_min minutes."""
+    """Closed trips: a trip closes, at its last moving point, when a device moves again after gap_min minutes.
+
+    A stream that begins anew takes up open trips from its initial state (see open_trips())."""
 
     schema = "imei string, start_at timestamp, end_at timestamp, duration_min double, gap_after_min double"
     names = ["imei", "start_at", "end_at", "duration_min", "gap_after_min"]
@@ -85,6 +87,10 @@ class Trips(Machine):
     def __init__(self, gap_min: float = 1.0):
         self.gap_min = gap_min
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for p in initialState.itertuples(index=False):
+            self.state.update((json.dumps({"begin": _ms(p.start_at), "moved": _ms(p.end_at), "speed": 0.0 if pd.isna(p.last_speed) else float(p.last_speed)}),))
+
     def step(self, state, p):
         t, speed = _ms(p.packet_date), 0.0 if pd.isna(p.speed) else float(p.speed)
         if speed > 0:
@@ -268,9 +274,15 @@ def meters(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     return 2 * 6_371_000 * math.asin(math.sqrt(a))
 
 
-def run(stream: DataFrame, machine: StatefulProcessor, key: str = "imei", time_mode: str = "None") -> DataFrame:
+def open_trips(trips: DataFrame, status: DataFrame) -> DataFrame:
+    """Initial state for Trips: each device's open trip (imei, start_at, end_at, is_open) and its last speed (imei,
+    last_speed); an unknown speed is taken as standing."""
+    return trips.filter("is_open").select("imei", "start_at", "end_at").join(status.select("imei", "last_speed"), "imei", "left")
+
+
+def run(stream: DataFrame, machine: StatefulProcessor, key: str = "imei", time_mode: str = "None", initial: DataFrame | None = None) -> DataFrame:
     """The machine's events over a stream. RocksDB state is needed: spark.sql.streaming.stateStore.providerClass.
 
-    time_mode is ProcessingTime for machines with timers or expiring state.
+    time_mode is ProcessingTime for machines with timers or expiring state; initial has the state to begin with.
     """
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=machine, outputStructType=machine.schema, outputMode="append", timeMode=time_mode)
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=machine, outputStructType=machine.schema, outputMode="append", timeMode=time_mode, initialState=initial.groupBy(key) if initial is not None else None)

@@ -4,6 +4,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlane.functions import notices
 from fleetlane.operators import live, lookups
 from fleetlane.sources import ingest
 from fleetlane.streaming import machines, pipeline
@@ -111,7 +112,7 @@ def test_upsert_and_days(spark, tmp_path):
     assert sorted(r["km"] for r in ingest.upsert(old, new, ["imei", "day"]).collect()) == [2.0, 3.0, 9.0]
 
 
-def streamed(spark, rows, machine, tmp_path, **extra):
+def streamed(spark, rows, machine, tmp_path, initial=None, by="imei", time_mode="None", **extra):
     """The machine's events over rows that come in three files."""
     rows = sorted(rows, key=lambda r: (r[1], r[6]))
     src = tmp_path / f"in-{type(machine).__name__}"
@@ -121,8 +122,16 @@ def streamed(spark, rows, machine, tmp_path, **extra):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src)).withColumns(extra)
     name = f"t_{type(machine).__name__}"
-    q = machines.run(stream, machine).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"ck-{name}")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = machines.run(stream, machine, by, time_mode, initial).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"ck-{name}"))
+    if time_mode == "None":
+        q.trigger(availableNow=True).start().awaitTermination()
+    else:  # with timers there is always another batch
+        q = q.start()
+        for _ in range(60):
+            q.awaitTermination(1)
+            if q.lastProgress and q.lastProgress["batchId"] >= 3:
+                break
+        q.stop()
     return spark.table(name)
 
 
@@ -149,6 +158,45 @@ def test_parking_stream_keeps_zero_length_stops(spark, tmp_path):
     assert [(r["duration_seconds"], r["max_speed"]) for r in got] == [(180, 6.0), (0, 7.0)]
 
 
+@pytest.mark.parametrize("last_speed, minutes, closed", [(45.0, 0.5, 0), (None, 0.5, 0), (None, 5, 1), (45.0, 5, 0)])
+def test_trip_recovery(spark, tmp_path, last_speed, minutes, closed):
+    trips = spark.createDataFrame([("A", T0 - timedelta(minutes=9), T0, True), ("A", T0 - timedelta(days=1), T0 - timedelta(days=1), False)], "imei string, start_at timestamp, end_at timestamp, is_open boolean")
+    status = spark.createDataFrame([("A", last_speed)], "imei string, last_speed double").filter("last_speed is not null")
+    rows = [("A", T0 + timedelta(minutes=minutes), 30.0, 31.0, 40.0, True, 1, None), ("A", T0 + timedelta(minutes=minutes + 0.1), 30.0, 31.0, 40.0, True, 2, None), ("B", T0, 30.0, 31.0, 0.0, True, 3, None)]
+    got = streamed(spark, rows, machines.Trips(), tmp_path, machines.open_trips(trips, status)).collect()
+    assert len(got) == closed and all(r["end_at"] == T0 and r["duration_min"] == 9 for r in got)
+
+
+def test_retry_stream_is_batch(spark, tmp_path):
+    rows = [("A", T0 + timedelta(seconds=s), 30.0, 31.0, float(v), True, i, None) for i, (s, v) in enumerate([(0, 1), (60, 1), (170, 1), (291, 1), (10, 2), (131, 2)])]
+    got = streamed(spark, rows, machines.RetryDedupe(), tmp_path, by="fingerprint", time_mode="ProcessingTime", fingerprint=F.col("speed").cast("string"))
+    batch = live.retry_dedupe(spark.createDataFrame(rows, SCHEMA).select(F.col("speed").cast("string").alias("fingerprint"), F.unix_millis("packet_date").alias("arrived"), F.col("position_id").alias("seq")))
+    want = sorted(r["seq"] for r in batch.filter("not suppressed").collect())
+    assert sorted(r["position_id"] for r in got.collect()) == want == [0, 3, 4, 5]
+
+
+def test_status_table_follows_the_stream(spark, tmp_path):
+    rows = random_tracks(8)
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.createDataFrame([], SCHEMA).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("direction", F.lit(0.0))
+    pipeline.keep_status(stream, str(tmp_path / "status"), str(tmp_path / "ck")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "status" / "version=1"))
+    want = live.status_latest(spark.createDataFrame(rows, SCHEMA).withColumn("direction", F.lit(0.0)))
+    cols = ["imei", "last_fix_at", "last_seen_at", "last_position_at", "points"]
+    assert got.select(cols).exceptAll(want.select(cols)).isEmpty() and got.count() == want.count()
+
+
+def test_outbox_and_payloads(spark):
+    out = pipeline.outbox(spark.createDataFrame([("A", 1, None)], "imei string, code int, at string"), "t").first()
+    assert out["title"] == "t" and out["data"] == {"imei": "A", "code": "1", "at": ""}
+    none = F.lit(None).cast("string")
+    n = spark.range(1).select(notices.notification(none, F.lit(""), F.lit("b"), none, none).alias("n")).first()["n"].asDict()
+    assert n == {"type": "alarm", "title": "b", "body": "b", "alarm_text": "b", "alarm_text_ar": "b"}
+    rows = spark.range(1).select(*[notices.round1(F.lit(v)) for v in ("1.25", "-1.25", "x", None)]).first()
+    assert list(rows) == [1.3, -1.2, 0.0, 0.0]
+
+
 def test_throttle_rules():
     send = lambda throttle, s, t, lat=30.0, speed=50.0: [e[-1] for e in throttle.decide(s, t, lat, 31.0, speed)]
     throttle, s = machines.RoomThrottle(most=2), {}
