@@ -445,9 +445,16 @@ def overspeed_sessions(spark, sf_dir):
     return out.select("imei", ms("start_time", "start_time"), ms("end_time", "end_time"), "speed_kmh", "speed_limit_kmh", "duration_sec")
 
 
-@query()
+CHANGES = "n.acc <> r.acc AND floor((n.t - r.b) / 1000.0 + 0.5) >= 5"
+
+
+@query(f"""WITH RECURSIVE {sql.points()}, n AS (SELECT imei, t, CASE WHEN NOT ignition AND speed > 0 THEN true ELSE ignition END AS acc, row_number() OVER (PARTITION BY imei ORDER BY t, id) AS k FROM points WHERE ignition IS NOT NULL),
+    r(imei, k, acc, b, was, ob, oe) AS (SELECT imei, k, acc, t, NULL::BOOLEAN, NULL::BIGINT, NULL::BIGINT FROM n WHERE k = 1 UNION ALL
+        SELECT n.imei, n.k, CASE WHEN {CHANGES} THEN n.acc ELSE r.acc END, CASE WHEN {CHANGES} THEN n.t ELSE r.b END, CASE WHEN {CHANGES} THEN r.acc END, CASE WHEN {CHANGES} THEN r.b END, CASE WHEN {CHANGES} THEN n.t END FROM r JOIN n ON n.imei = r.imei AND n.k = r.k + 1)
+    SELECT imei, CASE WHEN was THEN 'on' ELSE 'off' END AS acc_status, ob AS start_time, oe AS end_time, CAST(floor((oe - ob) / 1000.0 + 0.5) AS BIGINT) AS duration_sec FROM r WHERE ob IS NOT NULL""")
 def acc_segments(spark, sf_dir):
-    return events.acc_segments(events.acc_samples(derived.points(spark, sf_dir)))
+    out = events.acc_segments(events.acc_samples(derived.points(spark, sf_dir)))
+    return out.select("imei", "acc_status", ms("start_time", "start_time"), ms("end_time", "end_time"), "duration_sec")
 
 
 def _fence_sql(fence: str, inside: str, limit: int, enter: str, exit_: str, over: str) -> str:
@@ -535,9 +542,16 @@ def status_coalesce(spark, sf_dir):
     return live.status_coalesce(rows, ["ignition", "moving"]).select("imei", "position_id", "persist")
 
 
-@query()
+NEWER = "n.fix <= n.arrived + 600000 AND (r.fix IS NULL OR n.fix > r.fix OR r.fix > n.arrived + 600000)"
+POISONED = "CASE WHEN seq % 50 = 0 THEN fix + 550000 ELSE fix END"
+
+
+@query(f"""WITH RECURSIVE {ARRIVALS}, n AS (SELECT imei, arrived - seq % 4 * 700000 AS arrived, seq, {POISONED} AS fix, row_number() OVER (PARTITION BY imei ORDER BY arrived - seq % 4 * 700000, seq) AS k FROM arrivals WHERE fix IS NOT NULL),
+    r(imei, k, fix, seq) AS (SELECT imei, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM n WHERE k = 1 UNION ALL SELECT n.imei, n.k, CASE WHEN {NEWER} THEN n.fix ELSE r.fix END, CASE WHEN {NEWER} THEN n.seq ELSE r.seq END FROM r JOIN n ON n.imei = r.imei AND n.k = r.k + 1)
+    SELECT imei, fix, seq FROM r WHERE fix IS NOT NULL QUALIFY row_number() OVER (PARTITION BY imei ORDER BY k DESC) = 1""")
 def status_poison_heal(spark, sf_dir):
-    return live.status_with_healing(arrivals(spark, sf_dir))
+    rows = arrivals(spark, sf_dir).withColumns({"arrived": F.expr("arrived - seq % 4 * 700000"), "fix": F.expr(POISONED)})
+    return live.status_with_healing(rows)
 
 
 # --- lookups
