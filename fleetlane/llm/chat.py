@@ -29,13 +29,14 @@ from .common import BATCH_BYTES, BATCH_ROWS, slices, stored, strings_of, table
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings of common chat templates ("<|" begins all of one family).
 CONTROL = ("<|", "|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>")
-FIND = re.compile("|".join([r"\\", *map(re.escape, sorted(CONTROL, key=len, reverse=True))]))
+#: A backslash, or the first character of a control string (also of one that overlaps the one before).
+_FIND = re.compile(rf"\\|(?=(?:{'|'.join(map(re.escape, CONTROL))})).", re.DOTALL)
 _BACK = re.compile(r"\\(.)", re.DOTALL)
 EXAMPLE = "conv_id long, example int, n_turns int, trainable boolean, text string, loss_start int, loss_end int"
 
 
 def escape(text: str) -> str:
-    return FIND.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
+    return _FIND.sub(lambda m: m[0] + "\\", text)
 
 
 def unescape(text: str) -> str:

@@ -59,6 +59,11 @@ def queries() -> dict:
     return {f.__name__: f for f in named}
 
 
+def escapes(column: str) -> str:
+    """SQL for how many backslashes chat.escape() adds to a text."""
+    return " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in ("\\", *chat.CONTROL))
+
+
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL = {
     "op4_warc_shards": """
@@ -83,7 +88,7 @@ SQL = {
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
     "op7_prefix_targets": rf"""
         WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-        n AS (SELECT *, length(role) + length(text) + {len(chat.TURN + chat.TEXT + chat.END)} + len(regexp_extract_all(role, '{chat.FIND.pattern}')) + len(regexp_extract_all(text, '{chat.FIND.pattern}')) AS size FROM r),
+        n AS (SELECT *, length(role) + length(text) + {len(chat.TURN + chat.TEXT + chat.END)} + {escapes('role')} + {escapes('text')} AS size FROM r),
         c AS (SELECT *, sum(size) OVER w AS upto, lead(turn) OVER w IS NULL AS final FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
             CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
