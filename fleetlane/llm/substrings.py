@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bytes_of, discard, slices, stored
-from .words import gram_hashes, word_hashes
+from .words import gram_hashes, window_hashes, word_hashes
 
 PREFIX_WORDS = 5
 #: Places of an anchor up to which its group is kept in memory.
@@ -82,7 +82,7 @@ def _suffixes(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
         for batch in slices(batches, "text"):
             rows: list[tuple] = []
             for doc_id, text, at in zip(batch.column(0).to_pylist(), bytes_of(batch, "text"), batch.column(2).to_pylist(), strict=True):
-                heads = gram_hashes(word_hashes((text or b"").split()), window)
+                heads = window_hashes(word_hashes((text or b"").split()), window)
                 rows += [(p["anchor"], p["large"], doc_id, p["start"], heads[p["start"] : p["start"] + p["suffixes"]].tobytes()) for p in at if p["start"] < len(heads)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)

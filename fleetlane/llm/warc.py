@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, open_fs, shared_dir, slices, strings_of
+from .common import bytes_of, open_fs, shared_dir, slices
 from .files import commit, manifest, temporary
 
 CRLF = b"\r\n"

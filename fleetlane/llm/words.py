@@ -42,3 +42,14 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out = mixed(out * K1 + h[k : len(h) - n + 1 + k])
     return out
+
+
+def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of n words, for long runs: differences of one running sum of h[i] * K ** -i."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    k = int(K1)
+    down = np.cumprod(np.full(len(h), pow(k, -1, 1 << 64), np.uint64))
+    up = np.cumprod(np.full(len(h) - n + 1, k, np.uint64))
+    total = np.append(np.uint64(0), np.cumsum(mixed(h) * down, dtype=np.uint64))
+    return mixed((total[n:] - total[:-n]) * up)

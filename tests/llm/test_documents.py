@@ -103,6 +103,17 @@ def test_word_rules():
     assert [w.decode() for w in text.encode().translate(words.ALNUM).split()] == brute.ALNUM.findall(text.translate(brute.LOWER))
 
 
+def test_window_hashes_tell_windows_apart():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 2**64, 40, dtype=np.uint64)[rng.integers(0, 40, 5000)]
+    h[3000:3100] = h[100:200]
+    for n in (1, 2, 20):
+        runs = [tuple(h[i : i + n].tolist()) for i in range(len(h) - n + 1)]
+        got = words.window_hashes(h, n).tolist()
+        assert len(got) == len(runs) and len(set(got)) == len(set(runs)) == len(set(zip(got, runs, strict=True)))
+    assert len(words.window_hashes(h[:3], 4)) == 0
+
+
 def test_queries_have_names_of_the_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 11))
     assert set(Q.oracle_sql()) <= set(Q.queries())
