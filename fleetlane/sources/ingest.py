@@ -54,18 +54,19 @@ def positions(messages: DataFrame, body: str = "body", only_first: bool = False)
 
 def normalized(items: DataFrame) -> DataFrame:
     """positions() as columns: the first of several names that isn't missing or empty, numbers cast, times in
-    milliseconds; valid is true if not given."""
+    milliseconds; valid is true if not given. Each text is parsed once."""
 
     def first(*paths: str) -> Column:
         """Paths that begin with `/` are of the message, others of the position."""
-        return F.coalesce(*[F.nullif(F.get_json_object("root" if p[0] == "/" else "item", f"$.{p.lstrip('/')}"), F.lit("")) for p in paths])
+        return F.coalesce(*[F.nullif(F.try_variant_get("__root" if p[0] == "/" else "__item", f"$.{p.lstrip('/')}", "string"), F.lit("")) for p in paths])
 
     device = lambda name: (f"device.{name}", f"/device.{name}")
     number = lambda c: c.try_cast("double")
     attribute = lambda name: first(f"attributes.{name}", f"/attributes.{name}")
     unique = first("uniqueId", "imei", "deviceUniqueId", "device.uniqueId", "device.imei", "/uniqueId", "/imei", "/deviceUniqueId", "/deviceImei", "/device.uniqueId", "/device.imei", "device.attributes.uniqueId", "/device.attributes.uniqueId", "device.attributes.imei", "/device.attributes.imei")
-    return items.select(
-        "*",
+    parsed = items.withColumns({"__root": F.try_parse_json("root"), "__item": F.try_parse_json("item")})
+    return parsed.select(
+        *items.columns,
         F.nullif(F.trim(unique), F.lit("")).alias("imei"),
         first("deviceId", "device_id", "device.id", "/deviceId", "/device_id", "/device.id").alias("runtime_device_id"),
         first("id", "positionId", "/positionId", "/id").try_cast("long").alias("position_id"),
