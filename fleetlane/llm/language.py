@@ -2,7 +2,9 @@
 
 A text becomes lower-case letters with one blank for whatever is between words. Each language's model has
 the `order`-grams of all its training texts, counted by Spark; lower orders count distinct left neighbours.
-Grams and contexts lie, with their discounted probabilities and back-off weights, in sorted hash arrays.
+Grams and contexts lie, with their discounted probabilities and back-off weights, in sorted arrays, cut
+between contexts into pieces that Spark's tasks write to the shared folder and workers map into memory.
+Neither grams nor languages are dropped.
 A text goes to the language with the lowest length-normalised cross-entropy. Rejection is calibrated: a
 text is rejected if its cross-entropy is above what all but `reject` of the language's training texts
 (of a bounded sample) reach.
@@ -14,20 +16,25 @@ doc_id, text and lang are neither read nor kept; rows without lang are never lea
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker, slices, stored, strings_of
+from .common import discard, open_fs, per_worker, shared_dir, slices, stored, strings_of
 from .folds import held_out
 
 ORDER = 4
-#: Bounds: grams that a language's model keeps (its most frequent ones), languages, rows that calibrate rejection.
-MODEL_GRAMS, LANGUAGES, CALIBRATION_ROWS = 400_000, 256, 10_000
+#: Rows that calibrate rejection; grams from which a piece of a model ends with the context.
+CALIBRATION_ROWS, PIECE_GRAMS = 10_000, 1 << 20
 #: Characters worked on at a time; letters after which the score no longer gains from more of them.
 AT_ONCE, FULL_LENGTH = 1 << 20, 100
 
@@ -90,19 +97,26 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
 
 
+def _discount(once: int, twice: int) -> float:
+    return min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+
+
+def _piece(g: np.ndarray, c: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted grams with discounted probabilities, sorted contexts with back-off weights. All grams of its contexts are in g."""
+    context, of, followers = np.unique(g >> np.uint64(16), return_inverse=True, return_counts=True)  # the last character is the lowest
+    total = np.bincount(of, weights=c)
+    return g, (np.maximum(c - discount, 0) / total[of]).astype(np.float32), context, (discount * followers / total).astype(np.float32)
+
+
 class KneserNey:
-    """One language's model: for each order, sorted grams with discounted probabilities, sorted contexts with back-off weights."""
+    """One language's model: for each order, from the highest, the pieces in the order of their contexts."""
 
     def __init__(self, grams: np.ndarray, times: np.ndarray, order: int = ORDER):
         self.levels = []
         at = np.argsort(grams)
         g, c = grams[at], times[at].astype(float)
         for k in range(order, 0, -1):
-            once, twice = (c == 1).sum(), (c == 2).sum()
-            discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
-            context, of, followers = np.unique(g >> np.uint64(16), return_inverse=True, return_counts=True)  # the last character is the lowest
-            total = np.bincount(of, weights=c)
-            self.levels.append((g, (np.maximum(c - discount, 0) / total[of]).astype(np.float32), context, (discount * followers / total).astype(np.float32)))
+            self.levels.append([_piece(g, c, _discount((c == 1).sum(), (c == 2).sum()))])
             if k > 1:  # lower orders count distinct left neighbours
                 g, c = np.unique(g & np.uint64((1 << (16 * (k - 1))) - 1), return_counts=True)
                 c = c.astype(float)
@@ -110,21 +124,142 @@ class KneserNey:
     def entropies(self, g: np.ndarray, letters: int) -> np.ndarray:
         """-log2 of the last character's probability, for each packed gram."""
         p = np.full(len(g), 1 / letters)
-        for k, (keys, values, contexts, weights) in enumerate(reversed(self.levels), 1):
+        for k, pieces in enumerate(reversed(self.levels), 1):
             own = g & np.uint64((1 << (16 * k)) - 1) if k < 4 else g
-            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
             before = own >> np.uint64(16)
-            there = np.minimum(np.searchsorted(contexts, before), len(contexts) - 1)
-            p = np.where(keys[at] == own, values[at], 0) + np.where(contexts[there] == before, weights[there], 1) * p
+            in_piece = np.searchsorted(np.array([x[2][0] for x in pieces[1:]], np.uint64), before, side="right")
+            order = np.argsort(in_piece, kind="stable") if len(pieces) > 1 else np.arange(len(g))
+            ends = np.searchsorted(in_piece, np.arange(len(pieces)), side="right", sorter=order)
+            seen, back = np.zeros(len(g)), np.ones(len(g))
+            for here, (keys, values, contexts, weights) in zip(np.split(order, ends[:-1]), pieces, strict=True):
+                if len(here):
+                    at = np.minimum(np.searchsorted(keys, own[here]), len(keys) - 1)
+                    there = np.minimum(np.searchsorted(contexts, before[here]), len(contexts) - 1)
+                    seen[here] = np.where(keys[at] == own[here], values[at], 0)
+                    back[here] = np.where(contexts[there] == before[here], weights[there], 1)
+            p = seen + back * p
         return -np.log2(p).astype(np.float32)
 
 
+def _mapped(address: str) -> np.ndarray:
+    """A file's bytes, mapped into memory; from a remote store by way of an unnamed temporary file."""
+    fs, path = open_fs(address)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.memmap(path, np.uint8, "r")
+    with tempfile.TemporaryFile() as f, fs.open_input_stream(path) as there:
+        shutil.copyfileobj(there, f)
+        f.flush()
+        return np.memmap(f, np.uint8, "r")
+
+
+class StoredKneserNey(KneserNey):
+    """A model whose pieces are in files: for each order (file, offset, grams, contexts) of each piece. Opened when first used."""
+
+    def __init__(self, places: list[list[tuple[str, int, int, int]]]):
+        self.places, self.opened = places, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"opened": None}
+
+    @property
+    def levels(self) -> list:
+        if self.opened is None:
+            files = {f: per_worker_file(f) for pieces in self.places for f, *_ in pieces}
+            self.opened = [sorted((self._read(files[f], *at) for f, *at in pieces), key=lambda x: int(x[2][0])) for pieces in self.places]
+        return self.opened
+
+    @staticmethod
+    def _read(data: np.ndarray, at: int, n: int, m: int) -> tuple[np.ndarray, ...]:
+        cut = lambda s, k, kind: data[s : s + k * np.dtype(kind).itemsize].view(kind)
+        return cut(at, n, np.uint64), cut(at + 8 * (n + m), n, np.float32), cut(at + 8 * n, m, np.uint64), cut(at + 12 * n + 8 * m, m, np.float32)
+
+
+#: Files that this process has mapped; models of several languages share them.
+_FILES: dict[str, np.ndarray] = {}
+
+
+def per_worker_file(address: str) -> np.ndarray:
+    if address not in _FILES:
+        root = address.rsplit("/", 1)[0]
+        for other in [f for f in _FILES if f.rsplit("/", 1)[0] != root]:
+            del _FILES[other]
+        _FILES[address] = _mapped(address)
+    return _FILES[address]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+    """(lang, k, grams, times) of sorted rows of these; from `most` grams on, a run is cut between contexts."""
+    key, size = None, 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        lang = batch.column(0).dictionary_encode()
+        code, k = lang.indices.to_numpy(), batch.column(1).to_numpy()
+        grams, times = batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy().astype(float)
+        new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (k[1:] != k[:-1]))) if len(k) else []
+        for s, e in zip(new, [*new[1:], len(k)], strict=True):
+            own = lang.dictionary[int(code[s])].as_py(), int(k[s])
+            if held and own != key:
+                yield *key, *map(np.concatenate, zip(*held, strict=True))
+                held, size = [], 0
+            key = own
+            held.append((grams[s:e], times[s:e]))
+            size += e - s
+            if size >= most:
+                g, c = map(np.concatenate, zip(*held, strict=True))
+                cut = int(np.searchsorted(g >> np.uint64(16), g[-1] >> np.uint64(16)))
+                if cut:
+                    yield *key, g[:cut], c[:cut]
+                held, size = [(g[cut:], c[cut:])], len(g) - cut
+    if held:
+        yield *key, *map(np.concatenate, zip(*held, strict=True))
+
+
+def built(found: DataFrame, piece_grams: int | None = None) -> tuple[dict[str, StoredKneserNey], int]:
+    """The model of each lang of a stored table (lang, gram, times), which goes, and the number of letters."""
+    levels = [found]
+    for k in range(ORDER - 1, 0, -1):  # lower orders count distinct left neighbours
+        low = F.col("gram").bitwiseAND(F.lit((1 << (16 * k)) - 1)).alias("gram")
+        levels.append(stored(levels[-1].groupBy("lang", low).agg(F.count("*").alias("times")), "grams"))
+    every = levels[0].withColumn("k", F.lit(ORDER))
+    for k in range(ORDER - 1, 0, -1):
+        every = every.unionByName(levels[ORDER - k].withColumn("k", F.lit(k)))
+    sums = every.groupBy("lang", "k").agg(F.count_if(F.col("times") == 1).alias("once"), F.count_if(F.col("times") == 2).alias("twice"), F.count("*").alias("n")).collect()  # ORDER rows a language
+    discounts = {(r["lang"], r["k"]): _discount(r["once"], r["twice"]) for r in sums}
+    letters = levels[-1].select("gram").distinct().count() + 1
+    most = piece_grams or PIECE_GRAMS
+    folder = shared_dir(found.sparkSession, "models")
+    fs, root = open_fs(folder)
+    fs.create_dir(root, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_fs(folder)
+        file, at, f, places = uuid.uuid4().hex, 0, None, []
+        for lang, k, g, c in _runs(batches, most):
+            f = f or fs.open_output_stream(f"{root}/{file}")
+            g, p, contexts, weights = _piece(g, c, discounts[lang, k])
+            data = b"".join(x.tobytes() for x in (g, contexts, p, weights))
+            f.write(data + bytes(-len(data) % 8))
+            places.append((lang, k, file, at, len(g), len(contexts)))
+            at += len(data) + -len(data) % 8
+        if f:
+            f.close()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*places, strict=True)], names=["lang", "k", "file", "at", "grams", "contexts"])
+
+    context = F.shiftrightunsigned("gram", 16)
+    parts = 8 + sum(r["n"] for r in sums) // most
+    dealt = every.select("lang", "k", "gram", "times").repartitionByRange(parts, "k", "lang", context).sortWithinPartitions("k", "lang", context, "gram")
+    places: dict[str, list] = defaultdict(lambda: [[] for _ in range(ORDER)])
+    for r in dealt.mapInArrow(run, "lang string, k long, file string, at long, grams long, contexts long").collect():  # a row a piece
+        places[r["lang"]][ORDER - r["k"]].append((f"{folder}/{r['file']}", r["at"], r["grams"], r["contexts"]))
+    discard(*levels)
+    return {lang: StoredKneserNey(x) for lang, x in places.items()}, letters
+
+
 class Models:
     """All languages' models. limits: the cross-entropy above which a language's texts are rejected."""
 
-    def __init__(self, names: list[str], models: list[KneserNey], limits: dict[str, float]):
-        self.names, self.models, self.limits = names, models, limits
-        self.letters = len(np.unique(np.concatenate([m.levels[-1][0] for m in models]))) + 1 if models else 1
+    def __init__(self, names: list[str], models: list[KneserNey], letters: int, limits: dict[str, float]):
+        self.names, self.models, self.letters, self.limits = names, models, letters, limits
 
     def judged(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, score and cross-entropy (bits a character) of each text."""
@@ -148,18 +283,13 @@ class Models:
 def fit(docs: DataFrame, learn: Column, reject: float = 0.001) -> Models:
     """Models of the languages of those docs for which `learn` holds."""
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).filter(learn)
-    found = stored(counts(rows), "grams")
-    sizes = found.groupBy("lang").agg(F.sum("times").alias("n"), F.count("*").alias("grams"))
-    names = sorted(r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
-    models = []
-    for name in names:
-        own = found.filter(F.col("lang") == name).orderBy(F.desc("times"), "gram").limit(MODEL_GRAMS).select("gram", "times").toArrow()
-        models.append(KneserNey(own.column("gram").to_numpy().view(np.uint64), own.column("times").to_numpy()))
-    made = Models(names, models, {})
+    models, letters = built(stored(counts(rows), "grams"))
+    names = sorted(models)
+    made = Models(names, [models[x] for x in names], letters, {})
     some = rows.filter("lang is not null and text is not null and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
     some = rows.join(F.broadcast(some.distinct()), "doc_id")  # CALIBRATION_ROWS ids at most
     limits = judged(some, made, ["lang"]).filter("lang = lang_pred").groupBy("lang").agg(F.percentile("bits", F.lit(1 - reject)).alias("most")).collect()
-    return Models(names, models, {r["lang"]: r["most"] for r in limits})
+    return Models(names, made.models, letters, {r["lang"]: r["most"] for r in limits})
 
 
 def judged(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:

@@ -71,6 +71,37 @@ def test_kneser_ney_sums_to_one():
         assert 0.99 < np.exp2(-model.entropies(packed, len(letters)).astype(float)).sum() < 1.01
 
 
+def test_models_keep_all_grams(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(map(chr, rng.integers(0x4E00, 0x9000, 1000))), "zh") for i in range(450)]
+    models = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    g, start, _ = language.grams([t for _, t, _ in rows])
+    values, times = np.unique(np.delete(g, start), return_counts=True)
+    wanted = language.KneserNey(values, times)
+    assert len(values) > 400_000 and models.names == ["zh"]
+    for some in (values, values + np.uint64(1)):
+        assert (models.models[0].entropies(some, models.letters) == wanted.entropies(some, models.letters)).all()
+
+
+def test_models_keep_all_languages(spark):
+    rows = [(i, "the and" + " ing" * (i % 3), f"l{i}") for i in range(300)]
+    assert language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).names == sorted(r[2] for r in rows)
+
+
+def test_models_in_pieces_are_whole_models(spark):
+    rng = random.Random(5)
+    texts = [sentences(rng, LANGS["xa"] + LANGS["xc"] + ["\u65e5\u672c", "\uff21\uffdc\u8a9e"], 40) for _ in range(60)]
+    g, start, _ = language.grams(texts)
+    values, times = np.unique(np.delete(g, start), return_counts=True)
+    rows = list(zip(["x"] * len(values), values.view(np.int64).tolist(), times.tolist(), strict=True))
+    found = language.stored(spark.createDataFrame(rows, "lang string, gram long, times long").repartition(3), "grams")
+    models, letters = language.built(found, 50)
+    assert letters == len(np.unique(values & np.uint64(0xFFFF))) + 1 and len(models["x"].levels[0]) > 8
+    assert sum(len(p[0]) for p in models["x"].levels[0]) == len(values)
+    some = np.concatenate([values, values + np.uint64(1), values << np.uint64(16)])
+    assert (models["x"].entropies(some, letters) == language.KneserNey(values, times).entropies(some, letters)).all()
+
+
 def test_grams_do_not_see_their_neighbours():
     alone = [language.grams([t])[0].tolist() for t in ("Ab, c", "", "x", None)]
     joint, start, has = language.grams(["Ab, c", "", "x", None])
