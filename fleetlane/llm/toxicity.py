@@ -8,7 +8,8 @@ an exception doesn't count, and of hits that begin together the longest counts.
 sum of its hits' weights over its number of words; a logistic curve turns it into a score from 0 to 1.
 
 Learning takes a bounded sample of labelled rows, FIT_ROWS: those with the lowest hashed ids. Half of
-them give the lexicon, the others the curve. Without labels of both kinds the lexicon is empty.
+them give the lexicon, the others the curve; each half learns once from a whole text and its label, however
+often it is repeated. Texts that only begin alike are all learnt from. Without labels of both kinds the lexicon is empty.
 
 Null or empty text has no hits and the lowest score. Repeated rows get equal scores; a doc_id labelled
 more than once counts as toxic if any label says so. Rows with a null doc_id are scored, not learnt from.
@@ -166,8 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = FIT_R
     named = labels.filter("doc_id is not null and toxic is not null").filter(learn).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(some), "doc_id")  # fit_rows small rows at most
-    rows = stored(rows.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))).withColumn("head", F.xxhash64(F.substring("text", 1, 60))), "labelled")
-    first = rows.filter("half = 0").dropDuplicates(["head"])
+    rows = stored(rows.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))).withColumn("copy", F.sha2("text", 256)), "labelled")
+    first = rows.filter("half = 0").dropDuplicates(["copy", "toxic"])
     often = _counted(first.filter("toxic = 1"), None).filter("texts >= 4").orderBy(F.desc("texts"), "pattern").limit(CANDIDATES).select("pattern").collect()
     wanted = frozenset(r["pattern"] for r in often)
     counts: dict[str, dict[int, tuple[int, int]]] = {}
@@ -175,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = FIT_R
         counts.setdefault(r["pattern"], {})[r["toxic"]] = (r["times"], r["texts"])
     totals = {k: v[0] for k, v in counts.pop("", {}).items()}
     lexicon = Lexicon(weigh(counts, totals), phrases)
-    found = features(rows.filter("half = 1").dropDuplicates(["head"]), lexicon, ["toxic"]).select("toxic", "density", "words").collect()  # fit_rows rows at most
+    found = sorted(features(rows.filter("half = 1").dropDuplicates(["copy", "toxic"]), lexicon, ["toxic"]).select("toxic", "density", "words").collect())  # fit_rows rows at most
     if found and len({r["toxic"] for r in found}) == 2:
         d = np.log1p(100 * np.array([r["density"] for r in found]))
         n = np.log1p(np.array([r["words"] for r in found], float))

@@ -143,6 +143,24 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.scored(docs, table.limit(0)).collect()} == {0}
 
 
+def test_texts_that_begin_alike_are_learnt_from(spark):
+    rows, labels = toxic_rows()
+    header = "this text is licensed to everyone under the terms that its source gives on the first page of the text "
+    docs = spark.createDataFrame([(i, header + t) for i, t in rows], "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert len(header) >= 100 and toxicity.fit(docs, table, F.lit(True)).weights
+    by = {r["doc_id"]: r["predicted"] for r in toxicity.scored(docs, table).collect()}
+    assert np.mean([by[i] == (i % 6 == 0) for i in range(1200) if held(i)]) > 0.97
+
+
+def test_equal_texts_are_learnt_from_once(spark):
+    rows, labels = toxic_rows()
+    more = [(10_000 + k, rows[0][1]) for k in range(500)]
+    table = lambda x: spark.createDataFrame(x, "doc_id long, toxic int")
+    once, often = (toxicity.fit(spark.createDataFrame(d, "doc_id long, text string").repartition(n), table(x), F.lit(True)) for d, x, n in ((rows + more[:40], labels + [(i, 1) for i, _ in more[:40]], 2), (rows + more, labels + [(i, 1) for i, _ in more], 7)))
+    assert once.weights == often.weights and once.curve == often.curve
+
+
 def test_exceptions():
     lexicon = toxicity.Lexicon({" idiot": 3.0, " idiotes ": 0.0, " trash ": 2.0}, phrases=("Trash can",))
     hits = lambda text: lexicon.hits(" " + " ".join(toxicity.fold(text).split()) + " ")
