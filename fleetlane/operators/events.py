@@ -3,13 +3,16 @@ connectivity. Streaming forms of the same rules are in fleetlane.streaming."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlane.functions.geo import fence_coordinates, finite, in_circle, in_polygon, jump_guard
 from fleetlane.functions.text import power_event
 
-from .sequence import before, paired, so_far, timed, window
+from .sequence import before, folded, paired, so_far, timed, window
 
 #: Fixed values of the events.
 PARK_KMH, RELEASE_KMH, TRIP_GAP_MIN, IDLE_MS, ACC_MS = 1.0, 5.0, 1.0, 300_000, 5_000
@@ -99,19 +102,16 @@ def acc_segments(samples: DataFrame, least_ms: int = ACC_MS) -> DataFrame:
     rows = rows.withColumn("since", F.max(F.when(F.col("edge"), F.col("t"))).over(so_far(IMEI)))
     soon = F.coalesce(F.lag(F.col("t") - F.col("since")).over(window(IMEI)) < least_ms + 1000, F.lit(True))
     rows = rows.withColumn("soon", soon).filter("edge or soon")
-    series = rows.groupBy("imei").agg(F.array_sort(F.collect_list(F.struct("t", "position_id", "acc"))).alias("series"))
-    none = F.array().cast("array<struct<acc:boolean,begin:bigint,end:bigint>>")
-    state = F.struct(F.lit(None).cast("boolean").alias("acc"), F.lit(None).cast("bigint").alias("begin"), none.alias("done"))
-
-    def step(s: Column, x: Column) -> Column:
-        seconds = F.floor((x["t"] - s["begin"]) / 1000.0 + 0.5)
-        change = (s["acc"] != x["acc"]) & (seconds * 1000 >= least_ms)
-        closed = F.concat(s["done"], F.array(F.struct(s["acc"].alias("acc"), s["begin"].alias("begin"), x["t"].alias("end"))))
-        fresh = F.struct(x["acc"].alias("acc"), x["t"].alias("begin"), s["done"].alias("done"))
-        return F.when(s["acc"].isNull(), fresh).when(change, F.struct(x["acc"].alias("acc"), x["t"].alias("begin"), closed.alias("done"))).otherwise(s)
-
-    out = series.select("imei", F.explode(F.aggregate("series", state, step)["done"]).alias("s"))
-    return out.select("imei", F.when(F.col("s.acc"), "on").otherwise("off").alias("acc_status"), F.timestamp_millis("s.begin").alias("start_time"), F.timestamp_millis("s.end").alias("end_time"), F.floor((F.col("s.end") - F.col("s.begin")) / 1000.0 + 0.5).cast("long").alias("duration_sec"))
+
+    def step(s: tuple | None, t: int | None, position_id: int | None, acc: bool) -> tuple:
+        if s is None:
+            return (acc, t), None
+        if acc == s[0] or t is None or s[1] is None or math.floor((t - s[1]) / 1000.0 + 0.5) * 1000 < least_ms:
+            return s, None
+        return (acc, t), (*s, t)
+
+    out = folded(rows, ("t", "position_id", "acc"), step, [T.StructField("acc", T.BooleanType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
+    return out.select("imei", F.when(F.col("acc"), "on").otherwise("off").alias("acc_status"), F.timestamp_millis("begin").alias("start_time"), F.timestamp_millis("end").alias("end_time"), F.floor((F.col("end") - F.col("begin")) / 1000.0 + 0.5).cast("long").alias("duration_sec"))
 
 
 def geofence_events(points: DataFrame, fences: DataFrame) -> DataFrame:

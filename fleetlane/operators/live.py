@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .sequence import so_far, timed, window
+from .sequence import folded, so_far, timed, window
 
 #: Fixed values, in milliseconds.
 LIVE_AGE, FUTURE, SKEW, RETRY_TTL, FUTURE_FIX, PERSIST = 300_000, 120_000, 180_000, 120_000, 600_000, 10_000
@@ -115,15 +116,14 @@ def is_newer_fix(fix: Column, stored: Column, reference: Column, future_ms: int
 
 def status_with_healing(arrivals: DataFrame) -> DataFrame:
     """imei, fix and seq of the fix that stands after all arrivals (imei, arrived, seq, fix) in their order: folds
-    is_newer_fix over them. Only arrivals that could matter are folded: running maxima and future fixes."""
-    w = Window.partitionBy("imei").orderBy("arrived", "seq")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = arrivals.filter("fix is not null and fix <= arrived + %d" % FUTURE_FIX).withColumn("top", F.max("fix").over(past))
-    rows = rows.filter("top is null or fix > top or top > arrived + %d" % FUTURE_FIX)
-    series = rows.groupBy("imei").agg(F.array_sort(F.collect_list(F.struct("arrived", "seq", "fix"))).alias("series"))
-    start = F.struct(F.lit(None).cast("bigint").alias("fix"), F.lit(None).cast("bigint").alias("seq"))
-    step = lambda s, x: F.when(is_newer_fix(x["fix"], s["fix"], x["arrived"]), F.struct(x["fix"].cast("bigint").alias("fix"), x["seq"].cast("bigint").alias("seq"))).otherwise(s)
-    return series.select("imei", F.aggregate("series", start, step).alias("s")).select("imei", F.col("s.fix").alias("fix"), F.col("s.seq").alias("seq"))
+    is_newer_fix over them, row by row."""
+    rows = arrivals.filter("fix is not null and fix <= arrived + %d" % FUTURE_FIX).select("imei", *[F.col(c).cast("long").alias(c) for c in ("arrived", "seq", "fix")])
+
+    def step(s: tuple | None, arrived: int, seq: int, fix: int) -> tuple:
+        latest = arrived + FUTURE_FIX
+        return ((fix, seq) if fix <= latest and (s is None or fix > s[0] or s[0] > latest) else s), None
+
+    return folded(rows, ("arrived", "seq", "fix"), step, [T.StructField("fix", T.LongType()), T.StructField("seq", T.LongType())], last=True)
 
 
 def status_coalesce(rows: DataFrame, key: list[str], every_ms: int = PERSIST) -> DataFrame:

@@ -7,8 +7,13 @@ exchanges and sorts the points once.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fleetlane.functions.clock import ZONE, local_date, millis
 from fleetlane.functions.geo import jump_guard
@@ -64,3 +69,29 @@ def runs(points: DataFrame, holds: Column, keys: tuple[str, ...]) -> DataFrame:
     out = points.withColumn("x", F.coalesce(holds, F.lit(False)))
     begins = F.col("x") & ~F.coalesce(F.lag("x").over(window(keys)), F.lit(False))
     return out.withColumn("run", F.sum(begins.cast("int")).over(so_far(keys)))
+
+
+def folded(rows: DataFrame, order: tuple[str, ...], step: Callable, fields: list[T.StructField], last: bool = False) -> DataFrame:
+    """imei and `fields` of what step(state, *values of order) gives besides the new state, or, with `last`, of the
+    state after a device's last row. Sorted rows are streamed; of a device only the state is held (at first None)."""
+    schema = T.StructType([rows.schema["imei"], *fields])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        device, state, begun = None, None, False
+        packed = lambda out: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k.type) for i, k in enumerate(kinds)], schema=kinds)
+        for batch in batches:
+            out = []
+            for imei, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or imei != device:
+                    if last and begun:
+                        out.append((device, *state))
+                    device, state, begun = imei, None, True
+                state, given = step(state, *values)
+                if given is not None:
+                    out.append((device, *given))
+            yield packed(out)
+        if last and begun:
+            yield packed([(device, *state)])
+
+    return rows.select("imei", *order).repartition("imei").sortWithinPartitions("imei", *order).mapInArrow(run, schema)

@@ -99,6 +99,22 @@ def test_acc_change_within_five_seconds_waits(spark):
     assert [(r["acc_status"], r["duration_sec"]) for r in got] == [("on", 6)]
 
 
+def test_hot_device_is_streamed(spark):
+    flips = [(s, s // 7 % 2 == 0) for s in range(0, 75_000, 3)]
+    rows = spark.createDataFrame([("A", s, on) for s, on in reversed(flips)] + [("B", 0, True), ("B", 9, False)], "imei string, s long, on boolean")
+    rows = rows.select("imei", (F.lit(T0) + F.make_dt_interval(secs="s")).alias("packet_date"), F.lit(0.0).alias("speed"), F.col("s").alias("position_id"), F.col("on").alias("acc"))
+    out = events.acc_segments(rows)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    want, begin, state = [("B", 0, 9000, "on")], None, None
+    for s, on in flips:
+        if state is None:
+            begin, state = s, on
+        elif on != state and s - begin >= 5:
+            want.append(("A", begin * 1000, s * 1000, "on" if state else "off"))
+            begin, state = s, on
+    assert sorted((r["imei"], ms(r["start_time"]), ms(r["end_time"]), r["acc_status"]) for r in out.collect()) == sorted(want)
+
+
 def test_geofence_scenario(spark):
     t = track(spark, [(0, 40, True, 29.0, 31.0), (1, 40, True, 30.0, 31.0), (2, 90, True, 30.0, 31.0), (3, 90, True, 29.0, 31.0)])
     fence = spark.createDataFrame([("A", "f", "circle", 30.0, 31.0, 100.0, None, True, True, 80.0, None)], "imei string, id string, type string, latitude double, longitude double, radius double, coordinates array<array<double>>, notify_on_enter boolean, notify_on_exit boolean, speed_limit double, speed_limit_enabled boolean")

@@ -50,6 +50,19 @@ def test_newer_fix(spark):
     assert [newer(NOW - 1, NOW), newer(NOW + 600_000, NOW), newer(NOW + 600_001, NOW), newer(NOW, None), newer(NOW, NOW + 10**12)] == [False, True, False, True, True]
 
 
+def test_healing_streams_a_hot_device(spark):
+    rows = [("A", k * 1000, k, k * 1000 + (700_000 if k % 50 == 0 else 590_000 if k % 70 == 3 else k % 9)) for k in range(25_000)]
+    rows += [("B", 5, 1, None), ("C", 5, 1, 10**9), ("D", 5, 1, 4), ("D", 6, 2, 4)]
+    out = live.status_with_healing(spark.createDataFrame(rows, "imei string, arrived long, seq long, fix long").repartition(3))
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    stands = {}
+    for imei, arrived, seq, fix in rows:
+        old = stands.get(imei)
+        if fix is not None and fix <= arrived + 600_000 and (old is None or fix > old[0] or old[0] > arrived + 600_000):
+            stands[imei] = (fix, seq)
+    assert {r["imei"]: (r["fix"], r["seq"]) for r in out.collect()} == stands
+
+
 def test_lookups(spark):
     online = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "imei string")
     snapshot = spark.createDataFrame([("b", "offline"), ("c", "Unknown"), ("d", None)], "imei string, status string")
