@@ -55,14 +55,14 @@ def open_fs(address: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(address)
 
 
-def slices(batches: Iterator[pa.RecordBatch], sized_by: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each has few rows and few bytes of the column sized_by (or a single row)."""
+def slices(batches: Iterator[pa.RecordBatch], sized_by: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has few rows and at most so many bytes of the column sized_by (or a single row)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(sized_by))
         lengths = [n or 0 for n in pa.compute.binary_length(col).to_pylist()]
         start = total = 0
         for i, n in enumerate(lengths):
-            if i > start and (total + n > BATCH_BYTES or i - start >= BATCH_ROWS):
+            if i > start and (total + n > most or i - start >= BATCH_ROWS):
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n

@@ -7,12 +7,17 @@ is removed; windows are judged on the input.
 1. Of all suffixes, those can share `window` words with another one that share their anchor: the run of
    `prefix` words with the least hash inside the suffix's first `window` words. A document names each of
    its anchors with the suffixes that hold it; anchors that occur once in all documents are dropped.
-2. The remaining suffixes are dealt out by prefix, of variable length: the anchor, or, where an anchor has
-   more than `group` places, all of the suffix's first `window` words.
-3. A group with the short prefix is a subtree that fits in memory: its suffixes, sorted, are the leaves,
-   and inner nodes at depth `window` or more are runs of equal heads. All leaves under such a node but the
-   first repeat; what follows one another makes maximal repeats. A group with the long prefix is a single
-   such node, whose first leaf is a grouped minimum, taken in parts before the shuffle.
+2. The remaining suffixes, cut off where a node of `window` words can't reach, are dealt out by prefix, of
+   variable length: up to the anchor, if the anchor's group fits in memory, and else all `window` words.
+   Suffixes that hold the anchor at the same place follow each other and travel as one piece of text.
+3. A group with the short prefix is a subtree that fits in memory: its suffixes are sorted word by word
+   (their hashes only brought them together), and leaves next to each other that have `window` words in
+   common hang under an inner node of that depth. All of its leaves but the first repeat; those that follow
+   one another make maximal repeats. A group with the long prefix is a single such node, whose first leaf
+   is a grouped minimum, taken in parts: no task gets all leaves of a node that very many documents share.
+
+Hashes decide where suffixes go, never which are equal. Anchors with over a HEAVY_SHARE-th of all places
+are so few that they are broadcast, and their places aren't joined by anchor.
 
 Null or empty text has no words. Rows with equal doc_id are versions of one document: a window is no repeat
 of itself at the same place, and a word removed from one version is removed from all. Rows with a null
@@ -22,6 +27,7 @@ doc_id stay whole and are not looked at. No documents: no rows. Other columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,140 +36,150 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bytes_of, discard, slices, stored
-from .words import gram_hashes, window_hashes, word_hashes
+from .words import Words
 
 PREFIX_WORDS = 5
-#: Places of an anchor up to which its group is kept in memory.
-GROUP_PLACES = 50_000
-
-
-def anchors(words: list[bytes], window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first suffix, suffixes) of each run of suffixes that hold the anchor at the same place."""
-    value = gram_hashes(word_hashes(words), prefix)
-    place = np.arange(len(value))
+#: Places of an anchor up to which its group is kept in memory; bytes of text that a task works on at a time.
+GROUP_PLACES, AT_ONCE = 20_000, 1 << 20
+#: Anchors with more than this part of all places (and some places at least) are heavy: there are fewer of them than this number.
+HEAVY_SHARE, HEAVY_PLACES = 2_000, 500
+#: Parts of a node's leaves.
+SALTS = 64
+
+
+def anchors(words: Words, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first suffix, suffixes) of each run of suffixes that hold the anchor at the same place; suffixes are
+    numbered by their first words."""
+    value = words.hashes(prefix)
+    place = np.arange(len(value), dtype=np.int32)
     width, whole = 1, window - prefix + 1
     while width < whole:  # the least value of twice as many places, the leftmost of equal ones
         step = min(width, whole - width)
-        n = len(value) - step
+        n = max(0, len(value) - step)
         later = value[step:] < value[:n]
         value, place = np.where(later, value[step:], value[:n]), np.where(later, place[step:], place[:n])
         width += step
-    if not len(value):
-        return value, place, place
-    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    return value[first], first, np.diff(np.append(first, len(value)))
+    suffix = np.flatnonzero(words.left()[: len(value)] >= window)
+    value, place = value[suffix], place[suffix]
+    first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (suffix[1:] != suffix[:-1] + 1))) if len(suffix) else suffix
+    return value[first], suffix[first], np.diff(np.append(first, len(suffix)))
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
 
 
 def _anchored(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            keys, starts, sizes, ends = [], [], [], [0]
-            for text in bytes_of(batch, "text"):
-                words = (text or b"").split()
-                k, s, n = anchors(words, window, prefix) if len(words) >= window else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
-                keys.append(k)
-                starts.append(s)
-                sizes.append(n)
-                ends.append(ends[-1] + len(k))
-            ends = pa.array(ends, pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(t))) for x, t in ((keys, np.uint64), (starts, np.int32), (sizes, np.int16))]
-            lists[0] = pa.ListArray.from_arrays(ends, lists[0].values.view(pa.int64()))
+        for batch in slices(batches, "text", AT_ONCE):
+            words = Words(bytes_of(batch, "text"))
+            keys, at, sizes = anchors(words, window, prefix)
+            of = np.searchsorted(words.first + words.counts, at, side="right")
+            begin = pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(begin, pa.array(x)) for x in (keys.view(np.int64), (at - words.first[of]).astype(np.int32), sizes.astype(np.int16))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "anchor", "start", "suffixes"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, anchor array<long>, start array<int>, suffixes array<short>")
+    return _identified(docs).mapInArrow(run, "doc_id long, anchor array<long>, start array<int>, suffixes array<short>")
 
 
-def _suffixes(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
-    """(anchor, large, doc_id, start, heads) of each place of a repeated anchor: the hashed heads of its suffixes."""
-    names = ["anchor", "large", "doc_id", "start", "heads"]
+def _pieces(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
+    """(anchor, large, doc_id, start, suffixes, piece) of each place of a repeated anchor: the words of its suffixes."""
+    names = ["anchor", "large", "doc_id", "start", "suffixes", "piece"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows: list[tuple] = []
-            for doc_id, text, at in zip(batch.column(0).to_pylist(), bytes_of(batch, "text"), batch.column(2).to_pylist(), strict=True):
-                heads = window_hashes(word_hashes((text or b"").split()), window)
-                rows += [(p["anchor"], p["large"], doc_id, p["start"], heads[p["start"] : p["start"] + p["suffixes"]].tobytes()) for p in at if p["start"] < len(heads)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)
+        for batch in slices(batches, "text", AT_ONCE):
+            words, at = Words(bytes_of(batch, "text")), batch.column(2).flatten()
+            doc = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+            anchor, large, start, suffixes = (at.field(k) for k in range(4))
+            s, n = start.to_numpy().astype(np.int64), suffixes.to_numpy().astype(np.int64) + window - 1
+            there = np.flatnonzero(s + n <= words.counts[doc])  # another version of the document may be shorter
+            data, begin = words.cut((s + words.first[doc])[there], n[there])
+            piece = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(there), [None, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+            at = [x.take(pa.array(there)) for x in (anchor, large, batch.column(0).take(pa.array(doc)), start, suffixes)]
+            yield pa.RecordBatch.from_arrays([*at, piece], names=names)
 
     by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "large", "start", "suffixes")).alias("at"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null").join(by_doc, "doc_id")
-    return rows.select("doc_id", "text", "at").mapInArrow(run, "anchor long, large boolean, doc_id long, start int, heads binary")
+    rows = _identified(docs).join(by_doc, "doc_id").select("doc_id", "text", "at")
+    return rows.mapInArrow(run, "anchor long, large boolean, doc_id long, start int, suffixes short, piece binary")
 
 
-def _ranges(rows: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(doc_id, first, suffixes) of runs of following suffixes."""
-    d, s = docs[rows], starts[rows]
-    first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1))) if len(d) else np.zeros(0, np.int64)
-    return zip(d[first].tolist(), s[first].tolist(), np.diff(np.append(first, len(d))).tolist(), strict=True)
+def suffixes_of(piece: bytes, n: int, window: int) -> list[bytes]:
+    """The first `window` words of each of a piece's n suffixes."""
+    at = list(accumulate((len(w) + 1 for w in piece.split(b" ")), initial=0))
+    return [piece[at[i] : at[i + window]] for i in range(n)]
 
 
-def repeated_leaves(docs: np.ndarray, starts: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Rows of the suffixes (in ascending doc_id and start) under an inner node that has an earlier leaf."""
-    order = np.argsort(heads, kind="stable")
-    new = np.append(True, heads[order][1:] != heads[order][:-1])
-    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    later = (docs[order] != docs[first]) | (starts[order] != starts[first])
-    return np.sort(order[later])
+def later_leaves(leaves: list[tuple[bytes, int, int]]) -> list[tuple[int, int]]:
+    """(doc_id, start) of the leaves (suffix, doc_id, start) under inner nodes that have an earlier leaf."""
+    leaves.sort()
+    out, node, first = [], None, None
+    for suffix, *place in leaves:
+        if suffix != node:
+            node, first = suffix, place
+        elif place != first:
+            out.append(tuple(place))
+    return out
 
 
-def _subtrees(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, first, suffixes) of the repeats in groups with a short prefix."""
+def _maximal(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    """(doc_id, first, suffixes) of runs of suffixes that follow each other."""
+    doc, start = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))) if len(doc) else doc
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first]), pa.array(np.diff(np.append(first, len(doc))))], names=["doc_id", "first", "suffixes"])
+
 
-    def repeats(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        parts = [np.frombuffer(heads, np.uint64) for _, _, heads in group]
-        sizes = np.array([len(p) for p in parts])
-        docs, starts = (np.repeat(np.array([g[k] for g in group], np.int64), sizes) for k in (0, 1))
-        starts = starts + np.arange(len(docs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return _ranges(repeated_leaves(docs, starts, np.concatenate(parts)), docs, starts)
+def _subtrees(pieces: DataFrame, window: int) -> DataFrame:
+    """(doc_id, first, suffixes) of the repeats in groups with a short prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, group, out = None, [], []
-        for batch in slices(batches, "heads"):
-            for key, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if key != anchor and group:
-                    out += repeats(group)
-                    group = []
-                anchor = key
-                group.append(row)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "first", "suffixes"])
-                out = []
-        if group:
-            out += repeats(group)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "first", "suffixes"])
-
-    rows = suffixes.filter("not large").select("anchor", "doc_id", "start", "heads")
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(run, "doc_id long, first long, suffixes long")
-
-
-def _long_prefixes(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, first, suffixes) of the repeats in groups with a long prefix."""
+        anchor, leaves, found = None, [], []
+        for batch in slices(batches, "piece"):
+            for key, doc, start, n, piece in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if key != anchor:
+                    found += later_leaves(leaves)
+                    anchor, leaves = key, []
+                leaves += [(suffix, doc, start + i) for i, suffix in enumerate(suffixes_of(piece, n, window))]
+            if len(found) > 100_000:
+                yield _maximal(found)
+                found = []
+        yield _maximal(found + later_leaves(leaves))
+
+    rows = pieces.filter("not large").select("anchor", "doc_id", "start", "suffixes", "piece")
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, first long, suffixes long")
+
+
+def _single_nodes(pieces: DataFrame, window: int) -> DataFrame:
+    """(doc_id, first, suffixes) of the repeats in groups with a long prefix: each group is a node of `window` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "heads"):
-            parts = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-            sizes = np.array([len(p) for p in parts])
-            starts = np.repeat(batch.column(1).to_numpy(), sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(starts.astype(np.int64))], names=["head", "doc_id", "start"])
+        for batch in slices(batches, "piece", AT_ONCE):
+            rows = [(suffix, doc, start + i) for doc, start, n, piece in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True) for i, suffix in enumerate(suffixes_of(piece, n, window))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["node", "doc_id", "start"])
 
-    rows = suffixes.filter("large").select("doc_id", "start", "heads").mapInArrow(run, "head long, doc_id long, start long")
-    first = rows.groupBy("head").agg(F.min(F.struct("doc_id", "start")).alias("leaf"))
-    return rows.join(first, "head").filter(F.struct("doc_id", "start") != F.col("leaf")).select("doc_id", F.col("start").alias("first"), F.lit(1).cast("long").alias("suffixes"))
+    leaves = pieces.filter("large").select("doc_id", "start", "suffixes", "piece").mapInArrow(run, "node binary, doc_id long, start long")
+    leaves = leaves.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
+    parts = leaves.groupBy("node", "part").agg(F.min(F.struct("doc_id", "start")).alias("leaf"), F.count("*").alias("leaves"))
+    first = parts.groupBy("node").agg(F.min("leaf").alias("leaf"), F.sum("leaves").alias("leaves")).filter("leaves > 1").select("node", "leaf")
+    later = leaves.join(parts.select("node", "part").join(first, "node"), ["node", "part"]).filter(F.struct("doc_id", "start") != F.col("leaf"))
+    return later.select("doc_id", F.col("start").alias("first"), F.lit(1).cast("long").alias("suffixes"))
 
 
 def repeats(docs: DataFrame, window: int = 20, prefix: int = PREFIX_WORDS, group: int = GROUP_PLACES) -> DataFrame:
     """doc_id and repeats (array of first, suffixes): runs of windows that also start earlier."""
     anchored = stored(_anchored(docs, window, prefix), "anchors")
+    every = anchored.agg(F.sum(F.size("anchor"))).first()[0] or 0
     counts = anchored.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("places")).filter("places > 1")
+    counts = stored(counts.withColumn("heavy", F.col("places") > max(HEAVY_PLACES, every // HEAVY_SHARE)), "counts")
+    heavy = F.broadcast(counts.filter("heavy").select("anchor"))  # HEAVY_SHARE rows at most
     flat = anchored.select("doc_id", F.explode(F.arrays_zip("anchor", "start", "suffixes")).alias("at")).select("doc_id", "at.*")
-    places = flat.join(counts.select("anchor", (F.col("places") > group).alias("large")), "anchor")
-    suffixes = stored(_suffixes(docs, places, window), "suffixes")
-    discard(anchored)
-    found = stored(_subtrees(suffixes).unionByName(_long_prefixes(suffixes)), "repeats")
-    discard(suffixes)
+    usual = flat.join(heavy, "anchor", "left_anti").join(counts.filter("not heavy").select("anchor", (F.col("places") > group).alias("large")), "anchor")
+    places = usual.unionByName(flat.join(heavy, "anchor").withColumn("large", F.lit(True)))
+    pieces = stored(_pieces(docs, places, window), "pieces")
+    discard(anchored, counts)
+    found = stored(_subtrees(pieces, window).unionByName(_single_nodes(pieces, window)), "repeats")
+    discard(pieces)
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "suffixes")).alias("repeats"))
 
 

@@ -44,12 +44,48 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each run of n words, for long runs: differences of one running sum of h[i] * K ** -i."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
-    k = int(K1)
-    down = np.cumprod(np.full(len(h), pow(k, -1, 1 << 64), np.uint64))
-    up = np.cumprod(np.full(len(h) - n + 1, k, np.uint64))
-    total = np.append(np.uint64(0), np.cumsum(mixed(h) * down, dtype=np.uint64))
-    return mixed((total[n:] - total[:-n]) * up)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of K ** -1 and of K, kept by the worker while texts aren't longer."""
+
+    def made(n: int) -> tuple[np.ndarray, np.ndarray]:
+        k = int(K1)
+        return np.cumprod(np.full(n, pow(k, -1, 1 << 64), np.uint64)), np.cumprod(np.full(n, k, np.uint64))
+
+    usual = 1 << 21
+    return per_worker("powers", lambda: made(usual)) if n <= usual else made(n)
+
+
+class Words:
+    """The words of some texts, one after the other, each followed by one space.
+
+    blob: their bytes; counts: how many words each text has; starts and ends: a word's first byte, and the
+    place of its space. Runs of words are hashed by differences of one running sum of byte[i] * K ** -i.
+    """
+
+    def __init__(self, texts: list[bytes | None], table: bytes | None = None):
+        parts = [(t.translate(table) if table else t).split() if t else [] for t in texts]
+        self.blob = np.frombuffer(b"".join(b" ".join(p) + b" " for p in parts if p), np.uint8)
+        self.counts = np.array([len(p) for p in parts], np.int64)
+        self.ends = np.flatnonzero(self.blob == 0x20)
+        self.starts = np.append(0, self.ends + 1)[: len(self.ends)]
+        self.first = np.cumsum(self.counts) - self.counts
+
+    def hashes(self, n: int) -> np.ndarray:
+        """A 64-bit hash of each run of n words, also of those that go over the end of a text."""
+        if len(self.ends) < n:
+            return np.zeros(0, np.uint64)
+        down, up = _powers(len(self.blob))
+        total = np.zeros(len(self.blob) + 1, np.uint64)
+        np.cumsum((self.blob.astype(np.uint64) + np.uint64(1)) * down[: len(self.blob)], out=total[1:])
+        s = self.starts[: len(self.starts) - n + 1]
+        return mixed((total[self.ends[n - 1 :] + 1] - total[s]) * up[s])
+
+    def left(self) -> np.ndarray:
+        """How many words of its text each word has from itself on."""
+        return np.repeat(self.first + self.counts, self.counts) - np.arange(len(self.ends))
+
+    def cut(self, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of n words from each of these words on, with the spaces after them, in one array, and where they begin."""
+        lo, hi = self.starts[word], self.ends[word + n - 1] + 1
+        begin = np.append(0, np.cumsum(hi - lo))
+        return self.blob[np.arange(begin[-1]) + np.repeat(lo - begin[:-1], hi - lo)], begin

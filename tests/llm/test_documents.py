@@ -42,13 +42,33 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("seed, window, group", [(0, 20, 50_000), (1, 20, 3), (2, 6, 5)])
-def test_substrings_are_brute_force(spark, seed, window, group):
+@pytest.mark.parametrize("seed, window, group, heavy", [(0, 20, 20_000, 500), (1, 20, 3, 500), (2, 6, 5, 500), (3, 20, 20_000, 4)])
+def test_substrings_are_brute_force(spark, monkeypatch, seed, window, group, heavy):
     docs = odd.documents(seed)
+    monkeypatch.setattr(substrings, "HEAVY_PLACES", heavy)
     out = substrings.removed(odd.frame(spark, docs), window, group=group)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect()} == brute.cut_repeats(docs, window)
 
 
+def test_equal_hashes_of_different_words_remove_nothing(spark):
+    """All pieces are said to have one anchor; words alone decide."""
+    piece = lambda t: " ".join([*t.split(), ""]).encode()
+    rows = [(7, False, 5, 3, 2, piece("a b c d e")), (7, False, 4, 0, 2, piece("x b c d e")), (7, False, 9, 8, 1, piece("a b c dd")), (7, False, 1, 1, 1, piece("ab c d e"))]
+    pieces = spark.createDataFrame(rows, "anchor long, large boolean, doc_id long, start int, suffixes short, piece binary")
+    assert [tuple(r) for r in substrings._subtrees(pieces, 4).collect()] == [(5, 4, 1)]
+    assert [tuple(r) for r in substrings._single_nodes(pieces.withColumn("large", F.lit(True)), 4).collect()] == [(5, 4, 1)]
+
+
+def test_hashes_of_word_runs():
+    texts = ["a b", None, "", "b a b a b", "ab a"]
+    w = words.Words([t and t.encode() for t in texts])
+    assert w.counts.tolist() == [2, 0, 0, 5, 2] and w.left().tolist() == [2, 1, 5, 4, 3, 2, 1, 2, 1]
+    runs = [tuple(" ".join(t for t in texts if t).split()[i : i + 2]) for i in range(8)]
+    assert len(set(w.hashes(2).tolist())) == len(set(runs)) == len(set(zip(w.hashes(2).tolist(), runs, strict=True)))
+    data, begin = w.cut(np.array([3, 7]), np.array([3, 1]))
+    assert [data[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)] == [b"a b a ", b"ab "]
+
+
 def test_substring_stage_keeps_other_columns_and_odd_rows(spark):
     docs = {1: "  ".join(map(str, range(30))), 2: "x " + " ".join(map(str, range(25))), 3: None}
     df = odd.clashing(odd.frame(spark, docs))
@@ -103,17 +123,6 @@ def test_word_rules():
     assert [w.decode() for w in text.encode().translate(words.ALNUM).split()] == brute.ALNUM.findall(text.translate(brute.LOWER))
 
 
-def test_window_hashes_tell_windows_apart():
-    rng = np.random.default_rng(4)
-    h = rng.integers(0, 2**64, 40, dtype=np.uint64)[rng.integers(0, 40, 5000)]
-    h[3000:3100] = h[100:200]
-    for n in (1, 2, 20):
-        runs = [tuple(h[i : i + n].tolist()) for i in range(len(h) - n + 1)]
-        got = words.window_hashes(h, n).tolist()
-        assert len(got) == len(runs) and len(set(got)) == len(set(runs)) == len(set(zip(got, runs, strict=True)))
-    assert len(words.window_hashes(h[:3], 4)) == 0
-
-
 def test_queries_have_names_of_the_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 11))
     assert set(Q.oracle_sql()) <= set(Q.queries())
