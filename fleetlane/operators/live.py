@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sequence import folded, so_far, timed, window
+from .sequence import carried, folded, so_far, timed
 
 #: Fixed values, in milliseconds.
 LIVE_AGE, FUTURE, SKEW, RETRY_TTL, FUTURE_FIX, PERSIST = 300_000, 120_000, 180_000, 120_000, 600_000, 10_000
@@ -39,23 +41,116 @@ def classify_fix(fix: Column, device: Column, server: Column, now: Column, last_
     return F.struct(decision.alias("decision"), live.alias("live_eligible"), F.when(decision == "fresh", fix).when(decision == "fresh_device_time", device).alias("effective_ms"), F.when(decision == "fresh", "fixTime").when(decision == "fresh_device_time", "deviceTime").alias("source"))
 
 
+def fix_decision(fix: int | None, device: int | None, server: int | None, now: int, last_fix: int, last_live: int, current: bool, outdated: bool) -> tuple[str, int | None, str | None]:
+    """(decision, effective_ms, source): classify_fix() for one row; 0 means that there was no live fix yet."""
+    recent = lambda t: t is not None and now - t <= LIVE_AGE
+    if fix is None and device is None:
+        return "missing_time", None, None
+    if (device if fix is None else fix) > now + FUTURE or (device is not None and device > now + FUTURE):
+        return "future_invalid", None, None
+    if recent(fix):
+        return ("out_of_order", None, None) if last_fix > 0 and fix < last_fix else ("fresh", fix, "fixTime")
+    behind = device is not None and last_live > 0 and device < last_live
+    if recent(device) and not outdated and not behind and recent(server) and abs(device - server) <= SKEW and current:
+        return "fresh_device_time", device, "deviceTime"
+    return ("out_of_order" if behind and recent(device) else "historical"), None, None
+
+
+def is_current(lat: float | None, lon: float | None, speed: float | None, motion: bool | None, before: tuple | None) -> bool:
+    """Whether a message is a current update: over 1 km/h, in motion, or at another place than the message before it."""
+    if (speed is not None and math.isfinite(speed) and speed > 1) or motion is True:
+        return True
+    known = before is not None and all(x is not None and math.isfinite(x) for x in (lat, lon, *before))
+    return known and (lat, lon) != (0, 0) and (lat, lon) != before
+
+
+#: What fix_decision() reads of a message besides its fix and arrival; columns that are missing count as unknown.
+OF_MESSAGE = {"device": "long", "server": "long", "latitude": "double", "longitude": "double", "speed": "double", "motion": "boolean", "outdated": "boolean"}
+DECIDED = [T.StructField("decision", T.StringType()), T.StructField("effective_ms", T.LongType()), T.StructField("source", T.StringType())]
+
+
+def _messages(arrivals: DataFrame, more: dict[str, str]) -> tuple[DataFrame, tuple[str, ...]]:
+    """arrivals with typed copies of what a decision reads, and the names of the copies."""
+    wanted = {"fix": "long"} | OF_MESSAGE | more
+    value = lambda c, kind: (F.col(c) if c in arrivals.columns else F.lit(None)).cast(kind)
+    return arrivals.withColumns({f"__{c}": value(c, kind) for c, kind in wanted.items()}), tuple(f"__{c}" for c in wanted)
+
+
+def live_tracked(arrivals: DataFrame) -> DataFrame:
+    """arrivals (imei, arrived, seq, fix; device, server, latitude, longitude, speed, motion and outdated where there
+    are such; times in ms) with decision, effective_ms and source, in arrival order.
+
+    A device's state is its newest live fix time, its newest effective live time (of fix or device), and the place
+    of its last message. An effective time older than the newest one changes none of them."""
+
+    def step(s, now, fix, device, server, lat, lon, speed, motion, outdated):
+        last_fix, last_live, before = s or (0, 0, None)
+        decided = decision, effective, source = fix_decision(fix, device, server, now, last_fix, last_live, is_current(lat, lon, speed, motion, before), outdated is True)
+        if effective is not None and effective >= last_live:
+            last_live = effective
+            if source == "fixTime":
+                last_fix = fix
+        return (last_fix, last_live, (lat, lon)), decided
+
+    rows, names = _messages(arrivals, {})
+    return carried(rows, IMEI, ("arrived", "seq"), ("arrived", *names), step, DECIDED).drop(*names)
+
+
 def live_classification(arrivals: DataFrame) -> DataFrame:
     """arrivals (imei, arrived, seq, fix, ... in ms) with decision, in arrival order, where fixes have fix times:
-    a fresh fix that is older than an earlier fresh one is out of order. Device time isn't used."""
+    a fresh fix that is older than an earlier fresh one is out of order. live_tracked() without device times, in
+    windows alone."""
     w = Window.partitionBy("imei").orderBy("arrived", "seq").rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(None).cast("long")
     alone = classify_fix(F.col("fix"), none, none, F.col("arrived"), none, none, F.lit(False), F.lit(False))
-    rows = arrivals.withColumn("alone", alone)
-    rows = rows.withColumn("newest", F.max(F.when(F.col("alone.decision") == "fresh", F.col("fix"))).over(w))
-    decision = F.when((F.col("alone.decision") == "fresh") & (F.col("fix") < F.col("newest")), "out_of_order").otherwise(F.col("alone.decision"))
-    return rows.withColumn("decision", decision).drop("alone", "newest")
+    rows = arrivals.withColumn("__alone", alone["decision"])
+    rows = rows.withColumn("__newest", F.max(F.when(F.col("__alone") == "fresh", F.col("fix"))).over(w))
+    decision = F.when((F.col("__alone") == "fresh") & (F.col("fix") < F.col("__newest")), "out_of_order").otherwise(F.col("__alone"))
+    return rows.withColumn("decision", decision).drop("__alone", "__newest")
 
 
 def burst_live_pick(arrivals: DataFrame) -> DataFrame:
-    """Of each burst (imei, burst) the fresh fix with the newest time, the last of equal ones, as `is_live`;
-    other fresh ones are superseded."""
-    w = Window.partitionBy("imei", "burst").orderBy(F.col("fresh").desc(), F.col("fix").desc_nulls_last(), F.col("seq").desc())
-    return arrivals.withColumn("fresh", F.coalesce((F.col("arrived") - F.col("fix")) <= LIVE_AGE, F.lit(False))).withColumn("is_live", F.col("fresh") & (F.row_number().over(w) == 1))
+    """arrivals (imei, burst, now, seq, fix and what live_tracked() takes) with decision, effective_ms, source and
+    `is_live`: of each burst, whose messages come together at `now`, at most one.
+
+    A burst's messages are classified in the order of seq, each by what those before it left (at first last_fix
+    and last_live, where there are such columns); the last one accepted is live, others are superseded."""
+
+    def step(s, now, seq, fix, device, server, lat, lon, speed, motion, outdated, first_fix, first_live):
+        last_fix, last_live, before = s or (first_fix or 0, first_live or 0, None)
+        decision, effective, source = fix_decision(fix, device, server, now, last_fix, last_live, is_current(lat, lon, speed, motion, before), outdated is True)
+        accepted = effective is not None and effective >= last_live
+        if accepted:
+            last_live = effective
+            if source == "fixTime":
+                last_fix = fix
+        return (last_fix, last_live, (lat, lon)), (decision, effective, source, seq if accepted else None)
+
+    rows, names = _messages(arrivals, {"last_fix": "long", "last_live": "long"})
+    rows = rows.withColumn("__seq", F.col("seq").cast("long"))
+    keys = ("imei", "burst")
+    out = carried(rows, keys, ("seq",), ("now", "__seq", *names), step, [*DECIDED, T.StructField("__accepted", T.LongType())])
+    live = F.max("__accepted").over(Window.partitionBy(*keys))
+    return out.withColumn("is_live", F.coalesce(F.col("__accepted") == live, F.lit(False))).drop("__accepted", "__seq", *names)
+
+
+def clock_split(decided: DataFrame) -> DataFrame:
+    """One row of counts over live_tracked() rows: live by fix or by device time, device times refused, fixes that are
+    fresh, and of the others those whose device and server times are fresh or not, and that move or don't."""
+    recent = lambda c: F.coalesce(F.col("arrived") - F.col(c) <= LIVE_AGE, F.lit(False))
+    fresh, moving = recent("fix"), F.coalesce((F.col("speed") > 1) & ~F.isnan("speed") & (F.abs("speed") != float("inf")), F.lit(False))
+    counts = {
+        "by_fix": F.col("source") == "fixTime",
+        "by_device": F.col("source") == "deviceTime",
+        "device_refused": ~fresh & F.col("decision").isin("future_invalid", "out_of_order", "historical"),
+        "fix_fresh": fresh,
+        "stale_device_fresh": ~fresh & recent("device"),
+        "stale_device_stale": ~fresh & ~recent("device"),
+        "stale_server_fresh": ~fresh & recent("server"),
+        "stale_moving": ~fresh & moving,
+        "stale_standing": ~fresh & ~moving,
+    }
+    return decided.agg(*[F.count_if(c).alias(name) for name, c in counts.items()])
 
 
 def broadcast_guard(arrivals: DataFrame) -> DataFrame:
@@ -94,10 +189,24 @@ def duplicate_diagnostic(points: DataFrame) -> DataFrame:
     return out.withColumn("can_create", F.col("duplicate_groups") == 0)
 
 
-def sticky(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows with each column's last known value of the device where it is null."""
+def sticky(rows: DataFrame, columns: list[str], snapshot: DataFrame | None = None) -> DataFrame:
+    """rows with each column's last known value of the device where it is null; before the first one, that of the
+    device's row in a status snapshot (imei and the columns). Texts count as numbers if they are such, else as null;
+    so do numbers that aren't finite."""
+    kinds = dict(rows.dtypes)
+
+    def known(c: str, source: DataFrame) -> Column:
+        if kinds[c] == "boolean":
+            return F.col(c) if dict(source.dtypes)[c] == "boolean" else F.lit(None).cast("boolean")
+        x = F.col(c).try_cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
     w = so_far(IMEI)
-    return timed(rows).withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    out = timed(rows).withColumns({c: F.last(known(c, rows), ignorenulls=True).over(w) for c in columns})
+    if snapshot is None:
+        return out
+    seed = snapshot.groupBy("imei").agg(F.struct(*[F.max(known(c, snapshot)).alias(c) for c in columns]).alias("__seed"))
+    return out.join(seed, "imei", "left").withColumns({c: F.coalesce(c, F.col("__seed")[c]) for c in columns}).drop("__seed")
 
 
 def status_latest(points: DataFrame) -> DataFrame:
@@ -127,11 +236,15 @@ def status_with_healing(arrivals: DataFrame) -> DataFrame:
 
 
 def status_coalesce(rows: DataFrame, key: list[str], every_ms: int = PERSIST) -> DataFrame:
-    """rows with `persist`: the first of a device, or its key differs from the row before, or every_ms passed since then."""
-    w = window(IMEI)
-    same = F.to_json(F.struct(*key))
-    out = timed(rows).withColumn("key", same)
-    return out.withColumn("persist", ~F.col("key").eqNullSafe(F.lag("key").over(w)) | (F.col("t") - F.lag("t").over(w) >= every_ms)).drop("key")
+    """rows with `persist`: the first of a device, or its key differs from what was last written, or every_ms passed
+    since then."""
+
+    def step(s, t, key):
+        due = s is None or key != s[1] or t is None or s[0] is None or t - s[0] >= every_ms
+        return ((t, key) if due else s), (due,)
+
+    timed_rows = rows.withColumns({"__t": F.unix_millis("packet_date"), "__key": F.to_json(F.struct(*key))})
+    return carried(timed_rows, IMEI, ("__t", "position_id"), ("__t", "__key"), step, [T.StructField("persist", T.BooleanType())]).drop("__t", "__key")
 
 
 def ring_percentiles(rows: DataFrame, value: str, size: int = 128) -> DataFrame:
@@ -180,9 +293,9 @@ def batch_sizes(batches: DataFrame) -> DataFrame:
 def insert_outcomes(new: DataFrame, stored: DataFrame) -> DataFrame:
     """new with outcome: invalid (no device, time or coordinates), duplicate (its (imei, position_id) is stored, or an
     earlier new row has it) or acked. Rows without an id are never duplicates."""
-    known = stored.filter("position_id > 0").select("imei", "position_id").distinct().withColumn("there", F.lit(True))
-    w = Window.partitionBy("imei", "position_id").orderBy("packet_date")
-    rows = new.join(known, ["imei", "position_id"], "left").withColumn("again", (F.col("position_id") > 0) & (F.row_number().over(w) > 1))
+    known = stored.filter("position_id > 0").select("imei", "position_id").distinct().withColumn("__there", F.lit(True))
+    w = Window.partitionBy("imei", "position_id").orderBy("packet_date", "latitude", "longitude")
+    rows = new.join(known, ["imei", "position_id"], "left").withColumn("__again", (F.col("position_id") > 0) & (F.row_number().over(w) > 1))
     bad = F.col("imei").isNull() | F.col("packet_date").isNull() | F.col("latitude").isNull() | F.col("longitude").isNull()
-    outcome = F.when(bad, "invalid").when(F.col("there") | F.col("again"), "duplicate").otherwise("acked")
-    return rows.withColumn("outcome", outcome).select(*new.columns, "outcome")
+    outcome = F.when(bad, "invalid").when(F.col("__there") | F.col("__again"), "duplicate").otherwise("acked")
+    return rows.withColumn("outcome", outcome).select(*[c for c in new.columns if c != "outcome"], "outcome")

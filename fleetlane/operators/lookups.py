@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fleetlane.functions.geo import km_to_miles
+
+from .sequence import carried
 
 
 def resolve_devices(rows: DataFrame, details: DataFrame, key: str = "key") -> DataFrame:
@@ -52,9 +57,49 @@ def explicit_offline(online: DataFrame, snapshot: DataFrame) -> DataFrame:
     return online.select("imei").join(snapshot.filter(F.lower("status").isin("offline", "unknown")), "imei", "left_semi")
 
 
-def may_reconcile(empties_after_grace: int, snapshot_is_empty: bool, needed: int = 2) -> bool:
-    """Whether a snapshot may set devices offline: an empty one only as the needed one in a row after the grace time."""
-    return not snapshot_is_empty or empties_after_grace >= needed
+def empty_snapshot(online: int, started_ms: int, now_ms: int, empties: int, grace_ms: int = 120_000, needed: int = 2) -> tuple[bool, int]:
+    """(whether an empty snapshot may set devices offline, how many empty ones there were in a row).
+
+    Not while no device is online, nor in the grace time, which starts the count anew; then only as the needed one in a
+    row. A snapshot that isn't empty starts the count anew, too, and always may.
+    """
+    if online <= 0:
+        return False, empties
+    if now_ms - started_ms < grace_ms:
+        return False, 0
+    return empties + 1 >= needed, empties + 1
+
+
+def is_online(rows: DataFrame) -> Column:
+    """Whether any of five flags says so: status, traccar_device_status and connection_state are `online`, connected or
+    is_connected is true. Columns that are missing say nothing."""
+    text = [F.col(c) == "online" for c in ("status", "traccar_device_status", "connection_state") if c in rows.columns]
+    flag = [F.col(c).cast("boolean") for c in ("connected", "is_connected") if c in rows.columns]
+    return F.exists(F.array(F.lit(False), *text, *flag), lambda x: F.coalesce(x, F.lit(False)))
+
+
+def with_runtime_ids(rows: DataFrame, devices: DataFrame) -> DataFrame:
+    """rows (imei, runtime_device_id) whose missing imei is that of the device (imei, runtime_id) with this runtime id; it
+    stays null where there is none. Of devices that share a runtime id the first by imei counts."""
+    named = devices.filter("runtime_id is not null").groupBy(F.col("runtime_id").cast("double").alias("__id")).agg(F.min("imei").alias("__imei"))
+    wanted = F.when(F.col("imei").isNull(), F.col("runtime_device_id").try_cast("double"))
+    return rows.withColumn("__id", wanted).join(named, "__id", "left").withColumn("imei", F.coalesce("imei", "__imei")).select(*rows.columns)
+
+
+def accumulator_overrides(requests: DataFrame) -> DataFrame:
+    """requests (imei, hours, total_distance in metres, total_distance_km; texts or numbers) with error, and where there is
+    none, what the status table takes: engine_hours, total_distance_m, km_total, miles_total. Columns of these names are
+    replaced."""
+
+    def number(c: str) -> Column:
+        x = F.col(c).try_cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+    metres, hours = F.coalesce(number("total_distance"), number("total_distance_km") * 1000), number("hours")
+    error = F.when(F.trim(F.coalesce("imei", F.lit(""))) == "", "imei_required").when(hours.isNull(), "invalid_or_missing_hours").when(metres.isNull(), "invalid_or_missing_totalDistance_or_totalDistanceKm")
+    good = lambda c: F.when(F.col("error").isNull(), c)
+    out = requests.withColumn("error", error).withColumns({"engine_hours": good(hours), "total_distance_m": good(metres)})
+    return out.withColumns({"imei": F.trim("imei"), "km_total": F.col("total_distance_m") / 1000, "miles_total": km_to_miles(F.col("total_distance_m") / 1000)})
 
 
 def changed_runtime_ids(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -64,19 +109,35 @@ def changed_runtime_ids(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def match_commands(commands: DataFrame, responses: DataFrame) -> DataFrame:
-    """Each response with the newest command of its device and command id sent before it, else of its device.
+    """Each response with the newest pending command of its device and command id sent before it, else of its device.
 
-    commands: imei, command_id, sent (ms), cmd_seq; responses: imei, command_id, responded (ms), seq. One
-    ordered pass over both tables: the last command so far, by each key. A command may match again.
+    commands: imei, command_id, sent (ms), cmd_seq; responses: imei, command_id, responded (ms), seq. One pass over
+    both tables, in order of time; a command that was matched is pending no more. A device's pending commands are held.
     """
-    c = commands.select("imei", "command_id", F.col("sent").alias("at"), F.lit(0).alias("kind"), "cmd_seq", F.lit(None).cast("long").alias("seq"))
-    r = responses.select("imei", "command_id", F.col("responded").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("cmd_seq"), "seq")
-    both = c.unionByName(r)
-    order = ("at", "kind", "cmd_seq", "seq")
-    so_far = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("exact", F.last("cmd_seq", ignorenulls=True).over(so_far("imei", "command_id")))
-    both = both.withColumn("any", F.last("cmd_seq", ignorenulls=True).over(so_far("imei")))
-    return both.filter("kind = 1").select("imei", "seq", F.coalesce(F.when(F.col("command_id").isNotNull(), F.col("exact")), F.col("any")).alias("cmd_seq"))
+    c = commands.select("imei", F.col("command_id").cast("string"), F.col("sent").alias("at"), F.lit(0).alias("kind"), F.col("cmd_seq").alias("id"))
+    r = responses.select("imei", F.col("command_id").cast("string"), F.col("responded").alias("at"), F.lit(1).alias("kind"), F.col("seq").alias("id"))
+
+    def newest(pending: list[int], answered: set[int]) -> int | None:
+        while pending and pending[-1] in answered:
+            pending.pop()
+        return pending.pop() if pending else None
+
+    def step(s, kind, command_id, number):
+        every, by_id, answered = s or ([], {}, set())
+        if not kind:
+            every.append(number)
+            by_id.setdefault(command_id, []).append(number)
+            return (every, by_id, answered), (None,)
+        found = newest(by_id.get(command_id, []), answered) if command_id is not None else None
+        found = newest(every, answered) if found is None else found
+        if found is not None:
+            answered.add(found)
+        if not every:  # all are answered
+            by_id, answered = {}, set()
+        return (every, by_id, answered), (found,)
+
+    out = carried(c.unionByName(r), ("imei",), ("at", "kind", "id"), ("kind", "command_id", "id"), step, [T.StructField("cmd_seq", T.LongType())])
+    return out.filter("kind = 1").select("imei", F.col("id").alias("seq"), "cmd_seq")
 
 
 def subscriber_counts(memberships: DataFrame) -> DataFrame:

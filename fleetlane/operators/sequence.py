@@ -95,3 +95,28 @@ def folded(rows: DataFrame, order: tuple[str, ...], step: Callable, fields: list
             yield packed([(device, *state)])
 
     return rows.select("imei", *order).repartition("imei").sortWithinPartitions("imei", *order).mapInArrow(run, schema)
+
+
+def carried(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], uses: tuple[str, ...], step: Callable, fields: list[T.StructField]) -> DataFrame:
+    """rows with `fields`, which step(state, *values of `uses`) gives, as a tuple, besides the new state; columns of these
+    names are replaced. Each key's rows are streamed in `order`; of a key only the state is held (at first None)."""
+    new = {f.name for f in fields}
+    kept = [f for f in rows.schema.fields if f.name not in new]
+    schema = T.StructType([*kept, *fields])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            pick = lambda names: zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True)  # noqa: E731, B023
+            out = []
+            for key, values in zip(pick(keys), pick(uses), strict=True):
+                if key != at:
+                    at, state = key, None
+                state, given = step(state, *values)
+                out.append(given)
+            cols = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            cols += [pa.array([g[i] for g in out], kinds.field(len(kept) + i).type) for i in range(len(fields))]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -82,9 +82,9 @@ def point_projection(spark, sf_dir):
     return ingest.track_points(rows).select("imei", ms("packet_date", "at"), "speed", "direction", "ignition", "position_id")
 
 
-@query(f"WITH {sql.points()} SELECT imei, count(*) AS n, sum(speed) AS speeds FROM points WHERE t >= 1704153600000 AND t < 1704240000000 GROUP BY imei")
+@query(f"WITH {sql.points(10)} SELECT imei, count(*) AS n, sum(speed) AS speeds FROM points WHERE t >= 1704153600000 AND t < 1704240000000 GROUP BY imei")
 def time_range_filter(spark, sf_dir):
-    rows = sequence.in_range(derived.points(spark, sf_dir, 60), F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-03").cast("timestamp"))
+    rows = sequence.in_range(derived.points(spark, sf_dir, 10), F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-03").cast("timestamp"))
     return rows.groupBy("imei").agg(F.count("*").alias("n"), F.sum("speed").alias("speeds"))
 
 
@@ -135,7 +135,7 @@ def alarm_token_normalize(spark, sf_dir):
 
 
 @query(f"""WITH {sql.TOKENS} SELECT event_id, array_to_string(list_transform(tokens, lambda x: {sql.looked_up({k: v[0] for k, v in sql.MESSAGES.items()}, 'x')}), ' | ') AS en,
-    array_to_string(list_transform(tokens, lambda x: {sql.looked_up({k: v[1] for k, v in sql.MESSAGES.items()}, 'x')}), ' | ') AS ar FROM tokens""")
+    CASE WHEN len(tokens) = 0 THEN 'تنبيه من الجهاز' ELSE array_to_string(list_transform(tokens, lambda x: {sql.looked_up({k: v[1] for k, v in sql.MESSAGES.items()}, "concat('تنبيه: ', x)")}), ' | ') END AS ar FROM tokens""")
 def alarm_messages(spark, sf_dir):
     return _codes(spark, sf_dir).select("event_id", text.alarm_messages(F.col("tokens")).alias("en"), text.alarm_messages(F.col("tokens"), "ar").alias("ar"))
 
@@ -271,11 +271,11 @@ def retention_filter(spark, sf_dir):
     return ingest.retained(rows, F.lit("2024-01-20").cast("timestamp"), 7).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query(f"""WITH {sql.points()}, d AS (SELECT imei, t + 60000 * CASE WHEN id % 2 = 0 THEN 1 ELSE 4 END * g AS arrived, id * 3 + g AS seq, id FROM points, (SELECT unnest([0, 1, 2]) AS g) WHERE id % 3 = 0)
+@query(f"""WITH {sql.points()}, d AS (SELECT imei, t + 60000 * CASE WHEN id % 2 = 0 THEN 1 ELSE 4 END * g AS arrived, id * 3 + g AS seq, id FROM points, (SELECT unnest([0, 1, 2]) AS g))
     SELECT seq, coalesce(arrived - lag(arrived) OVER (PARTITION BY imei, id ORDER BY arrived, seq) <= 120000, false) AS suppressed FROM d""")
 def retry_dedupe(spark, sf_dir):
     n, g = F.col("position_id"), F.col("g")
-    p = derived.points(spark, sf_dir).filter(n % 3 == 0).withColumn("g", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+    p = derived.points(spark, sf_dir).withColumn("g", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
     rows = p.select(F.concat_ws("|", "imei", n).alias("fingerprint"), (F.unix_millis("packet_date") + F.when(n % 2 == 0, 60000).otherwise(240000) * g).alias("arrived"), (n * 3 + g).alias("seq"))
     return live.retry_dedupe(rows).select("seq", "suppressed")
 
@@ -305,9 +305,9 @@ def duplicate_diagnostic(spark, sf_dir):
 # --- reports
 
 
-@query(f"WITH {sql.points()} SELECT DISTINCT imei FROM points WHERE t >= 1704153600000 AND t < 1704240000000")
+@query(f"WITH {sql.points(10)} SELECT DISTINCT imei FROM points WHERE t >= 1704153600000 AND t < 1704240000000")
 def distinct_devices(spark, sf_dir):
-    return sequence.in_range(derived.points(spark, sf_dir), F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-03").cast("timestamp")).select("imei").distinct()
+    return sequence.in_range(derived.points(spark, sf_dir, 10), F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-03").cast("timestamp")).select("imei").distinct()
 
 
 @query(f"WITH {sql.paired()} SELECT imei, round(sum(driven), 6) AS km FROM pairs GROUP BY imei")
@@ -503,10 +503,34 @@ def live_classification(spark, sf_dir):
     return live.live_classification(arrivals(spark, sf_dir)).select("seq", "decision")
 
 
-@query(f"""WITH {ARRIVALS}, f AS (SELECT *, coalesce(arrived - fix <= 300000, false) AS fresh, arrived // 3600000 AS burst FROM arrivals)
-    SELECT seq, fresh AND row_number() OVER (PARTITION BY imei, burst ORDER BY fresh DESC, fix DESC NULLS LAST, seq DESC) = 1 AS is_live FROM f""")
+def received(spark: SparkSession, sf_dir: str, compress: int = 60) -> DataFrame:
+    """Messages with all their times: some late, some from the future, some without a fix, some that don't move."""
+    n, t = F.col("position_id"), F.unix_millis("packet_date")
+    fix = F.when(n % 23 != 0, t - F.when(n % 3 == 0, 400_000).when(n % 19 == 0, -130_000).otherwise((n % 5) * 50_000))
+    device = F.when(n % 8 != 0, t - F.when(n % 7 == 0, 400_000).when(n % 37 == 0, -200_000).otherwise((n % 4) * 40_000))
+    server = F.when(n % 13 != 0, t - F.when(n % 11 == 0, 290_000).otherwise(1000))
+    lat = F.when(n % 2 == 0, 24.5).otherwise(F.round("latitude", 2))
+    return derived.points(spark, sf_dir, compress).select("imei", t.alias("arrived"), n.alias("seq"), fix.alias("fix"), device.alias("device"), server.alias("server"), lat.alias("latitude"), F.lit(46.5).alias("longitude"), F.when(n % 29 != 0, F.col("speed")).alias("speed"), (n % 17 == 0).alias("motion"), (n % 31 == 0).alias("outdated"))
+
+
+@query(f"WITH RECURSIVE {sql.received()}, {sql.tracked('imei', 'received', 'arrived, seq', 'arrived')} SELECT seq, decision, effective FROM r WHERE n > 0")
+def live_device_time(spark, sf_dir):
+    return live.live_tracked(received(spark, sf_dir)).select("seq", "decision", F.col("effective_ms").alias("effective"))
+
+
+@query(f"""WITH RECURSIVE {sql.received()}, {sql.tracked('imei', 'received', 'arrived, seq', 'arrived')}, d AS (SELECT received.*, decision, coalesce(arrived - fix <= 300000, false) AS f, coalesce(arrived - device <= 300000, false) AS d FROM received JOIN r USING (seq))
+    SELECT count(*) FILTER (WHERE decision = 'fresh') AS by_fix, count(*) FILTER (WHERE decision = 'fresh_device_time') AS by_device, count(*) FILTER (WHERE NOT f AND decision IN ('future_invalid', 'out_of_order', 'historical')) AS device_refused, count(*) FILTER (WHERE f) AS fix_fresh,
+    count(*) FILTER (WHERE NOT f AND d) AS stale_device_fresh, count(*) FILTER (WHERE NOT f AND NOT d) AS stale_device_stale, count(*) FILTER (WHERE NOT f AND coalesce(arrived - server <= 300000, false)) AS stale_server_fresh,
+    count(*) FILTER (WHERE NOT f AND coalesce(speed > 1, false)) AS stale_moving, count(*) FILTER (WHERE NOT f AND NOT coalesce(speed > 1, false)) AS stale_standing FROM d""")
+def live_clock_split(spark, sf_dir):
+    return live.clock_split(live.live_tracked(received(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {sql.received(1200)}, b AS (SELECT *, arrived // 120000 AS burst FROM received), {sql.tracked('imei, burst', 'b', 'seq', '(k.burst + 1) * 120000')}
+    SELECT seq, decision, accepted AND n = max(CASE WHEN accepted THEN n END) OVER (PARTITION BY imei, burst) AS is_live FROM r WHERE n > 0""")
 def burst_live_pick(spark, sf_dir):
-    return live.burst_live_pick(arrivals(spark, sf_dir).withColumn("burst", F.expr("arrived div 3600000"))).select("seq", "is_live")
+    rows = received(spark, sf_dir, 1200).withColumn("burst", F.expr("arrived div 120000")).withColumn("now", (F.col("burst") + 1) * 120000)
+    return live.burst_live_pick(rows).select("seq", "decision", "is_live")
 
 
 @query(f"WITH {ARRIVALS} SELECT seq, coalesce(fix >= max(fix) OVER (PARTITION BY imei ORDER BY arrived, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS sent FROM arrivals")
@@ -535,13 +559,23 @@ def minute_rates(spark, sf_dir):
     return live.second_rates(derived.points(spark, sf_dir)).select(ms("window_start", "window_start"), "n")
 
 
-@query(f"""WITH {sql.points()} SELECT imei, id AS position_id, coalesce(k <> lag(k) OVER w OR t - lag(t) OVER w >= 10000, true) AS persist FROM (SELECT *, concat(coalesce(CAST(ignition AS VARCHAR), '?'), CAST(speed > 0 AS VARCHAR)) AS k FROM points)
-    WINDOW w AS (PARTITION BY imei ORDER BY t, id)""")
+@query(f"""WITH RECURSIVE {sql.points(4000)}, k AS (SELECT imei, id, t, concat(coalesce(CAST(ignition AS VARCHAR), '?'), CAST(speed > 0 AS VARCHAR)) AS k, row_number() OVER (PARTITION BY imei ORDER BY t, id) AS n FROM points),
+    r(imei, n, id, persist, wrote, was) AS (SELECT imei, n, id, true, t, k FROM k WHERE n = 1 UNION ALL SELECT imei, n, id, due, CASE WHEN due THEN t ELSE wrote END, CASE WHEN due THEN k ELSE was END FROM (SELECT k.*, r.wrote, r.was, k.k <> r.was OR k.t - r.wrote >= 10000 AS due FROM r JOIN k ON k.imei = r.imei AND k.n = r.n + 1))
+    SELECT imei, id AS position_id, persist FROM r""")
 def status_coalesce(spark, sf_dir):
-    rows = derived.points(spark, sf_dir).withColumn("moving", F.col("speed") > 0)
+    rows = derived.points(spark, sf_dir, 4000).withColumn("moving", F.col("speed") > 0)
     return live.status_coalesce(rows, ["ignition", "moving"]).select("imei", "position_id", "persist")
 
 
+@query(f"WITH {sql.points()}, s AS (SELECT DISTINCT imei, CASE WHEN user_id % 3 <> 0 THEN CAST(user_id % 7 AS DOUBLE) END AS v FROM points) SELECT imei, id AS position_id, coalesce(last_value(CASE WHEN id % 4 = 0 THEN direction END IGNORE NULLS) OVER (PARTITION BY imei ORDER BY t, id), v) AS power FROM points JOIN s USING (imei)")
+def sticky_seeded(spark, sf_dir):
+    n, u = F.col("position_id"), F.col("imei").cast("long")
+    p = derived.points(spark, sf_dir)
+    rows = p.withColumn("power", F.when(n % 4 == 0, F.col("direction").cast("string")).when(n % 4 == 1, "none").when(n % 4 == 2, "NaN"))
+    snapshot = p.select("imei").distinct().withColumn("power", F.when(u % 3 != 0, u % 7).cast("string"))
+    return live.sticky(rows, ["power"], snapshot).select("imei", "position_id", "power")
+
+
 NEWER = "n.fix <= n.arrived + 600000 AND (r.fix IS NULL OR n.fix > r.fix OR r.fix > n.arrived + 600000)"
 POISONED = "CASE WHEN seq % 50 = 0 THEN fix + 550000 ELSE fix END"
 
@@ -557,10 +591,11 @@ def status_poison_heal(spark, sf_dir):
 # --- lookups
 
 
-@query("SELECT o_orderkey, c_custkey AS resolved, c_mktsegment AS segment FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 <> 0")
+@query("SELECT o_orderkey, c_custkey AS resolved, c_mktsegment AS segment FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal >= 0")
 def device_resolution(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 3 <> 0")
-    details = c.select(F.col("c_custkey").cast("string").alias("imei"), F.concat(F.lit("S"), "c_custkey").alias("serial_number"), F.col("c_mktsegment").alias("segment"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    here = lambda x: F.when(F.col("c_acctbal") >= 0, x)  # noqa: E731  devices in debt aren't known by any key
+    details = c.select(here(F.col("c_custkey").cast("string")).alias("imei"), here(F.concat(F.lit("S"), "c_custkey")).alias("serial_number"), F.col("c_mktsegment").alias("segment"))
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string")).otherwise(F.concat(F.lit("S"), "o_custkey")).alias("key"))
     return lookups.resolve_devices(rows, details).select("o_orderkey", F.col("resolved_imei").cast("long").alias("resolved"), "segment")
 
@@ -589,9 +624,11 @@ def model_resolution(spark, sf_dir):
     return lookups.models(devices, details, "default")
 
 
-@query(f"""WITH {sql.points()}, c AS (SELECT imei, id % 3 AS cid, t AS sent, id AS cseq FROM points WHERE event_type = 'view'), r AS (SELECT imei, CASE WHEN id % 5 <> 0 THEN id % 3 END AS cid, t AS got, id AS seq FROM points WHERE event_type = 'purchase'),
-    x AS (SELECT r.seq, arg_max(cseq, (sent - 1704000000000) * 100000000 + cseq) AS m FROM r JOIN c ON c.imei = r.imei AND c.cid = r.cid AND sent <= got GROUP BY r.seq), y AS (SELECT r.seq, arg_max(cseq, (sent - 1704000000000) * 100000000 + cseq) AS m FROM r JOIN c ON c.imei = r.imei AND sent <= got GROUP BY r.seq)
-    SELECT r.imei, r.seq, coalesce(x.m, y.m) AS cmd_seq FROM r LEFT JOIN x USING (seq) LEFT JOIN y USING (seq)""")
+@query(f"""WITH RECURSIVE {sql.points()}, k AS (SELECT imei, id, kind, cid, row_number() OVER (PARTITION BY imei ORDER BY t, kind, id) AS n FROM (SELECT imei, id, t, CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS kind, CASE WHEN event_type = 'view' OR id % 5 <> 0 THEN id % 3 END AS cid FROM points WHERE event_type IN ('view', 'purchase'))),
+    r(imei, n, kind, seq, pending, cmd_seq) AS (SELECT imei, 0::BIGINT, 0, NULL::BIGINT, []::STRUCT(c BIGINT, id BIGINT)[], NULL::BIGINT FROM k WHERE n = 1 UNION ALL
+        SELECT imei, n, kind, id, CASE WHEN kind = 0 THEN list_append(pending, {{'c': cid, 'id': id}}) ELSE list_filter(pending, lambda p: p.id IS DISTINCT FROM best) END, CASE WHEN kind = 1 THEN best END
+        FROM (SELECT k.*, r.pending, coalesce(list_filter(r.pending, lambda p: p.c = k.cid)[-1].id, r.pending[-1].id) AS best FROM r JOIN k ON k.imei = r.imei AND k.n = r.n + 1))
+    SELECT imei, seq, cmd_seq FROM r WHERE n > 0 AND kind = 1""")
 def command_match(spark, sf_dir):
     p = derived.points(spark, sf_dir)
     n, t = F.col("position_id"), F.unix_millis("packet_date")
@@ -611,3 +648,70 @@ def upsert_merge(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("imei"), F.col("c_acctbal").alias("km"))
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey % 2 = 0").select((F.lit(1000000) + F.col("s_suppkey")).alias("imei"), F.lit(1.0).alias("km"))
     return ingest.upsert(c, s.unionByName(c.filter("imei % 4 = 0").withColumn("km", F.lit(1.0))), ["imei"])
+
+
+@query("SELECT c_custkey, c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR c_custkey % 17 = 0 AS online FROM customer")
+def online_devices(spark, sf_dir):
+    k = F.col("c_custkey")
+    flags = {"status": F.when(k % 7 == 0, "online").when(k % 2 == 0, "Online"), "traccar_device_status": F.when(k % 3 == 0, "offline"), "connected": F.when(k % 11 == 0, True).when(k % 3 == 0, False), "is_connected": k % 13 == 0, "connection_state": F.when(k % 17 == 0, "online")}
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", *[c.alias(n) for n, c in flags.items()])
+    return rows.select("c_custkey", lookups.is_online(rows).alias("online"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'own' WHEN c_acctbal >= 0 THEN CAST(c_custkey AS VARCHAR) END AS imei FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def runtime_id_resolution(spark, sf_dir):
+    devices = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("imei"), F.when(F.col("c_acctbal") >= 0, F.col("c_custkey")).alias("runtime_id"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "own").alias("imei"), F.col("o_custkey").cast("string").alias("runtime_device_id"))
+    return lookups.with_runtime_ids(rows, devices).select("o_orderkey", "imei")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'imei_required' WHEN c_custkey % 7 = 0 THEN 'invalid_or_missing_hours' WHEN c_custkey % 6 = 0 THEN 'invalid_or_missing_totalDistance_or_totalDistanceKm' END AS error,
+    CASE WHEN error IS NULL THEN round(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE c_nationkey * 1000 END / 1000, 6) END AS km_total, CASE WHEN error IS NULL THEN round(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE c_nationkey * 1000 END / 1000 * 0.621371, 6) END AS miles_total FROM customer""")
+def accumulator_overrides(spark, sf_dir):
+    k = F.col("c_custkey")
+    requests = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k, F.when(k % 10 != 0, F.concat(k, F.lit(" "))).alias("imei"), F.when(k % 7 != 0, "12.5").otherwise("x").alias("hours"), F.when((k % 2 == 0) & (k % 6 != 0), F.col("c_acctbal")).alias("total_distance"), F.when(k % 2 != 0, F.col("c_nationkey")).alias("total_distance_km"))
+    return lookups.accumulator_overrides(requests).select("c_custkey", "error", km("km_total"), km("miles_total"))
+
+
+@query(f"WITH {sql.paired()} SELECT imei, round(sum(driven) * 0.621371, 6) AS miles FROM pairs GROUP BY imei")
+def mileage_miles(spark, sf_dir):
+    return reports.mileage(derived.points(spark, sf_dir)).select("imei", km(geo.km_to_miles(F.col("km")), "miles"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 2 = 0 OR value > 0 WHEN event_type <> 'signup' THEN event_type <> 'error' OR value > 0 END AS acc, CASE WHEN event_id % 3 = 0 THEN 'power' ELSE 'ignition' END AS triggered_by FROM (SELECT event_id, event_type, coalesce(value, 0) AS value FROM events)")
+def power_ignition(spark, sf_dir):
+    n = F.col("event_id")
+    power = F.when(n % 6 == 0, "Power On").when(n % 6 == 3, "powerCut")
+    rows = derived.events(spark, sf_dir).select("event_id", power.alias("alarm"), F.when(F.col("event_type") != "signup", F.col("event_type") != "error").alias("ignition"), F.col("value").alias("speed"))
+    return events.acc_samples(rows).select("event_id", "acc", "triggered_by")
+
+
+@query("SELECT c.c_custkey AS unique_id, c.c_nationkey AS old_id, s.s_nationkey AS new_id FROM customer c JOIN supplier s ON s.s_suppkey = c.c_custkey WHERE c.c_nationkey <> s.s_nationkey")
+def registry_changed_ids(spark, sf_dir):
+    before = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("unique_id"), F.explode(F.array(F.struct(F.lit(1).alias("seq"), (F.col("c_nationkey") + 1).alias("runtime_id")), F.struct(F.lit(2).alias("seq"), F.col("c_nationkey").alias("runtime_id")))).alias("x")).select("unique_id", "x.*")
+    after = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("unique_id"), F.lit(1).alias("seq"), F.col("s_nationkey").alias("runtime_id"))
+    return lookups.changed_runtime_ids(before, after)
+
+
+@query("SELECT o_orderkey, c_name AS fcm_token FROM orders JOIN customer ON c_custkey = o_custkey")
+def tokens_by_user(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("user_id"))
+    tokens = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("user_id"), F.col("c_name").alias("fcm_token"))
+    return lookups.by_user(rows, tokens).select("o_orderkey", "fcm_token")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS imei FROM customer JOIN supplier ON s_suppkey = c_custkey WHERE s_suppkey % 3 < 2")
+def explicit_offline(spark, sf_dir):
+    s = F.col("s_suppkey")
+    snapshot = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(s.cast("string").alias("imei"), F.when(s % 3 == 0, "offline").when(s % 3 == 1, "Unknown").when(s % 2 == 0, "").alias("status"))
+    return lookups.explicit_offline(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("imei")), snapshot)
+
+
+@query(f"WITH {sql.points()} SELECT imei, t AS at, id AS position_id FROM points WHERE NOT (t BETWEEN 1704070800000 AND 1704078000000 AND user_id % 2 = 0) UNION ALL SELECT imei, t, -id FROM points WHERE t BETWEEN 1704070800000 AND 1704078000000 AND user_id % 2 = 0 AND speed > 0")
+def range_replace(spark, sf_dir):
+    """Rows of even devices between two instants (both included) give way to rebuilt ones."""
+    old = derived.points(spark, sf_dir).select("imei", "packet_date", "position_id", "speed")
+    start, end = F.timestamp_millis(F.lit(1704070800000)), F.timestamp_millis(F.lit(1704078000000))
+    even = old.filter(F.col("imei").cast("long") % 2 == 0)
+    new = even.filter(F.col("packet_date").between(start, end) & (F.col("speed") > 0)).withColumn("position_id", -F.col("position_id"))
+    return events.replace_range(old, new, even, start, end, "packet_date").select("imei", ms("packet_date", "at"), "position_id")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from fleetlane.functions.text import ALIASES, LEGACY, MESSAGES, MUTED
 from fleetlane.sources.derived import BASE_US
 
 CAIRO = "Africa/Cairo"
+#: Fixed values of the codes that the tests' data have, stated here anew: messages, legacy numbers, aliases, muted codes.
+MESSAGES = {"overspeed": ("Over Speed Alarm", "تنبيه تجاوز السرعة"), "lowbattery": ("Low Battery Alarm", "تنبيه انخفاض البطارية"), "sos": ("SOS Alarm", "تنبيه استغاثة"), "tampering": ("Tampering Alarm", "تنبيه عبث بالجهاز")}
+LEGACY = {"sos": 1, "overspeed": 6, "lowbattery": 14, "tampering": 19}
+ALIASES = {"lowbat": "lowbattery"}
+MUTED = ("tampering", "lowbattery")
 
 
 def points(k: int = 60) -> str:
@@ -93,3 +97,27 @@ def looked_up(values: dict, other: str) -> str:
 
 
 REPLY = "CASE event_id % 4 WHEN 0 THEN concat('Lat:', CASE WHEN event_id % 8 = 0 THEN 'S' ELSE 'N' END, CAST(event_id % 90 AS VARCHAR), '.5,Lon:E46.25,Course:', CAST(event_id % 360 AS VARCHAR), ',Speed:', CAST(event_id % 120 AS VARCHAR), ',DateTime:2024-01-01') WHEN 1 THEN concat('External power: 12.', CAST(event_id % 10 AS VARCHAR), 'V; GSM: strong, ACC: ON; Relay: off') WHEN 2 THEN concat('RELAY=OK ', CAST(event_id AS VARCHAR), '!') ELSE 'no reply' END"
+
+
+def received(k: int = 60) -> str:
+    """Messages with all their times: some late, some from the future, some without a fix, some that don't move."""
+    return f"""{points(k)}, received AS (SELECT imei, t AS arrived, id AS seq, CASE WHEN id % 23 <> 0 THEN t - CASE WHEN id % 3 = 0 THEN 400000 WHEN id % 19 = 0 THEN -130000 ELSE (id % 5) * 50000 END END AS fix,
+        CASE WHEN id % 8 <> 0 THEN t - CASE WHEN id % 7 = 0 THEN 400000 WHEN id % 37 = 0 THEN -200000 ELSE (id % 4) * 40000 END END AS device, CASE WHEN id % 13 <> 0 THEN t - CASE WHEN id % 11 = 0 THEN 290000 ELSE 1000 END END AS server,
+        CASE WHEN id % 2 = 0 THEN 24.5 ELSE round(lat, 2) END AS lat, 46.5 AS lon, CASE WHEN id % 29 <> 0 THEN speed END AS speed, id % 17 = 0 AS motion, id % 31 = 0 AS outdated FROM points)"""
+
+
+def tracked(keys: str, rows: str, order: str, now: str) -> str:
+    """Recursive tables `k` (rows numbered by keys) and `r`: each row's decision, given what those before it left."""
+    recent = lambda c: f"coalesce({now} - {c} <= 300000, false)"
+    current = "(coalesce(speed > 1, false) OR coalesce(motion, false) OR coalesce(NOT (lat = 0 AND lon = 0) AND (lat <> plat OR lon <> plon), false))"
+    behind = "coalesce(last_live > 0 AND device < last_live, false)"
+    decision = f"""CASE WHEN fix IS NULL AND device IS NULL THEN 'missing_time' WHEN coalesce(fix, device) > {now} + 120000 OR coalesce(device > {now} + 120000, false) THEN 'future_invalid'
+        WHEN {recent('fix')} THEN CASE WHEN last_fix > 0 AND fix < last_fix THEN 'out_of_order' ELSE 'fresh' END
+        WHEN {recent('device')} AND NOT coalesce(outdated, false) AND NOT {behind} AND {recent('server')} AND coalesce(abs(device - server) <= 180000, false) AND {current} THEN 'fresh_device_time'
+        WHEN {behind} AND {recent('device')} THEN 'out_of_order' ELSE 'historical' END"""
+    on = " AND ".join(f"k.{c} = r.{c}" for c in keys.split(", "))
+    names = ", ".join(f"k.{c}" for c in keys.split(", "))
+    return f"""k AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS n FROM {rows}),
+        r({keys}, n, seq, decision, effective, last_fix, last_live, plat, plon, accepted) AS (SELECT {keys}, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, 0::BIGINT, 0::BIGINT, NULL::DOUBLE, NULL::DOUBLE, false FROM k WHERE n = 1 UNION ALL
+            SELECT {keys}, n, seq, decision, effective, CASE WHEN decision = 'fresh' AND effective >= last_live THEN effective ELSE last_fix END, greatest(last_live, coalesce(effective, 0)), lat, lon, coalesce(effective >= last_live, false)
+            FROM (SELECT *, CASE decision WHEN 'fresh' THEN fix WHEN 'fresh_device_time' THEN device END AS effective FROM (SELECT {names}, k.* EXCLUDE ({keys}), r.last_fix, r.last_live, r.plat, r.plon, {decision} AS decision FROM r JOIN k ON {on} AND k.n = r.n + 1)))"""

@@ -208,39 +208,59 @@ class RetryDedupe(StatefulProcessor):
 
 class RoomThrottle(StatefulProcessor):
     """At most `most` sends of a device in a window of window_ms of event time; a further point waits, the latest
-    instead of earlier ones, and goes out when the window is over: with the next point or by timer. A device that
-    stands within 15 m for less than 30 s since its last send is suppressed; after 30 s of silence a point passes."""
+    instead of earlier ones, and goes out when the window is over: before the next point that comes later, or by timer.
+
+    A device that stands (speed exactly 0) within dead_m of its last send waits likewise, until stand_ms after that
+    send; one that stands elsewhere, and a point of unknown speed, go out at once. After silence_ms without a send
+    any point does."""
 
     schema = "imei string, packet_date timestamp, latitude double, longitude double, speed double, why string"
     names = ["imei", "packet_date", "latitude", "longitude", "speed", "why"]
 
-    def __init__(self, most: int = 10, window_ms: int = 30_000, dead_m: float = 15.0, silence_ms: int = 30_000):
-        self.most, self.window_ms, self.dead_m, self.silence_ms = most, window_ms, dead_m, silence_ms
+    def __init__(self, most: int = 10, window_ms: int = 30_000, dead_m: float = 15.0, silence_ms: int = 30_000, stand_ms: int = 30_000):
+        self.most, self.window_ms, self.dead_m, self.silence_ms, self.stand_ms = most, window_ms, dead_m, silence_ms, stand_ms
 
     def init(self, handle):
         self.handle, self.state = handle, handle.getValueState("state", STATE)
 
+    @staticmethod
+    def _sent(s: dict, t: int, lat: float | None, lon: float | None) -> None:
+        place = s["last"][1:] if s.get("last") else [None, None]
+        known = all(x is not None and x == x for x in (lat, lon))
+        s.update(last=[t, *([lat, lon] if known else place)], wait=None)
+
+    def flushed(self, s: dict, t: int | None = None) -> list[tuple]:
+        """The waiting point, if its time has come by t (None: now); it begins a window."""
+        if not s.get("wait") or (t is not None and t < s["due"]):
+            return []
+        wait, due = s["wait"], s["due"]
+        s.update(window=due, sent=1)
+        self._sent(s, due, *wait[1:3])
+        return [(*wait, "flushed")]
+
     def decide(self, s: dict, t: int, lat: float, lon: float, speed: float | None) -> list[tuple]:
         """The points (t, lat, lon, speed, why) that go out when a point comes; s is changed."""
-        out = []
-        if s.get("wait") and t - s["window"] >= self.window_ms:
-            out.append((*s["wait"], "flushed"))
-            s.update(window=t, sent=1, last=[s["wait"][0], *s["wait"][1:3]], wait=None)
-        if "window" not in s or t - s["window"] >= self.window_ms:
-            s.update(window=t, sent=0)
+        out = self.flushed(s, t)
+        s.setdefault("window", t)
+        s.setdefault("sent", 0)
         last = s.get("last")
-        if last:
-            near = speed is not None and speed <= 1 and meters(last[1], last[2], lat, lon) <= self.dead_m
-            if near and t - last[0] < self.silence_ms:
+        if speed == 0:
+            near = last is not None and all(x is not None and x == x for x in (lat, lon, *last[1:])) and meters(last[1], last[2], lat, lon) <= self.dead_m
+            if near and t - last[0] < self.stand_ms:
+                s.update(wait=[t, lat, lon, speed], due=last[0] + self.stand_ms)
                 return out
-            if t - last[0] >= self.silence_ms:
-                s.update(last=[t, lat, lon], sent=s["sent"] + 1, wait=None)
-                return [*out, (t, lat, lon, speed, "silence")]
-        if s["sent"] < self.most:
-            s.update(last=[t, lat, lon], sent=s["sent"] + 1, wait=None)
-            return [*out, (t, lat, lon, speed, "sent")]
-        s["wait"] = [t, lat, lon, speed]
-        return out
+            s.update(window=t, sent=1)
+        elif speed is not None and last is not None and t - last[0] >= self.silence_ms:
+            s.update(window=t, sent=1)
+        elif speed is not None:
+            if t - s["window"] >= self.window_ms:
+                s.update(window=t, sent=0)
+            if s["sent"] >= self.most:
+                s.update(wait=[t, lat, lon, speed], due=s["window"] + self.window_ms)
+                return out
+            s["sent"] += 1
+        self._sent(s, t, lat, lon)
+        return [*out, (t, lat, lon, speed, "sent")]
 
     def _rows(self, key, events: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame([(key[0], _ts(t), *rest) for t, *rest in events], columns=self.names)
@@ -257,11 +277,9 @@ class RoomThrottle(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timer_values, expired):
         s = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        wait = s.get("wait")
-        if wait:
-            s.update(wait=None, last=wait[:3])
-            self.state.update((json.dumps(s),))
-        yield self._rows(key, [(*wait, "flushed")] if wait else [])
+        out = self.flushed(s)
+        self.state.update((json.dumps(s),))
+        yield self._rows(key, out)
 
     def close(self):
         pass

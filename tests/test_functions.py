@@ -94,3 +94,9 @@ def test_fingerprint_keeps_empty_parts(spark):
     none = F.lit(None).cast("string")
     args = [F.lit("A"), none, F.lit("t"), none, none, F.lit(1.0), F.lit(None).cast("double"), none, none, F.lit(" x ")]
     assert one(spark, text.fingerprint(*args)) == "A||t|||1.000000||||x"
+
+
+def test_alarm_texts(spark):
+    say = lambda codes, language: one(spark, text.alarm_messages(text.alarm_tokens(F.lit(codes)), language))
+    assert say("SOS,unheard-of", "en") == "SOS Alarm | unheardof" and say("SOS,unheard-of", "ar") == "تنبيه استغاثة | تنبيه: unheardof"
+    assert say("", "en") == "" and say(None, "ar") == "تنبيه من الجهاز"

@@ -68,7 +68,6 @@ def test_lookups(spark):
     snapshot = spark.createDataFrame([("b", "offline"), ("c", "Unknown"), ("d", None)], "imei string, status string")
     assert {r["imei"]: r["reason"] for r in lookups.reconcile(online, snapshot).collect()} == {"a": "missing", "b": "offline", "c": "unknown"}
     assert {r["imei"] for r in lookups.explicit_offline(online, snapshot).collect()} == {"b", "c"}
-    assert [lookups.may_reconcile(n, True) for n in (0, 1, 2)] == [False, False, True] and lookups.may_reconcile(0, False)
     before = spark.createDataFrame([("u", 1, 0), ("v", 2, 0)], "unique_id string, runtime_id long, seq int")
     after = spark.createDataFrame([("u", 1, 0), ("u", 9, 1), ("v", 2, 0)], before.schema)
     assert lookups.changed_runtime_ids(before, after).collect()[0].asDict() == {"unique_id": "u", "old_id": 1, "new_id": 9}
@@ -211,13 +210,95 @@ def test_outbox_and_payloads(spark):
 
 
 def test_throttle_rules():
-    send = lambda throttle, s, t, lat=30.0, speed=50.0: [e[-1] for e in throttle.decide(s, t, lat, 31.0, speed)]
-    throttle, s = machines.RoomThrottle(most=2), {}
-    assert [send(throttle, s, t, 30 + t / 1e5) for t in (0, 1000, 2000)] == [["sent"], ["sent"], []]
-    assert send(throttle, s, 30_000, 31.0) == ["flushed", "sent"]
-    still = {}
-    assert [send(throttle, still, t, 30.0, 0.0) for t in (0, 1000, 30_000)] == [["sent"], [], ["silence"]]
-    assert send(throttle, {"window": 0, "sent": 1, "last": [0, 30.0, 31.0]}, 1000, 30.0, None) == ["sent"]
+    def send(throttle, s, *points):
+        return [[e[-1] for e in throttle.decide(s, t, lat, 31.0, speed)] for t, lat, speed in points]
+
+    assert send(machines.RoomThrottle(), {}, (0, 24.7, 40.0), (0, 24.70001, 40.0)) == [["sent"], ["sent"]]
+    assert send(machines.RoomThrottle(), {}, (1000, 24.7, 0.0), (2000, 24.70001, 0.0)) == [["sent"], []]
+    # a standing point that was held back goes out once the interval is over
+    assert send(machines.RoomThrottle(), {}, (0, 24.7, 0.0), (1000, 24.7, 0.0), (30_000, 24.7, 0.0)) == [["sent"], [], ["flushed"]]
+    assert send(machines.RoomThrottle(), {}, (0, 24.7, 0.0), (1000, 24.7, 0.0), (31_000, 25.0, 0.0)) == [["sent"], [], ["flushed", "sent"]]
+    # 0.5 km/h isn't standing; far from the last send, and of unknown speed, points go out whatever was sent
+    two = machines.RoomThrottle(most=2)
+    assert send(two, {}, (0, 24.7, 40.0), (1, 24.7, 0.5), (2, 24.7, 0.5)) == [["sent"], ["sent"], []]
+    assert send(two, {}, (0, 24.7, 40.0), (1, 24.7, 40.0), (2, 25.0, 0.0)) == [["sent"]] * 3
+    assert send(two, {}, (0, 24.7, 40.0), (1, 24.7, 40.0), (2, 24.7, None)) == [["sent"]] * 3
+    assert send(two, {}, (0, 24.7, 40.0), (1, 24.7, 40.0), (2, 24.8, 40.0), (30_000, 24.9, 40.0)) == [["sent"], ["sent"], [], ["flushed", "sent"]]
+    assert send(two, {}, (0, 24.7, 40.0), (40_000, 24.7, 40.0)) == [["sent"], ["sent"]]
+    s = {}
+    send(two, s, (0, 24.7, 40.0), (1, 24.7, 40.0), (2, 24.8, 40.0))
+    assert [e[-1] for e in two.flushed(s)] == ["flushed"] and two.flushed(s) == []
+
+
+NOW = 1_700_000_000_000
+
+
+def test_fix_decisions(spark):
+    """The column and the row form of the rules agree with literal cases."""
+    cases = [
+        ((NOW - 20_000, None, None), (NOW - 5_000, 0), False, "out_of_order"),
+        ((None, None, None), (0, 0), False, "missing_time"),
+        ((NOW + 600_000, None, None), (0, 0), False, "future_invalid"),
+        ((NOW - 1000, NOW + 200_000, None), (0, 0), False, "future_invalid"),
+        ((NOW - 600_000, NOW, NOW), (0, 0), True, "fresh_device_time"),
+        ((NOW - 600_000, NOW, NOW), (0, 0), False, "historical"),
+        ((NOW - 600_000, NOW, NOW - 200_000), (0, 0), True, "historical"),
+        ((NOW - 600_000, NOW - 10, NOW), (0, NOW), True, "out_of_order"),
+        ((None, NOW, NOW), (0, 0), True, "fresh_device_time"),
+        ((NOW - 300_000, None, None), (0, 0), False, "fresh"),
+    ]
+    for times, last, current, want in cases:
+        assert live.fix_decision(*times, NOW, *last, current, False)[0] == want
+    rows = [(*times, *last, current) for times, last, current, _ in cases]
+    df = spark.createDataFrame(rows, "fix long, device long, server long, last_fix long, last_live long, current boolean")
+    got = df.select(live.classify_fix(*[F.col(c) for c in ("fix", "device", "server")], F.lit(NOW), F.col("last_fix"), F.col("last_live"), F.col("current"), F.lit(False))["decision"].alias("d")).collect()
+    assert [r["d"] for r in got] == [w for *_, w in cases]
+
+
+def test_burst_has_one_live_fix(spark):
+    rows = [("A", 1, NOW, i, NOW - 20_000 + i * 100) for i in range(100)] + [("B", 1, NOW, 0, NOW - 1000), ("B", 1, NOW, 1, NOW + 3_600_000), ("B", 1, NOW, 2, NOW - 2000), ("C", 1, NOW, 0, NOW - 400_000)]
+    df = spark.createDataFrame(rows, "imei string, burst long, now long, seq long, fix long").withColumns({c: F.lit("mine") for c in ("alone", "newest", "fresh", "key")})
+    out = live.burst_live_pick(df.repartition(3))
+    assert {(r["imei"], r["seq"]) for r in out.filter("is_live").collect()} == {("A", 99), ("B", 0)}
+    assert [r["decision"] for r in out.filter("imei = 'B'").orderBy("seq").collect()] == ["fresh", "future_invalid", "out_of_order"]
+    assert set(df.columns) < set(out.columns) and out.filter("fresh = 'mine' and key = 'mine'").count() == 104
+
+
+def test_late_fixes_are_live_by_device_time(spark):
+    at = lambda k: NOW + k * 10_000
+    rows = [("A", at(0), 0, NOW - 900_000, at(0), at(0), 1.0, 1.0, 0.0), ("A", at(1), 1, NOW - 900_000, at(1), at(1), 1.0, 1.0, 0.0), ("A", at(2), 2, NOW - 900_000, at(2), at(2), 1.0, 1.1, 0.0), ("A", at(3), 3, at(2) - 5, at(3), at(3), 1.0, 1.1, 50.0), ("A", at(4), 4, NOW - 900_000, at(1), at(4), 1.0, 1.2, 50.0)]
+    df = spark.createDataFrame(rows, "imei string, arrived long, seq long, fix long, device long, server long, latitude double, longitude double, speed double")
+    out = live.live_tracked(df).orderBy("seq").collect()
+    assert [r["decision"] for r in out] == ["historical", "historical", "fresh_device_time", "fresh", "out_of_order"]
+    counts = live.clock_split(live.live_tracked(df)).first()
+    assert (counts["by_fix"], counts["by_device"], counts["fix_fresh"], counts["device_refused"], counts["stale_moving"]) == (1, 1, 1, 3, 1)
+
+
+def test_commands_answer_once(spark):
+    commands = spark.createDataFrame([("A", "1", 100, 10), ("A", "1", 101, 11), ("A", "2", 102, 12)], "imei string, command_id string, sent long, cmd_seq long")
+    responses = spark.createDataFrame([("A", "1", 200, 1), ("A", "1", 201, 2), ("A", "1", 202, 3), ("A", None, 203, 4), ("B", "1", 200, 5)], "imei string, command_id string, responded long, seq long")
+    got = {r["seq"]: r["cmd_seq"] for r in lookups.match_commands(commands, responses).collect()}
+    assert got == {1: 11, 2: 10, 3: 12, 4: None, 5: None}
+
+
+def test_status_is_written_every_ten_seconds(spark):
+    t = track(spark, [(k / 10, 1) for k in range(8)])  # minutes: a row each 6 s
+    out = live.status_coalesce(t.withColumn("key", F.lit("mine")), ["speed"]).orderBy("position_id").collect()
+    assert [r["persist"] for r in out] == [True, False] * 4 and {r["key"] for r in out} == {"mine"}
+
+
+def test_runtime_ids_and_overrides(spark):
+    devices = spark.createDataFrame([("A", 7), ("B", 7), ("C", 8)], "imei string, runtime_id long")
+    rows = spark.createDataFrame([("X", "7"), (None, "7"), (None, "8.0"), (None, "9"), (None, "x")], "imei string, runtime_device_id string")
+    assert [r["imei"] for r in lookups.with_runtime_ids(rows, devices).orderBy("runtime_device_id", "imei").collect()] == ["A", "X", "C", None, None]
+    asked = spark.createDataFrame([(" 1 ", "5", "1500", None), ("2", "5", None, "2"), ("3", "x", "1", None), ("4", "1", "NaN", None), (" ", "1", "1", None)], "imei string, hours string, total_distance string, total_distance_km string")
+    got = {(r["imei"], r["error"], r["km_total"]) for r in lookups.accumulator_overrides(asked).collect()}
+    assert got == {("1", None, 1.5), ("2", None, 2.0), ("3", "invalid_or_missing_hours", None), ("4", "invalid_or_missing_totalDistance_or_totalDistanceKm", None), ("", "imei_required", None)}
+
+
+def test_empty_snapshots_wait_for_the_grace_time():
+    say = lambda now, empties, online=5: lookups.empty_snapshot(online, 0, now, empties)
+    assert say(1000, 1) == (False, 0) and say(120_000, 0) == (False, 1) and say(130_000, 1) == (True, 2) and say(130_000, 1, 0) == (False, 1)
 
 
 def test_status_machine(spark, tmp_path):
