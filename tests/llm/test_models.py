@@ -14,9 +14,11 @@ def held(d):
     return zlib.crc32(str(d).encode()) % 4 == 2
 
 
-@pytest.mark.parametrize("chunk", [4096, 7])
-def test_embeddings_are_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, cell", [(4096, 1024), (7, 1024), (7, 9)])
+def test_embeddings_are_brute_force(spark, monkeypatch, chunk, cell):
+    """With reach 1, or all vectors in one cell, nothing is missed."""
     monkeypatch.setattr(embeddings, "CHUNK", chunk)
+    monkeypatch.setattr(embeddings, "CELL", cell)
     monkeypatch.setattr(embeddings, "AT_ONCE", 5)
     rng = np.random.default_rng(5)
     rows = []
@@ -26,17 +28,47 @@ def test_embeddings_are_brute_force(spark, monkeypatch, chunk):
     rows += [(np.array(rows[3]) * 7).tolist(), (np.array(rows[3]) * -1).tolist(), [0.0] * 16, None, [None] + [1.0] * 15, [float("nan")] * 16, [float("inf")] * 16, [], [1.0, 2.0], [2.0, 4.0], [1e300, 1e300], [1e-300, 1e-300]]
     ids = list(range(100, 100 + len(rows)))
     random.Random(2).shuffle(ids)
-    df = spark.createDataFrame(list(zip(ids, rows, strict=True)), "vec_id long, embedding array<double>").withColumn("node", F.lit("clash")).repartition(3)
+    df = spark.createDataFrame(list(zip(ids, rows, strict=True)), "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("node", "key", "first", "cells", "component")}).repartition(3)
     good = {i: np.array(v) / np.abs(v).max() for i, v in zip(ids, rows, strict=True) if v and None not in v and np.isfinite(v).all() and any(v)}
     unit = {i: v / np.linalg.norm(v) for i, v in good.items()}
     edges = [(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.9]
     parts = brute.union(ids, edges)
     links = {i: sum(i in e for e in edges) for i in ids}
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df, reach=embeddings.REACH if cell > len(ids) else 1.0).collect()}
     assert got == {i: (links[i], parts[i], parts[i] == i) for i in ids}
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_recall_and_odd_ids(spark, monkeypatch):
+    """Pairs right at the threshold, many cells: at least 0.9 of the links, and none that isn't one."""
+    monkeypatch.setattr(embeddings, "CELL", 60)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 64))
+    y = rng.standard_normal((1500, 64))
+    x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y - (x * y).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True) * x
+    y = y / np.linalg.norm(y, axis=1, keepdims=True)
+    cosine = np.where(np.arange(1500) % 3 == 0, 0.89, 0.901)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * y]))]
+    rows += [(None, rows[1][1]), (7000, rows[4][1]), (7000, rows[4][1]), (7001, (np.array(rows[7][1]) * 3).tolist())]
+    out = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    by = {r["vec_id"]: r for r in out if r["vec_id"] is not None and r["vec_id"] < 1500}
+    assert all(by[i]["n_links"] == 0 for i in range(0, 1500, 3))
+    assert np.mean([by[i]["n_links"] > 0 for i in range(1500) if i % 3]) >= 0.9
+    assert sorted(r["n_links"] for r in out if r["vec_id"] == 7000) == [by[4]["n_links"]] * 2 and by[4]["n_links"] >= 2
+    assert [(r["component_id"], r["kept"]) for r in out if r["vec_id"] is None] == [(None, True)]
+
+
+def test_cosine_on_the_threshold_is_taken_from_the_vectors_themselves(spark):
+    """Vectors of ten ones of which nine are shared have cosine 0.9 on the dot."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(40):
+        on = rng.permutation(64)[:11]
+        rows += [(2 * k + j, np.isin(np.arange(64), np.delete(on, j)).astype(float).tolist()) for j in range(2)]
+    want = {i: sum(np.dot(v, w) / (np.sqrt(np.dot(v, v)) * np.sqrt(np.dot(w, w))) >= 0.9 for j, w in rows if j != i) for i, v in rows}
+    assert {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()} == want
+
+
 def sentences(rng, stems, n):
     return " ".join(rng.choice(stems) + rng.choice(stems) for _ in range(n))
 
