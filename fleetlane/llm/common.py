@@ -35,17 +35,23 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes what stored() wrote for these tables; nothing that is still to run may read them."""
+    """Deletes what stored() wrote for these tables; nothing that is still to run may read them.
+
+    Shuffle files of jobs that have ended go when the driver's JVM collects its garbage, which a driver with much
+    memory rarely does by itself; so it is asked to.
+    """
     for df in tables:
         fs, root = open_fs(df.stored_at)
         fs.delete_dir(root)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def open_fs(address: str) -> tuple[pafs.FileSystem, str]:

@@ -158,12 +158,24 @@ def _single_nodes(pieces: DataFrame, window: int) -> DataFrame:
             rows = [(suffix, doc, start + i) for doc, start, n, piece in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True) for i, suffix in enumerate(suffixes_of(piece, n, window))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["node", "doc_id", "start"])
 
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = None, None
+        for batch in batches:
+            out = []
+            for node, part, role, *place in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if not role:
+                    at, first = (node, part), place
+                elif at == (node, part) and place != first:
+                    out.append(tuple(place))
+            yield _maximal(out)
+
     leaves = pieces.filter("large").select("doc_id", "start", "suffixes", "piece").mapInArrow(run, "node binary, doc_id long, start long")
     leaves = leaves.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
     parts = leaves.groupBy("node", "part").agg(F.min(F.struct("doc_id", "start")).alias("leaf"), F.count("*").alias("leaves"))
     first = parts.groupBy("node").agg(F.min("leaf").alias("leaf"), F.sum("leaves").alias("leaves")).filter("leaves > 1").select("node", "leaf")
-    later = leaves.join(parts.select("node", "part").join(first, "node"), ["node", "part"]).filter(F.struct("doc_id", "start") != F.col("leaf"))
-    return later.select("doc_id", F.col("start").alias("first"), F.lit(1).cast("long").alias("suffixes"))
+    told = parts.select("node", "part").join(first, "node").select("node", "part", F.lit(0).alias("role"), "leaf.*")
+    rows = told.unionByName(leaves.withColumn("role", F.lit(1)))
+    return rows.repartition("node", "part").sortWithinPartitions("node", "part", "role").mapInArrow(later, "doc_id long, first long, suffixes long")
 
 
 def repeats(docs: DataFrame, window: int = 20, prefix: int = PREFIX_WORDS, group: int = GROUP_PLACES) -> DataFrame:
@@ -172,10 +184,11 @@ def repeats(docs: DataFrame, window: int = 20, prefix: int = PREFIX_WORDS, group
     every = anchored.agg(F.sum(F.size("anchor"))).first()[0] or 0
     counts = anchored.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("places")).filter("places > 1")
     counts = stored(counts.withColumn("heavy", F.col("places") > max(HEAVY_PLACES, every // HEAVY_SHARE)), "counts")
-    heavy = F.broadcast(counts.filter("heavy").select("anchor"))  # HEAVY_SHARE rows at most
+    large = (F.col("places") > group).alias("large")
+    heavy = F.broadcast(counts.filter("heavy").select("anchor", large))  # HEAVY_SHARE rows at most
     flat = anchored.select("doc_id", F.explode(F.arrays_zip("anchor", "start", "suffixes")).alias("at")).select("doc_id", "at.*")
-    usual = flat.join(heavy, "anchor", "left_anti").join(counts.filter("not heavy").select("anchor", (F.col("places") > group).alias("large")), "anchor")
-    places = usual.unionByName(flat.join(heavy, "anchor").withColumn("large", F.lit(True)))
+    usual = flat.join(heavy.select("anchor"), "anchor", "left_anti").join(counts.filter("not heavy").select("anchor", large), "anchor")
+    places = usual.unionByName(flat.join(heavy, "anchor"))
     pieces = stored(_pieces(docs, places, window), "pieces")
     discard(anchored, counts)
     found = stored(_subtrees(pieces, window).unionByName(_single_nodes(pieces, window)), "repeats")
