@@ -5,9 +5,11 @@ the `order`-grams of all its training texts, counted by Spark; lower orders coun
 Grams and contexts lie, with their discounted probabilities and back-off weights, in sorted arrays, cut
 between contexts into pieces that Spark's tasks write to the shared folder and workers map into memory.
 Neither grams nor languages are dropped.
-A text goes to the language with the lowest length-normalised cross-entropy. Rejection is calibrated: a
-text is rejected if its cross-entropy is above what all but `reject` of the language's training texts
-(of a bounded sample) reach.
+A text goes to the language with the lowest length-normalised cross-entropy. Rejection is calibrated on
+texts that the models haven't seen: a bounded sample of the labelled rows (CALIBRATION_ROWS, a tenth at most,
+of languages with LEAST_TEXTS or more) is left out of the counts, and a text is rejected if its cross-entropy
+is above what all but `reject` of its language's texts in that sample reach. Languages without such texts
+reject nothing.
 
 Null text or text without a letter: `und`, score 0, rejected. Without training texts every text is `und`.
 Of equal cross-entropies the first language by name wins. Repeated rows get equal results. Columns besides
@@ -33,8 +35,8 @@ from .common import discard, open_fs, per_worker, shared_dir, slices, stored, st
 from .folds import held_out
 
 ORDER = 4
-#: Rows that calibrate rejection; grams from which a piece of a model ends with the context.
-CALIBRATION_ROWS, PIECE_GRAMS = 10_000, 1 << 20
+#: Rows that calibrate rejection, and texts that a language must have for that; grams from which a piece of a model ends with the context.
+CALIBRATION_ROWS, LEAST_TEXTS, PIECE_GRAMS = 10_000, 50, 1 << 20
 #: Characters worked on at a time; letters after which the score no longer gains from more of them.
 AT_ONCE, FULL_LENGTH = 1 << 20, 100
 
@@ -71,10 +73,10 @@ def grams(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.n
     return out, start, np.bincount(text_of[x != 0], minlength=len(texts))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def _pieces(batches: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Batches whose texts have about AT_ONCE characters together, or a single one."""
-    for batch in slices(batches, "text"):
-        texts, s, total = strings_of(batch, "text"), 0, 0
+    for batch in slices(batches, name):
+        texts, s, total = strings_of(batch, name), 0, 0
         for i, t in enumerate(texts):
             total += len(t or "")
             if total >= AT_ONCE or i + 1 == len(texts):
@@ -280,6 +282,41 @@ class Models:
         return np.where(known, np.array(self.names, object)[best], "und").tolist(), np.where(known, 1 / odds, 0.0).tolist(), np.where(known, low, 0.0).tolist()
 
 
+def fit(docs: DataFrame, learn: Column, reject: float = 0.001) -> Models:
+    """Models of the languages of those docs for which `learn` holds."""
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).filter(learn).filter("lang is not null and text is not null")
+    known = rows.groupBy("lang").agg(F.count("*").alias("texts"))
+    every = known.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
+    ids = rows.filter("doc_id is not null").select("doc_id", "lang").join(known.filter(F.col("texts") >= LEAST_TEXTS).select("lang"), "lang")
+    ids = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("calibration")), "doc_id").limit(min(CALIBRATION_ROWS, every // 10))
+    ids = stored(ids, "calibration")
+    models, letters = built(stored(counts(rows.join(F.broadcast(ids), "doc_id", "left_anti")), "grams"))  # CALIBRATION_ROWS ids at most
+    names = sorted(models)
+    made = Models(names, [models[x] for x in names], letters, {})
+    limits = judged(rows.join(F.broadcast(ids), "doc_id"), made, ["lang"]).filter("lang = lang_pred").groupBy("lang").agg(F.percentile("bits", F.lit(1 - reject)).alias("most")).collect()
+    discard(ids)
+    return Models(names, made.models, letters, {r["lang"]: r["most"] for r in limits})
+
+
+def judged(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and cross-entropy (bits a character) of each text."""
+        g, start, has = grams(texts)
+        of, distinct = pd.factorize(g)
+        sizes = np.diff(np.append(start, len(g))) - 1
+        bits = np.zeros((len(texts), len(self.models)))
+        for k, model in enumerate(self.models):
+            each = model.entropies(distinct, self.letters)[of]
+            each[start] = 0
+            bits[:, k] = np.add.reduceat(each, start, dtype=np.float64) / np.maximum(sizes, 1)
+        if not self.models:
+            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        best = bits.argmin(1)
+        low = bits[np.arange(len(bits)), best]
+        odds = np.exp2(np.maximum(-1000, (low[:, None] - bits) * np.minimum(sizes, FULL_LENGTH)[:, None])).sum(1)
+        known = has > 0
+        return np.where(known, np.array(self.names, object)[best], "und").tolist(), np.where(known, 1 / odds, 0.0).tolist(), np.where(known, low, 0.0).tolist()
+
+
 def fit(docs: DataFrame, learn: Column, reject: float = 0.001) -> Models:
     """Models of the languages of those docs for which `learn` holds."""
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).filter(learn)
@@ -299,13 +336,13 @@ def judged(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
-        for batch, texts in _pieces(batches):
+        for batch, texts in _pieces(batches, "__text"):
             lang, score, bits = models.judged(texts)
             out = [x == "und" or b > models.limits.get(x, np.inf) for x, b in zip(lang, bits, strict=True)]
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            kept = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(out, pa.bool_())], names=names)
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, bits double, rejected boolean")
 
