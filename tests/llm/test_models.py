@@ -92,6 +92,85 @@ def test_language(spark):
     assert language.predicted(df.limit(0)).count() == 0
 
 
+def plain_letters(text):
+    """A blank, then lower-case letters with one blank for whatever is between words."""
+    out = [" "]
+    for c in text or "":
+        if c.isalpha():
+            out.append(c.lower()[0])
+        elif out[-1] != " ":
+            out.append(" ")
+    return out
+
+
+class PlainKneserNey:
+    """Interpolated Kneser-Ney in dictionaries, straight from its definition."""
+
+    def __init__(self, texts, order=4):
+        grams = {}
+        for t in texts:
+            x = [" "] * (order - 1) + plain_letters(t)
+            for i in range(order, len(x)):  # the blank in front isn't predicted
+                g = tuple(x[i - order + 1 : i + 1])
+                grams[g] = grams.get(g, 0) + 1
+        self.levels = {order: grams}
+        for k in range(order - 1, 0, -1):
+            low = {}
+            for g in self.levels[k + 1]:
+                low[g[1:]] = low.get(g[1:], 0) + 1
+            self.levels[k] = low
+        self.discount, self.context = {}, {}
+        for k, level in self.levels.items():
+            once, twice = (sum(n == m for n in level.values()) for m in (1, 2))
+            self.discount[k] = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+            for g, n in level.items():
+                total, kinds = self.context.get(g[:-1], (0, 0)) if len(g) == k else (0, 0)
+                self.context[g[:-1]] = (total + n, kinds + 1)
+
+    def bits(self, text, letters, order=4):
+        x = [" "] * (order - 1) + plain_letters(text)
+        total = 0.0
+        for i in range(order, len(x)):
+            p = 1 / letters
+            for k in range(1, order + 1):
+                g = tuple(x[i - k + 1 : i + 1])
+                times, kinds = self.context.get(g[:-1], (0, 0))
+                if times:
+                    p = max(self.levels[k].get(g, 0) - self.discount[k], 0) / times + self.discount[k] * kinds / times * p
+            total -= np.log2(p)
+        return total / max(1, len(x) - order)
+
+
+def test_language_is_a_plain_kneser_ney(spark):
+    rng = random.Random(9)
+    rows = [(i, sentences(rng, LANGS[lang], rng.randrange(1, 30)) + rng.choice(["", ".", " 12", " Éa"]), lang) for i in range(90) for lang in [rng.choice(list(LANGS))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language.fit(df, F.lit(True))  # 9 of the rows calibrate, where a language has 50
+    left_out = {r["doc_id"] for r in df.select("doc_id", "lang").join(df.groupBy("lang").count().filter("count >= 50"), "lang").orderBy(F.xxhash64("doc_id", F.lit("calibration"))).limit(9).collect()}
+    learnt = [r for r in rows if r[0] not in left_out]
+    plain = {lang: PlainKneserNey([t for _, t, x in learnt if x == lang]) for lang in LANGS}
+    letters = len({g for p in plain.values() for g in p.levels[1]}) + 1
+    assert models.names == sorted(LANGS) and models.letters == letters
+    for r in language.judged(df, models, ["doc_id", "text"]).collect():
+        bits = {lang: p.bits(r["text"], letters) for lang, p in plain.items()}
+        best = min(bits, key=bits.get)
+        assert r["lang_pred"] == best and abs(r["bits"] - bits[best]) < 1e-4
+        n = min(100, len(plain_letters(r["text"])) - 1)
+        assert abs(r["score"] - 1 / sum(2 ** (n * (bits[best] - b)) for b in bits.values())) < 1e-2
+
+
+def test_rejection_is_calibrated_on_unseen_texts(spark):
+    """About `reject` of new texts of the same kind are rejected, not the many that a limit from seen texts would."""
+    rng = random.Random(4)
+    rows = [(i, sentences(rng, LANGS[lang], 12), lang) for i in range(6000) for lang in [rng.choice(list(LANGS))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language.fit(df.filter("doc_id < 4000"), F.lit(True), reject=0.05)
+    new = language.judged(df.filter("doc_id >= 4000"), models, ["doc_id"])
+    assert set(models.limits) == set(LANGS) and 0.02 < new.filter("rejected").count() / 2000 < 0.1
+    other = spark.createDataFrame([(1, "qqq zzz xxx www vvv kkk jjj")], "doc_id long, text string")
+    assert language.judged(other, models, ["doc_id"]).first()["rejected"]
+
+
 def test_kneser_ney_sums_to_one():
     texts = ["abab abcab", "bca b ac", "abcabc"]
     g, start, _ = language.grams(texts)
@@ -193,6 +272,59 @@ def test_equal_texts_are_learnt_from_once(spark):
     assert once.weights == often.weights and once.curve == often.curve
 
 
+def plain_features(lexicon, text):
+    """Hits and density without an automaton: at each place the longest pattern, unless a phrase covers it."""
+    folded = f" {' '.join(toxicity.fold(text).split())} "
+    covered = [(s, s + len(p) + 2) for p in (" ".join(toxicity.fold(x).split()) for x in lexicon.phrases) for s in range(len(folded)) if folded.startswith(f" {p} ", s)]
+    found = []
+    for s in range(len(folded)):
+        best = max((p for p in lexicon.weights if folded.startswith(p, s)), key=len, default=None)
+        if best and lexicon.weights[best] and not any(a <= s + 1 and s + len(best) <= b for a, b in covered):
+            found.append(lexicon.weights[best])
+    words = len(folded.split())
+    return len(found), max(0.0, sum(found)) / (words + toxicity.EXTRA_WORDS), words
+
+
+def test_scores_are_those_of_a_plain_scorer(spark):
+    rows, labels = toxic_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True), phrases=("green moron",))
+    assert lexicon.weights
+    lexicon.weights |= {" moronic ": 0.0, " green ": 0.5}
+    some = [t for _, t in rows[:150]] + [None, "", "moron", "m0r0n moronic MORONS", "a green moron is green", "green moron moron", "ＭＯＲＯＮ!"]
+    out = toxicity.features(spark.createDataFrame(list(enumerate(some)), "k long, text string"), lexicon, ["k"]).collect()
+    for r in out:
+        hits, density, words = plain_features(lexicon, some[r["k"]])
+        assert (r["hits"], r["words"]) == (hits, words) and abs(r["density"] - density) < 1e-12
+        assert r["score"] == lexicon.score(r["density"], r["words"])
+
+
+def test_folding():
+    fold = lambda t: " ".join(toxicity.fold(t).split())
+    assert fold("ｌｏｌ") == fold("lol") == fold("LÖL") == fold("l0l") == fold("ӏol") == fold("𝐥𝐨𝐥") == fold("ⓛⓞⓛ") == "ioi"
+    assert fold("idi!ot id|ot idiot! |a|") == "idiiot idiot idiot a" and fold("lo\u0301l lo\u200bl") == "ioi ioi"
+    assert fold(fold("Lóꝉ x1")) == fold("Lóꝉ x1") and fold(None) == ""
+
+
+def test_harmless_phrases_are_learnt(spark):
+    """A word of toxic texts that clean texts have in one phrase alone."""
+    rng = random.Random(6)
+    filler = ["the", "lot", "of", "paper", "island", "stone"]
+    rows, labels = [], []
+    for i in range(1500):
+        words = [rng.choice(filler) for _ in range(rng.randrange(30, 60))]
+        if i % 4 == 0:
+            words[10:10] = ["you", "trash"] if i % 8 else ["trash", "all"]
+        elif i % 40 == 1:
+            words[10:10] = ["trash", "can"]
+        rows.append((i, " ".join([f"d{i}", *words])))
+        labels.append((i, int(i % 4 == 0)))
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs, table, F.lit(True))
+    assert any("can" in p.split() for p in lexicon.phrases) and not any(p in ("you trash", "trash aii") for p in lexicon.phrases)
+    assert lexicon.features("the trash can is there")[0] == 0 and lexicon.features("that trash")[0] == 1
+
+
 def test_exceptions():
     lexicon = toxicity.Lexicon({" idiot": 3.0, " idiotes ": 0.0, " trash ": 2.0}, phrases=("Trash can",))
     hits = lambda text: lexicon.hits(" " + " ".join(toxicity.fold(text).split()) + " ")
