@@ -82,8 +82,9 @@ def _anchored(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     return _identified(docs).mapInArrow(run, "doc_id long, anchor array<long>, start array<int>, suffixes array<short>")
 
 
-def _pieces(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
-    """(anchor, large, doc_id, start, suffixes, piece) of each place of a repeated anchor: the words of its suffixes."""
+def _pieces(docs: DataFrame, by_doc: DataFrame, window: int) -> DataFrame:
+    """(anchor, large, doc_id, start, suffixes, piece) of each place of a repeated anchor (by_doc: lists of a document's
+    places): the words of its suffixes."""
     names = ["anchor", "large", "doc_id", "start", "suffixes", "piece"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +99,6 @@ def _pieces(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
             at = [x.take(pa.array(there)) for x in (anchor, large, batch.column(0).take(pa.array(doc)), start, suffixes)]
             yield pa.RecordBatch.from_arrays([*at, piece], names=names)
 
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "large", "start", "suffixes")).alias("at"))
     rows = _identified(docs).join(by_doc, "doc_id").select("doc_id", "text", "at")
     return rows.mapInArrow(run, "anchor long, large boolean, doc_id long, start int, suffixes short, piece binary")
 
@@ -189,8 +189,10 @@ def repeats(docs: DataFrame, window: int = 20, prefix: int = PREFIX_WORDS, group
     flat = anchored.select("doc_id", F.explode(F.arrays_zip("anchor", "start", "suffixes")).alias("at")).select("doc_id", "at.*")
     usual = flat.join(heavy.select("anchor"), "anchor", "left_anti").join(counts.filter("not heavy").select("anchor", large), "anchor")
     places = usual.unionByName(flat.join(heavy, "anchor"))
-    pieces = stored(_pieces(docs, places, window), "pieces")
+    by_doc = stored(places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "large", "start", "suffixes")).alias("at")), "places")
     discard(anchored, counts)
+    pieces = stored(_pieces(docs, by_doc, window), "pieces")
+    discard(by_doc)
     found = stored(_subtrees(pieces, window).unionByName(_single_nodes(pieces, window)), "repeats")
     discard(pieces)
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "suffixes")).alias("repeats"))
