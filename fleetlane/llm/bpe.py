@@ -1,10 +1,13 @@
 """BPE encoding and decoding by forced-boundary splitting (operator 5).
 
-A byte pair that occurs inside no vocabulary token can never be merged over. Before a space, where the
-byte in front is not white space, such a pair is also a place where the pre-tokenizer always ends a
-piece. The text is cut there, each distinct fragment is encoded by the tokenizers library once, and the
-ids are concatenated. White space of any kind in front of a space is no cut: the pre-tokenizer looks
-ahead there; nor is a byte that some token has in front of a space.
+A byte pair that occurs inside no vocabulary token can never be merged over. Where the pre-tokenizer, too,
+makes no difference between a text and its parts, such a pair is a certain cut: in front of a space that
+follows no white space, and between two characters of which neither is white space or an apostrophe (the
+pre-tokenizer looks ahead in white space, and an apostrophe may begin a contraction). The text is cut in front
+of spaces first, and pieces of more than LONG characters, as of scripts without spaces, at all other certain
+cuts as well; each distinct fragment is encoded by the tokenizers library once, and the ids are concatenated.
+What a worker keeps of them is bounded in bytes. Texts with the vocabulary's special tokens are cut outside of these.
+Other pre-tokenizers than the byte-level one, and normalizers, get whole texts as fragments.
 
 Null text is empty: no ids. Null ids decode to an empty text. Repeated rows and ids give equal results.
 """
@@ -14,7 +17,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,11 @@ from pyspark.sql import types as T
 
 from .common import per_worker, slices, strings_of
 
-#: Distinct fragments that a Python worker keeps encoded.
-CACHE_FRAGMENTS = 600_000
+#: Bytes of encoded fragments that a Python worker keeps, what one takes besides its characters and ids, and from how
+#: many characters on a fragment without a space is cut.
+CACHE_BYTES, FRAGMENT_BYTES, LONG = 160 << 20, 200, 64
+#: The contractions that the pre-tokenizer knows.
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: The byte-level pre-tokenizer as tokenizer files state it, and the pieces it finds.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -92,8 +98,10 @@ class ForcedBoundaryCodec:
             model = json.load(f)
         self.special = [x["content"] for x in model.get("added_tokens", [])]
         self.ranked = ranked(model) if engine == "tiktoken" else None
-        joined = inner_pairs(self.tokens)[:, 0x20]
-        self.blocked_bytes = frozenset(b for b in range(256) if joined[b] and not bytes([b]).isspace())
+        self.joined = inner_pairs(self.tokens)
+        self.joined[[ord(x[1]) for x in CONTRACTIONS if x[2:]], [ord(x[2]) for x in CONTRACTIONS if x[2:]]] = True
+        self.cuts = model.get("pre_tokenizer") == BYTE_LEVEL and not model.get("normalizer")
+        self.blocked_bytes = frozenset(b for b in range(256) if self.joined[b, 0x20] and not bytes([b]).isspace())
         self.blocked: dict[str, bool] = {"": True}
         self._forget()
 
@@ -118,7 +126,17 @@ class ForcedBoundaryCodec:
     def _each(self, fragments: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(fragments, add_special_tokens=False)]
 
-    def _store(self, ids: list[np.ndarray], sizes: np.ndarray) -> range:
+    def _inner(self, text: str) -> list[str]:
+        """A text's parts between its certain cuts, other than those in front of spaces."""
+        if len(text) <= LONG or any(x in text for x in self.special):
+            return [text]
+        b = np.frombuffer(text.encode(), np.uint8)
+        at = np.flatnonzero((b & 0xC0) != 0x80)  # where characters begin
+        solid = np.fromiter((not (c.isspace() or c == "'") for c in text), bool, len(text))
+        cut = np.flatnonzero(solid[:-1] & solid[1:] & ~self.joined[b[at[1:] - 1], b[at[1:]]]) + 1
+        return [text[s:e] for s, e in zip(np.append(0, cut).tolist(), np.append(cut, len(text)).tolist(), strict=True)]
+
+    def _store(self, ids: list[np.ndarray], sizes: np.ndarray, texts: list[str]) -> range:
         """Appends fragments' ids (sizes: how many each has) to the kept ones; returns the fragments' numbers."""
         n, at, more = self.n_kept, int(self.ends[self.n_kept]), int(sizes.sum())
         while len(self.kept) < at + more:
@@ -128,6 +146,7 @@ class ForcedBoundaryCodec:
         self.kept[at : at + more] = np.concatenate(ids) if ids else 0
         self.ends[n + 1 : n + 1 + len(sizes)] = at + np.cumsum(sizes)
         self.n_kept += len(sizes)
+        self.bytes += 4 * more + FRAGMENT_BYTES * len(sizes) + sum(map(len, texts))
         return range(n, self.n_kept)
 
     def _learn(self, words: set[str], uneven: set[str]) -> None:
@@ -140,48 +159,68 @@ class ForcedBoundaryCodec:
         joint = list(words - odd)
         if odd:
             each = self._each([" " + w for w in odd])
-            self.after_space.update(zip(odd, self._store(each, np.array([len(x) for x in each])), strict=True))
+            self.after_space.update(zip(odd, self._store(each, np.array([len(x) for x in each]), list(odd)), strict=True))
         if joint:
             text = " " + " ".join(joint)
             ids = np.array(self.ranked.encode_ordinary(text) if self.ranked else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum(self.lengths[ids])
             upto = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in joint]), side="left") + 1
-            self.after_space.update(zip(joint, self._store([ids], np.diff(np.append(0, upto))), strict=True))
+            self.after_space.update(zip(joint, self._store([ids], np.diff(np.append(0, upto)), joint), strict=True))
+
+    def _learn_alone(self, texts: set[str]) -> None:
+        """Encodes fragments that follow no space."""
+        todo = list(texts.difference(self.alone))
+        each = self._each(todo)
+        self.alone.update(zip(todo, self._store(each, np.array([len(x) for x in each], np.int64), todo), strict=True))
 
     def _forget(self) -> None:
         self.after_space: dict[str, int] = {}
         self.alone: dict[str, int] = {}
         self.uneven: set[str] = set()
-        self.kept, self.ends, self.n_kept = np.zeros(1 << 16, "<u4"), np.zeros(1 << 12, np.int64), 0
+        self.kept, self.ends, self.n_kept, self.bytes = np.zeros(1 << 16, "<u4"), np.zeros(1 << 12, np.int64), 0, 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as the tokenizers library gives them without added special tokens."""
-        if self.n_kept > CACHE_FRAGMENTS:
+        if self.bytes > CACHE_BYTES:
             self._forget()
+        if not self.cuts:
+            return [x.tobytes() for x in self._each([t or "" for t in texts])]
         split = [(text or "").split(" ") for text in texts]
         flat = list(chain.from_iterable(split))
-        numbers = list(map(self.after_space.get, flat))
-        new = {w for w, n in zip(flat, numbers, strict=True) if n is None}
+        new = set(flat).difference(self.after_space)
         self.uneven.update(filter(self._blocks, new))
         if self.uneven:
             merged = [parts if self.uneven.isdisjoint(parts[:-1]) else self._merged(parts) for parts in split]
             if any(a is not b for a, b in zip(merged, split, strict=True)):
                 split, flat = merged, list(chain.from_iterable(merged))
-                numbers = list(map(self.after_space.get, flat))
-                new = {w for w, n in zip(flat, numbers, strict=True) if n is None}
+                new = set(flat).difference(self.after_space)
                 self.uneven.update(filter(self._blocks, new))
-        self._learn(new, self.uneven)
-        todo = list({parts[0] for parts in split} - self.alone.keys())
-        each = self._each(todo)
-        self.alone.update(zip(todo, self._store(each, np.array([len(x) for x in each], np.int64)), strict=True))
-        get = self.after_space.__getitem__
-        of = np.fromiter((get(w) if n is None else n for w, n in zip(flat, numbers, strict=True)), np.int64, len(flat))
-        lengths = np.cumsum([len(parts) for parts in split])
-        of[np.append(0, lengths[:-1])[: len(split)]] = [self.alone[parts[0]] for parts in split]
-        begin, size = self.ends[of], self.ends[of + 1] - self.ends[of]
+        heads = [parts[0] for parts in split]  # these follow no space
+        long = {w: self._inner(" " + w) for w in new if len(w) > LONG}
+        cut = {w: [x[0][1:], *x[1:]] for w, x in long.items() if len(x) > 1}
+        after = {x[0] for x in cut.values()}
+        self.uneven.update(filter(self._blocks, after.difference(self.after_space)))
+        self._learn((new - cut.keys()) | after.difference(self.after_space), self.uneven)
+        first = {w: self._inner(w) for w in set(heads)}
+        self._learn_alone(set(chain(chain.from_iterable(first.values()), *(x[1:] for x in cut.values()))))
+        numbers = np.fromiter(map(self.after_space.get, flat, repeat(-1)), np.int64, len(flat))
+        words = np.array([len(parts) for parts in split], np.int64)
+        begins = np.cumsum(words) - words
+        whole = {w: self.alone[x[0]] for w, x in first.items() if len(x) == 1}
+        numbers[begins] = [whole.get(w, -1) for w in heads]
+        todo = np.flatnonzero(numbers < 0)  # words of several fragments
+        if len(todo):
+            at_head = set(begins.tolist())
+            several = [[self.alone[x] for x in first[flat[i]]] if i in at_head else [self.after_space[cut[flat[i]][0]], *(self.alone[x] for x in cut[flat[i]][1:])] for i in todo.tolist()]
+            times = np.ones(len(flat), np.int64)
+            times[todo] = [len(x) for x in several]
+            numbers = np.repeat(numbers, times)
+            numbers[numbers < 0] = list(chain.from_iterable(several))
+            words = np.add.reduceat(times, begins)
+        begin, size = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
         to = np.cumsum(size)
         ids = self.kept[np.repeat(begin - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)]
-        edges = np.append(0, to)[np.append(0, lengths)].tolist()
+        edges = np.append(0, to)[np.append(0, np.cumsum(words))].tolist()
         return [ids[s:e].tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)]
 
     def decode(self, ids: bytes | None) -> str:
