@@ -7,7 +7,8 @@ footer (zstandard-compressed JSON and arrays) holds the chunk index (offset, ids
 the document index (doc_id, number of ids). Files follow each other in ascending doc_id.
 
 Null text is empty: its document has the end id alone. Documents with a null doc_id come first. Rows with
-equal doc_id stand in the order of their texts; each is a document of its own. No documents: no files.
+equal doc_id stand in the order of their texts; each is a document of its own. No documents: no files. A file
+ends after FILE_IDS ids, with its last document; its name has its range's number and its own in that range.
 """
 
 from __future__ import annotations
@@ -20,14 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec_of
 from .common import open_fs, shared_dir, slices, strings_of
-from .files import commit, manifest, temporary
+from .files import committed, dealt, manifest, temporary
 
 MAGIC = b"FLPLANE1"
+#: Ids of a file, whose document index is held in memory.
+FILE_IDS = 1 << 26
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -114,63 +118,73 @@ def read_documents(source, size: int) -> Iterator[tuple[int | None, int, np.ndar
         have, at = have[count:], at + count
 
 
-def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 2, block: int = 1 << 16, bits: bool = False, level: int = 3, id_col: str = "doc_id", text_col: str = "text", engine: str = "tokenizers") -> list[dict]:
-    """Encodes text_col (engine: as for bpe.ForcedBoundaryCodec, with equal results), appends end_id to each document and writes the ids in ascending id_col to files in
-    the folder `out`. Returns the manifest's entries: file, n_docs, n_ids and start (ids in the files before)."""
+def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 2, block: int = 1 << 16, bits: bool = False, level: int = 3, id_col: str = "doc_id", text_col: str = "text", engine: str = "tokenizers", file_ids: int = FILE_IDS) -> DataFrame:
+    """Encodes text_col (engine: as for bpe.ForcedBoundaryCodec, with equal results), appends end_id to each document and
+    writes the ids in ascending id_col to files in the folder `out`. Returns the manifest: name, n_docs, n_ids and start
+    (ids in the files before)."""
+    names, kinds = ["file", "name", "part", "number", "n_docs", "n_ids"], [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = slices(batches, "t")
-        first = next(batches, None)
-        if first is None:
-            return
         codec, end = codec_of(path, engine), np.array([end_id], "<u4").tobytes()
         fs, root = open_fs(out)
-        name, low = temporary(out), strings_of(first, "d")[0]
-        fs.create_dir(f"{root}/_temporary", recursive=True)
-        with fs.open_output_stream(f"{root}/{name}") as sink:
-            writer, batch = PlaneWriter(sink, block, bits, level), first
-            while batch is not None:
-                for doc_id, ids in zip(strings_of(batch, "d"), codec.encode(strings_of(batch, "t")), strict=True):
-                    writer.add(doc_id, ids + end)
-                batch = next(batches, None)
-            done = writer.close()
-        yield pa.RecordBatch.from_pylist([{"file": name, "low": low} | done], schema=pa.schema([("file", pa.string()), ("low", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        part, sink, writer, ids_in, done = TaskContext.get().partitionId(), None, None, 0, []
+
+        def closed() -> None:
+            made = writer.close()
+            sink.close()
+            done.append((file, f"ids-{part:06d}-{len(done):04d}.flp", part, len(done), made["n_docs"], made["n_ids"]))
+
+        for batch in slices(batches, "t"):
+            for doc_id, ids in zip(strings_of(batch, "d"), codec.encode(strings_of(batch, "t")), strict=True):
+                if writer is None:
+                    fs.create_dir(f"{root}/_temporary", recursive=True)
+                    file = temporary()
+                    sink, ids_in = fs.open_output_stream(f"{root}/{file}"), 0
+                    writer = PlaneWriter(sink, block, bits, level)
+                writer.add(doc_id, ids + end)
+                ids_in += len(ids) // 4 + 1
+                if ids_in >= file_ids:
+                    closed()
+                    writer = None
+        if writer is not None:
+            closed()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+
+    def started(files: DataFrame) -> DataFrame:
+        """Files with start. Sums of parts come before sums in them, so that one task sees a row a part at most."""
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sums = files.groupBy("part").agg(F.sum("n_ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("upto"))
+        own = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.col("upto") + F.coalesce(F.sum("n_ids").over(own), F.lit(0))
+        return files.join(sums, "part").withColumn("start", start).select("file", "name", "n_docs", "n_ids", "start")
 
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     rows = rows.repartitionByRange("d").sortWithinPartitions("d", "t")
-    shards = [r.asDict() for r in rows.mapInArrow(run, "file string, low long, n_docs long, n_ids long").collect()]  # one row for each file
-    shards.sort(key=lambda s: (s["low"] is not None, s["low"] or 0))
-    start = 0
-    for s in shards:
-        s["start"] = start
-        start += s["n_ids"]
-    return commit(out, shards, "ids-{:05d}.flp")
+    return committed(rows.mapInArrow(run, "file string, name string, part int, number int, n_docs long, n_ids long"), out, started)
 
 
 def read_token_files(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids (binary) of each document."""
-    shards = manifest(out)
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(out)
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                shard, rows = shards[k], []
-                with fs.open_input_file(f"{root}/{shard['file']}") as source:
-                    held = 0
-                    for doc_id, at, ids in read_documents(source, source.size()):
-                        raw = ids.tobytes()
-                        rows.append((doc_id, shard["start"] + at, len(ids), zlib.crc32(raw), raw)[: len(fields)])
-                        held += len(raw) if with_ids else 0
-                        if len(rows) >= 4096 or held > 8 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
-                            rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
-
-    n = len(shards)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+        for name, start in (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            rows, held = [], 0
+            with fs.open_input_file(f"{root}/{name}") as source:
+                for doc_id, at, ids in read_documents(source, source.size()):
+                    raw = ids.tobytes()
+                    rows.append((doc_id, start + at, len(ids), zlib.crc32(raw), raw)[: len(fields)])
+                    held += len(raw) if with_ids else 0
+                    if len(rows) >= 4096 or held > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    files = dealt(manifest(spark, out).select("name", "start"))
+    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def written_and_read(docs: DataFrame, path: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Deterministic sharded WARC writer and its reader (operator 4).
 
-Records are range-sorted by id; each range is a run of files, rolled when the compressed size passes a
-limit, every record a gzip member of its own. Headers (ids, lengths, digests) are made anew from the
-payload. Dates are a parameter and record ids follow from the content, so equal input gives equal records.
+Records are range-sorted by id and dealt out to shards of about equal bytes. Cuts between shards are quantiles
+of a bounded sample of the rows, chosen by their hash, and not of how they happen to be partitioned, so equal
+rows give equal files. A single id with more bytes than a shard has one of its own, in parts by digest. In a
+shard records are sorted by id, digest, url and payload; files are rolled when the compressed size passes a
+limit, every record a gzip member of its own. Headers (ids, lengths, digests) are made anew from the payload.
+Dates are a parameter and record ids follow from the content.
 Files are written under temporary names and committed by the manifest (files.py).
 
 Of records whose payloads are equal and at least `revisit_from` bytes long, the one with the largest id
@@ -20,14 +23,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bytes_of, open_fs, shared_dir, slices
-from .files import commit, manifest, temporary
+from .files import committed, dealt, manifest, temporary
 
 CRLF = b"\r\n"
+#: Bytes of payload of a shard, shards at most, and rows that are sampled for each cut between them.
+SHARD_BYTES, SHARDS, SAMPLE_ROWS = 64 << 20, 1 << 16, 16
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -88,55 +95,97 @@ def revisits(pages: DataFrame, revisit_from: int = 1000) -> DataFrame:
     return rows.join(groups, "digest").select("page_id", "digest", "kept").distinct()
 
 
-def write_warc(pages: DataFrame, out: str, roll_bytes: int = 64 << 20, date: str = "2024-01-01T00:00:00Z", revisit_from: int = 1000) -> list[dict]:
-    """Writes the pages to WARC files in the folder `out`; returns the manifest's entries.
-
-    What is known of copies is range-sorted together with the pages, so that payloads are shuffled once.
+def cuts(pages: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where shards begin (the first one aside), and how many parts each shard has."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    rows, total = pages.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    shards = max(1, min(SHARDS, -(-total // shard_bytes)))
+    some = pages.filter(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id", "html"), F.lit(max(1, rows // max(4096, SAMPLE_ROWS * shards)))) == 0))
+    some = some.groupBy("page_id").agg(F.sum(size + 1).alias("bytes")).toArrow()  # about SAMPLE_ROWS a shard, or 4096, if there are more
+    ids, sizes = (some.column(c).to_numpy().astype(np.int64) for c in ("page_id", "bytes"))
+    order = np.argsort(ids)
+    ids, sizes = ids[order], sizes[order]
+    if shards == 1 or not len(ids):
+        return np.zeros(0, np.int64), np.ones(1, np.int64)
+    upto, whole = np.cumsum(sizes), int(sizes.sum())
+    begins = ids[np.searchsorted(upto, [whole * k // shards for k in range(1, shards)], side="right")]
+    parts = -(-sizes * shards // whole)
+    own = ids[parts > 1]
+    begins = np.unique(np.concatenate([begins, own, own + 1]))
+    each = np.ones(len(begins) + 1, np.int64)
+    each[np.searchsorted(begins, own, side="right")] = parts[parts > 1]
+    return begins, each
+
+
+def write_warc(pages: DataFrame, out: str, roll_bytes: int = 64 << 20, date: str = "2024-01-01T00:00:00Z", revisit_from: int = 1000, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the pages to WARC files in the folder `out`; returns the manifest: name, records, bytes and digest (SHA-1)
+    of each file. Names sort as the ids do.
+
+    What is known of copies is dealt out together with the pages, so that payloads are shuffled once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(out)
-        sink, done = None, []
+        sink, done, hashed = None, [], None
+        shard, part = None, 0
         at, copies, seen = object(), {}, set()
+
+        def closed() -> None:
+            sink.close()
+            done[-1]["digest"] = hashed.hexdigest()
+
         for batch in slices(batches, "html"):
-            for page_id, role, url, digest, kept, html in zip(*(batch.column(k).to_pylist() for k in range(5)), bytes_of(batch, "html"), strict=True):
+            for own, page_id, role, digest, url, kept, html in zip(*(batch.column(k).to_pylist() for k in range(6)), bytes_of(batch, "html"), strict=True):
+                if own != shard:
+                    if sink is not None:
+                        closed()
+                    shard, part, sink = own, 0, None
+                    at = object()
                 if page_id != at:
                     at, copies, seen = page_id, {}, set()
                 if not role:
                     copies[digest] = kept
                     continue
                 html = html or b""
-                digest = hashlib.sha1(html).hexdigest()
                 is_revisit = digest in copies and (copies[digest] != page_id or digest in seen)
                 seen.add(digest)
                 if sink is None:
                     fs.create_dir(f"{root}/_temporary", recursive=True)
-                    done.append({"file": temporary(out), "low": page_id, "part": len(done), "records": 0, "bytes": 0})
-                    sink = fs.open_output_stream(f"{root}/{done[-1]['file']}", compression=None)
+                    done.append({"file": temporary(), "name": f"pages-{shard}-{part:05d}.warc.gz", "records": 0, "bytes": 0})
+                    sink, hashed, part = fs.open_output_stream(f"{root}/{done[-1]['file']}", compression=None), hashlib.sha1(), part + 1
                 member = gzip.compress(record(page_id, url, html, digest, copies.get(digest), is_revisit, date), 6, mtime=0)
                 sink.write(member)
+                hashed.update(member)
                 done[-1]["records"] += 1
                 done[-1]["bytes"] += len(member)
                 if done[-1]["bytes"] >= roll_bytes:
-                    sink.close()
+                    closed()
                     sink = None
         if sink is not None:
-            sink.close()
+            closed()
         if done:
-            yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("low", pa.int64()), ("part", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64())]))
+            yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("digest", pa.string())]))
 
     text = F.lit(None).cast("string")
-    copied = revisits(pages, revisit_from).select("page_id", F.lit(0).alias("role"), text.alias("url"), "digest", "kept", text.alias("html"))
-    own = pages.select(F.col("page_id").cast("long"), F.lit(1).alias("role"), F.col("url").cast("string"), text.alias("digest"), F.lit(None).cast("long").alias("kept"), F.col("html").cast("string"))
-    rows = copied.unionByName(own).repartitionByRange("page_id").sortWithinPartitions("page_id", "role", "url", "html")
-    files = [r.asDict() for r in rows.mapInArrow(run, "file string, low long, part int, records long, bytes long").collect()]  # one row for each file
-    files.sort(key=lambda f: (f["low"] is not None, f["low"] or 0, f["part"]))
-    return commit(out, files, "pages-{:05d}.warc.gz")
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    copied = revisits(pages, revisit_from).select("page_id", F.lit(0).alias("role"), "digest", text.alias("url"), "kept", text.alias("html"))
+    own = pages.select(F.col("page_id").cast("long"), F.lit(1).alias("role"), F.sha1(payload).alias("digest"), F.col("url").cast("string"), F.lit(None).cast("long").alias("kept"), F.col("html").cast("string"))
+    shared = pages.sparkSession.sparkContext.broadcast(cuts(pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")), shard_bytes))
+
+    @F.pandas_udf("string")
+    def shard(page_id: pd.Series, prefix: pd.Series) -> pd.Series:
+        begins, parts = shared.value
+        at = np.searchsorted(begins, page_id.to_numpy(), side="right")
+        return pd.Series([f"{a:06d}-{p:05d}" for a, p in zip(at.tolist(), (prefix.to_numpy() * parts[at] >> 16).tolist(), strict=True)])
+
+    first = F.conv(F.substring("digest", 1, 4), 16, 10).cast("long")
+    rows = copied.unionByName(own).withColumn("shard", shard(F.coalesce("page_id", F.lit(-(1 << 63))), first)).select("shard", "page_id", "role", "digest", "url", "kept", "html")
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "role", "digest", "url", "html")
+    return committed(rows.mapInArrow(run, "file string, name string, records long, bytes long, digest string"), out)
 
 
 def read_warc(spark: SparkSession, out: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and url of each record in the folder."""
-    files = manifest(out)
     fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())]
 
     def parsed(name: str) -> Iterator[tuple]:
@@ -150,19 +199,18 @@ def read_warc(spark: SparkSession, out: str) -> DataFrame:
                 yield number("X-Page-ID"), int(h["X-Payload-Length"]), digest, kind, number("X-Refers-To-Page-ID"), h["WARC-Target-URI"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                held = []
-                for row in parsed(files[k]["file"]):
-                    held.append(row)
-                    if len(held) == 2048:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), fields, strict=True)], names=[n for n, _ in fields])
-                        held = []
-                if held:
+        for name in (x for batch in batches for x in batch.column(0).to_pylist()):
+            held = []
+            for row in parsed(name):
+                held.append(row)
+                if len(held) == 2048:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
-    n = len(files)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    names = dealt(manifest(spark, out).select("name"))
+    return names.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def written_and_read(pages: DataFrame) -> DataFrame:

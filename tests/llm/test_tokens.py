@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fleetlane.llm import bpe, chat, common, tokens, warc
+from fleetlane.llm import bpe, chat, common, files, tokens, warc
 from fleetlane.llm.queries import vocabulary
 
 from . import odd
@@ -50,12 +50,48 @@ def test_odd_documents_round_trip(spark, library):
 
 
 def test_a_small_cache_changes_nothing(monkeypatch, library):
-    monkeypatch.setattr(bpe, "CACHE_FRAGMENTS", 5)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
     codec = bpe.ForcedBoundaryCodec(vocabulary(), "tiktoken")
     for text in [t or "" for t in odd.texts(2)]:
         assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+SOLID = st.sampled_from(["漢", "字", "の", "ー", "ラ", "я", "ж", "é", "x", "Q", "7", "½", "'", "'s", "'re", "!", "¡", "\u0301", "\u2009", "\u3000", "\n", "\r\n", " ", "🙂", "\x1c", "\x85", "<|endoftext|>", "ש", "ا", "क", "ि"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(SOLID, min_size=30, max_size=200))
+def test_long_fragments_are_cut_and_equal(library, parts):
+    text = "".join(parts)
+    want = library.encode(text, add_special_tokens=False).ids
+    for codec in CODECS.values():
+        for some in (text, "a " + text, text + " " + text):
+            assert np.frombuffer(codec.encode([some])[0], "<u4").tolist() == library.encode(some, add_special_tokens=False).ids
+        assert codec.decode(np.array(want, "<u4").tobytes()) == library.decode(want, skip_special_tokens=False)
+
+
+def test_a_text_without_spaces_is_cut(library):
+    rng = np.random.default_rng(2)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9000, 20_000)))
+    codec = bpe.ForcedBoundaryCodec(vocabulary())
+    assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    sizes = np.diff(codec.ends[: codec.n_kept + 1])
+    assert codec.n_kept > 1000 and sizes.max() < 400 and codec.encode([""]) == [b""] and codec.encode([]) == []
+
+
+def test_other_pre_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    with open(vocabulary(), encoding="utf-8") as f:
+        model = json.load(f)
+    model["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False}
+    (tmp_path / "t.json").write_text(json.dumps(model), encoding="utf-8")
+    plain = Tokenizer.from_file(str(tmp_path / "t.json"))
+    codec = bpe.ForcedBoundaryCodec(str(tmp_path / "t.json"))
+    for text in ("some words here", "", "xyz " * 40):
+        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50), st.booleans())
 def test_planes_round_trip(ids, bits):
@@ -103,18 +139,66 @@ def test_warc(spark):
     assert warc.written_and_read(df.limit(0)).count() == 0
 
 
+def files_in(out):
+    fs, root = common.open_fs(out)
+    found = fs.get_file_info(common.pafs.FileSelector(root))
+    return {i.base_name: fs.open_input_file(i.path).read() for i in found if i.type == common.pafs.FileType.File}
+
+
 def test_warc_files_are_deterministic_and_roll(spark):
     df = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+
     def made(n):
         out = common.shared_dir(spark, "warc-test")
-        files = warc.write_warc(df.repartition(n), out, roll_bytes=2000)
-        fs, root = common.open_fs(out)
-        assert {f["file"] for f in files} == {i.base_name for i in fs.get_file_info(__import__("pyarrow.fs").fs.FileSelector(root))} - {"manifest.json"}
-        assert all(f["bytes"] < 3000 for f in files) and sum(f["records"] for f in files) == 40
-        return b"".join(fs.open_input_file(f"{root}/{f['file']}").read() for f in files)
+        listed = warc.write_warc(df.repartition(n), out, roll_bytes=2000, shard_bytes=1000).collect()
+        files = files_in(out)
+        assert {f["name"]: (f["bytes"], f["digest"]) for f in listed} == {n: (len(x), hashlib.sha1(x).hexdigest()) for n, x in files.items()}
+        assert all(f["bytes"] < 3000 for f in listed) and sum(f["records"] for f in listed) == 40 and len(files) > 3
+        return files
+
     assert made(1) == made(5)
 
 
+def test_warc_shards_of_many_rows_follow_from_the_rows(spark):
+    """60,000 rows, a third with one id, the others bunched; twice, in other partitions and orders."""
+    n = F.col("id")
+    page_id = F.when(n % 3 == 0, 7).when(n % 3 == 1, n).otherwise(10**12 + n * n)
+    df = spark.range(60_000).select(page_id.alias("page_id"), F.concat(F.lit("u"), n % 5).alias("url"), F.when(n % 100 == 0, F.repeat(F.lit("copy "), 300)).otherwise(F.sha2(n.cast("string"), 256)).alias("html"))
+
+    def made(rows):
+        out = common.shared_dir(spark, "warc-test")
+        sizes = [r["bytes"] for r in warc.write_warc(rows, out, shard_bytes=100_000).collect()]
+        return files_in(out), sizes, warc.read_warc(spark, out)
+
+    (one, sizes, rows), (two, _, _) = made(df), made(df.repartition(11).orderBy(F.desc("url"), F.rand(3)))
+    assert one == two and len(one) > 20 and max(sizes) < 0.2 * sum(sizes)
+    ids = [h["X-Page-ID"] for _, x in sorted(one.items()) for h, _ in warc.read_records(io.BytesIO(x))]
+    assert list(map(int, ids)) == sorted(map(int, ids)) and rows.count() == 60_000
+    assert rows.filter("record_type = 'revisit'").count() == 600 - 1
+
+
+def test_files_that_were_renamed_before_are_committed(spark):
+    """As after the loss of an executor that had renamed some files."""
+    out = common.shared_dir(spark, "files-test")
+    fs, root = common.open_fs(out)
+    fs.create_dir(f"{root}/_temporary", recursive=True)
+    for name in ("_temporary/x", "b"):
+        with fs.open_output_stream(f"{root}/{name}") as f:
+            f.write(b"1")
+    written = spark.createDataFrame([("_temporary/x", "a"), ("_temporary/y", "b")], "file string, name string")
+    assert sorted(r["name"] for r in files.committed(written, out).collect()) == ["a", "b"] and set(files_in(out)) == {"a", "b"}
+
+
+def test_token_files_roll(spark):
+    df = spark.range(200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence(F.lit(0), F.col("id"))).alias("text")).withColumns({c: F.lit("clash") for c in ("d", "t", "file", "name", "start", "part")})
+    out = common.shared_dir(spark, "token-test")
+    made = tokens.write_token_files(df.repartition(5), vocabulary(), out, file_ids=500, block=64).collect()
+    assert len(made) > 20 and sum(r["n_docs"] for r in made) == 200
+    got = sorted(tokens.read_token_files(spark, out, with_ids=True).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == list(range(200))
+    assert [r["start"] for r in got] == [0, *np.cumsum([len(r["ids"]) // 4 for r in got])[:-1]]
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "s\n<|end|>"), (1, 1, "user", None), (1, 2, "assistant", "a\\b</s>"), (1, 3, "assistant", ""), (1, 4, "user", "tail"), (2, 0, "user", "only"), (3, 0, None, "<|turn|>x"), (4, 1, "assistant", "b"), (4, 0, "user", "a"), (4, 1, "assistant", "b"), (None, 0, "user", "n"), (None, None, "assistant", "<|text|>")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit(1))
