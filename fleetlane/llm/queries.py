@@ -82,10 +82,14 @@ SQL = {
         q AS (SELECT doc_id, i, k, list_slice(w, i, i + k - 1) AS win FROM p, (SELECT DISTINCT k FROM v) WHERE i + k - 1 <= len(w)),
         h AS (SELECT doc_id, i, q.k, item_id FROM q JOIN v ON q.win = v.win),
         c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS j FROM h) GROUP BY doc_id),
-        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id),
+        g AS (SELECT doc_id, item_id, q.k, q.i, q.i - s.i AS diagonal FROM q JOIN s ON q.k = s.k AND q.win = list_slice(s.w, s.i, s.i + s.k - 1)),
+        y AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS run FROM (SELECT *, CASE WHEN lag(i) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) = i - 1 THEN 0 ELSE 1 END AS fresh FROM g)),
+        z AS (SELECT doc_id, count(*) AS n_matches, max(words) AS longest FROM (SELECT doc_id, max(i) - min(i) + any_value(k) AS words FROM y GROUP BY doc_id, item_id, diagonal, run) GROUP BY doc_id)
         SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
-        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated,
+            CAST(coalesce(n_matches, 0) AS BIGINT) AS n_matches, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN z USING (doc_id)""",
     "op7_prefix_targets": rf"""
         WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
         n AS (SELECT *, length(role) + length(text) + {len(chat.TURN + chat.TEXT + chat.END)} + {escapes('role')} + {escapes('text')} AS size FROM r),

@@ -88,6 +88,7 @@ def test_contamination_is_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 300)
     for words_of_block in (1 << 20, 20):
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words_of_block)
+        assert len(decontaminate.test_blocks(bench, 13)) == 1 or words_of_block == 20
         out = decontaminate.matches(odd.clashing(odd.frame(spark, docs)), bench).collect()
         for r in out:
             assert (r["n_words"], r["n_hit"], r["items"]) == brute.contamination(docs[r["doc_id"]], items), r["doc_id"]
@@ -97,6 +98,13 @@ def test_contamination_is_brute_force(spark, monkeypatch, seed):
                 assert text[m["doc_start"] : m["doc_start"] + m["length"]] in [i[m["item_start"] : m["item_start"] + m["length"]] for i in item]
 
 
+def test_short_items_do_not_widen_the_choice_of_suffixes():
+    block = decontaminate.TestBlock(["a", "b"], [b"rare", " ".join(f"w{i}" for i in range(30)).encode()], 13)
+    get = block.vocabulary.get
+    shard = np.array([get(w.encode(), 0) for w in ["w1", "w2", "w3", "w9", "rare", "w5", "x", "w6", "w7"]], np.uint32)
+    assert block.chosen(shard).tolist() == [0, 4]
+
+
 def test_longest_match_and_threshold(spark):
     item = " ".join(f"w{i}" for i in range(40))
     docs = {1: f"a b {' '.join(f'w{i}' for i in range(3, 30))} c", 2: " ".join(["z"] * 247) + " " + " ".join(f"w{i}" for i in range(13)), 3: " ".join(["z"] * 248) + " " + " ".join(f"w{i}" for i in range(13))}
