@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import types
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of text that an operator hands back to Spark in one Arrow batch.
@@ -86,7 +88,7 @@ def strings_of(batch: pa.RecordBatch, name: str) -> list[str | None]:
 
 
 #: What per_worker() keeps at a time: a worker's next tasks are mostly of the same operator.
-KEPT_OF_WORKER = 2
+KEPT_OF_WORKER = 3
 
 
 def per_worker(key, make):
@@ -97,3 +99,14 @@ def per_worker(key, make):
     while len(kept) > KEPT_OF_WORKER:
         del kept[next(iter(kept))]
     return value
+
+
+class Shared:
+    """A broadcast whose classes workers needn't be able to import; a worker's tasks share its value."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.key, self.packed = uuid.uuid4().hex, spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return per_worker(("shared", self.key), lambda: pickle.loads(self.packed.value))

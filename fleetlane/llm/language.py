@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, open_fs, per_worker, shared_dir, slices, stored, strings_of
+from .common import Shared, discard, open_fs, per_worker, shared_dir, slices, stored, strings_of
 from .folds import held_out
 
 ORDER = 4
@@ -298,40 +298,9 @@ def fit(docs: DataFrame, learn: Column, reject: float = 0.001) -> Models:
     return Models(names, made.models, letters, {r["lang"]: r["most"] for r in limits})
 
 
-def judged(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score and cross-entropy (bits a character) of each text."""
-        g, start, has = grams(texts)
-        of, distinct = pd.factorize(g)
-        sizes = np.diff(np.append(start, len(g))) - 1
-        bits = np.zeros((len(texts), len(self.models)))
-        for k, model in enumerate(self.models):
-            each = model.entropies(distinct, self.letters)[of]
-            each[start] = 0
-            bits[:, k] = np.add.reduceat(each, start, dtype=np.float64) / np.maximum(sizes, 1)
-        if not self.models:
-            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-        best = bits.argmin(1)
-        low = bits[np.arange(len(bits)), best]
-        odds = np.exp2(np.maximum(-1000, (low[:, None] - bits) * np.minimum(sizes, FULL_LENGTH)[:, None])).sum(1)
-        known = has > 0
-        return np.where(known, np.array(self.names, object)[best], "und").tolist(), np.where(known, 1 / odds, 0.0).tolist(), np.where(known, low, 0.0).tolist()
-
-
-def fit(docs: DataFrame, learn: Column, reject: float = 0.001) -> Models:
-    """Models of the languages of those docs for which `learn` holds."""
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).filter(learn)
-    models, letters = built(stored(counts(rows), "grams"))
-    names = sorted(models)
-    made = Models(names, [models[x] for x in names], letters, {})
-    some = rows.filter("lang is not null and text is not null and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    some = rows.join(F.broadcast(some.distinct()), "doc_id")  # CALIBRATION_ROWS ids at most
-    limits = judged(some, made, ["lang"]).filter("lang = lang_pred").groupBy("lang").agg(F.percentile("bits", F.lit(1 - reject)).alias("most")).collect()
-    return Models(names, made.models, letters, {r["lang"]: r["most"] for r in limits})
-
-
 def judged(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
     """The columns `keep` with lang_pred, score, bits and rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = Shared(docs.sparkSession, models)
     names = [*keep, "lang_pred", "score", "bits", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_worker, slices, stored, strings_of
+from .common import Shared, per_worker, slices, stored, strings_of
 from .folds import held_out
 
 #: Labelled rows that are learnt from at most.
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = FIT_R
 
 def features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """The columns `keep` with hits, density, words and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = Shared(docs.sparkSession, lexicon)
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     fields = [T.StructField("hits", T.LongType()), T.StructField("density", T.DoubleType()), T.StructField("words", T.LongType()), T.StructField("score", T.DoubleType())]
     schema = T.StructType([*rows.schema.fields[: len(keep)], *fields])
