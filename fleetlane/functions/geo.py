@@ -43,14 +43,20 @@ def fence_coordinates(lat: Column, lon: Column) -> Column:
     return finite(lat, lon) & lat.between(-90, 90) & lon.between(-180, 180)
 
 
-def jump_guard(prev: Column, cur: Column, most_kmh: float = MOST_KMH, offline_hours: float = OFFLINE_HOURS, offline_km: float = OFFLINE_KM) -> Column:
+def coordinates(*places: Column) -> list[Column]:
+    """Latitudes and longitudes of structs (lat, lon); a null one counts as 0."""
+    return [F.coalesce(s[k], F.lit(0.0)) for s in places for k in ("lat", "lon")]
+
+
+def jump_guard(prev: Column, cur: Column, raw: Column | None = None, most_kmh: float = MOST_KMH, offline_hours: float = OFFLINE_HOURS, offline_km: float = OFFLINE_KM) -> Column:
     """struct(distance_km, is_jump, reason, raw_km, dt_min, implied_kmh) between two structs (lat, lon, t in ms).
 
-    A null coordinate counts as 0; NaN and infinite ones are invalid. The rules apply in this order.
+    A null coordinate counts as 0; NaN and infinite ones are invalid. The rules apply in this order. raw is a column
+    with haversine_km(*coordinates(prev, cur)), where there is one: the rules use it several times.
     """
     zero, none = F.lit(0.0), F.lit(None).cast("double")
-    lat1, lon1, lat2, lon2 = (F.coalesce(s[k], zero) for s in (prev, cur) for k in ("lat", "lon"))
-    raw = haversine_km(lat1, lon1, lat2, lon2)
+    lat1, lon1, lat2, lon2 = coordinates(prev, cur)
+    raw = haversine_km(lat1, lon1, lat2, lon2) if raw is None else raw
     minutes = (cur["t"] - prev["t"]) / 60000.0
     hours = minutes / 60.0
     kmh = raw / hours

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from fleetlane.functions.clock import ZONE, local_date, millis
-from fleetlane.functions.geo import jump_guard
+from fleetlane.functions.geo import coordinates, haversine_km, jump_guard
 
 ORDER = ("t", "position_id")
 
@@ -56,7 +56,8 @@ def paired(points: DataFrame, keys: tuple[str, ...] = ("imei",)) -> DataFrame:
     """timed points with pt, ps (time and speed of the point before) and jump (the guarded distance from it)."""
     w = window(keys)
     out = points.withColumns({"pt": F.lag("t").over(w), "ps": F.lag("speed").over(w), "prev": F.lag(place()).over(w)})
-    return out.withColumn("jump", jump_guard(F.col("prev"), place())).drop("prev")
+    out = out.withColumn("__raw", haversine_km(*coordinates(F.col("prev"), place())))  # computed once, whatever uses it
+    return out.withColumn("jump", jump_guard(F.col("prev"), place(), F.col("__raw"))).drop("prev", "__raw")
 
 
 def driven_km() -> Column:

@@ -403,9 +403,9 @@ def idle_stats(spark, sf_dir):
 def static_flag(spark, sf_dir):
     p = derived.points(spark, sf_dir)
     n = F.col("imei").cast("long")
-    daily = reports.daily_points(p).filter(n % 3 != 0).select("imei", "day", F.when(n % 4 != 0, F.col("km")).alias("km"))
-    rest = reports.daily_points(p.filter((n % 3 == 0) & (n % 4 == 0))).select("imei", "day", F.lit(None).cast("double").alias("km"))
-    out = reports.static_stats(p, daily.unionByName(rest))
+    # of some devices there is no daily report, of some one without mileage
+    daily = reports.daily_points(p).filter((n % 3 != 0) | (n % 4 == 0)).select("imei", "day", F.when(n % 4 != 0, F.col("km")).alias("km"))
+    out = reports.static_stats(p, daily)
     return out.select("imei", F.col("day").cast("string").alias("day"), km("daily_mileage_km"), "is_static")
 
 

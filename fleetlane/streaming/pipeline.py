@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetlane.operators import live
+from fleetlane.operators import live, lookups
 from fleetlane.sources import ingest
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def accepted(messages: DataFrame) -> DataFrame:
-    """Normalized positions without reject reason."""
-    return ingest.checked(ingest.normalized(ingest.positions(messages))).filter("reject_reason is null")
+def accepted(messages: DataFrame, devices: DataFrame | None = None) -> DataFrame:
+    """Normalized positions without reject reason. Those with a runtime id alone get their device's imei, where a table of
+    devices (imei, runtime_id) has it."""
+    rows = ingest.checked(ingest.normalized(ingest.positions(messages))).filter("reject_reason is null")
+    return rows if devices is None else lookups.with_runtime_ids(rows, devices)
+
+
+def unresolved(messages: DataFrame, devices: DataFrame | None = None) -> DataFrame:
+    """Accepted positions whose device isn't known yet, to be tried again once it is."""
+    return accepted(messages, devices).filter("imei is null").select("runtime_device_id", "position_id", "fix_time", "item")
 
 
 def rejected(messages: DataFrame) -> DataFrame:
@@ -22,10 +29,10 @@ def rejected(messages: DataFrame) -> DataFrame:
     return rows.select("reject_reason", "imei", "runtime_device_id", "item")
 
 
-def track(messages: DataFrame) -> DataFrame:
+def track(messages: DataFrame, devices: DataFrame | None = None) -> DataFrame:
     """Accepted positions as track points; late ones too, as the archive takes all. One without any time gets that of
     its arrival."""
-    rows = accepted(messages).filter("imei is not null")
+    rows = accepted(messages, devices).filter("imei is not null")
     kind = F.when(F.coalesce(F.trim("result") != "", F.lit(False)), "command").when(F.col("alarm").isNotNull(), "alarm").otherwise("gps")
     rows = rows.withColumns({"type": kind, "packet_date": F.coalesce(F.timestamp_millis(F.coalesce("fix_time", "device_time", "server_time")), F.current_timestamp()), "direction": F.col("course")})
     return ingest.track_points(rows).withColumn("day", F.to_date("packet_date"))
@@ -37,12 +44,13 @@ def append(stream: DataFrame, path: str, checkpoint: str, partition: str | None
     return (writer.partitionBy(partition) if partition else writer).trigger(availableNow=True).start()
 
 
-def archive_and_track(spark: SparkSession, landing: str, out: str, checkpoints: str) -> list[StreamingQuery]:
-    """The three file streams of a landing folder: raw archive, track points and rejects."""
+def archive_and_track(spark: SparkSession, landing: str, out: str, checkpoints: str, devices: DataFrame | None = None) -> list[StreamingQuery]:
+    """The file streams of a landing folder: raw archive, track points, positions of unknown devices, and rejects."""
     messages = ingest.stream_messages(spark, landing)
     return [
         append(ingest.raw_archive(messages, F.current_timestamp()), f"{out}/raw", f"{checkpoints}/raw"),
-        append(track(messages), f"{out}/track", f"{checkpoints}/track", "day"),
+        append(track(messages, devices), f"{out}/track", f"{checkpoints}/track", "day"),
+        append(unresolved(messages, devices), f"{out}/unresolved", f"{checkpoints}/unresolved"),
         append(rejected(messages), f"{out}/rejects", f"{checkpoints}/rejects"),
     ]
 

@@ -112,6 +112,12 @@ def test_files_to_tables(spark, tmp_path):
     assert (read("raw").count(), read("rejects").count()) == (7, 2)
     rows = read("track").collect()
     assert sorted(r["imei"] for r in rows) == ["1", "5", "6"] and all(r["packet_date"] is not None for r in rows)
+    assert [r["runtime_device_id"] for r in read("unresolved").collect()] == ["7"]
+    devices = spark.createDataFrame([("77", 7)], "imei string, runtime_id long")
+    for q in pipeline.archive_and_track(spark, str(landing), str(tmp_path / "known"), str(tmp_path / "ck2"), devices):
+        q.awaitTermination()
+    known = lambda n: spark.read.parquet(str(tmp_path / "known" / n))
+    assert sorted(r["imei"] for r in known("track").collect()) == ["1", "5", "6", "77"] and known("unresolved").count() == 0
 
 
 def test_upsert_and_days(spark, tmp_path):

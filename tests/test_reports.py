@@ -98,3 +98,13 @@ def test_range_filter_is_half_open(spark):
     t = track(spark, [(0, 1), (1, 1), (2, 1)])
     at = [F.lit(T0 + timedelta(minutes=m)) for m in (0, 2)]
     assert sequence.in_range(t, *at).count() == 2
+
+
+def test_a_distance_is_computed_once(spark):
+    points = derived_points(spark)
+    plan = reports.mileage(points)._jdf.queryExecution().executedPlan().toString()
+    assert plan.upper().count("ATAN2") == 1 and plan.count("Exchange hash") == 1
+
+
+def derived_points(spark):
+    return spark.createDataFrame([], "imei string, packet_date timestamp, latitude double, longitude double, speed double, ignition boolean, position_id long")
