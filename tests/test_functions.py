@@ -100,3 +100,17 @@ def test_alarm_texts(spark):
     say = lambda codes, language: one(spark, text.alarm_messages(text.alarm_tokens(F.lit(codes)), language))
     assert say("SOS,unheard-of", "en") == "SOS Alarm | unheardof" and say("SOS,unheard-of", "ar") == "تنبيه استغاثة | تنبيه: unheardof"
     assert say("", "en") == "" and say(None, "ar") == "تنبيه من الجهاز"
+
+
+def test_command_replies(spark):
+    say = lambda reply: one(spark, text.command_reply(F.lit(reply)))
+    got = say("Current position!Lat:S24.5,Lon:W46.25,Course:10,Speed:7,DateTime:2024-01-01 10:00 more, or less")["position"]
+    assert tuple(got) == (-24.5, -46.25, 7, 10, "2024-01-01")
+    assert tuple(say("Lat:1,Lon:2.5,Course:0,Speed:0,DateTime:x:y")["position"]) == (1.0, 2.5, 0, 0, "x:y")
+    for bad in ("Lat:N1,Lon:E2,Course:1.5,Speed:0,DateTime:x", "Lat:N1,Course:1,Lon:E2,Speed:0,DateTime:x", "Lat:,Lon:E2,Course:1,Speed:0,DateTime:x", "Lat:N1,Lon:E2,Course:1,Speed:0", "", None):
+        assert say(bad)["position"] is None
+    status = say("External power: 12.3V; GSM: weak, GSM: strong; ACC: ON")["status"]
+    assert (status["voltage"], status["gsm"], status["acc"], status["relay"]) == ("12.3", "strong", "ON", None)
+    assert say("External power: none")["status"]["voltage"] is None and say("GSM: strong")["status"] is None
+    assert tuple(say("RELAY=OK 12!")["command_result"]) == ("RELAY", "OK 12!")
+    assert [say(x)["command_result"] for x in ("R1=OK", "A=B=C", "A=", "=B", "A=b.c")] == [None] * 5
