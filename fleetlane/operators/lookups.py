@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,8 @@ def resolve_devices(rows: DataFrame, details: DataFrame, key: str = "key") -> Da
     rest = [c for c in details.columns if c not in ("imei", "serial_number")]
     keys = F.explode(F.array(F.struct(F.col("imei").alias("key"), F.lit(0).alias("kind")), F.struct(F.col("serial_number").alias("key"), F.lit(1).alias("kind"))))
     dim = details.select("imei", *rest, keys.alias("k")).select(F.col("k.key").alias(key), "k.kind", "imei", *rest).filter(F.col(key).isNotNull())
-    best = dim.groupBy(key).agg(F.min(F.struct("kind", "imei", *rest)).alias("d"))
+    ordered = [c for c, kind in dim.select(*rest).dtypes if not re.search("map<|variant", kind)]  # others have no order
+    best = dim.groupBy(key).agg(F.min_by(F.struct("imei", *rest), F.struct("kind", "imei", *ordered)).alias("d"))
     return rows.join(best, key, "left").select(*rows.columns, F.col("d.imei").alias("resolved_imei"), *[F.col(f"d.{c}") for c in rest])
 
 

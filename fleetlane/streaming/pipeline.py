@@ -45,13 +45,15 @@ def append(stream: DataFrame, path: str, checkpoint: str, partition: str | None
 
 
 def archive_and_track(spark: SparkSession, landing: str, out: str, checkpoints: str, devices: DataFrame | None = None) -> list[StreamingQuery]:
-    """The file streams of a landing folder: raw archive, track points, positions of unknown devices, and rejects."""
+    """The file streams of a landing folder: raw archive, track points, positions of unknown devices, rejects, and lines
+    that aren't JSON."""
     messages = ingest.stream_messages(spark, landing)
     return [
         append(ingest.raw_archive(messages, F.current_timestamp()), f"{out}/raw", f"{checkpoints}/raw"),
         append(track(messages, devices), f"{out}/track", f"{checkpoints}/track", "day"),
         append(unresolved(messages, devices), f"{out}/unresolved", f"{checkpoints}/unresolved"),
         append(rejected(messages), f"{out}/rejects", f"{checkpoints}/rejects"),
+        append(messages.filter(~ingest.is_json(F.col("body"))).select("body"), f"{out}/quarantine", f"{checkpoints}/quarantine"),
     ]
 
 

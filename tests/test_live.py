@@ -104,12 +104,13 @@ def test_normalize(spark):
 def test_files_to_tables(spark, tmp_path):
     landing = tmp_path / "landing"
     landing.mkdir()
-    (landing / "a.json").write_text("\n".join(json.dumps(m) for m in MESSAGES))
+    (landing / "a.json").write_text("\n".join([*(json.dumps(m) for m in MESSAGES), '{"uniqueId": "1", "lat']))
     for _ in range(2):  # the second run finds nothing new
         for q in pipeline.archive_and_track(spark, str(landing), str(tmp_path / "out"), str(tmp_path / "ck")):
             q.awaitTermination()
     read = lambda n: spark.read.parquet(str(tmp_path / "out" / n))
-    assert (read("raw").count(), read("rejects").count()) == (7, 2)
+    assert (read("raw").count(), read("rejects").count()) == (8, 3)
+    assert [r["body"] for r in read("quarantine").collect()] == ['{"uniqueId": "1", "lat']
     rows = read("track").collect()
     assert sorted(r["imei"] for r in rows) == ["1", "5", "6"] and all(r["packet_date"] is not None for r in rows)
     assert [r["runtime_device_id"] for r in read("unresolved").collect()] == ["7"]
