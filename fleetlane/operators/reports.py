@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlane.functions.clock import ZONE
@@ -28,23 +28,40 @@ def prior_points(points: DataFrame, cursors: DataFrame) -> DataFrame:
     return near.groupBy("imei").agg(last).select("imei", "last.*")
 
 
-def incremental_mileage(points: DataFrame, status: DataFrame) -> DataFrame:
+#: Columns of the status table with the last point that mileage has counted.
+LAST_POINT = ("last_point_at", "last_latitude", "last_longitude", "last_speed")
+
+
+def incremental_mileage(points: DataFrame, status: DataFrame, since: Column | None = None) -> DataFrame:
     """status (imei, last_mileage_at, km_total, miles_total) after the points that came after each cursor.
 
     The prior point is the boundary of the first pair. Totals and cursor move only if the distance is over
     0, so standing points are read again; devices without a status row begin with the epoch and 0.
+
+    Where status also has LAST_POINT, that is the prior point and moves with the cursor, and of the points only those
+    after the cursors are used. Then `since`, the earliest cursor, keeps older ones from being read: the filter
+    reaches the scan and its partitions. Devices without a status row begin with it.
     """
+    carries = set(LAST_POINT) <= set(status.columns)
     known = status.select("imei", F.col("last_mileage_at").alias("last_at"))
-    rows = timed(points).join(known, "imei", "left").withColumn("last_at", F.coalesce("last_at", F.lit(0).cast("timestamp")))
+    rows = points if since is None else points.filter(F.col("packet_date") > since)
+    rows = timed(rows).join(known, "imei", "left").withColumn("last_at", F.coalesce("last_at", F.lit(0).cast("timestamp")))
     rows = rows.withColumn("new", F.col("packet_date") > F.col("last_at"))
-    w = window()
-    keep = rows.withColumn("keep", F.col("new") | F.coalesce(F.lead("new").over(w), F.lit(False)))  # new points and the one before them
-    pairs = paired(keep.filter("keep"))
-    sums = pairs.groupBy("imei").agg(F.sum(F.when(F.col("new"), driven_km()).otherwise(0.0)).alias("added"), F.max(F.when(F.col("new"), F.col("packet_date"))).alias("seen_at"))
+    if carries:
+        cols = ["imei", "packet_date", "latitude", "longitude", "speed", "position_id", "t", "new"]
+        last = status.filter("last_point_at is not null").select("imei", F.col("last_point_at").alias("packet_date"), F.col("last_latitude").alias("latitude"), F.col("last_longitude").alias("longitude"), F.col("last_speed").alias("speed"), F.lit(None).cast("long").alias("position_id"))
+        rows = rows.filter("new").select(*cols).unionByName(timed(last).withColumn("new", F.lit(False)).select(*cols))
+    else:
+        rows = rows.withColumn("keep", F.col("new") | F.coalesce(F.lead("new").over(window()), F.lit(False))).filter("keep")  # new points and the one before them
+    order = F.struct("t", "position_id")
+    newest = F.max_by(F.when(F.col("new"), F.struct("packet_date", "latitude", "longitude", "speed")), F.when(F.col("new"), order))
+    sums = paired(rows).groupBy("imei").agg(F.sum(F.when(F.col("new"), driven_km()).otherwise(0.0)).alias("added"), newest.alias("seen"))
     out = status.join(sums, "imei", "full")
     moved = F.coalesce(F.col("added"), F.lit(0.0)) > 0
     total = lambda c, add: F.coalesce(F.col(c), F.lit(0.0)) + F.when(moved, add).otherwise(0.0)
-    return out.select("imei", F.when(moved, F.col("seen_at")).otherwise(F.col("last_mileage_at")).alias("last_mileage_at"), total("km_total", F.col("added")).alias("km_total"), total("miles_total", km_to_miles(F.col("added"))).alias("miles_total"))
+    newer = lambda c, new: F.when(moved, F.col(f"seen.{new}")).otherwise(F.col(c)).alias(c)
+    last = [newer(c, new) for c, new in zip(LAST_POINT, ("packet_date", "latitude", "longitude", "speed"), strict=True)] if carries else []
+    return out.select("imei", newer("last_mileage_at", "packet_date"), total("km_total", F.col("added")).alias("km_total"), total("miles_total", km_to_miles(F.col("added"))).alias("miles_total"), *last)
 
 
 def daily_points(points: DataFrame, zone: str = ZONE) -> DataFrame:

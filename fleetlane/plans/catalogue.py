@@ -334,6 +334,19 @@ def incremental_mileage(spark, sf_dir):
     return reports.incremental_mileage(derived.points(spark, sf_dir), status).select("imei", ms("last_mileage_at", "last_at"), km("km_total"))
 
 
+@query(f"""WITH {sql.paired()}, c AS (SELECT DISTINCT imei, 1704067200000 + 3600000 * (3 + user_id % 5) AS last_at FROM points), first AS (SELECT imei, max(t) AS at FROM pairs JOIN c USING (imei) WHERE t <= last_at GROUP BY imei),
+    s AS (SELECT imei, any_value(last_at) AS last_at, sum(CASE WHEN t > last_at AND pt IS NOT NULL THEN driven ELSE 0 END) AS added, max(CASE WHEN t > last_at THEN t END) AS seen FROM pairs JOIN c USING (imei) GROUP BY imei)
+    SELECT imei, CASE WHEN added > 0 THEN seen ELSE last_at END AS last_at, CASE WHEN added > 0 THEN seen ELSE first.at END AS last_point, round(CASE WHEN added > 0 THEN added ELSE 0 END, 6) AS km_total FROM s LEFT JOIN first USING (imei)""")
+def incremental_mileage_carried(spark, sf_dir):
+    """The status table has each device's last point; points before the earliest cursor aren't read."""
+    p, u = derived.points(spark, sf_dir), F.col("imei").cast("long")
+    cursors = p.select("imei").distinct().withColumn("last_at", F.timestamp_millis(F.lit(1704067200000) + 3600000 * (3 + u % 5)))
+    prior = reports.prior_points(p, cursors).select("imei", F.col("packet_date").alias("last_point_at"), F.col("latitude").alias("last_latitude"), F.col("longitude").alias("last_longitude"), F.col("speed").alias("last_speed"))
+    status = cursors.join(prior, "imei", "left").select("imei", F.col("last_at").alias("last_mileage_at"), F.lit(0.0).alias("km_total"), F.lit(0.0).alias("miles_total"), *reports.LAST_POINT)
+    out = reports.incremental_mileage(p, status, F.timestamp_millis(F.lit(1704067200000 + 3 * 3600000)))
+    return out.select("imei", ms("last_mileage_at", "last_at"), ms("last_point_at", "last_point"), km("km_total"))
+
+
 def _acc(spark, sf_dir) -> DataFrame:
     p = derived.points(spark, sf_dir, 20)
     return p.filter("event_type in ('click', 'error')").select("imei", F.when(F.col("event_type") == "click", "on").otherwise("off").alias("acc_status"), F.col("packet_date").alias("start_time"))

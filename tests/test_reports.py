@@ -108,3 +108,18 @@ def test_a_distance_is_computed_once(spark):
 
 def derived_points(spark):
     return spark.createDataFrame([], "imei string, packet_date timestamp, latitude double, longitude double, speed double, ignition boolean, position_id long")
+
+
+def test_incremental_mileage_reads_new_points_alone(spark, tmp_path):
+    t = track(spark, [(k, 50) for k in range(40)])
+    t.write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    status = spark.createDataFrame([], "imei string, last_mileage_at timestamp, km_total double, miles_total double, last_point_at timestamp, last_latitude double, last_longitude double, last_speed double")
+    half = T0 + timedelta(minutes=20)
+    first = reports.incremental_mileage(points.filter(F.col("packet_date") <= F.lit(half)), status)
+    again = spark.createDataFrame(first.collect(), status.schema)
+    out = reports.incremental_mileage(points, again, F.lit(half))
+    whole = reports.mileage(points).first()["km"]
+    assert abs(out.first()["km_total"] - whole) < 1e-9 and again.first()["km_total"] < whole
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(packet_date" in plan
