@@ -23,6 +23,29 @@ def test_any_boundary_gives_the_same(spark, monkeypatch, boundary):
     assert got == {d: c for d, (_, c) in brute.near_duplicates(docs).items()}
 
 
+def test_a_shingle_that_all_texts_share_is_found_and_put_last(spark, monkeypatch):
+    """No task counts it twice at first; nevertheless the second round doesn't pair all texts with each other."""
+    monkeypatch.setattr(jaccard, "COUNTED", 1)
+    monkeypatch.setattr(jaccard, "CROWD", 20)
+    made = []
+    monkeypatch.setattr(jaccard, "_possible", lambda pairs, *rest, f=jaccard._possible: made.append(pairs.count()) or f(pairs, *rest))
+    rng = np.random.default_rng(3)
+    docs = {i: " ".join(["we all share", *(f"w{k}" for k in rng.integers(0, 10**6, 30))]) for i in range(400)}
+    docs |= {1000 + i: docs[i] + " end" for i in range(0, 100, 10)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(odd.frame(spark, docs)).collect()}
+    assert got == brute.near_duplicates(docs)
+    assert sum(made) < 3 * len(docs)
+
+
+def test_the_order_of_shingles():
+    order = jaccard.Order(np.array([5, 6, 7], np.uint64), np.array([10, 30, 20]))
+    tokens = np.array([1, 5, 6, 7, 9], np.uint64)
+    back = dict(zip(words.mixed(tokens).tolist(), tokens.tolist(), strict=True))
+    assert [back[x] for x in order.sorted(tokens).tolist()][2:] == [5, 7, 6]
+    more = order.with_more(np.array([6, 9], np.uint64), np.array([99, 15]))
+    assert [back[x] for x in more.sorted(tokens).tolist()][1:] == [5, 9, 7, 6]
+
+
 def test_jaccard_keeps_one_of_each_group(spark):
     docs = odd.documents(5)
     df = odd.clashing(odd.frame(spark, docs))
