@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder's address under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (tests on one machine) a temporary folder takes its place.
+    Only where that setting is missing on a single machine, as in tests, a temporary folder takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='fleetlane-')}"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -43,16 +45,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame, shuffles: bool = True) -> None:
     """Deletes what stored() wrote for these tables; nothing that is still to run may read them.
 
     Shuffle files of jobs that have ended go when the driver's JVM collects its garbage, which a driver with much
-    memory rarely does by itself; so it is asked to.
+    memory rarely does by itself; so it is asked to, unless there are few.
     """
     for df in tables:
         fs, root = open_fs(df.stored_at)
         fs.delete_dir(root)
-    if tables:
+    if tables and shuffles:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 

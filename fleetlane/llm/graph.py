@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for each node with an edge to another one, the smallest node it can reach.
 
     Minima are pre-aggregated before the shuffle and no neighbourhood is gathered in one place. After each
-    round the edges are written to the shared folder; the rounds grow with the logarithm of the longest path.
+    round the edges are written to the shared folder and the last ones deleted; the rounds grow with the logarithm of the longest path.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v").distinct()
     e = stored(_small_star(e), "edges")
@@ -36,5 +36,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
         if tuple(now) == was or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        was = tuple(now)
+        was, before = tuple(now), e
         e = stored(_small_star(_large_star(e)), "edges")
+        discard(before, shuffles=False)

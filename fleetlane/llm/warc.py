@@ -35,6 +35,8 @@ from .files import committed, dealt, manifest, temporary
 CRLF = b"\r\n"
 #: Bytes of payload of a shard, shards at most, and rows that are sampled for each cut between them.
 SHARD_BYTES, SHARDS, SAMPLE_ROWS = 64 << 20, 1 << 16, 16
+#: Parts of a group of equal payloads.
+COPY_PARTS = 32
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -91,8 +93,10 @@ def revisits(pages: DataFrame, revisit_from: int = 1000) -> DataFrame:
     """(page_id, digest, kept) of the pages whose payload others have too; kept: the largest page_id of them."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")).filter(F.col("size") >= revisit_from)
-    groups = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("kept")).filter("copies > 1").select("digest", "kept")
-    return rows.join(groups, "digest").select("page_id", "digest", "kept").distinct()
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(COPY_PARTS)))  # a payload that very many pages share is told them in parts
+    parts = rows.groupBy("digest", "part").agg(F.count("*").alias("copies"), F.max("page_id").alias("kept"))
+    groups = parts.groupBy("digest").agg(F.sum("copies").alias("copies"), F.max("kept").alias("kept")).filter("copies > 1").select("digest", "kept")
+    return rows.join(parts.select("digest", "part").join(groups, "digest"), ["digest", "part"]).select("page_id", "digest", "kept").distinct()
 
 
 def cuts(pages: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
