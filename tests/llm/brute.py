@@ -66,3 +66,22 @@ def contamination(text, items, window=13):
                     hit.update(range(i, i + n))
                     names.add(str(name))
     return len(words), len(hit), sorted(names)
+
+
+def toxicity_features(lexicon, text):
+    """(hits, density, words) of a text without an automaton: at each word's beginning the longest pattern, unless a
+    phrase covers it."""
+    from fleetlane.llm import toxicity
+
+    folded = f" {' '.join(toxicity.fold(text).split())} "
+    phrases = {f" {' '.join(toxicity.fold(x).split())} " for x in lexicon.phrases}
+    starts = [s for s, c in enumerate(folded) if c == " "]
+    covered = [(s, s + n) for s in starts for n in {len(p) for p in phrases} if folded[s : s + n] in phrases]
+    sizes = sorted({len(p) for p in lexicon.weights}, reverse=True)
+    found = []
+    for s in starts:
+        best = next((folded[s : s + n] for n in sizes if folded[s : s + n] in lexicon.weights), None)
+        if best and lexicon.weights[best] and not any(a <= s + 1 and s + len(best) <= b for a, b in covered):
+            found.append(lexicon.weights[best])
+    words = len(folded.split())
+    return len(found), max(0.0, sum(found)) / (words + toxicity.EXTRA_WORDS), words

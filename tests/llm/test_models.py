@@ -275,19 +275,6 @@ def test_equal_texts_are_learnt_from_once(spark):
     assert once.weights == often.weights and once.curve == often.curve
 
 
-def plain_features(lexicon, text):
-    """Hits and density without an automaton: at each place the longest pattern, unless a phrase covers it."""
-    folded = f" {' '.join(toxicity.fold(text).split())} "
-    covered = [(s, s + len(p) + 2) for p in (" ".join(toxicity.fold(x).split()) for x in lexicon.phrases) for s in range(len(folded)) if folded.startswith(f" {p} ", s)]
-    found = []
-    for s in range(len(folded)):
-        best = max((p for p in lexicon.weights if folded.startswith(p, s)), key=len, default=None)
-        if best and lexicon.weights[best] and not any(a <= s + 1 and s + len(best) <= b for a, b in covered):
-            found.append(lexicon.weights[best])
-    words = len(folded.split())
-    return len(found), max(0.0, sum(found)) / (words + toxicity.EXTRA_WORDS), words
-
-
 def test_scores_are_those_of_a_plain_scorer(spark):
     rows, labels = toxic_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -297,7 +284,7 @@ def test_scores_are_those_of_a_plain_scorer(spark):
     some = [t for _, t in rows[:150]] + [None, "", "moron", "m0r0n moronic MORONS", "a green moron is green", "green moron moron", "ＭＯＲＯＮ!"]
     out = toxicity.features(spark.createDataFrame(list(enumerate(some)), "k long, text string"), lexicon, ["k"]).collect()
     for r in out:
-        hits, density, words = plain_features(lexicon, some[r["k"]])
+        hits, density, words = brute.toxicity_features(lexicon, some[r["k"]])
         assert (r["hits"], r["words"]) == (hits, words) and abs(r["density"] - density) < 1e-12
         assert r["score"] == lexicon.score(r["density"], r["words"])
 

@@ -1,6 +1,9 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from fleetlane.llm import toxicity
 from fleetlane.llm.common import table
+from fleetlane.llm.folds import held_out
 from fleetlane.llm.queries import vocabulary
 
 from . import brute, odd
@@ -11,7 +14,9 @@ SF = "/root/testdata/sf0.001"
 def test_pipeline_is_that_of_plain_stages(spark):
     from tokenizers import Tokenizer
 
-    docs = {r["doc_id"]: r["text"] for r in toxicity.kept(table(spark, SF, "documents"), table(spark, SF, "labels")).collect()}
+    lexicon = toxicity.fit(table(spark, SF, "documents"), table(spark, SF, "labels"), ~held_out(F.col("doc_id")))
+    docs = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
+    docs = {d: t for d, t in docs.items() if lexicon.score(*brute.toxicity_features(lexicon, t)[1:]) < 0.3}
     docs = {d: docs[d] for d, (_, c) in brute.near_duplicates(docs, 5, 80).items() if c == d}
     docs = {d: kept if gone else docs[d] for d, (_, gone, kept) in brute.cut_repeats(docs).items()}
     items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
