@@ -18,6 +18,7 @@ import json
 import os
 from collections.abc import Iterator
 from itertools import chain, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .common import per_worker, slices, strings_of
 #: Bytes of encoded fragments that a Python worker keeps, what one takes besides its characters and ids, and from how
 #: many characters on a fragment without a space is cut.
 CACHE_BYTES, FRAGMENT_BYTES, LONG = 160 << 20, 200, 64
+#: A word's last character, or nothing.
+LAST = itemgetter(slice(-1, None))
 #: The contractions that the pre-tokenizer knows.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: The byte-level pre-tokenizer as tokenizer files state it, and the pieces it finds.
@@ -112,6 +115,12 @@ class ForcedBoundaryCodec:
             self.blocked[c] = c.isspace() or c.encode()[-1] in self.blocked_bytes
         return self.blocked[c]
 
+    def _note_uneven(self, words: set[str]) -> None:
+        """Remembers the words after which a space is no certain cut."""
+        last = {c for c in set(map(LAST, words)) if self._blocks(c)}
+        if last:
+            self.uneven.update(w for w in words if w[-1:] in last)
+
     def _merged(self, parts: list[str]) -> list[str]:
         """parts without the cuts that are not certain."""
         merged, left = [], parts[0]
@@ -164,7 +173,12 @@ class ForcedBoundaryCodec:
             text = " " + " ".join(joint)
             ids = np.array(self.ranked.encode_ordinary(text) if self.ranked else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum(self.lengths[ids])
-            upto = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in joint]), side="left") + 1
+            spaces = np.flatnonzero(np.frombuffer(text.encode(), np.uint8)[1:] == 0x20) + 1
+            if len(spaces) + 1 == len(joint):  # else some words have spaces of their own
+                begins = np.append(spaces, ends[-1])
+            else:
+                begins = np.cumsum([len(w.encode()) + 1 for w in joint])
+            upto = np.searchsorted(ends, begins, side="left") + 1
             self.after_space.update(zip(joint, self._store([ids], np.diff(np.append(0, upto)), joint), strict=True))
 
     def _learn_alone(self, texts: set[str]) -> None:
@@ -188,18 +202,18 @@ class ForcedBoundaryCodec:
         split = [(text or "").split(" ") for text in texts]
         flat = list(chain.from_iterable(split))
         new = set(flat).difference(self.after_space)
-        self.uneven.update(filter(self._blocks, new))
+        self._note_uneven(new)
         if self.uneven:
             merged = [parts if self.uneven.isdisjoint(parts[:-1]) else self._merged(parts) for parts in split]
             if any(a is not b for a, b in zip(merged, split, strict=True)):
                 split, flat = merged, list(chain.from_iterable(merged))
                 new = set(flat).difference(self.after_space)
-                self.uneven.update(filter(self._blocks, new))
+                self._note_uneven(new)
         heads = [parts[0] for parts in split]  # these follow no space
         long = {w: self._inner(" " + w) for w in new if len(w) > LONG}
         cut = {w: [x[0][1:], *x[1:]] for w, x in long.items() if len(x) > 1}
         after = {x[0] for x in cut.values()}
-        self.uneven.update(filter(self._blocks, after.difference(self.after_space)))
+        self._note_uneven(after.difference(self.after_space))
         self._learn((new - cut.keys()) | after.difference(self.after_space), self.uneven)
         first = {w: self._inner(w) for w in set(heads)}
         self._learn_alone(set(chain(chain.from_iterable(first.values()), *(x[1:] for x in cut.values()))))
