@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, embeddings, jaccard, language, substrings, tokens, toxicity, warc
+from . import bpe, bytedups, centroids, chat, decontaminate, embeddings, jaccard, language, resample, substrings, tokens, toxicity, warc
 from .common import table
 
 
@@ -54,8 +54,34 @@ def op10_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_elkan_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op12_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytedups.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    named = (op1_toxicity_lexicon, op2_token_planes, op3_kneser_ney_language, op4_warc_shards, op5_bpe_forced_boundaries, op6_suffix_array_decontamination, op7_prefix_targets, op8_size_aware_jaccard, op9_suffix_tree_dedup, op10_subspace_pigeonhole)
+    named = (
+        op1_toxicity_lexicon,
+        op2_token_planes,
+        op3_kneser_ney_language,
+        op4_warc_shards,
+        op5_bpe_forced_boundaries,
+        op6_suffix_array_decontamination,
+        op7_prefix_targets,
+        op8_size_aware_jaccard,
+        op9_suffix_tree_dedup,
+        op10_subspace_pigeonhole,
+        op11_elkan_centroids,
+        op12_run_length_dedup,
+        op13_importance_resampling,
+    )
     return {f.__name__: f for f in named}
 
 
@@ -129,5 +155,62 @@ SQL = {
 }
 
 
+
+
+def _centroid_rounds(k: int = 8, rounds: int = 10, components: int = 64) -> str:
+    """SQL of op11: an assignment and the centroids after it, round by round."""
+    steps = [
+        f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = {components}
+            AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+        v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(x, lambda y: CAST(floor(1024 * y) AS BIGINT)) AS x FROM e),
+        l AS MATERIALIZED (SELECT r, unnest(range(1, {components} + 1)) AS i, unnest(x) AS x FROM v),
+        f AS (SELECT r, row_number() OVER (ORDER BY name, x) - 1 AS c FROM (SELECT r, x, sha256('3:' || vec_id) AS name FROM v WHERE vec_id IS NOT NULL) ORDER BY name, x LIMIT {k}),
+        c0 AS MATERIALIZED (SELECT c, i, x FROM f JOIN l USING (r))"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"d{n} AS (SELECT r, c, CAST(sum((l.x - m.x) * (l.x - m.x)) AS BIGINT) AS d FROM l JOIN c{n} m USING (i) GROUP BY r, c)")
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{n} GROUP BY r)")
+        if n < rounds:
+            steps.append(f"s{n} AS (SELECT c, i, sum(x) AS s, count(*) AS q FROM l JOIN a{n} USING (r) GROUP BY c, i)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c, i, CAST(coalesce((s - ((s % q) + q) % q) // q, x) AS BIGINT) AS x FROM c{n} LEFT JOIN s{n} USING (c, i))")
+    last = f"""SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM a{rounds} JOIN v USING (r) JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c) USING (c)"""
+    return ",\n        ".join(steps) + "\n        " + last
+
+
+SQL |= {
+    "op11_elkan_centroids": _centroid_rounds(),
+    "op12_run_length_dedup": """
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        p AS MATERIALIZED (SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS w FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d)),
+        m AS MATERIALIZED (SELECT r, i FROM p WHERE w IN (SELECT w FROM p GROUP BY w HAVING count(*) > 1)),
+        g AS (SELECT r, i, i - max(i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM m),
+        n AS (SELECT r, i, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
+        s AS MATERIALIZED (SELECT r, k, min(i) AS lo, max(i) + 200 AS hi FROM n GROUP BY r, k),
+        z AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS since FROM s),
+        t AS (SELECT r, sum(hi - lo) AS gone, count(*) AS n_spans, max(hi) AS upto, string_agg(substr(x, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS parts FROM z JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+            sha256(unhex(CASE WHEN t.r IS NULL THEN x ELSE parts || substr(x, 2 * upto + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN t USING (r)""",
+    "op13_importance_resampling": rf"""
+        WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+        d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        f AS MATERIALIZED (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY ALL),
+        b AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY w),
+        u AS (SELECT w, sum(s) AS s, sum(t) AS t FROM (SELECT w, n AS s, 0 AS t FROM f UNION ALL SELECT w, 0, n FROM b) GROUP BY w),
+        x AS (SELECT w, s, t, hex(encode(w)) AS h FROM u),
+        y AS (SELECT w, s, t, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM x),
+        k AS MATERIALIZED (SELECT w, s, y.t, xor(list_reduce(bytes, lambda c, b: xor(c // 256, tab.t[1 + xor(c % 256, b)]), 4294967295), 4294967295) % 10000 AS bucket FROM y, tab),
+        a AS (SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM k GROUP BY bucket),
+        e AS (SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM k),
+        g AS (SELECT bucket, CAST(floor(1000 * ln((a.t + 1) * (e.s + 10000) / ((a.s + 1) * (e.t + 10000)))) AS BIGINT) AS gain FROM a, e),
+        q AS (SELECT r, sum(n) AS n, sum(n * gain) AS weight FROM f JOIN k USING (w) JOIN g USING (bucket) GROUP BY r),
+        z AS (SELECT r, doc_id, len(w) AS words, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN q USING (r)),
+        v AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM z),
+        o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS every FROM v WHERE words >= 20 AND score IS NOT NULL)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN rank <= 10 * every // 100 THEN rank END AS rank FROM v LEFT JOIN o USING (r)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
