@@ -10,8 +10,10 @@ removed; all copies go. Strings are judged on the input, and never cross texts.
 3. The different pieces of an anchor are indexed together, those of several anchors in one index of bounded size: a
    run-compressed Burrows-Wheeler transform with samples at the borders of runs (runindex.py). Matching
    statistics of the pieces are streamed from it, and tell which windows also start in another piece.
-4. An anchor with over `crowd` different pieces (a common line between ever other words) isn't gathered in a task: its
-   pieces are taken apart to windows, which are counted by 128 bits of hash, partly before the shuffle.
+4. An anchor with over `crowd` different pieces (a common line between ever other words) isn't gathered in a task. Its
+   pieces are cut in WAYS by where their windows have the anchor; the windows of a part have more bytes around
+   the anchor in common than the anchor, and these are the part's key. Copies are counted and different parts indexed
+   as above; where a key is crowded still, its parts are cut again, at last to single windows, which are their keys.
 
 Keys that hold over a HEAVY_SHARE-th of all rows, of which there are fewer than that number, are broadcast.
 
@@ -38,6 +40,8 @@ from .words import K1, K2
 WINDOW, GRAM = 200, 16
 #: Different pieces of an anchor that one index may hold; bytes of pieces after which an index is closed.
 CROWD, INDEX_BYTES = 1_000, 1 << 16
+#: Into how many parts a crowded anchor's windows are cut at a time.
+WAYS = 4
 #: Bytes of text that a task works on at a time, and so many bits tell a place in it.
 AT_ONCE, PLACE_BITS = 4 << 20, 24
 HEAVY_SHARE, HEAVY_ROWS = 2_000, 500
@@ -59,11 +63,12 @@ def gram_hashes(text: bytes, gram: int) -> np.ndarray:
     return h
 
 
-def anchors(text: bytes, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor's hash, first window, windows) of the pieces of texts that stand one after the other up to these ends."""
+def anchors(text: bytes, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor's hash, first window, windows, place of the anchor in the first one) of the pieces of texts that stand one
+    after the other up to these ends."""
     none = np.zeros(0, np.int64)
     if len(text) < window:
-        return none.view(np.uint64), none, none
+        return none.view(np.uint64), none, none, none
     h = gram_hashes(text, gram)
     low = np.uint64((1 << PLACE_BITS) - 1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -80,7 +85,7 @@ def anchors(text: bytes, ends: np.ndarray, window: int, gram: int) -> tuple[np.n
     at = np.flatnonzero(np.cumsum(edges[: len(least)]) > 0)
     place = (least[at] & low).astype(np.int64)
     first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else at
-    return h[place[first]], at[first], np.diff(np.append(first, len(at)))
+    return h[place[first]], at[first], np.diff(np.append(first, len(at))), place[first] - at[first]
 
 
 def _names(text: bytes, first: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
@@ -94,8 +99,8 @@ def _found_in(text: bytes, ends: np.ndarray, window: int, gram: int) -> Iterator
     most = 1 << (PLACE_BITS - 1)
     for lo in range(0, max(1, len(text) - window + 1), most):
         part = text[lo : lo + most + window - 1] if len(text) > most + window else text
-        anchor, first, windows = anchors(part, np.minimum(ends - lo, len(part)), window, gram)
-        yield anchor.view(np.int64), _names(part, first, windows, window), first + lo, windows
+        anchor, first, windows, offset = anchors(part, np.minimum(ends - lo, len(part)), window, gram)
+        yield anchor.view(np.int64), _names(part, first, windows, window), first + lo, windows, offset
 
 
 def _row_key() -> list[Column]:
@@ -113,14 +118,14 @@ def _anchored(docs: DataFrame, window: int, gram: int) -> DataFrame:
             texts = bytes_of(batch, "text")
             ends = np.cumsum([len(t) for t in texts])
             begins = np.append(0, ends[:-1])
-            anchor, name, first, windows = (np.concatenate(x) for x in zip(*_found_in(b"".join(texts), ends, window, gram), strict=True))
+            anchor, name, first, windows, offset = (np.concatenate(x) for x in zip(*_found_in(b"".join(texts), ends, window, gram), strict=True))
             of = np.searchsorted(ends, first, side="right")
             cuts = pa.array(np.searchsorted(of, np.arange(len(texts) + 1)), pa.int32())
-            columns = (anchor, name[:, 0], name[:, 1], (first - begins[of]).astype(np.int32), windows.astype(np.int16))
+            columns = (anchor, name[:, 0], name[:, 1], (first - begins[of]).astype(np.int32), windows.astype(np.int16), offset.astype(np.int16))
             lists = [pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(x))) for x in columns]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["d", "h", "anchor", "k1", "k2", "start", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["d", "h", "anchor", "k1", "k2", "start", "windows", "offset"])
 
-    return _keyed(docs, window).mapInArrow(run, "d long, h long, anchor array<long>, k1 array<long>, k2 array<long>, start array<int>, windows array<short>")
+    return _keyed(docs, window).mapInArrow(run, "d long, h long, anchor array<long>, k1 array<long>, k2 array<long>, start array<int>, windows array<short>, offset array<short>")
 
 
 def _joined(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -134,67 +139,95 @@ def _heavy(count: str, every: int) -> Column:
     return (F.col(count) > max(HEAVY_ROWS, every // HEAVY_SHARE)).alias("heavy")
 
 
+PIECE = {"key": "long", "many": "boolean", "crowded": "boolean", "d": "long", "h": "long", "start": "int", "offset": "int", "least": "int", "piece": "binary"}
+KINDS = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
+
 def _taken(docs: DataFrame, by_doc: DataFrame, window: int) -> DataFrame:
-    """The texts of pieces (by_doc: lists of a row's pieces), and of crowded anchors their windows' names instead."""
-    names = ["anchor", "k2", "many", "crowded", "d", "h", "start", "piece"]
+    """PIECE: the texts of pieces (by_doc: lists of a row's pieces). offset: where the first window has its anchor; least: the
+    least offset of the key's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", AT_ONCE):
             out = []
             for d, h, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch, "text"), batch.column(3).to_pylist(), strict=True):
-                for x in at:
-                    s, n = x["start"], x["windows"]
-                    if not x["crowded"]:
-                        out.append((x["anchor"], None, x["many"], False, d, h, s, text[s : s + n + window - 1]))
-                        continue
-                    name = _names(text, np.arange(s, s + n), np.ones(n, np.int64), window).tolist()
-                    out += [(k1, k2, x["many"], True, d, h, s + i, None) for i, (k1, k2) in enumerate(name)]
-                if len(out) > 20_000:
-                    yield packed(out)
-                    out = []
-            yield packed(out)
+                out += [(x["anchor"], x["many"], x["crowded"], d, h, s, x["offset"], 0, text[s : s + x["windows"] + window - 1]) for x in at for s in (x["start"],)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(KINDS)], names=list(PIECE))
+
+    return _keyed(docs, window).join(by_doc, ["d", "h"]).select("d", "h", "text", "at").mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in PIECE.items()))
 
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
-    def packed(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
+def parted(piece: bytes, offset: int, least: int, width: int, ways: int, window: int) -> Iterator[tuple[bytes, int, int, bytes]]:
+    """(key's text, first window, least offset, text) of the parts of a piece whose windows have offsets from least on, below
+    least + width. The key's text is what all windows with the part's offsets have in common."""
+    step = -(-width // ways)
+    for low in range(least, least + width, step):
+        first, last = max(0, offset - low - step + 1), min(len(piece) - window, offset - low)
+        if first <= last:
+            yield piece[offset - low : offset - low - step + 1 + window], first, low, piece[first : last + window]
 
-    return _keyed(docs, window).join(by_doc, ["d", "h"]).select("d", "h", "text", "at").mapInArrow(run, "anchor long, k2 long, many boolean, crowded boolean, d long, h long, start int, piece binary")
+
+def _parts(crowded: DataFrame, width: int, ways: int, window: int) -> DataFrame:
+    """The parts of crowded pieces, with their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "piece"):
+            out = []
+            for many, d, h, start, offset, least, piece in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                for common, first, low, text in parted(piece, offset, least, width, ways, window):
+                    name = np.frombuffer(xxhash.xxh3_128_digest(text), "<i8").tolist()
+                    key = np.frombuffer(xxhash.xxh3_64_digest(common, seed=low), ">i8")[0]
+                    out.append((key, many, d, h, start + first, offset - first, low, text, *name))
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["key", "many", "d", "h", "start", "offset", "least", "piece", "k1", "k2"])
+
+    rows = crowded.select("many", "d", "h", "start", "offset", "least", "piece")
+    return rows.mapInArrow(run, "key long, many boolean, d long, h long, start int, offset int, least int, piece binary, k1 long, k2 long")
+
+
+def _uncrowded(crowded: DataFrame, window: int, gram: int, crowd: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(matches, pieces) of crowded pieces that are parted until no key is crowded: what occurs twice of pieces that occur once
+    (d, h, first, bytes), and what is left to be indexed (PIECE)."""
+    matches, pieces, width = [], [], window - gram + 1
+    while not crowded.isEmpty():
+        parts = stored(_parts(crowded, width, WAYS, window), "byte-parts")
+        width = -(-width // WAYS)
+        name = ["key", "k1", "k2"]
+        one = F.min(F.struct("d", "h", "start", "offset", "least", "piece")).alias("one")
+        kinds = stored(parts.groupBy(*name).agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n"), one), "byte-part-kinds")
+        every = kinds.agg(F.sum("n")).first()[0] or 0
+        twice = _joined(parts.filter("not many"), kinds.filter("n > 1").select(*name, _heavy("n", every)), name)
+        matches.append(stored(twice.select("d", "h", F.col("start").cast("long").alias("first"), F.octet_length("piece").cast("long").alias("bytes")), "byte-part-copies"))
+        discard(parts, shuffles=False)
+        sizes = kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key", ((F.col("kinds") > crowd) & (F.lit(width) > 1)).alias("crowded"), _heavy("kinds", every))
+        mixed = _joined(kinds, sizes, ["key"]).select("key", (F.col("n") > 1).alias("many"), "crowded", "one.*")
+        pieces.append(stored(mixed.select(*PIECE), "byte-pieces"))
+        discard(kinds, shuffles=False)
+        crowded = pieces[-1].filter("crowded")
+    return matches, pieces
 
 
 def _indexed(pieces: DataFrame, window: int, index_bytes: int) -> DataFrame:
-    """(d, h, first, bytes) of what other pieces of the same anchor also hold, of pieces that occur once."""
+    """(d, h, first, bytes) of what other pieces of the same key also hold, of pieces that occur once."""
 
     def matched(held: list[tuple]) -> pa.RecordBatch:
         out = [(*held[k][1:3], held[k][3] + first, n + window - 1) for k, first, n in long_matches([x[4] for x in held], window) if not held[k][0]]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["d", "h", "first", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, held, size = None, [], 0
+        at, held, size = None, [], 0
         for batch in batches:
             for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != anchor and size >= index_bytes:
+                if key != at and size >= index_bytes:
                     yield matched(held)
                     held, size = [], 0
-                anchor = key
+                at = key
                 held.append(row)
                 size += len(row[4])
         yield matched(held)
 
-    rows = pieces.filter("not crowded").select("anchor", "many", "d", "h", "start", "piece")
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "d long, h long, first long, bytes long")
-
-
-def _counted(pieces: DataFrame, window: int) -> DataFrame:
-    """(d, h, first, bytes) of the windows of crowded anchors that start more than once, of pieces that occur once."""
-    rows = pieces.filter("crowded").select("anchor", "k2", "many", "d", "h", "start")
-    names = rows.groupBy("anchor", "k2").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).filter("n > 1")
-    names = stored(names, "windows")
-    every = names.agg(F.sum("n")).first()[0] or 0
-    twice = _joined(rows.filter("not many"), names.select("anchor", "k2", _heavy("n", every)), ["anchor", "k2"])
-    out = stored(twice.select("d", "h", F.col("start").cast("long").alias("first"), F.lit(window).cast("long").alias("bytes")), "counted")
-    discard(names, shuffles=False)
-    return out
+    rows = pieces.filter("not crowded").select("key", "many", "d", "h", "start", "piece")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "d long, h long, first long, bytes long")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD, index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -203,25 +236,31 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int
     every = anchored.agg(F.sum(F.size("anchor"))).first()[0] or 0
     counts = anchored.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     counts = stored(counts.select("anchor", _heavy("n", every)), "byte-counts")
-    flat = anchored.select("d", "h", F.explode(F.arrays_zip("anchor", "k1", "k2", "start", "windows")).alias("at")).select("d", "h", "at.*")
+    flat = anchored.select("d", "h", F.explode(F.arrays_zip("anchor", "k1", "k2", "start", "windows", "offset")).alias("at")).select("d", "h", "at.*")
     places = stored(_joined(flat, counts, ["anchor"]), "byte-places")
     discard(anchored, counts, shuffles=False)
 
     name = ["anchor", "k1", "k2"]
-    kinds = stored(places.groupBy(*name).agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "start", "windows")).alias("one")), "byte-kinds")
+    kinds = stored(places.groupBy(*name).agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "start", "windows", "offset")).alias("one")), "byte-kinds")
     copies = kinds.filter("n > 1").select(*name, _heavy("n", every))
     whole = _joined(places, copies, name).select("d", "h", F.col("start").cast("long").alias("first"), (F.col("windows") + F.lit(window - 1)).cast("long").alias("bytes"))
     whole = stored(whole, "byte-copies")
     discard(places, shuffles=False)
     sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor", (F.col("kinds") > crowd).alias("crowded"), _heavy("kinds", every))
-    mixed = _joined(kinds, sizes, ["anchor"]).select("one.d", "one.h", F.struct("anchor", (F.col("n") > 1).alias("many"), "crowded", "one.start", "one.windows").alias("x"))
+    mixed = _joined(kinds, sizes, ["anchor"]).select("one.d", "one.h", F.struct("anchor", (F.col("n") > 1).alias("many"), "crowded", "one.start", "one.windows", "one.offset").alias("x"))
     by_doc = stored(mixed.groupBy("d", "h").agg(F.collect_list("x").alias("at")), "byte-kept")
     discard(kinds, shuffles=False)
     pieces = stored(_taken(docs, by_doc, window), "byte-pieces")
     discard(by_doc, shuffles=False)
-    indexed, counted = stored(_indexed(pieces, window, index_bytes), "byte-matches"), _counted(pieces, window)
-    discard(pieces)
-    return whole.unionByName(indexed).unionByName(counted).groupBy("d", "h").agg(F.collect_set(F.struct("first", "bytes")).alias("found"))
+    matches, more = _uncrowded(pieces.filter("crowded"), window, gram, crowd)
+    every_piece = pieces
+    for part in more:
+        every_piece = every_piece.unionByName(part)
+    found = whole.unionByName(stored(_indexed(every_piece, window, index_bytes), "byte-matches"))
+    discard(pieces, *more, shuffles=False)
+    for part in matches:
+        found = found.unionByName(part)
+    return found.groupBy("d", "h").agg(F.collect_set(F.struct("first", "bytes")).alias("found"))
 
 
 RESULTS = {"kept": T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "spans": T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("bytes", T.LongType())]))}

@@ -102,7 +102,7 @@ def test_texts_longer_than_places_are_told(monkeypatch):
     rng = random.Random(3)
     text = bytes(rng.choice(b"abcd") for _ in range(3000))
     found = list(bytedups._found_in(text, np.array([len(text)]), 40, 8))
-    windows = [i for _, _, first, n in found for a, m in zip(first.tolist(), n.tolist(), strict=True) for i in range(a, a + m)]
+    windows = [i for _, _, first, n, _ in found for a, m in zip(first.tolist(), n.tolist(), strict=True) for i in range(a, a + m)]
     assert len(found) > 5 and windows == list(range(3000 - 39))
 
 
@@ -112,12 +112,32 @@ def test_equal_windows_have_equal_anchors():
     at = {}
     for _ in range(20):
         text = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 50))) + shared + bytes(rng.choice(b"ab") for _ in range(30))
-        anchor, first, n = bytedups.anchors(text, np.array([len(text)]), 24, 12)
+        anchor, first, n, offset = bytedups.anchors(text, np.array([len(text)]), 24, 12)
+        assert (bytedups.gram_hashes(text, 12)[first + offset] == anchor).all() and (offset - n + 1 >= 0).all() and (offset <= 12).all()
         for a, s, m in zip(anchor.tolist(), first.tolist(), n.tolist(), strict=True):
             for i in range(s, s + m):
                 assert at.setdefault(text[i : i + 24], a) == a
 
 
+def test_parts_hold_all_windows_once_and_equal_windows_have_equal_keys():
+    rng = random.Random(5)
+    window, width, keys = 24, 13, {}
+    shared = bytes(rng.choice(b"abc") for _ in range(40))
+    for _ in range(40):
+        k = rng.randint(0, 8)
+        text = bytes(rng.choice(b"abc") for _ in range(k)) + shared[rng.randint(0, 3) : rng.randint(30, 40)] + bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 6)))
+        windows = len(text) - window + 1
+        offset = rng.randint(windows - 1, width - 1) if windows <= width else None
+        if offset is None:
+            continue
+        got = [(first + i, offset - first - i) for _, first, _, part in bytedups.parted(text, offset, 0, width, 4, window) for i in range(len(part) - window + 1)]
+        assert sorted(got) == [(i, offset - i) for i in range(windows)]
+        for common, first, low, part in bytedups.parted(text, offset, 0, width, 4, window):
+            assert low <= offset - first < low + 4 and len(common) == window - 3 and common in part
+            for i in range(len(part) - window + 1):
+                assert keys.setdefault((part[i : i + window], offset - first - i), (common, low)) == (common, low)
+
+
 # --- centroids
 
 
