@@ -36,8 +36,8 @@ from .common import bytes_of, discard, slices, stored
 from .words import ALNUM
 
 LONGEST, BUCKETS, SEED, LEAST, PERCENT = 1, 10_000, 2024, 20, 10
-#: Bytes of text of a chunk; a longer text is one for itself.
-CHUNK = 4 << 20
+#: Bytes of text after which a chunk is closed.
+CHUNK = 16 << 20
 
 
 def features(text: bytes | None, longest: int) -> tuple[Counter, int]:
@@ -49,30 +49,47 @@ def features(text: bytes | None, longest: int) -> tuple[Counter, int]:
     return out, len(words)
 
 
+class _Chunk:
+    """Documents that are read together, and their features so far."""
+
+    def __init__(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.docs, self.words, self.sizes, self.place, self.times, self.bytes = [], [], [], [], [], 0
+
+    def add(self, doc_id: int | None, text: bytes | None, longest: int) -> None:
+        found, n = features(text, longest)
+        index = self.index
+        self.docs.append(doc_id)
+        self.words.append(n)
+        self.sizes.append(len(found))
+        self.place.append(np.fromiter((index.setdefault(f, len(index)) for f in found), np.int32, len(found)))
+        self.times.append(np.fromiter(found.values(), np.int32, len(found)))
+        self.bytes += len(text or b"")
+
+    def row(self, number: int) -> pa.RecordBatch:
+        place, times = np.concatenate(self.place), np.concatenate(self.times)
+        total = np.bincount(place, weights=times, minlength=len(self.index)).astype(np.int64)
+        every = np.append(0, np.cumsum(times, dtype=np.int64))[np.append(0, np.cumsum(self.sizes))]
+        names = pa.array(list(self.index), pa.binary()).cast(pa.string())
+        columns = [pa.array(self.docs, pa.int64()), pa.array(self.words, pa.int64()), pa.array(np.diff(every)), pa.array(self.sizes, pa.int32()), pa.array(place), pa.array(times), pa.array(total), names]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], names=["chunk", "doc_id", "words", "features", "sizes", "place", "times", "total", "feature"])
+
+
 def _chunks(docs: DataFrame, longest: int) -> DataFrame:
     """A row for each chunk: its documents (doc_id, words, features, and how many distinct features: sizes), the place and number
     of each document's distinct features, and the features with their numbers of occurrences."""
-    numbers = ("doc_id", "words", "features", "sizes", "place", "times", "total")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text", CHUNK):
-            index: dict[bytes, int] = {}
-            words, sizes, place, times = [], [], [], []
-            for text in bytes_of(batch, "text"):
-                found, n = features(text, longest)
-                words.append(n)
-                sizes.append(len(found))
-                place += [index.setdefault(f, len(index)) for f in found]
-                times += found.values()
-            place, times = np.array(place, np.int32), np.array(times, np.int32)
-            total = np.bincount(place, weights=times, minlength=len(index)).astype(np.int64)
-            every = np.append(0, np.cumsum(times))[np.append(0, np.cumsum(sizes))]
-            columns = [batch.column(0), pa.array(words, pa.int64()), pa.array(np.diff(every)), pa.array(sizes, pa.int32()), pa.array(place), pa.array(times), pa.array(total)]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-            name = pa.array(list(index), pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, pa.ListArray.from_arrays(pa.array([0, len(name)], pa.int32()), name)], names=["chunk", *numbers, "feature"])
-            chunk += 1
+        number, chunk = TaskContext.get().partitionId() << 32, _Chunk()
+        for batch in slices(batches, "text"):
+            for doc_id, text in zip(batch.column(0).to_pylist(), bytes_of(batch, "text"), strict=True):
+                chunk.add(doc_id, text, longest)
+            if chunk.bytes >= CHUNK:
+                yield chunk.row(number)
+                number, chunk = number + 1, _Chunk()
+        if chunk.docs:
+            yield chunk.row(number)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "chunk long, doc_id array<long>, words array<long>, features array<long>, sizes array<int>, place array<int>, times array<int>, total array<long>, feature array<string>")
@@ -106,15 +123,15 @@ def _weights(chunks: DataFrame, by_chunk: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 of = {name: batch.column(k).slice(i, 1).flatten() for k, name in enumerate(batch.schema.names)}
-                gain = np.zeros(len(of["at"]) + 1, np.int64)
-                at = of["at"]
-                gain[at.field("place").to_numpy()] = at.field("gain").to_numpy()
+                at = of["at"].to_numpy()
+                gain = np.zeros(len(at) + 1, np.int64)
+                gain[at >> 32] = at.astype(np.int32)
                 upto = np.append(0, np.cumsum(gain[of["place"].to_numpy()] * of["times"].to_numpy()))
                 weight = np.diff(upto[np.append(0, np.cumsum(of["sizes"].to_numpy().astype(np.int64)))])
                 yield pa.RecordBatch.from_arrays([of["doc_id"], of["words"], of["features"], pa.array(weight)], names=["doc_id", "words", "n_features", "weight"])
 
     own = chunks.drop("total", "feature").join(by_chunk, "chunk", "left")
-    rows = own.select("doc_id", "words", "features", "sizes", "place", "times", F.coalesce("at", F.array().cast("array<struct<place:int,gain:bigint>>")).alias("at"))
+    rows = own.select("doc_id", "words", "features", "sizes", "place", "times", F.coalesce("at", F.array().cast("array<bigint>")).alias("at"))
     return rows.mapInArrow(run, "doc_id long, words long, n_features long, weight long")
 
 
@@ -125,7 +142,8 @@ def weighted(docs: DataFrame, target: DataFrame, longest: int = LONGEST, buckets
     named = _named(chunks)
     distinct = stored(dictionary(named, wanted, buckets), "features")
     gained = distinct.filter("s > 0").join(F.broadcast(gains(distinct, buckets)), "bucket").select("feature", "gain")
-    by_chunk = named.select("chunk", "place", "feature").join(gained, "feature").groupBy("chunk").agg(F.collect_list(F.struct("place", "gain")).alias("at"))
+    packed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("gain").bitwiseAND(F.lit(0xFFFFFFFF)))  # a gain has 32 bits at most
+    by_chunk = named.select("chunk", "place", "feature").join(gained, "feature").groupBy("chunk").agg(F.collect_list(packed).alias("at"))
     out = stored(_weights(chunks, by_chunk), "weights")
     discard(chunks, distinct, shuffles=False)
     return out
