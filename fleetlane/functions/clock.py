@@ -39,6 +39,16 @@ def resolve_day(now: datetime | None = None, day_utc: datetime | None = None, mo
     return local.astimezone(timezone.utc), (local + timedelta(days=1)).astimezone(timezone.utc)
 
 
+def resolved_day(now: Column, day_utc: Column, mode: Column, zone: str = ZONE) -> Column:
+    """struct(mode, start_at, end_at) of resolve_day() as columns: an explicit UTC start and 24 hours, the UTC day, or the business
+    day. The mode's case and blanks don't matter; any other one, and none, is the business day."""
+    day = lambda name, start: F.struct(F.lit(name).alias("mode"), start.alias("start_at"), F.timestamp_add("HOUR", F.lit(24), start).alias("end_at"))
+    local = local_date(now, zone)
+    business = F.struct(F.lit("cairo").alias("mode"), day_start(local, zone).alias("start_at"), day_start(F.date_add(local, 1), zone).alias("end_at"))
+    utc = F.lower(F.regexp_replace(F.coalesce(mode, F.lit("")), r"[\s\p{Z}]+", "")) == "utc"
+    return F.when(day_utc.isNotNull(), day("explicit", day_utc)).when(utc, day("utc", F.date_trunc("DAY", now))).otherwise(business)
+
+
 def from_epoch(value: Column) -> Column:
     """Milliseconds since the epoch of a number in seconds (under 1e12) or milliseconds."""
     return F.when(F.abs(value) < 1e12, value * 1000).otherwise(value).cast("long")

@@ -91,6 +91,15 @@ def in_polygon(lat: Column, lon: Column, ring: Column) -> Column:
     return F.coalesce(fence_coordinates(lat, lon) & (F.size(ring) >= 3) & inside, F.lit(False))
 
 
+def ring(text: Column) -> Column:
+    """The vertices of a polygon written as JSON: an array of [lat, lon], or of rings of them, of which the first counts;
+    null where it is neither."""
+    parsed = F.try_parse_json(text)
+    nested = F.try_variant_get(parsed, "$[0][0][0]", "double").isNotNull()
+    at = lambda path: F.try_variant_get(parsed, path, "array<array<double>>")
+    return F.when(nested, at("$[0]")).otherwise(at("$"))
+
+
 def knots_to_kmh(knots: Column) -> Column:
     return knots * 1.852
 

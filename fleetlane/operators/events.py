@@ -73,8 +73,8 @@ def overspeed_sessions(points: DataFrame, limits: DataFrame) -> DataFrame:
     over = F.when(F.col("alarm") == "lowspeed", False).when(F.col("alarm") == "overspeed", True).when(F.col("limit_kmh").isNotNull(), F.col("speed") > F.col("limit_kmh"))
     rows = rows.withColumns({"over": over, "limit_kmh": F.coalesce("limit_kmh", F.lit(0.0))}).filter("over is not null")
     rows = rows.withColumn("session", F.count_if(~F.col("over")).over(so_far(IMEI)))
-    ends = F.count_if(~F.col("over")).over(window(IMEI).rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("closed", ends > 0).filter("over and closed")
+    ends = F.count_if(~F.col("over")).over(Window.partitionBy(*IMEI))
+    rows = rows.withColumn("ends", ends).filter("over and session < ends")
     at = F.when(finite(F.col("latitude"), F.col("longitude")), F.struct("t", "position_id", "latitude", "longitude"))
     out = rows.groupBy("imei", "session").agg(F.min(_ordered("latitude", "longitude", "limit_kmh")).alias("a"), F.max(_ordered()).alias("b"), F.max(at).alias("at"), F.max("speed").alias("most"))
     spot = lambda s, t: F.struct(F.col(f"{s}.latitude").alias("lat"), F.col(f"{s}.longitude").alias("lon"), F.col(t).alias("t"))

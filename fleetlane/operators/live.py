@@ -76,24 +76,44 @@ def _messages(arrivals: DataFrame, more: dict[str, str]) -> tuple[DataFrame, tup
     return arrivals.withColumns({f"__{c}": value(c, kind) for c, kind in wanted.items()}), tuple(f"__{c}" for c in wanted)
 
 
+def track_step(s: tuple | None, now: int, fix: int | None, device: int | None, server: int | None, lat: float | None, lon: float | None, speed: float | None, motion: bool | None, outdated: bool | None) -> tuple:
+    """(state, (decision, effective_ms, source)) of a device's next message. The state is its newest live fix time, its
+    newest effective live time (0: none), and the place of its last message."""
+    last_fix, last_live, before = s or (0, 0, None)
+    decided = _, effective, source = fix_decision(fix, device, server, now, last_fix, last_live, is_current(lat, lon, speed, motion, before), outdated is True)
+    if effective is not None and effective >= last_live:
+        last_live = effective
+        if source == "fixTime":
+            last_fix = fix
+    return (last_fix, last_live, (lat, lon)), decided
+
+
 def live_tracked(arrivals: DataFrame) -> DataFrame:
     """arrivals (imei, arrived, seq, fix; device, server, latitude, longitude, speed, motion and outdated where there
     are such; times in ms) with decision, effective_ms and source, in arrival order.
 
     A device's state is its newest live fix time, its newest effective live time (of fix or device), and the place
     of its last message. An effective time older than the newest one changes none of them."""
+    rows, names = _messages(arrivals, {})
+    return carried(rows, IMEI, ("arrived", "seq"), ("arrived", *names), track_step, DECIDED).drop(*names)
 
-    def step(s, now, fix, device, server, lat, lon, speed, motion, outdated):
-        last_fix, last_live, before = s or (0, 0, None)
-        decided = decision, effective, source = fix_decision(fix, device, server, now, last_fix, last_live, is_current(lat, lon, speed, motion, before), outdated is True)
-        if effective is not None and effective >= last_live:
-            last_live = effective
-            if source == "fixTime":
-                last_fix = fix
-        return (last_fix, last_live, (lat, lon)), decided
 
+def live_bursts(arrivals: DataFrame) -> DataFrame:
+    """live_tracked() of messages that come in bursts (burst; all of one at its `now`), with `is_live`: of each burst, in
+    the order of fix times, the last message whose effective time isn't older than the newest one. A missing fix
+    time is the oldest. Devices go on from burst to burst."""
     rows, names = _messages(arrivals, {})
-    return carried(rows, IMEI, ("arrived", "seq"), ("arrived", *names), step, DECIDED).drop(*names)
+    rows = rows.withColumns({"__at": F.coalesce("__fix", F.lit(0).cast("long")), "__seq": F.col("seq").cast("long")})
+
+    def step(s, now, *message):
+        newest = s[0][1] if s else 0
+        state, decided = track_step(s[0] if s else None, now, *message)
+        number = (s[1] if s else 0) + 1
+        return (state, number), (*decided, number if decided[1] is not None and decided[1] >= newest else None)
+
+    out = carried(rows, IMEI, ("now", "burst", "__at", "__seq"), ("now", *names), step, [*DECIDED, T.StructField("__accepted", T.LongType())])
+    last = F.max("__accepted").over(Window.partitionBy("imei", "burst"))
+    return out.withColumn("is_live", F.coalesce(F.col("__accepted") == last, F.lit(False))).drop("__accepted", "__at", "__seq", *names)
 
 
 def live_classification(arrivals: DataFrame) -> DataFrame:
@@ -210,10 +230,79 @@ def sticky(rows: DataFrame, columns: list[str], snapshot: DataFrame | None = Non
 
 
 def status_latest(points: DataFrame) -> DataFrame:
-    """Each device's newest fix, its last arrival, and its last place where it moved at over 1 km/h."""
-    order = F.struct("t", "position_id")
-    fix = F.max_by(F.struct("packet_date", "latitude", "longitude", "speed", "direction"), order).alias("fix")
-    return timed(points).groupBy("imei").agg(fix, F.max("packet_date").alias("last_seen_at"), F.max(F.when(F.col("speed") > 1, F.col("packet_date"))).alias("last_position_at"), F.count("*").alias("points")).select("imei", F.col("fix.packet_date").alias("last_fix_at"), "fix.latitude", "fix.longitude", "fix.speed", "fix.direction", "last_seen_at", "last_position_at", "points")
+    """Each device's newest fix, its last arrival, and its last place where it moved at over 1 km/h.
+
+    A fix more than 10 minutes ahead of its arrival (`arrived`, a timestamp; without such a column, of now) is no fix:
+    where a device has no other, its time stays unknown, and place, speed and direction are those that came first. Of
+    equal fixes the first that arrived stands. Points come in the order of arrival, then position_id."""
+    known = "arrived" in points.columns
+    arrived = F.col("arrived") if known else F.current_timestamp()
+    rows = timed(points).withColumn("__ok", F.col("packet_date") <= F.timestamp_add("MILLISECOND", F.lit(FUTURE_FIX), arrived))
+    rows = rows.withColumn("__at", F.unix_millis("arrived") if known else F.lit(0).cast("long"))
+    values = F.struct("packet_date", "latitude", "longitude", "speed", "direction")
+    newest = F.max_by(F.when(F.col("__ok"), values), F.when(F.col("__ok"), F.struct("t", -F.col("__at"), -F.col("position_id"))))
+    seen = F.max("arrived") if known else F.max(F.when(F.col("__ok"), F.col("packet_date")))
+    moved = F.max(F.when((F.col("speed") > 1) & (F.lit(True) if known else F.col("__ok")), F.col("arrived" if known else "packet_date")))
+    out = rows.groupBy("imei").agg(newest.alias("fix"), F.min_by(values, F.struct("__at", "position_id")).alias("first"), seen.alias("last_seen_at"), moved.alias("last_position_at"), F.count("*").alias("points"))
+    either = [F.coalesce(F.col(f"fix.{c}"), F.col(f"first.{c}")).alias(c) for c in ("latitude", "longitude", "speed", "direction")]
+    return out.select("imei", F.col("fix.packet_date").alias("last_fix_at"), *either, "last_seen_at", "last_position_at", "points")
+
+
+#: The columns of a device's status, in groups: those of the newest fix, times, and those of the last message.
+OF_FIX = {"latitude": "double", "longitude": "double", "speed": "double", "direction": "double"}
+STATUS_TIMES = {"fix": "long", "packet_at": "long", "position_at": "long", "gps_at": "long"}
+OF_LAST = {"kind": "string", "ignition": "boolean", "motion": "boolean", "alarm": "string"}
+STATUS = STATUS_TIMES | OF_FIX | OF_LAST
+#: What status_step() takes of a message; times in ms, unknown values null.
+STATUS_MESSAGE = {"arrived": "long", "fix": "long", "attr_type": "double"} | OF_FIX | OF_LAST
+HEARTBEAT = 19
+
+
+def status_step(s: tuple | None, arrived: int | None, fix: int | None, attr_type: float | None, lat: float | None, lon: float | None, speed: float | None, direction: float | None, *last) -> tuple:
+    """A device's status (the values of STATUS) after a message, each group by its rule.
+
+    A fix is newer if it isn't over 10 minutes ahead of the arrival (without one, of itself), and none is stored, or an
+    older one, or one that lies in that future. Place, speed and direction follow a newer fix; until there is one, the
+    first that come stay. The time of arrival counts for all messages, for a position only over 1 km/h and not from a
+    heartbeat; gps_at is the newest fix in motion with coordinates. The last group is that of the last message.
+    """
+    now = dict(zip(STATUS, s or [None] * len(STATUS), strict=True))
+    reference = fix if arrived is None else arrived
+    latest = None if reference is None else reference + FUTURE_FIX
+    newer = fix is not None and fix <= latest and (now["fix"] is None or fix > now["fix"] or now["fix"] > latest)
+    moving = speed is not None and speed > 0 and attr_type != HEARTBEAT
+    if reference is not None:
+        now["packet_at"] = reference
+        if moving and speed > 1:
+            now["position_at"] = reference
+    placed = lat is not None and lon is not None
+    for name, value in (("latitude", lat if placed else None), ("longitude", lon if placed else None), ("speed", speed), ("direction", direction)):
+        if value is not None and (newer or now[name] is None):
+            now[name] = value
+    if newer:
+        now["fix"] = fix
+        if placed and moving:
+            now["gps_at"] = fix
+    now.update(zip(OF_LAST, last, strict=True))
+    return tuple(now.values())
+
+
+def status_message(rows: DataFrame, prefix: str = "") -> DataFrame:
+    """rows with typed columns of STATUS_MESSAGE; those that are missing, and NaN, are null."""
+    value = lambda c, kind: F.nullif((F.col(c) if c in rows.columns else F.lit(None)).cast(kind), F.lit("NaN").cast(kind)) if kind == "double" else (F.col(c) if c in rows.columns else F.lit(None)).cast(kind)
+    return rows.withColumns({prefix + c: value(c, kind) for c, kind in STATUS_MESSAGE.items()})
+
+
+def status_table(messages: DataFrame) -> DataFrame:
+    """imei and STATUS after all messages (imei, seq and what STATUS_MESSAGE names, as far as there is), in the order of
+    arrival (without one, of the fix) and seq: folds status_step() over each device's messages."""
+    rows = status_message(messages).withColumns({"__at": F.coalesce("arrived", "fix"), "__seq": F.col("seq").cast("long")})
+    rows = rows.select("imei", "__at", "__seq", *STATUS_MESSAGE)
+
+    def step(s: tuple | None, _at: int, _seq: int, *message) -> tuple:
+        return status_step(s, *message), None
+
+    return folded(rows, ("__at", "__seq", *STATUS_MESSAGE), step, T.StructType.fromDDL(", ".join(f"{c} {kind}" for c, kind in STATUS.items())).fields, last=True)
 
 
 def is_newer_fix(fix: Column, stored: Column, reference: Column, future_ms: int = FUTURE_FIX) -> Column:
@@ -273,6 +362,32 @@ def second_rates(points: DataFrame, seconds: int = 60) -> DataFrame:
     return points.groupBy(F.window("packet_date", f"{seconds} seconds").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "n")
 
 
+#: Milliseconds after which the next event closes a rate window.
+RATE_MS = 1000
+
+
+def rate_step(s: tuple | None, t: int, n: int) -> tuple:
+    """((start, count), closed): a window begins with its first event; the first one RATE_MS or more after its start is its
+    last, and begins the next window, in which it doesn't count."""
+    start, count = s or (t, 0)
+    if t - start >= RATE_MS:
+        return (t, 0), (start, t, count + n)
+    return (start, count + n), None
+
+
+def rate_windows(events: DataFrame) -> DataFrame:
+    """imei, start, end (ms) and n of the closed rate windows of events (imei, at in ms); windows follow the events, not
+    the clock. Events of one instant are counted before they are brought together."""
+    rows = events.filter("at is not null").groupBy("imei", F.col("at").cast("long").alias("at")).agg(F.count("*").alias("n"))
+
+    def step(s: tuple | None, t: int, n: int) -> tuple:
+        # events of one instant come one after the other: the first one closes the window, the others are in the next
+        s, closed = rate_step(s, t, 1)
+        return (s[0], s[1] + n - 1), closed
+
+    return folded(rows, ("at", "n"), step, [T.StructField(c, T.LongType()) for c in ("start", "end", "n")])
+
+
 def latest(rows: DataFrame) -> DataFrame:
     """The newest row of each device, whole."""
     names = rows.columns

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlane.functions.geo import km_to_miles
+from fleetlane.functions.text import is_blank, stripped
 
 from .sequence import carried
 
@@ -35,7 +36,7 @@ def tenant_rooms(devices: DataFrame, tenants: DataFrame) -> DataFrame:
 
 def models(devices: DataFrame, details: DataFrame, default: str) -> DataFrame:
     """imei and model: of the details, else of the status, else the default; blanks are missing."""
-    known = lambda c: F.nullif(F.trim(c), F.lit(""))
+    known = lambda c: F.nullif(stripped(c), F.lit(""))
     return devices.join(details.select("imei", "tr_model"), "imei", "left").select("imei", F.coalesce(known(F.col("tr_model")), known(F.col("model")), F.lit(default)).alias("model"))
 
 
@@ -73,6 +74,55 @@ def empty_snapshot(online: int, started_ms: int, now_ms: int, empties: int, grac
     return empties + 1 >= needed, empties + 1
 
 
+#: Fixed values of the empty-snapshot gate: milliseconds of grace after the start, and how many empty ones it takes.
+GRACE_MS, EMPTY_NEEDED = 120_000, 2
+
+
+def snapshot_gate(refreshes: DataFrame, started_ms: int, grace_ms: int = GRACE_MS, needed: int = EMPTY_NEEDED) -> DataFrame:
+    """refreshes (source, at in ms, devices: how many the snapshot lists, null if it failed; online: how many are online now)
+    with `allowed`: whether what the snapshot lacks may be set offline. A failed one may not, and doesn't count."""
+
+    def step(empties, at, devices, online):
+        if devices is None:
+            return empties, (False,)
+        if devices > 0:
+            return 0, (True,)
+        allowed, empties = empty_snapshot(online or 0, started_ms, at, empties or 0, grace_ms, needed)
+        return empties, (allowed,)
+
+    return carried(refreshes, ("source",), ("at",), ("at", "devices", "online"), step, [T.StructField("allowed", T.BooleanType())])
+
+
+def registry_intervals(refreshes: DataFrame, rows: DataFrame) -> DataFrame:
+    """runtime_id, imei, since and until (ms; null: still): when the registry named a runtime id's device so.
+
+    refreshes: at (ms) and ok of each poll; rows: at, unique_id, runtime_id and seq, what a poll listed. A failed refresh, and
+    one that lists nothing, keep the registry as it was. Of rows with one unique id or one runtime id the last one counts.
+    """
+    listed = rows.filter("unique_id is not null and runtime_id is not null").withColumn("unique_id", stripped(F.col("unique_id"))).filter("unique_id <> ''")
+    good = refreshes.filter("ok").join(listed.select("at").distinct(), "at", "left_semi")
+    versions = good.select("at", F.lead("at").over(Window.orderBy("at")).alias("next"))  # a row for each refresh
+    last = listed.groupBy("at", "unique_id").agg(F.max_by("runtime_id", "seq").alias("runtime_id"), F.max("seq").alias("seq"))
+    named = last.groupBy("at", "runtime_id").agg(F.max_by("unique_id", "seq").alias("imei")).join(F.broadcast(versions), "at")
+    w = Window.partitionBy("runtime_id").orderBy("at")
+    begins = ~(F.lag("imei").over(w).eqNullSafe(F.col("imei")) & F.lag("next").over(w).eqNullSafe(F.col("at")))
+    runs = named.withColumn("begins", begins).withColumn("run", F.count_if("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = F.max_by("next", "at")
+    return runs.groupBy("runtime_id", "run").agg(F.first("imei").alias("imei"), F.min("at").alias("since"), ends.alias("until")).drop("run")
+
+
+def registry_as_of(rows: DataFrame, intervals: DataFrame) -> DataFrame:
+    """rows (runtime_device_id, at in ms) with imei as the registry had it then: the last interval that began at or before the
+    row's time, unless it had ended. One exchange by runtime id; no pair of row and interval is made."""
+    told = intervals.select(F.col("runtime_id").cast("double").alias("__id"), F.col("since").alias("at"), F.struct("imei", "until").alias("__told"))
+    mine = rows.drop("imei").withColumn("__id", F.col("runtime_device_id").try_cast("double"))
+    both = mine.withColumn("__row", F.lit(True)).unionByName(told, allowMissingColumns=True)
+    w = Window.partitionBy("__id").orderBy(F.col("at"), F.col("__row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__told", F.last("__told", ignorenulls=True).over(w)).filter("__row")
+    holds = F.col("__id").isNotNull() & (F.col("__told.until").isNull() | (F.col("at") < F.col("__told.until")))
+    return both.withColumn("imei", F.when(holds, F.col("__told.imei"))).drop("__id", "__row", "__told")
+
+
 def is_online(rows: DataFrame) -> Column:
     """Whether any of five flags says so: status, traccar_device_status and connection_state are `online`, connected or
     is_connected is true. Columns that are missing say nothing."""
@@ -99,10 +149,10 @@ def accumulator_overrides(requests: DataFrame) -> DataFrame:
         return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
     metres, hours = F.coalesce(number("total_distance"), number("total_distance_km") * 1000), number("hours")
-    error = F.when(F.trim(F.coalesce("imei", F.lit(""))) == "", "imei_required").when(hours.isNull(), "invalid_or_missing_hours").when(metres.isNull(), "invalid_or_missing_totalDistance_or_totalDistanceKm")
+    error = F.when(is_blank(F.col("imei")), "imei_required").when(hours.isNull(), "invalid_or_missing_hours").when(metres.isNull(), "invalid_or_missing_totalDistance_or_totalDistanceKm")
     good = lambda c: F.when(F.col("error").isNull(), c)
     out = requests.withColumn("error", error).withColumns({"engine_hours": good(hours), "total_distance_m": good(metres)})
-    return out.withColumns({"imei": F.trim("imei"), "km_total": F.col("total_distance_m") / 1000, "miles_total": km_to_miles(F.col("total_distance_m") / 1000)})
+    return out.withColumns({"imei": stripped(F.col("imei")), "km_total": F.col("total_distance_m") / 1000, "miles_total": km_to_miles(F.col("total_distance_m") / 1000)})
 
 
 def changed_runtime_ids(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -32,27 +32,41 @@ def prior_points(points: DataFrame, cursors: DataFrame) -> DataFrame:
 LAST_POINT = ("last_point_at", "last_latitude", "last_longitude", "last_speed")
 
 
+def _since_last_points(points: DataFrame, status: DataFrame, since: Column | None) -> DataFrame:
+    """timed points after the cursors of devices whose last point is known, and that point, with `new`."""
+    known = status.filter("last_point_at is not null")
+    rows = points if since is None else points.filter(F.col("packet_date") > since)
+    cols = ["imei", "packet_date", "latitude", "longitude", "speed", "position_id", "t"]
+    rows = timed(rows).join(known.select("imei", F.coalesce("last_mileage_at", F.lit(0).cast("timestamp")).alias("last_at")), "imei").filter("packet_date > last_at")
+    last = known.select("imei", F.col("last_point_at").alias("packet_date"), *[F.col(f"last_{c}").alias(c) for c in ("latitude", "longitude", "speed")], F.lit(None).cast("long").alias("position_id"))
+    return rows.select(*cols, F.lit(True).alias("new")).unionByName(timed(last).select(*cols, F.lit(False).alias("new")))
+
+
+def _since_cursors(points: DataFrame, status: DataFrame) -> DataFrame:
+    """timed points after each device's cursor, and the one before them, with `new`; without a cursor all are new."""
+    cursors = status.select("imei", F.col("last_mileage_at").alias("last_at"))
+    rows = timed(points).join(cursors, "imei", "left").withColumn("new", F.col("packet_date") > F.coalesce("last_at", F.lit(0).cast("timestamp")))
+    rows = rows.filter(F.col("new") | F.coalesce(F.col("packet_date") <= F.col("last_at"), F.lit(False)))
+    return rows.withColumn("keep", F.col("new") | F.coalesce(F.lead("new").over(window()), F.lit(False))).filter("keep").select("imei", "packet_date", "latitude", "longitude", "speed", "position_id", "t", "new")
+
+
 def incremental_mileage(points: DataFrame, status: DataFrame, since: Column | None = None) -> DataFrame:
     """status (imei, last_mileage_at, km_total, miles_total) after the points that came after each cursor.
 
     The prior point is the boundary of the first pair. Totals and cursor move only if the distance is over
     0, so standing points are read again; devices without a status row begin with the epoch and 0.
 
-    Where status also has LAST_POINT, that is the prior point and moves with the cursor, and of the points only those
-    after the cursors are used. Then `since`, the earliest cursor, keeps older ones from being read: the filter
-    reaches the scan and its partitions. Devices without a status row begin with it.
+    Where status also has LAST_POINT, that is a device's prior point and moves with the cursor, and of the points only
+    those after the cursor are used. Then `since`, the earliest cursor of such devices, keeps older points from being
+    read for them: the filter reaches the scan and its partitions. Devices without a status row, or without a last point
+    in it, take the other path: their prior point is looked for among all points.
     """
     carries = set(LAST_POINT) <= set(status.columns)
-    known = status.select("imei", F.col("last_mileage_at").alias("last_at"))
-    rows = points if since is None else points.filter(F.col("packet_date") > since)
-    rows = timed(rows).join(known, "imei", "left").withColumn("last_at", F.coalesce("last_at", F.lit(0).cast("timestamp")))
-    rows = rows.withColumn("new", F.col("packet_date") > F.col("last_at"))
     if carries:
-        cols = ["imei", "packet_date", "latitude", "longitude", "speed", "position_id", "t", "new"]
-        last = status.filter("last_point_at is not null").select("imei", F.col("last_point_at").alias("packet_date"), F.col("last_latitude").alias("latitude"), F.col("last_longitude").alias("longitude"), F.col("last_speed").alias("speed"), F.lit(None).cast("long").alias("position_id"))
-        rows = rows.filter("new").select(*cols).unionByName(timed(last).withColumn("new", F.lit(False)).select(*cols))
+        lacking = points.join(status.filter("last_point_at is not null").select("imei"), "imei", "left_anti")
+        rows = _since_last_points(points, status, since).unionByName(_since_cursors(lacking, status))
     else:
-        rows = rows.withColumn("keep", F.col("new") | F.coalesce(F.lead("new").over(window()), F.lit(False))).filter("keep")  # new points and the one before them
+        rows = _since_cursors(points, status)
     order = F.struct("t", "position_id")
     newest = F.max_by(F.when(F.col("new"), F.struct("packet_date", "latitude", "longitude", "speed")), F.when(F.col("new"), order))
     sums = paired(rows).groupBy("imei").agg(F.sum(F.when(F.col("new"), driven_km()).otherwise(0.0)).alias("added"), newest.alias("seen"))
@@ -64,6 +78,37 @@ def incremental_mileage(points: DataFrame, status: DataFrame, since: Column | No
     return out.select("imei", newer("last_mileage_at", "packet_date"), total("km_total", F.col("added")).alias("km_total"), total("miles_total", km_to_miles(F.col("added"))).alias("miles_total"), *last)
 
 
+#: Parts of the devices into which a sliced table's days are divided.
+PARTS = 64
+
+
+def _part(imei: Column, parts: int) -> Column:
+    return F.lpad(F.pmod(F.xxhash64(imei), F.lit(parts)).cast("string"), 5, "0")
+
+
+def sliced(points: DataFrame, parts: int = PARTS) -> DataFrame:
+    """points with `slice`, a UTC day and a part of the devices, to partition a track table by."""
+    return points.withColumn("slice", F.concat(F.date_format("packet_date", "yyyyMMdd"), F.lit("-"), _part(F.col("imei"), parts)))
+
+
+def wanted_slices(devices: DataFrame, status: DataFrame, first: Column, until: Column, parts: int = PARTS) -> DataFrame:
+    """The slices that incremental_mileage() needs for devices (imei): of each part of them, from the day of its earliest cursor
+    to that of `until`; from the day of `first` where one of its devices has no cursor or no last point. At most as many
+    rows as a table of these days has partitions."""
+    known = status.filter("last_point_at is not null").select("imei", F.to_date("last_mileage_at").alias("day"))
+    rows = devices.select("imei").filter(F.length("imei") > 0).join(known, "imei", "left")
+    begins = rows.groupBy(_part(F.col("imei"), parts).alias("part")).agg(F.min(F.coalesce("day", F.to_date(first))).alias("day"))
+    days = begins.filter(F.col("day") <= F.to_date(until)).select("part", F.explode(F.sequence("day", F.to_date(until))).alias("day"))
+    return days.select(F.concat(F.date_format("day", "yyyyMMdd"), F.lit("-"), "part").alias("slice"))
+
+
+def incremental_mileage_sliced(points: DataFrame, devices: DataFrame, status: DataFrame, first: Column, until: Column, parts: int = PARTS) -> DataFrame:
+    """incremental_mileage() of a track table that is partitioned by sliced(): only the partitions that devices' cursors ask
+    for are read, which Spark finds out as it runs. Devices that aren't listed in `devices` are read as far as their part is."""
+    wanted = F.broadcast(wanted_slices(devices, status, first, until, parts))
+    return incremental_mileage(points.join(wanted, "slice", "left_semi").drop("slice"), status)
+
+
 def daily_points(points: DataFrame, zone: str = ZONE) -> DataFrame:
     """imei, day, km, fast_points, stop_minutes and stop_count of each local day with points.
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlane.functions import clock, geo, notices, text
@@ -15,20 +15,8 @@ from fleetlane.operators import events, live, lookups, reports, sequence
 from fleetlane.sources import derived, ingest
 
 from . import oracle as sql
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            SQL[f.__name__] = oracle
-        return f
-
-    return add
-
+from . import stateful  # noqa: F401  its queries register themselves
+from .registry import QUERIES, SQL, km, ms, query
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["daily_mileage"](spark, sf_dir)
@@ -42,14 +30,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-def km(c: str | Column, name: str | None = None) -> Column:
-    return F.round(c, 6).alias(name or c)
-
-
-def ms(c: str, name: str) -> Column:
-    return F.unix_millis(c).alias(name)
-
-
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages derived from the points: they arrive in the order of event_id, some of them late or from the future."""
     e = derived.points(spark, sf_dir)
@@ -156,21 +136,10 @@ def satellite_byte(spark, sf_dir):
     return derived.events(spark, sf_dir).select("event_id", text.satellite_byte(F.col("event_id")).alias("satellite"))
 
 
-@query(f"""WITH r AS (SELECT event_id, {sql.REPLY} AS reply FROM events)
-    SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 90 + 0.5 AS DOUBLE) * CASE WHEN event_id % 8 = 0 THEN -1 ELSE 1 END END AS lat, CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 120 AS INTEGER) END AS speed,
-    CASE WHEN event_id % 4 = 1 THEN concat('12.', CAST(event_id % 10 AS VARCHAR)) END AS voltage, CASE WHEN event_id % 4 = 1 THEN 'strong' END AS gsm, CASE WHEN event_id % 4 = 1 THEN 'off' END AS relay,
-    CASE WHEN event_id % 4 = 2 THEN concat('OK ', CAST(event_id AS VARCHAR), '!') END AS result FROM r""")
+@query(sql.COMMAND_REPLIES)
 def command_reply_parse(spark, sf_dir):
-    n = F.col("event_id")
-    s = lambda c: c.cast("string")
-    reply = (
-        F.when(n % 4 == 0, F.concat(F.lit("Lat:"), F.when(n % 8 == 0, "S").otherwise("N"), s(n % 90), F.lit(".5,Lon:E46.25,Course:"), s(n % 360), F.lit(",Speed:"), s(n % 120), F.lit(",DateTime:2024-01-01")))
-        .when(n % 4 == 1, F.concat(F.lit("External power: 12."), s(n % 10), F.lit("V; GSM: strong, ACC: ON; Relay: off")))
-        .when(n % 4 == 2, F.concat(F.lit("RELAY=OK "), s(n), F.lit("!")))
-        .otherwise("no reply")
-    )
-    out = derived.events(spark, sf_dir).select("event_id", text.command_reply(reply).alias("r"))
-    return out.select("event_id", "r.position.lat", "r.position.speed", "r.status.voltage", "r.status.gsm", "r.status.relay", "r.command_result.result")
+    out = derived.replies(spark, sf_dir).select("event_id", text.command_reply(F.col("reply")).alias("r"))
+    return out.select("event_id", "r.position.lat", "r.position.lon", "r.position.speed", "r.position.datetime", "r.status.external_power", "r.status.voltage", "r.status.gsm", "r.status.relay", "r.command_result.command", "r.command_result.result")
 
 
 @query(f"WITH {sql.points()} SELECT id AS position_id, concat(imei, '|gt06|', CAST(t AS VARCHAR), '|||', printf('%.6f', lat), '|', printf('%.6f', lon), '||', coalesce(alarm, ''), '|') AS fingerprint FROM points")
@@ -246,7 +215,7 @@ def _messages(spark, sf_dir) -> DataFrame:
     """JSON messages of three shapes, some of them not acceptable."""
     p = derived.points(spark, sf_dir)
     n = F.col("position_id")
-    position = F.struct(n.alias("id"), F.when(n % 10 != 0, F.col("imei")).alias("uniqueId"), F.when(n % 20 == 0, F.lit(7)).alias("deviceId"), F.col("latitude").cast("string").alias("lat"), F.when(n % 15 != 0, F.col("longitude")).alias("longitude"), (F.col("speed") / 1.852).alias("speed"), F.unix_millis("packet_date").alias("fixTime"), F.struct(F.col("alarm"), F.when(n % 30 == 0, "OK!").alias("result")).alias("attributes"))
+    position = F.struct(n.alias("id"), F.when(n % 10 != 0, F.concat(F.when(n % 7 == 0, "\u00a0").otherwise(""), "imei", F.when(n % 3 == 0, "\r\n").otherwise(""))).alias("uniqueId"), F.when(n % 20 == 0, F.lit(7)).alias("deviceId"), F.col("latitude").cast("string").alias("lat"), F.when(n % 15 != 0, F.col("longitude")).alias("longitude"), (F.col("speed") / 1.852).alias("speed"), F.unix_millis("packet_date").alias("fixTime"), F.struct(F.col("alarm"), F.when(n % 30 == 0, "OK!").when(n % 15 == 0, "\r\n\t").alias("result")).alias("attributes"))
     bare = F.to_json(position)
     body = F.when(n % 3 == 0, bare).when(n % 3 == 1, F.concat(F.lit('{"positions":['), bare, F.lit("]}"))).otherwise(F.concat(F.lit('{"data":{"position":'), bare, F.lit("}}")))
     return p.select(n, body.alias("body"))
@@ -334,14 +303,17 @@ def incremental_mileage(spark, sf_dir):
     return reports.incremental_mileage(derived.points(spark, sf_dir), status).select("imei", ms("last_mileage_at", "last_at"), km("km_total"))
 
 
-@query(f"""WITH {sql.paired()}, c AS (SELECT DISTINCT imei, 1704067200000 + 3600000 * (3 + user_id % 5) AS last_at FROM points), first AS (SELECT imei, max(t) AS at FROM pairs JOIN c USING (imei) WHERE t <= last_at GROUP BY imei),
-    s AS (SELECT imei, any_value(last_at) AS last_at, sum(CASE WHEN t > last_at AND pt IS NOT NULL THEN driven ELSE 0 END) AS added, max(CASE WHEN t > last_at THEN t END) AS seen FROM pairs JOIN c USING (imei) GROUP BY imei)
+@query(f"""WITH {sql.paired()}, c AS (SELECT DISTINCT imei, user_id, CASE WHEN user_id % 7 <> 0 THEN 1704067200000 + 3600000 * (3 + user_id % 5) END AS last_at FROM points),
+    first AS (SELECT imei, max(t) AS at FROM pairs JOIN c USING (imei) WHERE t <= last_at AND c.user_id % 11 <> 0 GROUP BY imei),
+    s AS (SELECT imei, any_value(last_at) AS last_at, sum(CASE WHEN t > coalesce(last_at, 0) AND pt IS NOT NULL THEN driven ELSE 0 END) AS added, max(CASE WHEN t > coalesce(last_at, 0) THEN t END) AS seen FROM pairs JOIN c USING (imei) GROUP BY imei)
     SELECT imei, CASE WHEN added > 0 THEN seen ELSE last_at END AS last_at, CASE WHEN added > 0 THEN seen ELSE first.at END AS last_point, round(CASE WHEN added > 0 THEN added ELSE 0 END, 6) AS km_total FROM s LEFT JOIN first USING (imei)""")
 def incremental_mileage_carried(spark, sf_dir):
-    """The status table has each device's last point; points before the earliest cursor aren't read."""
+    """The status table has each device's last point, but for some that have a cursor alone, and some that aren't in it; of
+    the others points before the earliest cursor aren't read."""
     p, u = derived.points(spark, sf_dir), F.col("imei").cast("long")
-    cursors = p.select("imei").distinct().withColumn("last_at", F.timestamp_millis(F.lit(1704067200000) + 3600000 * (3 + u % 5)))
-    prior = reports.prior_points(p, cursors).select("imei", F.col("packet_date").alias("last_point_at"), F.col("latitude").alias("last_latitude"), F.col("longitude").alias("last_longitude"), F.col("speed").alias("last_speed"))
+    cursors = p.select("imei").distinct().filter(u % 7 != 0).withColumn("last_at", F.timestamp_millis(F.lit(1704067200000) + 3600000 * (3 + u % 5)))
+    last = {"packet_date": "last_point_at", "latitude": "last_latitude", "longitude": "last_longitude", "speed": "last_speed"}
+    prior = reports.prior_points(p, cursors.filter(u % 11 != 0)).select("imei", *[F.col(c).alias(name) for c, name in last.items()])
     status = cursors.join(prior, "imei", "left").select("imei", F.col("last_at").alias("last_mileage_at"), F.lit(0.0).alias("km_total"), F.lit(0.0).alias("miles_total"), *reports.LAST_POINT)
     out = reports.incremental_mileage(p, status, F.timestamp_millis(F.lit(1704067200000 + 3 * 3600000)))
     return out.select("imei", ms("last_mileage_at", "last_at"), ms("last_point_at", "last_point"), km("km_total"))
@@ -506,9 +478,15 @@ def sticky_telemetry(spark, sf_dir):
     return live.sticky(rows, ["power"]).select("imei", "position_id", "power")
 
 
-@query(f"WITH {sql.points()} SELECT imei, max(t) AS last_fix_at, arg_max(speed, t) AS speed, max(CASE WHEN speed > 1 THEN t END) AS last_position_at, count(*) AS points FROM points GROUP BY imei")
+@query(f"""WITH {sql.points()}, a AS (SELECT imei, id, speed, t + 5000 AS arrived, t + CASE WHEN id % 41 = 0 THEN 220000000000 WHEN id % 43 = 0 THEN 605000 WHEN id % 47 = 0 THEN 605001 ELSE 0 END AS fix FROM points)
+    SELECT imei, max(fix) FILTER (WHERE fix <= arrived + 600000) AS last_fix_at, coalesce(arg_max(speed, fix) FILTER (WHERE fix <= arrived + 600000), arg_min(speed, (arrived, id))) AS speed,
+        max(CASE WHEN speed > 1 THEN arrived END) AS last_position_at, count(*) AS points FROM a GROUP BY imei""")
 def status_latest(spark, sf_dir):
-    return live.status_latest(derived.points(spark, sf_dir)).select("imei", ms("last_fix_at", "last_fix_at"), "speed", ms("last_position_at", "last_position_at"), "points")
+    """Some fixes are years or a little over ten minutes ahead of their arrival."""
+    n, t = F.col("position_id"), F.unix_millis("packet_date")
+    ahead = F.when(n % 41 == 0, 220_000_000_000).when(n % 43 == 0, 605_000).when(n % 47 == 0, 605_001).otherwise(0)
+    rows = derived.points(spark, sf_dir).withColumns({"arrived": F.timestamp_millis(t + 5000), "packet_date": F.timestamp_millis(t + ahead)})
+    return live.status_latest(rows).select("imei", ms("last_fix_at", "last_fix_at"), "speed", ms("last_position_at", "last_position_at"), "points")
 
 
 @query(f"WITH {ARRIVALS}, {SINGLE} SELECT seq, decision FROM decided")
@@ -516,19 +494,9 @@ def live_classification(spark, sf_dir):
     return live.live_classification(arrivals(spark, sf_dir)).select("seq", "decision")
 
 
-def received(spark: SparkSession, sf_dir: str, compress: int = 60) -> DataFrame:
-    """Messages with all their times: some late, some from the future, some without a fix, some that don't move."""
-    n, t = F.col("position_id"), F.unix_millis("packet_date")
-    fix = F.when(n % 23 != 0, t - F.when(n % 3 == 0, 400_000).when(n % 19 == 0, -130_000).otherwise((n % 5) * 50_000))
-    device = F.when(n % 8 != 0, t - F.when(n % 7 == 0, 400_000).when(n % 37 == 0, -200_000).otherwise((n % 4) * 40_000))
-    server = F.when(n % 13 != 0, t - F.when(n % 11 == 0, 290_000).otherwise(1000))
-    lat = F.when(n % 2 == 0, 24.5).otherwise(F.round("latitude", 2))
-    return derived.points(spark, sf_dir, compress).select("imei", t.alias("arrived"), n.alias("seq"), fix.alias("fix"), device.alias("device"), server.alias("server"), lat.alias("latitude"), F.lit(46.5).alias("longitude"), F.when(n % 29 != 0, F.col("speed")).alias("speed"), (n % 17 == 0).alias("motion"), (n % 31 == 0).alias("outdated"))
-
-
 @query(f"WITH RECURSIVE {sql.received()}, {sql.tracked('imei', 'received', 'arrived, seq', 'arrived')} SELECT seq, decision, effective FROM r WHERE n > 0")
 def live_device_time(spark, sf_dir):
-    return live.live_tracked(received(spark, sf_dir)).select("seq", "decision", F.col("effective_ms").alias("effective"))
+    return live.live_tracked(derived.received(spark, sf_dir)).select("seq", "decision", F.col("effective_ms").alias("effective"))
 
 
 @query(f"""WITH RECURSIVE {sql.received()}, {sql.tracked('imei', 'received', 'arrived, seq', 'arrived')}, d AS (SELECT received.*, decision, coalesce(arrived - fix <= 300000, false) AS f, coalesce(arrived - device <= 300000, false) AS d FROM received JOIN r USING (seq))
@@ -536,13 +504,13 @@ def live_device_time(spark, sf_dir):
     count(*) FILTER (WHERE NOT f AND d) AS stale_device_fresh, count(*) FILTER (WHERE NOT f AND NOT d) AS stale_device_stale, count(*) FILTER (WHERE NOT f AND coalesce(arrived - server <= 300000, false)) AS stale_server_fresh,
     count(*) FILTER (WHERE NOT f AND coalesce(speed > 1, false)) AS stale_moving, count(*) FILTER (WHERE NOT f AND NOT coalesce(speed > 1, false)) AS stale_standing FROM d""")
 def live_clock_split(spark, sf_dir):
-    return live.clock_split(live.live_tracked(received(spark, sf_dir)))
+    return live.clock_split(live.live_tracked(derived.received(spark, sf_dir)))
 
 
 @query(f"""WITH RECURSIVE {sql.received(1200)}, b AS (SELECT *, arrived // 120000 AS burst FROM received), {sql.tracked('imei, burst', 'b', 'seq', '(k.burst + 1) * 120000')}
     SELECT seq, decision, accepted AND n = max(CASE WHEN accepted THEN n END) OVER (PARTITION BY imei, burst) AS is_live FROM r WHERE n > 0""")
 def burst_live_pick(spark, sf_dir):
-    rows = received(spark, sf_dir, 1200).withColumn("burst", F.expr("arrived div 120000")).withColumn("now", (F.col("burst") + 1) * 120000)
+    rows = derived.received(spark, sf_dir, 1200).withColumn("burst", F.expr("arrived div 120000")).withColumn("now", (F.col("burst") + 1) * 120000)
     return live.burst_live_pick(rows).select("seq", "decision", "is_live")
 
 

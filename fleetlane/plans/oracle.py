@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetlane.sources.derived import BASE_US
+from fleetlane.sources.derived import BASE_US, ODD_REPLIES
 
 CAIRO = "Africa/Cairo"
 #: Fixed values of the codes that the tests' data have, stated here anew: messages, legacy numbers, aliases, muted codes.
@@ -96,14 +96,36 @@ def looked_up(values: dict, other: str) -> str:
     return "CASE " + " ".join(f"WHEN x = '{k}' THEN {v!r}" for k, v in values.items()) + f" ELSE {other} END"
 
 
-REPLY = "CASE event_id % 4 WHEN 0 THEN concat('Lat:', CASE WHEN event_id % 8 = 0 THEN 'S' ELSE 'N' END, CAST(event_id % 90 AS VARCHAR), '.5,Lon:E46.25,Course:', CAST(event_id % 360 AS VARCHAR), ',Speed:', CAST(event_id % 120 AS VARCHAR), ',DateTime:2024-01-01') WHEN 1 THEN concat('External power: 12.', CAST(event_id % 10 AS VARCHAR), 'V; GSM: strong, ACC: ON; Relay: off') WHEN 2 THEN concat('RELAY=OK ', CAST(event_id AS VARCHAR), '!') ELSE 'no reply' END"
+def text(value: str) -> str:
+    """A text as SQL; what isn't plain by its number."""
+    parts = [f"'{c}'" if 32 <= ord(c) < 127 and c != "'" else f"chr({ord(c)})" for c in value]
+    return f"concat({', '.join(parts)})"
+
+
+REPLY = f"""CASE event_id % 4
+    WHEN 0 THEN concat('Lat:', CASE WHEN event_id % 8 = 0 THEN 'S' ELSE 'N' END, CAST(event_id % 90 AS VARCHAR), '.5,Lon:E46.25,Course:', CAST(event_id % 360 AS VARCHAR), ',Speed:', CAST(event_id % 120 AS VARCHAR), ',DateTime:2024-01-01')
+    WHEN 1 THEN concat('External power: 12.', CAST(event_id % 10 AS VARCHAR), 'V; GSM: strong, ACC: ON; Relay: off')
+    WHEN 2 THEN concat('RELAY=OK ', CAST(event_id AS VARCHAR), '!') ELSE [{', '.join(map(text, ODD_REPLIES))}][1 + event_id // 4 % {len(ODD_REPLIES)}] END"""
+BLANKS = r"[\s\v\p{Z}\x{FEFF}]"
+NUMBER = "TRY_CAST(nullif(regexp_extract({0}, '^([0-9]+[.]?[0-9]*|[.][0-9]+)', 1), '') AS DOUBLE)"
+FIELD = "list_filter(f, lambda x: x[1] = '{0}')[-1][2]"
+COMMAND_REPLIES = rf"""WITH r AS (SELECT event_id, regexp_replace({REPLY}, '^{BLANKS}+|{BLANKS}+$', '', 'g') AS t FROM events),
+    p AS (SELECT event_id, t, regexp_extract(t, 'Lat:([NS]?)([0-9.]+),Lon:([EW]?)([0-9.]+),Course:([0-9]+),Speed:([0-9]+),DateTime:([^\s\v\p{{Z}}\x{{FEFF}}]+)', ['ns', 'lat', 'ew', 'lon', 'course', 'speed', 'at']) AS m,
+        regexp_extract(t, '^([A-Za-z]+)=([A-Za-z0-9_!\s\v\p{{Z}}\x{{FEFF}}]+)$', ['command', 'result']) AS c,
+        list_transform(string_split_regex(t, '[;,]'), lambda x: list_transform(string_split(x, ':'), lambda y: regexp_replace(y, '^{BLANKS}+|{BLANKS}+$', '', 'g'))) AS parts FROM r),
+    f AS (SELECT *, list_transform(list_filter(parts, lambda x: len(x) > 1 AND x[1] <> '' AND x[2] <> ''), lambda x: [regexp_replace(lower(x[1]), '{BLANKS}+', '_', 'g'), x[2]]) AS f FROM p),
+    s AS (SELECT *, CASE WHEN contains(t, 'External power:') THEN f ELSE [] END AS g FROM f)
+    SELECT event_id, CASE WHEN m.at <> '' THEN CASE WHEN m.ns = 'S' THEN -1 ELSE 1 END * {NUMBER.format('m.lat')} END AS lat, CASE WHEN m.at <> '' THEN CASE WHEN m.ew = 'W' THEN -1 ELSE 1 END * {NUMBER.format('m.lon')} END AS lon,
+        TRY_CAST(nullif(m.speed, '') AS INTEGER) AS speed, nullif(m.at, '') AS datetime, {FIELD.format('external_power').replace('(f', '(g')} AS external_power,
+        nullif(regexp_extract({FIELD.format('external_power').replace('(f', '(g')}, '([0-9]+([.][0-9]+)?)[vV]', 1), '') AS voltage, {FIELD.format('gsm').replace('(f', '(g')} AS gsm, {FIELD.format('relay').replace('(f', '(g')} AS relay,
+        nullif(c.command, '') AS command, nullif(c.result, '') AS result FROM s"""
 
 
 def received(k: int = 60) -> str:
     """Messages with all their times: some late, some from the future, some without a fix, some that don't move."""
     return f"""{points(k)}, received AS (SELECT imei, t AS arrived, id AS seq, CASE WHEN id % 23 <> 0 THEN t - CASE WHEN id % 3 = 0 THEN 400000 WHEN id % 19 = 0 THEN -130000 ELSE (id % 5) * 50000 END END AS fix,
         CASE WHEN id % 8 <> 0 THEN t - CASE WHEN id % 7 = 0 THEN 400000 WHEN id % 37 = 0 THEN -200000 ELSE (id % 4) * 40000 END END AS device, CASE WHEN id % 13 <> 0 THEN t - CASE WHEN id % 11 = 0 THEN 290000 ELSE 1000 END END AS server,
-        CASE WHEN id % 2 = 0 THEN 24.5 ELSE round(lat, 2) END AS lat, 46.5 AS lon, CASE WHEN id % 29 <> 0 THEN speed END AS speed, id % 17 = 0 AS motion, id % 31 = 0 AS outdated FROM points)"""
+        CASE WHEN id % 2 = 0 THEN 24.5::DOUBLE ELSE 24.0::DOUBLE + id % 3 END AS lat, 46.5 AS lon, CASE WHEN id % 29 <> 0 THEN speed END AS speed, id % 17 = 0 AS motion, id % 31 = 0 AS outdated FROM points)"""
 
 
 def tracked(keys: str, rows: str, order: str, now: str) -> str:

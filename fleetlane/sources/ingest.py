@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlane.functions.clock import parsed_millis
 from fleetlane.functions.geo import finite, knots_to_kmh, stored_coordinates
+from fleetlane.functions.text import is_blank, stripped
 
 #: Types that the track archive takes, and the attribute type (a heartbeat) that it doesn't.
 TRACK_TYPES, HEARTBEAT = ("gps", "alarm"), 19
@@ -67,7 +68,7 @@ def normalized(items: DataFrame) -> DataFrame:
     parsed = items.withColumns({"__root": F.try_parse_json("root"), "__item": F.try_parse_json("item")})
     return parsed.select(
         *items.columns,
-        F.nullif(F.trim(unique), F.lit("")).alias("imei"),
+        F.nullif(stripped(unique), F.lit("")).alias("imei"),
         first("deviceId", "device_id", "device.id", "/deviceId", "/device_id", "/device.id").alias("runtime_device_id"),
         first("id", "positionId", "/positionId", "/id").try_cast("long").alias("position_id"),
         first("protocol", "/protocol", *device("protocol")).alias("protocol"),
@@ -92,7 +93,7 @@ def normalized(items: DataFrame) -> DataFrame:
 def checked(rows: DataFrame) -> DataFrame:
     """normalized() rows with reject_reason: null where a device and, but for command replies, coordinates are known."""
     known = F.col("imei").isNotNull() | F.col("runtime_device_id").try_cast("double").isNotNull()
-    reply = F.coalesce(F.trim("result") != "", F.lit(False))
+    reply = ~is_blank(F.col("result"))
     reason = F.when(~known, "missing_uniqueId_or_deviceId").when(~reply & ~finite(F.col("latitude"), F.col("longitude")), "missing_position_coordinates")
     return rows.withColumn("reject_reason", reason)
 
@@ -100,7 +101,7 @@ def checked(rows: DataFrame) -> DataFrame:
 def raw_archive(messages: DataFrame, received_at: Column, source: str = "forward") -> DataFrame:
     """The archive of raw messages: all of the body, and columns of its first position only."""
     first = normalized(positions(messages, only_first=True))
-    return first.select(received_at.alias("received_at"), F.lit(source).alias("source"), "imei", "runtime_device_id", "protocol", "position_id", "fix_time", "device_time", "server_time", "latitude", "longitude", F.coalesce(F.trim("result") != "", F.lit(False)).alias("has_command_response"), F.col("body").alias("raw_payload"))
+    return first.select(received_at.alias("received_at"), F.lit(source).alias("source"), "imei", "runtime_device_id", "protocol", "position_id", "fix_time", "device_time", "server_time", "latitude", "longitude", (~is_blank(F.col("result"))).alias("has_command_response"), F.col("body").alias("raw_payload"))
 
 
 def track_points(rows: DataFrame) -> DataFrame:
@@ -108,8 +109,8 @@ def track_points(rows: DataFrame) -> DataFrame:
     position_id, attr_type): positions and alarms with coordinates that aren't heartbeats."""
     keep = F.lower("type").isin(*TRACK_TYPES) & stored_coordinates(F.col("latitude"), F.col("longitude")) & ~F.coalesce(F.col("attr_type").try_cast("double") == HEARTBEAT, F.lit(False))
     number = lambda c: F.coalesce(F.nanvl(F.col(c).try_cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
-    out = rows.filter(keep & (F.trim(F.coalesce("imei", F.lit(""))) != ""))
-    return out.select(F.trim("imei").alias("imei"), F.col("latitude").cast("double"), F.col("longitude").cast("double"), number("speed"), number("direction"), "packet_date", F.col("ignition").cast("boolean"), F.when(F.col("position_id") > 0, F.col("position_id")).alias("position_id"))
+    out = rows.filter(keep & ~is_blank(F.col("imei")))
+    return out.select(stripped(F.col("imei")).alias("imei"), F.col("latitude").cast("double"), F.col("longitude").cast("double"), number("speed"), number("direction"), "packet_date", F.col("ignition").cast("boolean"), F.when(F.col("position_id") > 0, F.col("position_id")).alias("position_id"))
 
 
 def retained(rows: DataFrame, now: Column, days: int = 7) -> DataFrame:
@@ -122,6 +123,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
+def upsert_or_delete(old: DataFrame, new: DataFrame, keys: list[str], keep: Column) -> DataFrame:
+    """upsert(), where a new row that doesn't hold `keep` deletes the old one and isn't stored."""
+    return old.join(new.select(*keys), keys, "left_anti").select(*old.columns).unionByName(new.filter(F.coalesce(keep, F.lit(False))).select(*old.columns))
+
+
 def write_days(report: DataFrame, path: str, day: str = "day") -> None:
     """Writes a report partitioned by day; the days that it has replace what was there, so that a run can be repeated
     and a row that is gone is deleted."""

@@ -166,19 +166,6 @@ class IdleNotice(Machine):
             yield _ts(state["begin"]), _ts(t)
 
 
-class StatusWrites(Machine):
-    """Which points to write to the status table: `key` changed, or 10 seconds since the last write."""
-
-    schema = "imei string, at timestamp, key string"
-    names = ["imei", "at", "key"]
-
-    def step(self, state, p):
-        t = _ms(p.packet_date)
-        if state.get("key") != p.key or t - state["at"] >= 10_000:
-            state.update(key=p.key, at=t)
-            yield _ts(t), p.key
-
-
 class RetryDedupe(StatefulProcessor):
     """Passes a message (imei, fingerprint, packet_date, position_id) unless the same one came ttl ms or less before, in event
     time; being seen again renews the time. State of a fingerprint expires by processing time."""
@@ -275,7 +262,7 @@ class RoomThrottle(StatefulProcessor):
         self.state.update((json.dumps(s),))
         yield self._rows(key, out)
 
-    def handleExpiredTimer(self, key, timer_values, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         s = json.loads(self.state.get()[0]) if self.state.exists() else {}
         out = self.flushed(s)
         self.state.update((json.dumps(s),))

@@ -114,3 +114,36 @@ def test_command_replies(spark):
     assert say("External power: none")["status"]["voltage"] is None and say("GSM: strong")["status"] is None
     assert tuple(say("RELAY=OK 12!")["command_result"]) == ("RELAY", "OK 12!")
     assert [say(x)["command_result"] for x in ("R1=OK", "A=B=C", "A=", "=B", "A=b.c")] == [None] * 5
+
+
+@pytest.mark.parametrize(
+    "reply, want",
+    [
+        ("RELAY=OK\r\n", (None, None, "OK")),
+        ("  RELAY=OK!﻿", (None, None, "OK!")),
+        ("External power: 12.5V;\nGSM: strong; Relay: off\r\n", (None, ("12.5", "strong", "off"), None)),
+        ("External power: Vcc 12.5V", (None, ("12.5", None, None), None)),
+        ("External power: 3 v, External power: 4V", (None, ("4", None, None), None)),
+        ("Lat:N1,Lon:E2 Lat:S30.5,Lon:W31.25,Course:9,Speed:10,DateTime:2024-01-01 10:00", ((-30.5, -31.25, 10, "2024-01-01"), None, None)),
+        ("Lat:1.2.3,Lon:4,Course:0,Speed:0,DateTime:x", ((1.2, 4.0, 0, "x"), None, None)),
+        ("A=B=C", (None, None, None)),
+        ("relay=a\nb", (None, None, "a\nb")),
+        (None, (None, None, None)),
+    ],
+)
+def test_command_replies(spark, reply, want):
+    r = spark.range(1).select(text.command_reply(F.lit(reply).cast("string")).alias("r")).first()["r"]
+    position = r["position"] and tuple(r["position"][c] for c in ("lat", "lon", "speed", "datetime"))
+    status = r["status"] and tuple(r["status"][c] for c in ("voltage", "gsm", "relay"))
+    assert (position, status, r["command_result"] and r["command_result"]["result"]) == want
+
+
+def test_blanks_of_all_kinds(spark):
+    rows = spark.createDataFrame([("123\n",), (" 123 ﻿",), ("\r\n\t",), (None,), ("1 2",)], "s string")
+    assert [tuple(r) for r in rows.select(text.stripped(F.col("s")), text.is_blank(F.col("s"))).collect()] == [("123", False), ("123", False), ("", True), (None, True), ("1 2", False)]
+
+
+def test_rings_written_as_json(spark):
+    rows = spark.createDataFrame([("[[1,2],[3,4.5],[5,6]]",), ("[[[1,2],[3,4],[5,6]],[[9,9]]]",), ("[]",), ("x",), (None,)], "s string")
+    got = [r[0] for r in rows.select(geo.ring(F.col("s"))).collect()]
+    assert got[:2] == [[[1.0, 2.0], [3.0, 4.5], [5.0, 6.0]], [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]] and not got[2] and got[3:] == [None, None]

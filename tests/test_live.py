@@ -194,18 +194,6 @@ def test_retry_stream_is_batch(spark, tmp_path):
     assert sorted(r["position_id"] for r in got.collect()) == want == [0, 3, 4, 5]
 
 
-def test_status_table_follows_the_stream(spark, tmp_path):
-    rows = random_tracks(8)
-    for part in (rows[::2], rows[1::2]):
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(spark.createDataFrame([], SCHEMA).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("direction", F.lit(0.0))
-    pipeline.keep_status(stream, str(tmp_path / "status"), str(tmp_path / "ck")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "status" / "version=1"))
-    want = live.status_latest(spark.createDataFrame(rows, SCHEMA).withColumn("direction", F.lit(0.0)))
-    cols = ["imei", "last_fix_at", "last_seen_at", "last_position_at", "points"]
-    assert got.select(cols).exceptAll(want.select(cols)).isEmpty() and got.count() == want.count()
-
-
 def test_outbox_and_payloads(spark):
     out = pipeline.outbox(spark.createDataFrame([("A", 1, None)], "imei string, code int, at string"), "t").first()
     assert out["title"] == "t" and out["data"] == {"imei": "A", "code": "1", "at": ""}
@@ -306,11 +294,3 @@ def test_runtime_ids_and_overrides(spark):
 def test_empty_snapshots_wait_for_the_grace_time():
     say = lambda now, empties, online=5: lookups.empty_snapshot(online, 0, now, empties)
     assert say(1000, 1) == (False, 0) and say(120_000, 0) == (False, 1) and say(130_000, 1) == (True, 2) and say(130_000, 1, 0) == (False, 1)
-
-
-def test_status_machine(spark, tmp_path):
-    t = track(spark, [(0, 1), (0.1, 1), (0.15, 2), (0.4, 2)])
-    got = streamed(spark, [tuple(r) for r in t.collect()], machines.StatusWrites(), tmp_path, key=F.col("speed").cast("string"))
-    assert sorted(r["key"] for r in got.collect()) == ["1.0", "2.0", "2.0"]
-    out = live.status_coalesce(t, ["speed"]).orderBy("position_id").collect()
-    assert [r["persist"] for r in out] == [True, False, True, True]
