@@ -26,36 +26,25 @@ def is_json(body: Column) -> Column:
     return F.coalesce(F.try_parse_json(body).isNotNull(), F.lit(False))
 
 
-def _found(body: str) -> Column:
-    """The JSON texts of a message's positions."""
-    get = lambda path: F.get_json_object(body, path)
-    begins = lambda c, b: F.coalesce(F.substring(F.ltrim(c), 1, 1) == b, F.lit(False))
-    items = lambda c: F.from_json(c, "array<string>")
-    return (
-        F.when(begins(F.col(body), "["), items(F.col(body)))
-        .when(begins(get("$.positions"), "["), items(get("$.positions")))
-        .when(begins(get("$.position"), "["), items(get("$.position")))
-        .when(begins(get("$.position"), "{"), F.array(get("$.position")))
-        .when(begins(get("$.data.position"), "{"), F.array(get("$.data.position")))
-        .when(begins(get("$.data.positions"), "["), items(get("$.data.positions")))
-        .otherwise(F.array(F.col(body)))
-    )
-
-
 def positions(messages: DataFrame, body: str = "body", only_first: bool = False) -> DataFrame:
-    """One row for each position of a message (or for its first), with `root` and `item` as JSON text.
+    """One row for each position of a message (or for its first): `item`, as JSON text, and both the position and the message
+    as variants, which normalized() takes. A message is parsed once.
 
     The positions are, in this order of preference: the message itself if it is an array, `positions`,
     `position` (array or object), `data.position`, `data.positions`, or the message.
     """
-    root = F.when(F.substring(F.ltrim(F.col(body)), 1, 1) == "[", F.lit("{}")).otherwise(F.col(body))
-    found = _found(body)
-    return messages.withColumn("root", root).withColumn("item", F.get(found, 0) if only_first else F.explode(found))
+    parsed = messages.withColumn("__body", F.try_parse_json(body))
+    many = lambda path: F.try_variant_get("__body", path, "array<variant>")
+    is_object = lambda path: F.try_variant_get("__body", path, "map<string,variant>").isNotNull()
+    one = lambda path: F.when(is_object(path), F.array(F.try_variant_get("__body", path, "variant")))
+    found = F.coalesce(many("$"), many("$.positions"), many("$.position"), one("$.position"), one("$.data.position"), many("$.data.positions"), F.array("__body"))
+    out = parsed.withColumn("__root", F.when(many("$").isNull(), F.col("__body"))).withColumn("__item", F.get(found, 0) if only_first else F.explode(found))
+    return out.withColumn("item", F.coalesce(F.to_json("__item"), body)).drop("__body")
 
 
 def normalized(items: DataFrame) -> DataFrame:
     """positions() as columns: the first of several names that isn't missing or empty, numbers cast, times in
-    milliseconds; valid is true if not given. Each text is parsed once."""
+    milliseconds; valid is true if not given."""
 
     def first(*paths: str) -> Column:
         """Paths that begin with `/` are of the message, others of the position."""
@@ -65,9 +54,8 @@ def normalized(items: DataFrame) -> DataFrame:
     number = lambda c: c.try_cast("double")
     attribute = lambda name: first(f"attributes.{name}", f"/attributes.{name}")
     unique = first("uniqueId", "imei", "deviceUniqueId", "device.uniqueId", "device.imei", "/uniqueId", "/imei", "/deviceUniqueId", "/deviceImei", "/device.uniqueId", "/device.imei", "device.attributes.uniqueId", "/device.attributes.uniqueId", "device.attributes.imei", "/device.attributes.imei")
-    parsed = items.withColumns({"__root": F.try_parse_json("root"), "__item": F.try_parse_json("item")})
-    return parsed.select(
-        *items.columns,
+    return items.select(
+        *[c for c in items.columns if c not in ("__root", "__item")],
         F.nullif(stripped(unique), F.lit("")).alias("imei"),
         first("deviceId", "device_id", "device.id", "/deviceId", "/device_id", "/device.id").alias("runtime_device_id"),
         first("id", "positionId", "/positionId", "/id").try_cast("long").alias("position_id"),
