@@ -212,10 +212,11 @@ def removed(docs: DataFrame, window: int = 20, prefix: int = PREFIX_WORDS, group
     """docs with kept_text (the words that stay, joined by one space), n_words and n_removed, which replace
     columns of these names."""
     kept = [f for f in docs.schema.fields if f.name not in ("kept_text", "n_words", "n_removed")]
-    packed = docs.select(F.struct(*[f.name for f in kept]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rest = [f.name for f in kept if f.name != "text"]
+    packed = docs.select(F.struct(*rest).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = repeats(docs, window, prefix, group)
     rows = packed.join(found, "doc_id", "left").select("row", "text", "repeats")
-    schema = T.StructType([rows.schema["row"], T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -226,9 +227,10 @@ def removed(docs: DataFrame, window: int = 20, prefix: int = PREFIX_WORDS, group
                 texts.append(b" ".join(left).decode())
                 counts.append(len(words))
                 gone.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema).select("row.*", "kept_text", "n_words", "n_removed")
+    own = [F.col("text").cast(docs.schema["text"].dataType).alias("text") if f.name == "text" else F.col("row")[f.name].alias(f.name) for f in kept]
+    return rows.mapInArrow(run, schema).select(*own, "kept_text", "n_words", "n_removed")
 
 
 def deduplicated(docs: DataFrame, window: int = 20) -> DataFrame:
