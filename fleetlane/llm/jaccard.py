@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import Shared, bytes_of, discard, slices, stored
 from .graph import components
-from .words import LOWER, Words, mixed
+from .words import LOWER, Words, gram_hashes, mixed
 
 #: The most frequent shingles that are put last (and as many found in crowded lists each time, MOST_LAST in all), and
 #: how many shingles a task counts at a time.
@@ -60,8 +60,9 @@ PAIR = np.uint64(0x5851F42D4C957F2D)
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles."""
     words = Words(texts, LOWER)
-    every, out = words.hashes(size), []
-    short = {n: words.hashes(n) for n in set(words.counts[words.counts < size].tolist()) - {0}}
+    value = words.values()
+    every, out = gram_hashes(value, size), []
+    short = {n: gram_hashes(value, n) for n in set(words.counts[words.counts < size].tolist()) - {0}}
     for s, n in zip(words.first.tolist(), words.counts.tolist(), strict=True):
         out.append(np.unique(every[s : s + n - size + 1]) if n >= size else short[n][s : s + 1] if n else every[:0])
     return out

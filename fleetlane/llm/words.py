@@ -12,6 +12,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes(LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: Distinct words whose hashes a Python worker keeps.
 KEPT_WORDS = 250_000
+#: Bytes of words that are hashed one by one.
+LONG_WORD = 48
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -59,7 +61,8 @@ class Words:
     """The words of some texts, one after the other, each followed by one space.
 
     blob: their bytes; counts: how many words each text has; starts and ends: a word's first byte, and the
-    place of its space. Runs of words are hashed by differences of one running sum of byte[i] * K ** -i.
+    place of its space. Short words are hashed by differences of one running sum of byte[i] * K ** -i, whose low bits say
+    little of long words of few letters: those of LONG_WORD bytes and more are hashed one by one.
     """
 
     def __init__(self, texts: list[bytes | None], table: bytes | None = None):
@@ -70,15 +73,19 @@ class Words:
         self.starts = np.append(0, self.ends + 1)[: len(self.ends)]
         self.first = np.cumsum(self.counts) - self.counts
 
-    def hashes(self, n: int) -> np.ndarray:
-        """A 64-bit hash of each run of n words, also of those that go over the end of a text."""
-        if len(self.ends) < n:
-            return np.zeros(0, np.uint64)
+    def values(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
         down, up = _powers(len(self.blob))
         total = np.zeros(len(self.blob) + 1, np.uint64)
         np.cumsum((self.blob.astype(np.uint64) + np.uint64(1)) * down[: len(self.blob)], out=total[1:])
-        s = self.starts[: len(self.starts) - n + 1]
-        return mixed((total[self.ends[n - 1 :] + 1] - total[s]) * up[s])
+        out = mixed((total[self.ends + 1] - total[self.starts]) * up[self.starts])
+        for k in np.flatnonzero(self.ends - self.starts >= LONG_WORD):
+            out[k] = xxhash.xxh64_intdigest(self.blob[self.starts[k] : self.ends[k]].tobytes(), seed=1)
+        return out
+
+    def hashes(self, n: int) -> np.ndarray:
+        """A 64-bit hash of each run of n words, also of those that go over the end of a text."""
+        return gram_hashes(self.values(), n)
 
     def left(self) -> np.ndarray:
         """How many words of its text each word has from itself on."""

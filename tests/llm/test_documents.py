@@ -157,3 +157,17 @@ def test_word_rules():
 def test_queries_have_names_of_the_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 11))
     assert set(Q.oracle_sql()) <= set(Q.queries())
+
+
+def test_long_words_of_two_letters_are_told_apart(spark):
+    """Words in the Thue-Morse order and their complements, which sums of powers can't tell apart."""
+    def word(n, flip):
+        return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+    for n in (64, 256, 1024, 4096):
+        texts = [word(n, flip).encode() for flip in (0, 1)]
+        values = words.Words(texts).values()
+        assert len(set(values.tolist())) == 2
+        assert words.Words([b" ".join([t] * 3) for t in texts]).hashes(3)[0] != words.Words([b" ".join([texts[1]] * 3)]).hashes(3)[0]
+    docs = {1: word(1024, 0), 2: word(1024, 1), 3: word(1024, 0)}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(odd.frame(spark, docs)).collect()} == {1: 1, 2: 2, 3: 1}
