@@ -4,8 +4,9 @@ A byte pair that occurs inside no vocabulary token can never be merged over. Whe
 makes no difference between a text and its parts, such a pair is a certain cut: in front of a space that
 follows no white space, and between two characters of which neither is white space or an apostrophe (the
 pre-tokenizer looks ahead in white space, and an apostrophe may begin a contraction). The text is cut in front
-of spaces first, and pieces of more than LONG characters, as of scripts without spaces, at all other certain
-cuts as well; each distinct fragment is encoded by the tokenizers library once, and the ids are concatenated.
+of spaces first, and what is between them at all other certain cuts; each distinct fragment is encoded once, by
+itself, and the ids are concatenated. (The slower tokenizers engine cuts words of over LONG characters alone, and
+encodes new fragments that end solidly side by side.)
 What a worker keeps of them is bounded in bytes. Texts with the vocabulary's special tokens are cut outside of these.
 Other pre-tokenizers than the byte-level one, and normalizers, get whole texts as fragments.
 
@@ -28,9 +29,11 @@ from pyspark.sql import types as T
 
 from .common import per_worker, slices, strings_of
 
-#: Bytes of encoded fragments that a Python worker keeps, what one takes besides its characters and ids, and from how
-#: many characters on a fragment without a space is cut.
+#: Bytes of encoded fragments that a Python worker keeps, what one takes besides its characters and ids, and from how many
+#: characters on a word is put together anew each time, and cut by the tokenizers engine.
 CACHE_BYTES, FRAGMENT_BYTES, LONG = 160 << 20, 200, 64
+#: Bytes beside which there is never a certain cut: ASCII white space and the apostrophe.
+SOFT = np.isin(np.arange(256), [*b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f ", ord("'")])
 #: A word's last character, or nothing.
 LAST = itemgetter(slice(-1, None))
 #: The contractions that the pre-tokenizer knows.
@@ -137,7 +140,7 @@ class ForcedBoundaryCodec:
 
     def _inner(self, text: str) -> list[str]:
         """A text's parts between its certain cuts, other than those in front of spaces."""
-        if len(text) <= LONG or any(x in text for x in self.special):
+        if any(x in text for x in self.special):
             return [text]
         b = np.frombuffer(text.encode(), np.uint8)
         at = np.flatnonzero((b & 0xC0) != 0x80)  # where characters begin
@@ -145,6 +148,50 @@ class ForcedBoundaryCodec:
         cut = np.flatnonzero(solid[:-1] & solid[1:] & ~self.joined[b[at[1:] - 1], b[at[1:]]]) + 1
         return [text[s:e] for s, e in zip(np.append(0, cut).tolist(), np.append(cut, len(text)).tolist(), strict=True)]
 
+    def _cut_inside(self, words: list[str]) -> dict[str, list[str]]:
+        """The fragments of each word that has a certain cut inside; all words are looked at together."""
+        text = " ".join(words)
+        b = np.frombuffer(text.encode(), np.uint8)
+        begins = (b & 0xC0) != 0x80
+        at = np.flatnonzero(begins[1:] & ~self.joined[b[:-1], b[1:]] & ~SOFT[b[:-1]] & ~SOFT[b[1:]]) + 1
+        if not len(at):
+            return {}
+        place = np.cumsum(begins)[at] - 1  # of the character behind the cut
+        wide = np.flatnonzero((b[at] >= 128) | (b[at - 1] >= 128))  # white space of other kinds
+        keep = np.ones(len(at), bool)
+        keep[wide] = [not (text[i].isspace() or text[i - 1].isspace()) for i in place[wide].tolist()]
+        place = place[keep]
+        if not len(place):
+            return {}
+        first = np.append(0, np.cumsum([len(w) + 1 for w in words]))
+        of = np.searchsorted(first, place, side="right") - 1
+        cuts = (place - first[of]).tolist()
+        edges = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        out = {}
+        for k, lo, hi in zip(of[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(cuts)], strict=True):
+            w, own = words[k], cuts[lo:hi]
+            out[w] = [w[i:j] for i, j in zip([0, *own], [*own, len(w)], strict=True)]
+        special = [x for x in self.special if x in text]
+        return {w: parts for w, parts in out.items() if not any(x in w for x in special)} if special else out
+
+    def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of fragments, one after the other, and how many each has."""
+        begin, size = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
+        to = np.cumsum(size)
+        return self.kept[np.repeat(begin - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)], size
+
+    def _put_together(self, cut: dict[str, list[str]]) -> None:
+        """Keeps the ids of words whose fragments are known."""
+        if not cut:
+            return
+        numbers: list[int] = []
+        for x in cut.values():
+            numbers.append(self.after_space[x[0]])
+            numbers += map(self.alone.__getitem__, x[1:])
+        ids, size = self._gathered(np.array(numbers, np.int64))
+        parts = np.fromiter(map(len, cut.values()), np.int64, len(cut))
+        self.after_space.update(zip(cut, self._store([ids], np.add.reduceat(size, np.cumsum(parts) - parts), list(cut)), strict=True))
+
     def _store(self, ids: list[np.ndarray], sizes: np.ndarray, texts: list[str]) -> range:
         """Appends fragments' ids (sizes: how many each has) to the kept ones; returns the fragments' numbers."""
         n, at, more = self.n_kept, int(self.ends[self.n_kept]), int(sizes.sum())
@@ -159,7 +206,8 @@ class ForcedBoundaryCodec:
         return range(n, self.n_kept)
 
     def _learn(self, words: set[str], uneven: set[str]) -> None:
-        """Encodes the fragments ' ' + word. Those that end solidly go as one text, cut at the certain places."""
+        """Encodes the fragments ' ' + word, one by one, or, with the tokenizers engine, those that end solidly as one text that
+        is cut at the certain places."""
         odd = words & uneven
         text = " ".join(words)
         for special in self.special:
@@ -169,9 +217,14 @@ class ForcedBoundaryCodec:
         if odd:
             each = self._each([" " + w for w in odd])
             self.after_space.update(zip(odd, self._store(each, np.array([len(x) for x in each]), list(odd)), strict=True))
-        if joint:
+        if joint and self.ranked:
+            each = [self.ranked.encode_ordinary(" " + w) for w in joint]
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            ids = np.fromiter(chain.from_iterable(each), "<u4", int(sizes.sum()))
+            self.after_space.update(zip(joint, self._store([ids], sizes, joint), strict=True))
+        elif joint:
             text = " " + " ".join(joint)
-            ids = np.array(self.ranked.encode_ordinary(text) if self.ranked else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum(self.lengths[ids])
             spaces = np.flatnonzero(np.frombuffer(text.encode(), np.uint8)[1:] == 0x20) + 1
             if len(spaces) + 1 == len(joint):  # else some words have spaces of their own
@@ -184,7 +237,8 @@ class ForcedBoundaryCodec:
     def _learn_alone(self, texts: set[str]) -> None:
         """Encodes fragments that follow no space."""
         todo = list(texts.difference(self.alone))
-        each = self._each(todo)
+        plain = self.ranked and not any(x in w for w in todo for x in self.special)
+        each = [np.array(self.ranked.encode_ordinary(w), "<u4") for w in todo] if plain else self._each(todo)
         self.alone.update(zip(todo, self._store(each, np.array([len(x) for x in each], np.int64), todo), strict=True))
 
     def _forget(self) -> None:
@@ -210,19 +264,20 @@ class ForcedBoundaryCodec:
                 new = set(flat).difference(self.after_space)
                 self._note_uneven(new)
         heads = [parts[0] for parts in split]  # these follow no space
-        long = {w: self._inner(" " + w) for w in new if len(w) > LONG}
-        cut = {w: [x[0][1:], *x[1:]] for w, x in long.items() if len(x) > 1}
-        after = {x[0] for x in cut.values()}
-        self._note_uneven(after.difference(self.after_space))
-        self._learn((new - cut.keys()) | after.difference(self.after_space), self.uneven)
+        cut = self._cut_inside([w for w in new if self.ranked or len(w) > LONG])
+        after = {x[0] for x in cut.values()}.difference(self.after_space)
+        self._note_uneven(after)
+        self._learn((new - cut.keys()) | after, self.uneven)
         first = {w: self._inner(w) for w in set(heads)}
-        self._learn_alone(set(chain(chain.from_iterable(first.values()), *(x[1:] for x in cut.values()))))
+        inside = chain.from_iterable(x[1:] for x in cut.values())
+        self._learn_alone(set(chain(chain.from_iterable(first.values()), inside)))
+        self._put_together({w: x for w, x in cut.items() if len(w) <= LONG})
         numbers = np.fromiter(map(self.after_space.get, flat, repeat(-1)), np.int64, len(flat))
         words = np.array([len(parts) for parts in split], np.int64)
         begins = np.cumsum(words) - words
         whole = {w: self.alone[x[0]] for w, x in first.items() if len(x) == 1}
         numbers[begins] = [whole.get(w, -1) for w in heads]
-        todo = np.flatnonzero(numbers < 0)  # words of several fragments
+        todo = np.flatnonzero(numbers < 0)  # heads and long words of several fragments
         if len(todo):
             at_head = set(begins.tolist())
             several = [[self.alone[x] for x in first[flat[i]]] if i in at_head else [self.after_space[cut[flat[i]][0]], *(self.alone[x] for x in cut[flat[i]][1:])] for i in todo.tolist()]
@@ -231,10 +286,8 @@ class ForcedBoundaryCodec:
             numbers = np.repeat(numbers, times)
             numbers[numbers < 0] = list(chain.from_iterable(several))
             words = np.add.reduceat(times, begins)
-        begin, size = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
-        to = np.cumsum(size)
-        ids = self.kept[np.repeat(begin - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)]
-        edges = np.append(0, to)[np.append(0, np.cumsum(words))].tolist()
+        ids, size = self._gathered(numbers)
+        edges = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(words))].tolist()
         return [ids[s:e].tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)]
 
     def decode(self, ids: bytes | None) -> str:

@@ -224,3 +224,30 @@ def test_chat(spark):
 def test_escape_is_reversible_and_hides_control_strings(text):
     hidden = chat.escape(text)
     assert chat.unescape(hidden) == text and not any(c in hidden for c in chat.CONTROL)
+
+
+def test_usual_words_are_cut_inside_and_encoded_one_by_one(monkeypatch, library):
+    """Every certain pair cuts, in short words too; no fragment that is encoded holds one."""
+    import public_tokenizers
+
+    codec = bpe.ForcedBoundaryCodec(public_tokenizers.path("byte_bpe_50k.json"), "tiktoken")
+    words = ["qzéж", "abÿc", "naïveжx", "don'tж", "x ж", "plain", "ж'rž", "日本語テキスト", "ab😀cd", "<|endoftext|>ж"]
+    seen = []
+    real = codec.ranked.encode_ordinary
+
+    class Spy:
+        def encode_ordinary(self, text):
+            seen.append(text)
+            return real(text)
+
+    codec.ranked = Spy()
+    texts = [" ".join(words), " ".join(reversed(words)), "жq " * 3]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    inside = codec._cut_inside(words)
+    assert len(inside) > 4 and all("".join(parts) == w and len(parts) > 1 for w, parts in inside.items()) and "plain" not in inside
+    for fragment in seen:
+        b = fragment.encode()
+        for i in range(2, len(b)):
+            if b[i] & 0xC0 != 0x80 and not codec.joined[b[i - 1], b[i]]:
+                left, right = b[:i].decode()[-1], b[i:].decode()[0]
+                assert any(c.isspace() or c == "'" for c in (left, right)), fragment
