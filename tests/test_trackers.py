@@ -392,3 +392,14 @@ def test_positions_wait_for_their_device(spark, tmp_path):
             break
     q.stop()
     assert [(r["imei"], r["item"], r["why"]) for r in spark.table("waited").collect()] == [("A", "a", "resolved"), ("A", "b", "resolved")]
+
+
+def test_the_room_throttle_flushes_by_timer():
+    import pandas as pd
+
+    machine, handle = machines.RoomThrottle(most=1), Handle()
+    machine.init(handle)
+    at = pd.to_datetime([NOW, NOW + 1000], unit="ms")
+    points = pd.DataFrame({"packet_date": at, "position_id": [1, 2], "latitude": [24.0, 25.0], "longitude": [46.0, 46.0], "speed": [40.0, 40.0]})
+    assert [r[-1] for r in rows_of(machine.handleInputRows(("A",), iter([points]), clock(0)))] == ["sent"] and handle.timers == {30_000}
+    assert [r[-1] for r in rows_of(machine.handleExpiredTimer(key=("A",), timerValues=clock(30_000), expiredTimerInfo=None))] == ["flushed"]
