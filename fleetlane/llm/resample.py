@@ -8,11 +8,12 @@ A document's score is its weight plus Gumbel noise that follows from its doc_id;
 `percent` per cent with the highest scores are drawn, equal scores in order of doc_id.
 
 1. Features are counted by document. Documents that are read together (a chunk) name each feature once, with its number
-   of occurrences, and refer to it by its place; so no word has more rows than there are chunks.
+   of occurrences, and refer to it by its place; so no word has more rows than there are chunks. A document is a row, and so
+   are some features of a chunk; a chunk never is one.
 2. The dictionary has each distinct feature once, with its occurrences in documents and target; it is hashed there and
    nowhere else, and buckets are sums over it.
 3. The dictionary's gains are joined to the chunks' features, and go back to the chunks, where counts per document times
-   gains give weights.
+   gains give weights; documents are streamed behind their chunk's gains.
 4. Scores are sorted in ranges, and a range's rank begins after those before it.
 
 A null text has no words, so weight and features are 0, as for an empty one. Rows with equal doc_id are documents of their
@@ -32,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, discard, slices, stored
+from .common import BATCH_ROWS, bytes_of, discard, slices, stored
 from .words import ALNUM
 
 LONGEST, BUCKETS, SEED, LEAST, PERCENT = 1, 10_000, 2024, 20, 10
-#: Bytes of text after which a chunk is closed.
-CHUNK = 16 << 20
+#: Bytes of text and distinct features after which a chunk is closed, features of a row, gains that a task packs at a time.
+CHUNK, DISTINCT, PIECE, AT_ONCE = 16 << 20, 1 << 19, 256, 1 << 19
 
 
 def features(text: bytes | None, longest: int) -> tuple[Counter, int]:
@@ -54,50 +55,72 @@ class _Chunk:
 
     def __init__(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.docs, self.words, self.sizes, self.place, self.times, self.bytes = [], [], [], [], [], 0
+        self.docs, self.words, self.place, self.times, self.bytes = [], [], [], [], 0
 
     def add(self, doc_id: int | None, text: bytes | None, longest: int) -> None:
         found, n = features(text, longest)
         index = self.index
         self.docs.append(doc_id)
         self.words.append(n)
-        self.sizes.append(len(found))
-        self.place.append(np.fromiter((index.setdefault(f, len(index)) for f in found), np.int32, len(found)))
-        self.times.append(np.fromiter(found.values(), np.int32, len(found)))
+        self.place.append(np.fromiter((index.setdefault(f, len(index)) for f in found), "<i4", len(found)))
+        self.times.append(np.fromiter(found.values(), "<i4", len(found)))
         self.bytes += len(text or b"")
 
-    def row(self, number: int) -> pa.RecordBatch:
-        place, times = np.concatenate(self.place), np.concatenate(self.times)
-        total = np.bincount(place, weights=times, minlength=len(self.index)).astype(np.int64)
-        every = np.append(0, np.cumsum(times, dtype=np.int64))[np.append(0, np.cumsum(self.sizes))]
+    def full(self) -> bool:
+        return self.bytes >= CHUNK or len(self.index) >= DISTINCT
+
+    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
+        """A row for each document, then one for each PIECE features; batches of both are small."""
+        for s in range(0, len(self.docs), BATCH_ROWS):
+            of = slice(s, s + BATCH_ROWS)
+            packed = [pa.array([x.tobytes() for x in part[of]], pa.binary()) for part in (self.place, self.times)]
+            every = pa.array([int(x.sum(dtype=np.int64)) for x in self.times[of]], pa.int64())
+            yield self._batch(number, doc_id=pa.array(self.docs[of], pa.int64()), words=pa.array(self.words[of], pa.int64()), features=every, place=packed[0], times=packed[1])
+        total = np.zeros(len(self.index), np.int64)
+        for place, times in zip(self.place, self.times, strict=True):
+            total[place] += times  # a document names a place once
         names = pa.array(list(self.index), pa.binary()).cast(pa.string())
-        columns = [pa.array(self.docs, pa.int64()), pa.array(self.words, pa.int64()), pa.array(np.diff(every)), pa.array(self.sizes, pa.int32()), pa.array(place), pa.array(times), pa.array(total), names]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], names=["chunk", "doc_id", "words", "features", "sizes", "place", "times", "total", "feature"])
+        for s in range(0, len(names), BATCH_ROWS * PIECE):
+            upto = min(s + BATCH_ROWS * PIECE, len(names))
+            first = np.arange(s, upto, PIECE, dtype=np.int32)
+            edges = pa.array(np.append(first, upto) - s, pa.int32())
+            lists = [pa.ListArray.from_arrays(edges, c) for c in (pa.array(total[s:upto]), names[s:upto])]
+            yield self._batch(number, first=pa.array(first), total=lists[0], feature=lists[1])
+
+    @staticmethod
+    def _batch(number: int, **columns: pa.Array) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        rest = [columns[name] if name in columns else pa.nulls(n, kind) for name, kind in _KINDS]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int64)), *rest], names=["chunk", *(name for name, _ in _KINDS)])
+
+
+_KINDS = [("doc_id", pa.int64()), ("words", pa.int64()), ("features", pa.int64()), ("place", pa.binary()), ("times", pa.binary()), ("first", pa.int32()), ("total", pa.list_(pa.int64())), ("feature", pa.list_(pa.string()))]
 
 
 def _chunks(docs: DataFrame, longest: int) -> DataFrame:
-    """A row for each chunk: its documents (doc_id, words, features, and how many distinct features: sizes), the place and number
-    of each document's distinct features, and the features with their numbers of occurrences."""
+    """Rows of two kinds. A document's: doc_id, words, features, and its distinct features as their places in its chunk and their
+    numbers (packed as 32-bit integers). And up to PIECE features of a chunk from the place `first` on, with their numbers of
+    occurrences; `first` is null in documents' rows. No row grows with a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, chunk = TaskContext.get().partitionId() << 32, _Chunk()
         for batch in slices(batches, "text"):
             for doc_id, text in zip(batch.column(0).to_pylist(), bytes_of(batch, "text"), strict=True):
                 chunk.add(doc_id, text, longest)
-            if chunk.bytes >= CHUNK:
-                yield chunk.row(number)
-                number, chunk = number + 1, _Chunk()
+                if chunk.full():
+                    yield from chunk.rows(number)
+                    number, chunk = number + 1, _Chunk()
         if chunk.docs:
-            yield chunk.row(number)
+            yield from chunk.rows(number)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "chunk long, doc_id array<long>, words array<long>, features array<long>, sizes array<int>, place array<int>, times array<int>, total array<long>, feature array<string>")
+    return rows.mapInArrow(run, "chunk long, doc_id long, words long, features long, place binary, times binary, first int, total array<long>, feature array<string>")
 
 
 def _named(chunks: DataFrame) -> DataFrame:
     """chunk, place, feature and n of each feature that a chunk names."""
-    return chunks.select("chunk", F.posexplode(F.arrays_zip("feature", "total")).alias("place", "x")).select("chunk", "place", F.col("x.feature").alias("feature"), F.col("x.total").alias("n"))
+    each = chunks.filter("first is not null").select("chunk", "first", F.posexplode(F.arrays_zip("feature", "total")).alias("at", "x"))
+    return each.select("chunk", (F.col("first") + F.col("at")).alias("place"), F.col("x.feature").alias("feature"), F.col("x.total").alias("n"))
 
 
 def dictionary(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -116,22 +139,65 @@ def gains(distinct: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return sums.select("bucket", F.floor(F.lit(1000.0) * F.ln(ratio)).alias("gain"))
 
 
-def _weights(chunks: DataFrame, by_chunk: DataFrame) -> DataFrame:
-    """doc_id, words, n_features and weight of all documents."""
+def _packed(gained: DataFrame) -> DataFrame:
+    """chunk, place and gain, put together: chunk and gains, places in the upper and gains in the lower halves of 64-bit
+    integers. A task holds AT_ONCE rows and writes a piece of each of their chunks."""
+
+    def pieces(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        chunk, place, gain = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(chunk, kind="stable")
+        chunk, at = chunk[order], (place.astype("<i8")[order] << 32) | (gain[order] & 0xFFFFFFFF)  # a gain has 32 bits at most
+        edges = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+        parts = [at[s:e].tobytes() for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[edges]), pa.array(parts, pa.binary())], names=["chunk", "gains"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(tuple(batch.column(k).to_numpy() for k in range(3)))
+                n += batch.num_rows
+            if n >= AT_ONCE:
+                yield pieces(held)
+                held, n = [], 0
+        if held:
+            yield pieces(held)
+
+    return gained.select("chunk", "place", "gain").mapInArrow(run, "chunk long, gains binary")
+
+
+def _weights(chunks: DataFrame, packed: DataFrame) -> DataFrame:
+    """doc_id, words, n_features and weight of all documents. A chunk's gains come before its documents, which are streamed; a
+    task holds the gains of one chunk."""
+    names = ["doc_id", "words", "n_features", "weight"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, gain = None, np.zeros(0, np.int64)
         for batch in batches:
-            for i in range(batch.num_rows):
-                of = {name: batch.column(k).slice(i, 1).flatten() for k, name in enumerate(batch.schema.names)}
-                at = of["at"].to_numpy()
-                gain = np.zeros(len(at) + 1, np.int64)
-                gain[at >> 32] = at.astype(np.int32)
-                upto = np.append(0, np.cumsum(gain[of["place"].to_numpy()] * of["times"].to_numpy()))
-                weight = np.diff(upto[np.append(0, np.cumsum(of["sizes"].to_numpy().astype(np.int64)))])
-                yield pa.RecordBatch.from_arrays([of["doc_id"], of["words"], of["features"], pa.array(weight)], names=["doc_id", "words", "n_features", "weight"])
-
-    own = chunks.drop("total", "feature").join(by_chunk, "chunk", "left")
-    rows = own.select("doc_id", "words", "features", "sizes", "place", "times", F.coalesce("at", F.array().cast("array<bigint>")).alias("at"))
+            chunks = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1])).tolist() if len(chunks) else []
+            for s, e in zip(edges, [*edges[1:], len(chunks)], strict=True) if edges else []:
+                if chunks[s] != key:
+                    key, gain = chunks[s], np.zeros(1 << 10, np.int64)
+                of = {name: batch.column(k).slice(s, e - s) for k, name in enumerate(batch.schema.names)}
+                for piece in of["gains"].drop_null().to_pylist():
+                    at = np.frombuffer(piece, "<i8")
+                    place = at >> 32
+                    if (most := int(place.max())) >= len(gain):
+                        gain = np.append(gain, np.zeros(most + 1, np.int64))
+                    gain[place] = at.astype(np.int32)
+                first = e - s - (of["gains"].null_count)
+                of = {name: x.slice(first) for name, x in of.items()}
+                if not len(of["doc_id"]):
+                    continue
+                place, times = (of[name].to_pylist() for name in ("place", "times"))
+                upto = np.append(0, np.cumsum(gain[np.frombuffer(b"".join(place), "<i4")] * np.frombuffer(b"".join(times), "<i4")))
+                weight = np.diff(upto[np.append(0, np.cumsum([len(x) // 4 for x in place]))])
+                yield pa.RecordBatch.from_arrays([of["doc_id"], of["words"], of["features"], pa.array(weight)], names=names)
+
+    docs = chunks.filter("first is null").select("chunk", F.lit(None).cast("binary").alias("gains"), "doc_id", "words", "features", "place", "times")
+    rows = docs.unionByName(packed, allowMissingColumns=True)
+    rows = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("gains").isNull())
     return rows.mapInArrow(run, "doc_id long, words long, n_features long, weight long")
 
 
@@ -142,9 +208,8 @@ def weighted(docs: DataFrame, target: DataFrame, longest: int = LONGEST, buckets
     named = _named(chunks)
     distinct = stored(dictionary(named, wanted, buckets), "features")
     gained = distinct.filter("s > 0").join(F.broadcast(gains(distinct, buckets)), "bucket").select("feature", "gain")
-    packed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("gain").bitwiseAND(F.lit(0xFFFFFFFF)))  # a gain has 32 bits at most
-    by_chunk = named.select("chunk", "place", "feature").join(gained, "feature").groupBy("chunk").agg(F.collect_list(packed).alias("at"))
-    out = stored(_weights(chunks, by_chunk), "weights")
+    packed = _packed(named.select("chunk", "place", "feature").join(gained, "feature"))
+    out = stored(_weights(chunks, packed), "weights")
     discard(chunks, distinct, shuffles=False)
     return out
 

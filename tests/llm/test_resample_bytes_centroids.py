@@ -262,3 +262,13 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, None), (2, "")], docs.schema)
     assert [(r["n_bytes"], r["n_spans"]) for r in bytedups.digests(one).collect()] == [(0, 0)] * 2
     assert [(r["n_features"], r["weight"], r["rank"]) for r in resample.digests(one, docs).collect()] == [(0, 0, None)] * 2
+
+
+def test_no_row_grows_with_a_chunk(spark):
+    """Chunks' rows once held all their documents, and readers, joins and batches many chunks at a time."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(2000)], "doc_id long, text string").coalesce(1)
+    chunks = resample._chunks(docs, 1)
+    assert chunks.agg(F.max(F.length(F.to_json(F.struct(*chunks.columns))))).first()[0] < 20_000
+    assert resample._named(chunks).count() == 40_000 and resample._named(chunks).select("chunk", "place").distinct().count() == 40_000
+    packed = resample._packed(resample._named(chunks).withColumn("gain", F.lit(-3).cast("long")))
+    assert {tuple(r) for r in resample._weights(chunks, packed).select("n_features", "weight").collect()} == {(20, -60)}
