@@ -2,18 +2,17 @@
 
 Vectors are brought to length one and rotated by a fixed orthogonal matrix. Cosine `least` or more means a
 squared distance of at most 2 - 2 * least, so in one of `blocks` blocks of coordinates at least the squared
-distance is within that block's proportional budget. Each block is range-joined on its own, in cells: those
-nearest to one of some centers, which are the block's coordinates of a bounded sample of the vectors, one
-for each CELL of all vectors and CENTERS at most. A vector lies in its own cell and visits the lower-numbered
-ones whose border is within `reach` times the budget's radius. With reach 1 the range join misses nothing
-within the budget; but two vectors that far apart rarely differ straight across a border, as the rotation
-spreads their difference over all of a block's coordinates, and cells near all borders are nearly all cells.
-The default finds nearly all links (README has measured recall), visits a few cells a vector however many
-there are, and so grows about as the number of vectors does. Cells of many vectors are cut into chunks of
-bounded size; a task holds a chunk and streams what may match it. The pairs within the block's budget are
-the block's candidates, and the union of candidates is verified exactly, by cosine in double precision (of
-the vectors as they came, where rotation might round it over the threshold); a pair that several blocks
-find counts in the first of these alone.
+distance is within that block's proportional budget. Each block is range-joined exactly: vectors lie in the cells of
+their nearest centers, which are a bounded sample, one for each CELL of all vectors and CENTERS at most; chunks are
+runs of cells, written to the shared folder once, and a task compares two chunks, piece by piece of AT_ONCE vectors in
+the order of cells. A block of two pieces is left out where the balls around their coordinates are farther apart than
+`reach` times the budget's radius; with reach 1, the default, nothing within the budget is missed. The union of the
+blocks' candidates is verified by cosine in double precision (of the vectors as they came, where rotation might
+round it over the threshold).
+
+Vectors without structure aren't told apart by balls, so all pieces are compared and seconds grow with the square of
+the number of distinct vectors. Memory, disk and tasks don't: a chunk has CHUNK vectors, or one in CHUNKS of all as
+far as CHUNK_BYTES allow; a task holds two; shuffles carry each vector a fixed number of times.
 
 Equal vectors become one class first, so copies aren't compared; a task hands on the number of links of
 each class, and links that join what it hasn't joined yet, but never all pairs.
@@ -30,18 +29,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shared, discard, per_worker, stored
+from .common import Shared, discard, open_fs, per_worker, shared_dir, stored
 from .graph import components
 
-#: Blocks of coordinates, vectors a center stands for, centers at most, vectors of a chunk, vectors compared at a time.
-BLOCKS, CELL, CENTERS, CHUNK, AT_ONCE = 4, 1024, 16_384, 4096, 512
-#: How far over its cell's border a vector looks for others, as a part of the budget's radius; 1 misses nothing.
-REACH = 0.25
-#: Added to budgets for rounding; whatever it lets through is verified.
-SLACK = 1e-9
+#: Blocks of coordinates, vectors a center stands for, centers at most, vectors of a piece.
+BLOCKS, CELL, CENTERS, AT_ONCE = 4, 1024, 16_384, 512
+#: Vectors of a chunk, and into how many chunks more of them are divided, as far as these don't exceed so many bytes.
+CHUNK, CHUNKS, CHUNK_BYTES = 4096, 32, 32 << 20
+#: Spark's tasks for pairs of chunks, at most.
+TASKS = 1000
+#: How far apart pieces are compared, as a part of the budget's radius; 1 misses nothing.
+REACH = 1.0
+#: Added to budgets for rounding, in double and in single precision; whatever it lets through is verified.
+SLACK, LOOSE = 1e-9, 1e-5
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -80,189 +85,160 @@ def budget(least: float, lo: int, hi: int, dim: int) -> float:
     return (2 - 2 * least) * (hi - lo) / dim + SLACK
 
 
-class Centers:
-    """Rotated vectors of a sample, all of one length, whose blocks are the centers of cells."""
-
-    def __init__(self, payloads: list[bytes], blocks: int):
-        self.at, self.parts = units(payloads, True), parts_of(len(payloads[0]) // 8, blocks)
-
-    def homes(self, y: np.ndarray, block: int, reach: float, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """The cell of each rotated vector, and which lower-numbered cells it visits."""
-        lo, hi = self.parts[block]
-        x, c = y[:, lo:hi], self.at[:, lo:hi]
-        far = (x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * x @ c.T
-        home = far.argmin(1)
-        h = c[home]
-        apart = (h**2).sum(1)[:, None] + (c**2).sum(1) - 2 * h @ c.T
-        over = self.border(far, far[np.arange(len(y)), home][:, None], apart)
-        return home, (over <= reach * np.sqrt(budget(least, lo, hi, y.shape[1]))) & (np.arange(len(c)) < home[:, None])
-
-    @staticmethod
-    def border(far: np.ndarray, near: np.ndarray, apart: np.ndarray) -> np.ndarray:
-        """The distance to the border between a vector's cell and another one, from the squared distances to their
-        centers and between these."""
-        return (far - near) / (2 * np.sqrt(np.maximum(apart, 1e-18)))
-
-    def meet(self, a: np.ndarray, b: np.ndarray, cell_a: np.ndarray, cell_b: np.ndarray, block: int, reach: float, least: float) -> np.ndarray:
-        """Which pairs of rotated vectors (row by row) this block finds."""
-        lo, hi = self.parts[block]
-        x, y, c = a[:, lo:hi], b[:, lo:hi], self.at[:, lo:hi]
-        most = budget(least, lo, hi, a.shape[1])
-        within = (x**2).sum(1) + (y**2).sum(1) - 2 * np.einsum("ij,ij->i", x, y) <= most + SLACK
-        z, home, other = np.where((cell_a > cell_b)[:, None], x, y), c[np.maximum(cell_a, cell_b)], c[np.minimum(cell_a, cell_b)]
-        squared = lambda u, v: (u**2).sum(1) + (v**2).sum(1) - 2 * np.einsum("ij,ij->i", u, v)
-        return within & ((cell_a == cell_b) | (self.border(squared(z, other), squared(z, home), squared(home, other)) <= reach * np.sqrt(most)))
-
-
-def _centers(classes: DataFrame, blocks: int) -> dict[int, Centers]:
+def _centers(classes: DataFrame) -> dict[int, np.ndarray]:
     """Centers for each length of vectors: a sample of one in CELL, CENTERS at most."""
     every = classes.count()
     some = classes.orderBy(F.xxhash64("node", F.lit("center")), "node").limit(min(CENTERS, -(-every // CELL))).select("payload").collect()  # CENTERS vectors at most
     by: dict[int, list[bytes]] = {}
     for (payload,) in some:
         by.setdefault(len(payload) // 8, []).append(bytes(payload))
-    return {dim: Centers(payloads, blocks) for dim, payloads in by.items()}
+    return {dim: units(payloads, True) for dim, payloads in by.items()}
 
 
-def _cells(classes: DataFrame, centers, least: float, blocks: int, reach: float) -> DataFrame:
-    """(node, copies, payload, dim, cells, visits) of each class; cells holds its cell in each block, visits those it
-    visits. Vectors of a length that has no centers all lie in cell 0."""
-    names = ["node", "copies", "payload", "dim", "cells", "visits"]
+def _cells(classes: DataFrame, centers) -> DataFrame:
+    """(node, copies, payload, dim, cell) of each class. Vectors of a length that has no centers all lie in cell 0."""
+    names = ["node", "copies", "payload", "dim", "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(s, AT_ONCE) for b in batches for s in range(0, b.num_rows, AT_ONCE)):
             payloads = batch.column(2).to_pylist()
             sizes = np.array([len(p) // 8 for p in payloads])
+            cells = np.zeros(len(payloads), np.int32)
             for dim in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == dim)
-                count, own = len(parts_of(dim, blocks)), centers.value.get(dim)
-                y = units([payloads[i] for i in at], True)
-                cells, visits = np.zeros((len(at), count), np.int32), [[[] for _ in range(count)] for _ in at]
-                for k in range(count if own else 0):
-                    cells[:, k], there = own.homes(y, k, reach, least)
-                    for i, c in zip(*(x.tolist() for x in np.nonzero(there)), strict=True):
-                        visits[i][k].append(c)
-                kind = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at)) for i in range(3)), pa.array([dim] * len(at), pa.int32()), pa.array(cells.tolist(), kind), pa.array(visits, pa.list_(kind))], names=names)
-
-    return classes.select("node", "copies", "payload").mapInArrow(run, "node long, copies long, payload binary, dim int, cells array<int>, visits array<array<int>>")
-
-
-def _joined(dealt: DataFrame, centers, least: float, blocks: int, reach: float) -> DataFrame:
+                if dim in centers.value:
+                    at = np.flatnonzero(sizes == dim)
+                    cells[at] = (units([payloads[i] for i in at], True) @ centers.value[dim].T).argmax(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32()), pa.array(cells)], names=names)
+
+    return classes.select("node", "copies", "payload").mapInArrow(run, "node long, copies long, payload binary, dim int, cell int")
+
+
+def _chunked(cells: DataFrame) -> DataFrame:
+    """Classes with their chunk: a length's cells follow each other, and are cut every so many vectors."""
+    of = Window.partitionBy("dim").orderBy("cell")  # a row for each center at most
+    sizes = cells.groupBy("dim", "cell").agg(F.count("*").alias("size"))
+    every = F.sum("size").over(Window.partitionBy("dim"))
+    most = F.greatest(F.lit(1), F.floor(F.lit(CHUNK_BYTES) / (8 * F.col("dim"))))
+    bounds = sizes.select("dim", "cell", "size", (F.sum("size").over(of) - F.col("size")).alias("begin"), F.least(most, F.greatest(F.lit(CHUNK), F.ceil(every / CHUNKS))).alias("each"))
+    place = F.col("begin") + F.pmod(F.xxhash64("node"), F.col("size"))
+    return cells.join(F.broadcast(bounds), ["dim", "cell"]).select("node", "copies", "payload", "cell", "dim", F.floor(place / F.col("each")).cast("int").alias("chunk"))
+
+
+class Part:
+    """A chunk's vectors in the order of cells: rotated and as they came, their blocks as single-precision factors of squared
+    distances, and the balls around each piece's blocks."""
+
+    def __init__(self, rows: pa.Table, blocks: int):
+        rows = rows.take(np.argsort(rows["cell"].to_numpy(), kind="stable"))
+        payloads = rows["payload"].to_pylist()
+        self.nodes, self.copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
+        self.at, self.raw = units(payloads, True), np.frombuffer(b"".join(payloads), "<f8").reshape(len(payloads), -1)
+        self.n, self.pieces, self.left, self.right, self.balls = np.zeros(len(payloads), np.int64), [slice(s, min(s + AT_ONCE, len(payloads))) for s in range(0, len(payloads), AT_ONCE)], [], [], []
+        for lo, hi in parts_of(self.at.shape[1], blocks):
+            x = self.at[:, lo:hi]
+            square, one = (x**2).sum(1)[:, None], np.ones((len(x), 1))
+            self.left.append(np.hstack([-2 * x, square, one]).astype("<f4"))
+            self.right.append(np.hstack([x, one, square]).astype("<f4"))
+            middle = np.array([x[p].mean(0) for p in self.pieces])
+            self.balls.append((middle, np.array([np.sqrt(((x[p] - m) ** 2).sum(1).max()) for p, m in zip(self.pieces, middle, strict=True)])))
+
+
+class Joined:
+    """Which of two chunks' classes are joined so far; places of the second one follow the first one's."""
+
+    def __init__(self, nodes: np.ndarray):
+        self.nodes, self.up = nodes, np.arange(len(nodes))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
+        """The links among these that join something: first each row's first one, then each column's, then the others."""
+        for turn in ("rows", "columns", "rest"):
+            while not np.array_equal(self.up[self.up], self.up):
+                self.up = self.up[self.up]
+            new = self.up[i] != self.up[j]
+            i, j = i[new], j[new]
+            some = np.arange(len(i)) if turn == "rest" else np.unique(i if turn == "rows" else j, return_index=True)[1]
+            for a, b in zip(i[some].tolist(), j[some].tolist(), strict=True):
+                if (x := self.root(a)) != (y := self.root(b)):
+                    self.up[x] = y
+                    yield int(self.nodes[a]), int(self.nodes[b]), None
+
+
+def _similar(a: Part, b: Part, p: slice, q: slice, close: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places of those candidates in two pieces that have cosine `least`."""
+    i, j = np.nonzero(close)
+    if len(i) * 32 > close.size:
+        cosine = (a.at[p] @ b.at[q].T)[i, j]
+        i, j = i + p.start, j + q.start
+    else:
+        i, j = i + p.start, j + q.start
+        cosine = np.einsum("ij,ij->i", a.at[i], b.at[j])
+    for k in np.flatnonzero(np.abs(cosine - least) < 1e-9):
+        x, y = a.raw[i[k]], b.raw[j[k]]
+        cosine[k] = x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y))
+    good = cosine >= least
+    return i[good], j[good]
+
+
+def _compared(a: Part, b: Part, least: float, blocks: int, reach: float) -> Iterator[tuple]:
+    """Links (as of _joined) between the classes of two chunks, or within one if they are the same."""
+    dim = a.at.shape[1]
+    budgets = [budget(least, lo, hi, dim) for lo, hi in parts_of(dim, blocks)]
+    meet = []
+    for most, (ca, ra), (cb, rb) in zip(budgets, a.balls, b.balls, strict=True):
+        apart = np.sqrt(((ca[:, None] - cb) ** 2).sum(2)) - ra[:, None] - rb
+        meet.append(apart <= reach * np.sqrt(most) + 1e-7)
+    joined = Joined(a.nodes if a is b else np.append(a.nodes, b.nodes))
+    behind = 0 if a is b else len(a.nodes)
+    for x, y in np.argwhere(np.any(meet, axis=0)).tolist():
+        if a is b and x > y:
+            continue
+        p, q = a.pieces[x], b.pieces[y]
+        close = np.zeros((p.stop - p.start, q.stop - q.start), bool)
+        for k, most in enumerate(budgets):
+            if meet[k][x, y]:
+                close |= a.left[k][p] @ b.right[k][q].T <= most + LOOSE
+        if a is b and x == y:
+            close = np.triu(close, 1)
+        if not close.any():
+            continue
+        i, j = _similar(a, b, p, q, close, least)
+        np.add.at(a.n, i, b.copies[j])
+        np.add.at(b.n, j, a.copies[i])
+        yield from joined.add(i, j + behind)
+    for part in (a,) if a is b else (a, b):
+        for k in np.flatnonzero(part.n).tolist():
+            yield int(part.nodes[k]), None, int(part.n[k])
+        part.n[:] = 0
+
+
+def _joined(cells: DataFrame, least: float, blocks: int, reach: float) -> DataFrame:
     """Links of classes: (a, b, n): n links of class a to others, or, where n is null, a link between a and b."""
     names, kinds = ["a", "b", "n"], (pa.int64(), pa.int64(), pa.int64())
-
-    def similar(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Whether rotated vectors (row by row) have cosine `least`; p and q are the vectors as they came."""
-        cosine = np.einsum("ij,ij->i", a, b)
-        for i in np.flatnonzero(np.abs(cosine - least) < 1e-9):
-            cosine[i] = p[i] @ q[i] / (np.sqrt(p[i] @ p[i]) * np.sqrt(q[i] @ q[i]))
-        return cosine >= least
-
-    def matched(home: Part, other: Part, block: int) -> np.ndarray:
-        """Which of `other` (rows) and `home` (columns) are candidates of this block, of none before, and similar."""
-        dim = home.at.shape[1]
-        lo, hi = parts_of(dim, blocks)[block]
-        own = centers.value.get(dim)
-        x, y = other.at[:, lo:hi], home.at[:, lo:hi]
-        close = (x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T <= budget(least, lo, hi, dim) + SLACK
-        i, j = np.nonzero(close)
-        for s in range(0, len(i), 1 << 18):
-            r, c = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-            good = similar(other.at[r], home.at[c], other.raw[r], home.raw[c])
-            for p in range(block):
-                k = np.flatnonzero(good)
-                if own:
-                    good[k] = ~own.meet(other.at[r[k]], home.at[c[k]], other.cells[r[k], p], home.cells[c[k], p], p, reach, least)
-                else:
-                    low, high = parts_of(dim, blocks)[p]
-                    good[k] = ((other.at[r[k], low:high] - home.at[c[k], low:high]) ** 2).sum(1) > budget(least, low, high, dim) + SLACK
-            close[r, c] = good
-        return close
-
-    class Part:
-        """Some vectors: rotated, as they came, and their cells."""
-
-        def __init__(self, payloads: list[bytes], cells: list[list[int]]):
-            self.at, self.cells = units(payloads, True), np.array(cells, np.int64).reshape(len(payloads), -1)
-            self.raw = np.frombuffer(b"".join(payloads), "<f8").reshape(len(payloads), -1)
-
-        def __getitem__(self, rows: slice) -> Part:
-            part = object.__new__(Part)
-            part.at, part.cells, part.raw = self.at[rows], self.cells[rows], self.raw[rows]
-            return part
-
-    class Chunk:
-        def __init__(self, block: int):
-            self.block, self.nodes, self.copies, self.payloads, self.cells, self.home = block, [], [], [], [], None
-
-        def ready(self) -> None:
-            if self.home is None:
-                self.home, self.nodes, self.copies = Part(self.payloads, self.cells), np.array(self.nodes), np.array(self.copies)
-                self.n, self.up = np.zeros(len(self.nodes), np.int64), np.arange(len(self.nodes))
-
-        def root(self, i: int) -> int:
-            while self.up[i] != i:
-                self.up[i] = i = self.up[self.up[i]]
-            return i
-
-        def compared(self, nodes: np.ndarray, copies: np.ndarray, other: Part, own: int | None) -> Iterator[tuple]:
-            """Links of some rows with the chunk; own: the first row's place, where they are the chunk's own."""
-            close = matched(self.home, other, self.block)
-            if own is not None:
-                close &= np.arange(len(nodes))[:, None] + own < np.arange(len(self.nodes))
-            self.n += copies @ close
-            links = close @ self.copies
-            i, j = np.nonzero(close)
-            first = np.append(True, i[1:] != i[:-1]) if len(i) else np.zeros(0, bool)
-            head = j[first][np.cumsum(first) - 1] if len(i) else j
-            for r, h in zip(i[first].tolist(), j[first].tolist(), strict=True):
-                if own is None:
-                    yield int(nodes[r]), int(self.nodes[h]), None
-                elif (a := self.root(r + own)) != (b := self.root(h)):
-                    self.up[a] = b
-                    yield int(nodes[r]), int(self.nodes[h]), None
-            for g, h in np.unique(np.stack([head, j], 1)[~first], axis=0).tolist() if len(i) else []:
-                if (a := self.root(g)) != (b := self.root(h)):
-                    self.up[a] = b
-                    yield int(self.nodes[g]), int(self.nodes[h]), None
-            if own is None:
-                for r in np.flatnonzero(links):
-                    yield int(nodes[r]), None, int(links[r])
-            else:
-                self.n[own : own + len(nodes)] += links
-
-        def closed(self) -> Iterator[tuple]:
-            self.ready()
-            for s in range(0, len(self.nodes), AT_ONCE):
-                yield from self.compared(self.nodes[s : s + AT_ONCE], self.copies[s : s + AT_ONCE], self.home[s : s + AT_ONCE], s)
-            for r in np.flatnonzero(self.n):
-                yield int(self.nodes[r]), None, int(self.n[r])
+    spark, folder = cells.sparkSession, shared_dir(cells.sparkSession, "chunks")
+    _chunked(cells).repartition("dim", "chunk").write.partitionBy("dim", "chunk").option("compression", "zstd").parquet(folder)
+    chunks = spark.read.schema("node long, copies long, payload binary, cell int, dim int, chunk int").parquet(folder).select("dim", "chunk").distinct()
+    pairs = chunks.join(chunks.withColumnRenamed("chunk", "to"), "dim").filter("chunk <= to")
+
+    def part(dim: int, chunk: int) -> Part:
+        fs, root = open_fs(folder)
+        files = sorted(f.path for f in fs.get_file_info(pa.fs.FileSelector(f"{root}/dim={dim}/chunk={chunk}")) if f.base_name.endswith(".parquet"))
+        tables = []
+        for path in files:
+            with fs.open_input_file(path) as source:
+                tables.append(pq.ParquetFile(source).read())
+        return Part(pa.concat_tables(tables), blocks)
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        key, chunk = None, None
-        for batch in batches:
-            tasks = batch.column(0).to_pylist()
-            cols = [batch.column(k).to_pylist() for k in range(1, 7)]
-            edges = [i for i in range(len(tasks)) if i == 0 or tasks[i] != tasks[i - 1]] + [len(tasks)]
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if tasks[s] != key:
-                    if chunk is not None:
-                        yield from chunk.closed()
-                    key, chunk = tasks[s], Chunk(cols[0][s])
-                home = [i for i in range(s, e) if cols[1][i] == 0]
-                if home:
-                    chunk.nodes += [cols[2][i] for i in home]
-                    chunk.copies += [cols[3][i] for i in home]
-                    chunk.payloads += [cols[4][i] for i in home]
-                    chunk.cells += [cols[5][i] for i in home]
-                rest = range(s + len(home), e)
-                for k in range(rest.start, rest.stop, AT_ONCE):
-                    part = range(k, min(k + AT_ONCE, rest.stop))
-                    chunk.ready()
-                    yield from chunk.compared(np.array([cols[2][i] for i in part]), np.array([cols[3][i] for i in part]), Part([cols[4][i] for i in part], [cols[5][i] for i in part]), None)
-        if chunk is not None:
-            yield from chunk.closed()
+        key, home = None, None
+        for dim, chunk, to in (x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if key != (dim, chunk):
+                key, home = (dim, chunk), part(dim, chunk)
+            yield from _compared(home, home if to == chunk else part(dim, to), least, blocks, reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -274,24 +250,11 @@ def _joined(dealt: DataFrame, centers, least: float, blocks: int, reach: float)
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    rows = dealt.repartition("task").sortWithinPartitions("task", "role", "node")
-    return rows.select("task", "block", "role", "node", "copies", "payload", "cells").mapInArrow(run, "a long, b long, n long")
-
-
-def _dealt(classes: DataFrame) -> DataFrame:
-    """Rows for tasks: role 0 for a chunk's own vectors, 1 for those of other chunks that it is compared with.
-
-    Of two chunks of a cell the smaller one stays at home. How many chunks a cell has is joined.
-    """
-    key = ["dim", "block", "cell"]
-    cells = classes.select("*", F.posexplode(F.arrays_zip(F.col("cells").alias("cell"), F.col("visits").alias("to")))).select("node", "copies", "payload", "cells", "dim", F.col("pos").alias("block"), "col.*")
-    sizes = cells.groupBy(*key).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    own = cells.join(sizes, key).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    rows = lambda df, role, to, chunk: df.select(F.concat_ws("/", "dim", "block", to, chunk).alias("task"), "block", F.lit(role).alias("role"), "node", "copies", "payload", "cells")
-    home = rows(own, 0, "cell", "chunk")
-    inside = rows(own.filter("chunk > 0").withColumn("to_chunk", F.explode(F.sequence(F.lit(0), F.col("chunk") - 1))), 1, "cell", "to_chunk")
-    other = cells.select("dim", "block", F.explode("to").alias("cell"), "node", "copies", "payload", "cells").join(sizes, key)
-    return home.unionByName(inside).unionByName(rows(other.withColumn("to_chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))), 1, "cell", "to_chunk"))
+    pairs = pairs.repartition(max(1, min(TASKS, pairs.count()))).sortWithinPartitions("dim", "chunk", "to")
+    links = stored(pairs.select("dim", "chunk", "to").mapInArrow(run, "a long, b long, n long"), "links")
+    fs, root = open_fs(folder)
+    fs.delete_dir(root)
+    return links
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.9, blocks: int = BLOCKS, reach: float = REACH) -> DataFrame:
@@ -299,9 +262,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, blocks: int = BLOCKS, r
     vectors = stored(_vectors(rows).withColumn("key", F.sha2("payload", 256)), "vectors")
     classes = vectors.filter("payload is not null").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("payload").alias("payload"))
     classes = stored(classes.withColumn("node", F.xxhash64("key")), "classes")
-    centers = Shared(rows.sparkSession, _centers(classes, blocks))
-    cells = stored(_cells(classes, centers, least, blocks, reach), "cells")
-    links = stored(_joined(_dealt(cells), centers, least, blocks, reach), "links")
+    cells = stored(_cells(classes, Shared(rows.sparkSession, _centers(classes))), "cells")
+    links = _joined(cells, least, blocks, reach)
     discard(cells)
     counts = links.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     found = components(links.filter("n is null").select("a", "b"))

@@ -58,6 +58,19 @@ def test_embeddings_recall_and_odd_ids(spark, monkeypatch):
     assert [(r["component_id"], r["kept"]) for r in out if r["vec_id"] is None] == [(None, True)]
 
 
+def test_embeddings_miss_no_link(spark, monkeypatch):
+    """Isotropic pairs right above the threshold, in many cells: every one is found, by the defaults."""
+    monkeypatch.setattr(embeddings, "CELL", 30)
+    monkeypatch.setattr(embeddings, "CHUNK", 500)
+    rng = np.random.default_rng(16)
+    x, y = rng.standard_normal((1000, 64)), rng.standard_normal((1000, 64))
+    x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y - (x * y).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True) * x
+    z = 0.9001 * x + np.sqrt(1 - 0.9001**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, z]))]
+    out = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == {i: (1, i % 1000) for i in range(2000)}
+
+
 def test_cosine_on_the_threshold_is_taken_from_the_vectors_themselves(spark):
     """Vectors of ten ones of which nine are shared have cosine 0.9 on the dot."""
     rng = np.random.default_rng(8)
