@@ -23,6 +23,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,6 +84,12 @@ def ranked(model: dict):
     return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
+def _coded(split: pa.ListArray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The parts of all texts as places among the distinct ones, these, and how many parts each text has."""
+    coded = split.flatten().dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), pc.list_value_length(split).to_numpy().astype(np.int64)
+
+
 class ForcedBoundaryCodec:
     """Encodes texts to little-endian unsigned 32-bit ids and back.
 
@@ -253,17 +260,19 @@ class ForcedBoundaryCodec:
             self._forget()
         if not self.cuts:
             return [x.tobytes() for x in self._each([t or "" for t in texts])]
-        split = [(text or "").split(" ") for text in texts]
-        flat = list(chain.from_iterable(split))
-        new = set(flat).difference(self.after_space)
+        split = pc.split_pattern(pa.array([t or "" for t in texts], pa.string()), " ")
+        codes, names, words = _coded(split)
+        new = set(names).difference(self.after_space)
         self._note_uneven(new)
-        if self.uneven:
-            merged = [parts if self.uneven.isdisjoint(parts[:-1]) else self._merged(parts) for parts in split]
-            if any(a is not b for a, b in zip(merged, split, strict=True)):
-                split, flat = merged, list(chain.from_iterable(merged))
-                new = set(flat).difference(self.after_space)
+        if not self.uneven.isdisjoint(names):
+            parts = split.to_pylist()
+            merged = [x if self.uneven.isdisjoint(x[:-1]) else self._merged(x) for x in parts]
+            if any(x is not y for x, y in zip(merged, parts, strict=True)):
+                codes, names, words = _coded(pa.array(merged, pa.list_(pa.string())))
+                new = set(names).difference(self.after_space)
                 self._note_uneven(new)
-        heads = [parts[0] for parts in split]  # these follow no space
+        begins = np.cumsum(words) - words
+        heads = [names[i] for i in codes[begins].tolist()]  # these follow no space
         cut = self._cut_inside([w for w in new if self.ranked or len(w) > LONG])
         after = {x[0] for x in cut.values()}.difference(self.after_space)
         self._note_uneven(after)
@@ -272,16 +281,15 @@ class ForcedBoundaryCodec:
         inside = chain.from_iterable(x[1:] for x in cut.values())
         self._learn_alone(set(chain(chain.from_iterable(first.values()), inside)))
         self._put_together({w: x for w, x in cut.items() if len(w) <= LONG})
-        numbers = np.fromiter(map(self.after_space.get, flat, repeat(-1)), np.int64, len(flat))
-        words = np.array([len(parts) for parts in split], np.int64)
-        begins = np.cumsum(words) - words
+        numbers = np.fromiter(map(self.after_space.get, names, repeat(-1)), np.int64, len(names))[codes]
         whole = {w: self.alone[x[0]] for w, x in first.items() if len(x) == 1}
         numbers[begins] = [whole.get(w, -1) for w in heads]
         todo = np.flatnonzero(numbers < 0)  # heads and long words of several fragments
         if len(todo):
             at_head = set(begins.tolist())
-            several = [[self.alone[x] for x in first[flat[i]]] if i in at_head else [self.after_space[cut[flat[i]][0]], *(self.alone[x] for x in cut[flat[i]][1:])] for i in todo.tolist()]
-            times = np.ones(len(flat), np.int64)
+            of = [names[k] for k in codes[todo].tolist()]
+            several = [[self.alone[x] for x in first[w]] if i in at_head else [self.after_space[cut[w][0]], *(self.alone[x] for x in cut[w][1:])] for i, w in zip(todo.tolist(), of, strict=True)]
+            times = np.ones(len(codes), np.int64)
             times[todo] = [len(x) for x in several]
             numbers = np.repeat(numbers, times)
             numbers[numbers < 0] = list(chain.from_iterable(several))

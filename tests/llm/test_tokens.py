@@ -251,3 +251,17 @@ def test_usual_words_are_cut_inside_and_encoded_one_by_one(monkeypatch, library)
             if b[i] & 0xC0 != 0x80 and not codec.joined[b[i - 1], b[i]]:
                 left, right = b[:i].decode()[-1], b[i:].decode()[0]
                 assert any(c.isspace() or c == "'" for c in (left, right)), fragment
+
+
+def test_a_word_is_looked_up_once_a_batch():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    codec = bpe.ForcedBoundaryCodec(vocabulary())
+    codec.after_space = Counted()
+    texts = ["one two one two", "two  one", None, "", " one"] * 50
+    assert codec.encode(texts) == bpe.ForcedBoundaryCodec(vocabulary()).encode(texts) and 0 < Counted.asked < 10
