@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlane.functions.clock import ZONE
 from fleetlane.functions.geo import km_to_miles
 
-from .sequence import before, by_day, driven_km, paired, runs, so_far, timed, window
+from .sequence import ORDER, before, by_day, driven_km, paired, runs, so_far, timed, window
 
 #: Fixed values of the reports.
 STOP_MS, OVERSPEED_KMH, STATIC_KM = 180_000, 120.0, 0.5
@@ -152,35 +152,50 @@ def daily_mileage(points: DataFrame, acc_events: DataFrame | None = None, alerts
 
 
 def _travel_rows(points: DataFrame, thresholds: tuple[float, ...], zone: str) -> DataFrame:
-    """Points by day and threshold, with `segment`, `counted` (whether the pair before belongs to it) and `stop`
-    (whether a stop of 3 minutes or more ends here)."""
-    rows = runs(paired(by_day(points, zone), DAY), ~(F.col("speed") > 0), DAY)
-    start = F.min(F.when(F.col("x"), F.col("t"))).over(so_far((*DAY, "run")))
-    w = window(DAY)
-    rows = rows.withColumns({"start": start, "stood": F.when(F.col("x"), F.col("t") - start)})
+    """Points by day and threshold, with `segment`, `new` (whether it opens here), `closing` (whether it has no later point),
+    `counted` (whether the pair before belongs to it), `km` of that pair, `stop` (whether a stop of 3 minutes or more ends
+    here) and `moved` (the last moving point so far). All windows are by day, so points are sorted once and multiplied after it."""
+    w, upto = window(DAY), so_far(DAY)
+    moving = F.col("speed") > 0
+    km = F.when(~F.col("jump.is_jump"), F.col("jump.distance_km")).otherwise(0.0).alias("km")
+    rows = paired(by_day(points, zone), DAY).select(*DAY, *ORDER, "latitude", "longitude", "speed", "pt", "ps", km)
+    rows = rows.withColumn("x", F.coalesce(~moving, F.lit(False)))
+    begins = F.col("x") & ~F.coalesce(F.lag("x").over(w), F.lit(False))
+    rows = rows.withColumn("start", F.when(begins, F.col("t"))).withColumn("start", F.max("start").over(upto))
+    rows = rows.withColumn("stood", F.when(F.col("x"), F.col("t") - F.col("start")))
     ends = F.col("x") & ~F.coalesce(F.lead("x").over(w), F.lit(False))
-    rows = rows.withColumn("stop", ends & (F.coalesce(F.lead("t").over(w), F.col("t")) - F.col("start") >= STOP_MS))
-    moved = F.max(F.when(F.col("speed") > 0, F.lit(1))).over(before(DAY)).isNotNull()
-    rows = rows.withColumns({"stood_before": F.lag("stood").over(window(DAY)), "moved_before": moved})
-    rows = rows.withColumn("threshold", F.explode(F.array(*[F.lit(float(m)) for m in thresholds])))
-    long_stop = F.coalesce(F.col("stood_before") >= F.col("threshold") * 60000, F.lit(False))
-    new = (F.col("speed") > 0) & (~F.col("moved_before") | long_stop)
-    counted = ~new & ((F.col("ps") > 0) | ((F.col("speed") > 0) & ~long_stop))
-    rows = rows.withColumns({"new": new, "counted": F.coalesce(counted, F.lit(False))})
-    return rows.withColumn("segment", F.sum(F.col("new").cast("int")).over(so_far((*DAY, "threshold"))))
+    rows = rows.withColumns({
+        "stop": ends & (F.coalesce(F.lead("t").over(w), F.col("t")) - F.col("start") >= STOP_MS),
+        "stood_before": F.lag("stood").over(w),
+        "moved_before": F.max(F.when(moving, F.lit(1))).over(before(DAY)).isNotNull(),
+        "moved": F.last(F.when(moving, F.struct("t", "latitude", "longitude")), ignorenulls=True).over(upto),
+    })
+    long_stop = [F.coalesce(F.col("stood_before") >= float(m) * 60000, F.lit(False)) for m in thresholds]
+    rows = rows.withColumns({f"new{i}": F.coalesce(moving & (~F.col("moved_before") | far), F.lit(False)) for i, far in enumerate(long_stop)})
+    rows = rows.withColumns({f"segment{i}": F.sum(F.col(f"new{i}").cast("int")).over(upto) for i in range(len(thresholds))} | {f"closing{i}": F.coalesce(F.lead(f"new{i}").over(w), F.lit(True)) for i in range(len(thresholds))})
+
+    def of(i: int, m: float) -> Column:
+        counted = ~F.col(f"new{i}") & ((F.col("ps") > 0) | (moving & ~long_stop[i]))
+        return F.struct(F.lit(float(m)).alias("threshold"), F.col(f"segment{i}").alias("segment"), F.col(f"new{i}").alias("new"), F.col(f"closing{i}").alias("closing"), F.coalesce(counted, F.lit(False)).alias("counted"))
+
+    return rows.select(*DAY, "t", "pt", "latitude", "longitude", "km", "stop", "moved", F.inline(F.array(*[of(i, m) for i, m in enumerate(thresholds)])))
 
 
 def _by_segment(points: DataFrame, thresholds: tuple[float, ...], zone: str) -> DataFrame:
     """One row for each segment, and one with number 0 for the points before the first; stops counts the standing
-    runs of 3 minutes or more that end in it, up to the next moving point or the day's last one."""
-    moving = F.when(F.col("speed") > 0, F.struct("t", "position_id", F.struct("latitude", "longitude").alias("at")))
-    return _travel_rows(points, thresholds, zone).groupBy("imei", "day", "threshold", "segment").agg(
-        F.min(moving).alias("first"),
-        F.max(moving).alias("last"),
-        F.sum(F.when(F.col("counted") & ~F.col("jump.is_jump"), F.col("jump.distance_km")).otherwise(0.0)).alias("distance_km"),
+    runs of 3 minutes or more that end in it, up to the next moving point or the day's last one. Sums hold numbers
+    alone, so that rows are hashed and not sorted again."""
+    opened = lambda c: F.max(F.when(F.col("new"), F.col(c)))
+    closed = lambda c: F.max(F.when(F.col("closing"), F.col(f"moved.{c}")))
+    out = _travel_rows(points, thresholds, zone).groupBy("imei", "day", "threshold", "segment").agg(
+        *[opened(c).alias(f"first_{c}") for c in ("t", "latitude", "longitude")],
+        *[closed(c).alias(f"last_{c}") for c in ("t", "latitude", "longitude")],
+        F.sum(F.when(F.col("counted"), F.col("km")).otherwise(0.0)).alias("distance_km"),
         F.sum(F.when(F.col("counted"), F.greatest(F.col("t") - F.col("pt"), F.lit(0)) / 60000.0).otherwise(0.0)).alias("driving_minutes"),
         F.count_if("stop").alias("stops"),
     )
+    point = lambda at: F.struct(F.col(f"{at}_t").alias("t"), F.struct(F.col(f"{at}_latitude").alias("latitude"), F.col(f"{at}_longitude").alias("longitude")).alias("at"))
+    return out.select("imei", "day", "threshold", "segment", point("first").alias("first"), point("last").alias("last"), "distance_km", "driving_minutes", "stops")
 
 
 def travel_segments(points: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS_MIN, zone: str = ZONE) -> DataFrame:

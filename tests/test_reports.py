@@ -123,3 +123,11 @@ def test_incremental_mileage_reads_new_points_alone(spark, tmp_path):
     assert abs(out.first()["km_total"] - whole) < 1e-9 and again.first()["km_total"] < whole
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(packet_date" in plan
+
+
+def test_travel_sorts_points_once(spark):
+    """Points multiplied by thresholds, and windows by run and threshold, were sorted anew, each in a task's memory."""
+    t = spark.createDataFrame(random_tracks(4), SCHEMA)
+    plan = reports.travel_segments(t)._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert plan.count("Sort [") == 1 and "SortAggregate" not in plan
